@@ -57,3 +57,72 @@ ORACLES["vocab_shape"] = f"""
 SELECT (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_docs,
        (SELECT count(DISTINCT term) FROM (SELECT unnest({_tokens("text", False)}) AS term
                                           FROM documents WHERE text IS NOT NULL)) AS n_terms"""
+
+
+# ---------------------------------------------------------------- word statistics
+from chatlake.functions.text import PY_WHITESPACE  # noqa: E402
+from chatlake.sources.stopwords import NOTEBOOK_EXTRA  # noqa: E402
+
+_WORDS = f"list_filter(regexp_split_to_array(text, {_lit(PY_WHITESPACE)}), lambda x: x <> '')"
+_WC = f"coalesce(len({_WORDS}), 0)"
+
+ORACLES["term_counts"] = f"""
+WITH sw AS ({_stopwords_sql()} UNION SELECT unnest([{", ".join(_lit(w) for w in NOTEBOOK_EXTRA)}])),
+t AS (SELECT unnest({_tokens("text", False)}) AS term FROM documents)
+SELECT term, count(*) AS n FROM t WHERE term NOT IN (SELECT term FROM sw) GROUP BY term"""
+
+ORACLES["sorted_tokens"] = f"""
+SELECT doc_id, array_to_string(list_sort(list_filter(
+         regexp_split_to_array({_clean("text", False)}, {_lit(PY_WHITESPACE)}), lambda x: x <> '')), ' ') AS sorted_text
+FROM documents WHERE text IS NOT NULL"""
+
+ORACLES["words_count"] = f"SELECT doc_id, {_WC} AS words_count FROM documents"
+
+ORACLES["words_mean_p99"] = f"""
+SELECT lang, count(*) AS n_messages, round(avg({_WC}), 6) AS mean_words,
+       round(quantile_cont({_WC}, 0.99), 6) AS p99_words
+FROM documents GROUP BY lang"""
+
+ORACLES["words_hist"] = f"""
+WITH w AS (SELECT {_WC} AS wc FROM documents),
+b AS (SELECT min(wc) AS lo, max(wc) AS hi FROM w),
+k AS (SELECT CASE WHEN hi = lo THEN 1 ELSE least(floor((wc - lo) * 10 / (hi - lo)) + 1, 10) END::INT AS bucket,
+             lo, hi FROM w, b)
+SELECT bucket, round(lo + (bucket - 1) * (hi - lo) / 10, 6) AS bucket_start, count(*) AS n
+FROM k GROUP BY bucket, lo, hi"""
+
+ORACLES["corpus_chars"] = """
+SELECT coalesce(sum(length(text)), 0) + 2 * greatest(count(text) - 1, 0) AS n_chars,
+       count(text) AS n_messages FROM documents"""
+
+ORACLES["conversation_concat"] = """
+SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS all_text, count(text) AS n_parts
+FROM conversations GROUP BY conv_id"""
+
+ORACLES["messages_per_day"] = """
+SELECT user_id, CAST(ts AS DATE) AS day, count(*) / 1 AS n_messages FROM events GROUP BY ALL"""
+
+# ---------------------------------------------------------------- chat rows
+_UNIX = "(1704067200 + conv_id * 3600 + turn * 60)"
+_MSGS = f"""(SELECT 'chat ' || conv_id AS chat_name, conv_id AS chat_idx, turn AS pos, turn AS msg_id,
+        CASE WHEN role <> 'system' THEN role END AS sender,
+        strftime(make_timestamp({_UNIX} * 1000000), '%Y-%m-%dT%H:%M:%S') AS date,
+        {_UNIX} AS date_unixtime, 'text' AS msg_type, replace(text, chr(10), ' ') AS msg_content,
+        '' AS forwarded_from
+ FROM conversations)"""
+_COMPOSED = f"""(SELECT chat_idx, pos,
+        msg_content || chr(10) || 'From the chat: ' || chat_name || chr(10) || chr(10) || 'Sender: ' || sender
+        || chr(10) || 'Forwarded from: ' || forwarded_from AS text, date
+ FROM {_MSGS} m)"""
+
+ORACLES["chat_rows"] = f"SELECT * FROM {_MSGS} m"
+ORACLES["last_n_messages"] = f"SELECT * FROM {_MSGS} m ORDER BY chat_idx DESC, pos DESC LIMIT 50000"
+ORACLES["compose_text"] = f"SELECT * FROM {_COMPOSED} c WHERE text IS NOT NULL"
+ORACLES["render_hits"] = f"""
+WITH s AS (SELECT DISTINCT chat_idx AS query_id, text || chr(10) || chr(10) || 'Date: ' || split_part(date, 'T', 1) AS s
+           FROM {_COMPOSED} c WHERE text IS NOT NULL AND date IS NOT NULL),
+p AS (SELECT query_id, string_split(s, 'From the chat: ') AS parts FROM s)
+SELECT query_id, parts[1] AS body, parts[2] AS origin,
+       '```' || chr(10) || parts[1] || '```' || coalesce('From the chat: ' || parts[2], '') AS rendered
+FROM p"""
+ORACLES["distinct_chats"] = f"SELECT DISTINCT chat_idx, chat_name FROM {_MSGS} m"

@@ -49,3 +49,85 @@ def keyword_notebook_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocab_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tfidf.vocabulary_shape(docs, keep_colon=False)
+
+
+# ---------------------------------------------------------------- word statistics (AGG6-11, STRF5, SRT3)
+
+from chatlake.operators import messages as msg  # noqa: E402
+from chatlake.operators import text_stats as ts  # noqa: E402
+from chatlake.sources.stopwords import NOTEBOOK_EXTRA, union_stopwords  # noqa: E402
+
+
+@query
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sw = union_stopwords(stopwords_df(spark), stopwords_df(spark, NOTEBOOK_EXTRA))
+    return ts.term_counts(table(spark, sf_dir, "documents").select("text"), stopwords=sw)
+
+
+@query
+def sorted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ts.sorted_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def words_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ts.with_words_count(d).select("doc_id", "words_count")
+
+
+@query
+def words_mean_p99(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ts.words_summary(table(spark, sf_dir, "documents").select("lang", "text"), group_cols=["lang"])
+
+
+@query
+def words_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ts.words_histogram(table(spark, sf_dir, "documents").select("text"))
+
+
+@query
+def corpus_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ts.corpus_chars(table(spark, sf_dir, "documents").select("text"))
+
+
+@query
+def conversation_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ts.concat_texts(table(spark, sf_dir, "conversations"), ["conv_id"], "turn")
+
+
+@query
+def messages_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"))
+    return ts.rows_per_unit(ev, ["user_id", "day"]).withColumnRenamed("rows_per_unit", "n_messages")
+
+
+# ---------------------------------------------------------------- chat rows (SRT1, LIM1, PRJ6, STRF10-11, SET5)
+
+def _chat_messages(spark, sf_dir):
+    return msg.conversation_messages(table(spark, sf_dir, "conversations"))
+
+
+@query
+def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return msg.sort_messages(_chat_messages(spark, sf_dir))
+
+
+@query
+def last_n_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return msg.sort_messages(msg.last_n_by_arrival(_chat_messages(spark, sf_dir), n=50000))
+
+
+@query
+def compose_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return msg.compose_index_text(_chat_messages(spark, sf_dir))
+
+
+@query
+def render_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    composed = msg.compose_index_text(_chat_messages(spark, sf_dir))
+    return msg.render_hits(composed.withColumnRenamed("chat_idx", "query_id"))
+
+
+@query
+def distinct_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return msg.distinct_chats(_chat_messages(spark, sf_dir))

@@ -34,3 +34,7 @@ def union_stopwords(*lists: DataFrame) -> DataFrame:
     for other in lists[1:]:
         out = out.union(other.select("term"))
     return out.distinct()
+
+
+# Extra words the exploration notebook adds to its list before counting words.
+NOTEBOOK_EXTRA = ["https", "http", "com", "спасибо", "пожалуйста", "это", "вообще", "вроде"]
