@@ -126,3 +126,98 @@ SELECT query_id, parts[1] AS body, parts[2] AS origin,
        '```' || chr(10) || parts[1] || '```' || coalesce('From the chat: ' || parts[2], '') AS rendered
 FROM p"""
 ORACLES["distinct_chats"] = f"SELECT DISTINCT chat_idx, chat_name FROM {_MSGS} m"
+
+
+# ---------------------------------------------------------------- accounts
+_USERS = """(SELECT c_custkey AS user_id, c_custkey AS telegram_id, c_name AS username,
+        CASE WHEN c_custkey // 10 <> c_custkey THEN c_custkey // 10 END AS invited_by_id FROM customer)"""
+_PAYMENTS = """(SELECT o_orderkey AS payment_id, o_custkey AS user_id, o_orderdate AS paid_at,
+        CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1 WHEN '2' THEN 3 WHEN '3' THEN 6 WHEN '4' THEN 12 END
+        AS months FROM orders)"""
+_PRICES = "(SELECT * FROM (VALUES (1, 640), (3, 580), (6, 540), (12, 480)) t(months, monthly_price))"
+_VALID = f"(SELECT * FROM {_PAYMENTS} p WHERE months IN (SELECT months FROM {_PRICES} pr))"
+_ENDS = f"""(SELECT user_id, min(paid_at) AS first_paid, sum(months) AS total_months, count(*) AS n_payments,
+        min(paid_at) + to_days(CAST(sum(months) * 30 AS INTEGER)) AS subscription_end_date
+ FROM {_VALID} v GROUP BY user_id)"""
+
+ORACLES["subscription_end"] = f"SELECT * FROM {_ENDS} e"
+ORACLES["subscription_running"] = f"""
+SELECT months, payment_id, user_id, paid_at,
+       sum(months) OVER w AS running_months,
+       min(paid_at) OVER (PARTITION BY user_id)
+         + to_days(CAST(30 * sum(months) OVER w AS INTEGER)) AS end_after
+FROM {_VALID} v
+WINDOW w AS (PARTITION BY user_id ORDER BY paid_at, payment_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+ORACLES["active_access"] = f"""
+SELECT u.user_id, u.username, e.subscription_end_date,
+       coalesce(e.subscription_end_date >= TIMESTAMP '2001-01-01 00:00:00', false) AS active,
+       coalesce(e.subscription_end_date >= TIMESTAMP '2001-01-01 00:00:00', false)
+         OR u.username IN ('Customer#000000001', 'Customer#000000002', 'Customer#000000003') AS access
+FROM {_USERS} u LEFT JOIN {_ENDS} e USING (user_id)"""
+ORACLES["referral_counts"] = f"""
+SELECT a.user_id, count(b.user_id) AS invited_total, count(e.subscription_end_date) AS invited_paid
+FROM {_USERS} a LEFT JOIN {_USERS} b ON b.invited_by_id = a.user_id
+LEFT JOIN {_ENDS} e ON e.user_id = b.user_id
+GROUP BY a.user_id"""
+ORACLES["insert_if_absent"] = f"""
+SELECT user_id, telegram_id, username, invited_by_id FROM {_USERS} u
+UNION ALL
+SELECT DISTINCT user_id, user_id AS telegram_id, 'there' AS username, NULL AS invited_by_id FROM events
+WHERE user_id NOT IN (SELECT telegram_id FROM {_USERS} u2)"""
+ORACLES["search_counter"] = "SELECT user_id, count(*) AS queries_count FROM events WHERE event_type = 'view' GROUP BY user_id"
+ORACLES["quota_24h"] = """
+SELECT event_id, user_id, ts, prior_24h, prior_24h <= 30 AS within_quota FROM (
+  SELECT event_id, user_id, ts,
+         count(*) OVER (PARTITION BY user_id ORDER BY ts
+                        RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) - 1 AS prior_24h
+  FROM events)"""
+ORACLES["quota_asof"] = """
+SELECT user_id, count(*) AS n_24h, count(*) <= 30 AND 0.0 <= 200 AS within_limits FROM events
+WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 1 DAY AND ts <= TIMESTAMP '2024-01-30 00:00:00'
+GROUP BY user_id"""
+ORACLES["mode_routing"] = """
+WITH m AS (
+  SELECT event_id, user_id, ts,
+         CASE event_type WHEN 'signup' THEN '/start' WHEN 'view' THEN '/search'
+                         WHEN 'purchase' THEN 'payment' WHEN 'error' THEN 'reset' END AS command
+  FROM events),
+n AS (SELECT *, CASE command WHEN '/start' THEN 'notes' WHEN '/search' THEN 'search'
+                             WHEN 'payment' THEN 'notes' WHEN 'reset' THEN '' END AS new_mode FROM m),
+b AS (SELECT *, last_value(new_mode IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM n)
+SELECT event_id, user_id, ts, command, nullif(before, '') AS mode_before,
+       nullif(coalesce(new_mode, before), '') AS mode_after FROM b"""
+ORACLES["payload_split"] = f"""
+SELECT payment_id, payload, split_part(payload, '_', 1) AS goal, TRY_CAST(split_part(payload, '_', 2) AS INTEGER) AS months_num
+FROM (SELECT payment_id, 'subscribe_' || coalesce(CAST(months AS VARCHAR), 'x') AS payload FROM {_PAYMENTS} p)"""
+ORACLES["event_parse"] = """
+SELECT event_id, event_text, try_strptime(event_text, '%Y-%m-%dT%H:%M:%S') AS event_at FROM (
+  SELECT event_id, CASE WHEN event_type = 'error' THEN props ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS event_text
+  FROM events)"""
+ORACLES["props_json"] = """
+SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+       json_extract(props, '$.k') IS NOT NULL AS has_k,
+       CASE WHEN json_type(props) = 'OBJECT' THEN 'OBJECT' WHEN json_type(props) = 'ARRAY' THEN 'ARRAY'
+            WHEN json_valid(props) THEN 'SCALAR' END AS kind
+FROM events"""
+ORACLES["first_note"] = "SELECT source, min(doc_id) AS first_doc_id, count(*) AS n_items FROM documents GROUP BY source"
+ORACLES["price_choices"] = f"""
+SELECT p.payment_id, p.user_id, p.months, coalesce(u.invited_by_id IS NOT NULL, false) AS invited,
+       CAST(round(CASE WHEN u.invited_by_id IS NOT NULL
+                       THEN CAST(pr.monthly_price * p.months AS DECIMAL(12,2)) * 0.8
+                       ELSE CAST(pr.monthly_price * p.months AS DECIMAL(12,2)) END * 100, 2) AS DECIMAL(14,2))
+         AS amount_minor
+FROM {_PAYMENTS} p JOIN {_PRICES} pr USING (months) LEFT JOIN {_USERS} u USING (user_id)"""
+ORACLES["choice_rejects"] = f"""
+SELECT payment_id, user_id FROM {_PAYMENTS} p
+WHERE months IS NULL OR months NOT IN (SELECT months FROM {_PRICES} pr)"""
+ORACLES["subscription_labels"] = """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d_%H-%M-%S') AS paid_label,
+       strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d_%H-%M-%S') AS end_label FROM orders"""
+ORACLES["note_documents"] = f"""
+SELECT u.user_id, format('user_{{:d}}_notes', u.telegram_id) AS namespace,
+       coalesce(nullif(u.username, ''), 'there') AS username, d.text AS page_content,
+       CAST(d.doc_id AS VARCHAR) AS source, substr(d.text, 1, 20) AS preview
+FROM documents d JOIN {_USERS} u ON u.user_id = TRY_CAST(substr(d.source, 4, 12) AS BIGINT)
+WHERE nullif(d.text, '') IS NOT NULL"""
+ORACLES["pending_notes"] = "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"

@@ -131,3 +131,170 @@ def render_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def distinct_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return msg.distinct_chats(_chat_messages(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- accounts
+
+from chatlake.operators import accounts as acc  # noqa: E402
+
+AS_OF_SUBSCRIPTION = "2001-01-01 00:00:00"
+AS_OF_QUOTA = "2024-01-30 00:00:00"
+# A parameter table: users with free access (any list of usernames works).
+ALLOWLIST = ["Customer#000000001", "Customer#000000002", "Customer#000000003"]
+
+
+def _users(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    inviter = F.expr("c_custkey div 10")
+    return c.select(F.col("c_custkey").alias("user_id"), F.col("c_custkey").alias("telegram_id"),
+                    F.col("c_name").alias("username"),
+                    F.when(inviter != F.col("c_custkey"), inviter).alias("invited_by_id"))
+
+
+def _payments(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    digit = F.substring("o_orderpriority", 1, 1)
+    months = (F.when(digit == "1", 1).when(digit == "2", 3).when(digit == "3", 6).when(digit == "4", 12))
+    return o.select(F.col("o_orderkey").alias("payment_id"), F.col("o_custkey").alias("user_id"),
+                    F.col("o_orderdate").alias("paid_at"), months.alias("months"))
+
+
+def _valid_payments(spark, sf_dir):
+    return _payments(spark, sf_dir).join(F.broadcast(acc.price_table(spark)).select("months"), "months", "left_semi")
+
+
+def _events_as_messages(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    cmd = (F.when(F.col("event_type") == "signup", "/start").when(F.col("event_type") == "view", "/search")
+           .when(F.col("event_type") == "purchase", "payment").when(F.col("event_type") == "error", "reset"))
+    return e.withColumn("command", cmd)
+
+
+@query
+def subscription_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acc.subscription_end(_valid_payments(spark, sf_dir))
+
+
+@query
+def subscription_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acc.running_subscription_end(_valid_payments(spark, sf_dir))
+
+
+@query
+def active_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = acc.subscription_end(_valid_payments(spark, sf_dir))
+    allow = spark.createDataFrame([(n,) for n in ALLOWLIST], "username string")
+    return acc.with_access(_users(spark, sf_dir), ends, AS_OF_SUBSCRIPTION, allow).select(
+        "user_id", "username", "subscription_end_date", "active", "access")
+
+
+@query
+def referral_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = acc.subscription_end(_valid_payments(spark, sf_dir))
+    return acc.referral_counts(_users(spark, sf_dir), ends)
+
+
+@query
+def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    incoming = (table(spark, sf_dir, "events").select("user_id").distinct()
+                .select("user_id", F.col("user_id").alias("telegram_id"),
+                        acc.F.lit("there").alias("username")))
+    return acc.insert_if_absent(_users(spark, sf_dir), incoming, key="telegram_id")
+
+
+@query
+def search_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where(F.col("event_type") == "view")
+    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("queries_count"))
+
+
+@query
+def quota_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return acc.trailing_24h(e)
+
+
+@query
+def quota_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acc.quota_as_of(table(spark, sf_dir, "events").select("user_id", "ts"), AS_OF_QUOTA)
+
+
+@query
+def mode_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acc.route_modes(_events_as_messages(spark, sf_dir)).select(
+        "event_id", "user_id", "ts", "command", "mode_before", "mode_after")
+
+
+@query
+def payload_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _payments(spark, sf_dir).select(
+        "payment_id", F.concat(F.lit("subscribe_"), F.coalesce(F.col("months").cast("string"), F.lit("x")))
+        .alias("payload"))
+    goal, months = acc.payload_split("payload")
+    return p.select("payment_id", "payload", goal.alias("goal"), months.alias("months_num"))
+
+
+@query
+def event_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    txt = F.when(F.col("event_type") == "error", F.col("props")).otherwise(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    return e.select("event_id", txt.alias("event_text")).withColumn(
+        "event_at", F.try_to_timestamp("event_text", F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+
+
+@query
+def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.expr("try_parse_json(props)")
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k"),
+        F.expr("variant_get(try_parse_json(props), '$.k', 'variant') IS NOT NULL").alias("has_k"),
+        F.when(F.expr("schema_of_variant(try_parse_json(props))").startswith("OBJECT"), "OBJECT")
+        .when(F.expr("schema_of_variant(try_parse_json(props))").startswith("ARRAY"), "ARRAY")
+        .when(v.isNotNull(), "SCALAR").alias("kind"))
+
+
+@query
+def first_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acc.first_per_group(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
+
+
+@query
+def price_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acc.priced_choices(_payments(spark, sf_dir), _users(spark, sf_dir), acc.price_table(spark))
+
+
+@query
+def choice_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acc.rejected_choices(_payments(spark, sf_dir), acc.price_table(spark)).select("payment_id", "user_id")
+
+
+@query
+def subscription_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    plus = F.col("o_orderdate") + F.make_dt_interval(days=F.lit(acc.DAYS_PER_MONTH))
+    return o.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd_HH-mm-ss").alias("paid_label"),
+                    F.date_format(plus, "yyyy-MM-dd_HH-mm-ss").alias("end_label"))
+
+
+@query
+def note_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chatlake.functions.text import name_or_default, preview
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    notes = (d.where(F.nullif("text", F.lit("")).isNotNull())
+             .select(F.col("doc_id").alias("telegram_message_id"),
+                     F.substring("source", 4, 12).cast("bigint").alias("user_id"), "text"))
+    u = _users(spark, sf_dir)
+    return (notes.join(u, "user_id")
+            .select("user_id", acc.namespace("telegram_id").alias("namespace"),
+                    name_or_default("username").alias("username"),
+                    F.col("text").alias("page_content"),
+                    F.col("telegram_message_id").cast("string").alias("source"),
+                    preview("text").alias("preview")))
+
+
+@query
+def pending_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
