@@ -221,3 +221,88 @@ SELECT u.user_id, format('user_{{:d}}_notes', u.telegram_id) AS namespace,
 FROM documents d JOIN {_USERS} u ON u.user_id = TRY_CAST(substr(d.source, 4, 12) AS BIGINT)
 WHERE nullif(d.text, '') IS NOT NULL"""
 ORACLES["pending_notes"] = "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
+
+
+# ---------------------------------------------------------------- chunking
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, {_lit('^' + PY_WHITESPACE + '|' + PY_WHITESPACE + '$')}, '', 'g')"
+
+
+def _jl(arr: str, sep_len: int) -> str:
+    return f"(coalesce(list_sum(list_transform({arr}, lambda y: length(y))), 0) + {sep_len} * greatest(len({arr}) - 1, 0))"
+
+
+def _chunk_sql(sep: str = "\n", size: int = 1024, overlap: int = 256) -> str:
+    s = len(sep)
+    sep_sql = " || ".join(f"chr({ord(c)})" for c in sep)
+    rest = "list_slice(acc.cur, i, len(acc.cur))"
+    admissible = (f"{_jl(rest, s)} <= {overlap} AND ({_jl(rest, s)} + length(d) "
+                  f"+ CASE WHEN len({rest}) > 0 THEN {s} ELSE 0 END <= {size} OR {_jl(rest, s)} = 0)")
+    overflow = f"(len(acc.cur) > 0 AND {_jl('acc.cur', s)} + length(d) + {s} > {size})"
+    emitted = _strip(f"array_to_string(acc.cur, {sep_sql})")
+    start = f"list_filter(range(1, len(acc.cur) + 2), lambda i: {admissible})[1]"
+    step = (f"lambda acc, d: {{'docs': CASE WHEN {overflow} AND length({emitted}) > 0 "
+            f"THEN list_append(acc.docs, {emitted}) ELSE acc.docs END, "
+            f"'cur': list_append(CASE WHEN {overflow} THEN list_slice(acc.cur, {start}, len(acc.cur)) "
+            f"ELSE acc.cur END, d)}}")
+    last = _strip(f"array_to_string(st.cur, {sep_sql})")
+    return f"""
+WITH p AS (SELECT doc_id, list_filter(string_split(text, {sep_sql}), lambda x: x <> '') AS parts
+           FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, list_reduce(parts, {step},
+                                  {{'docs': []::VARCHAR[], 'cur': []::VARCHAR[]}}) AS st FROM p),
+g AS (SELECT doc_id, CASE WHEN length({last}) > 0 THEN list_append(st.docs, {last}) ELSE st.docs END AS cs FROM f)
+SELECT doc_id, generate_subscripts(cs, 1) - 1 AS chunk_idx, unnest(cs) AS chunk, length(unnest(cs)) AS n_chars
+FROM g"""
+
+
+ORACLES["chunks"] = _chunk_sql("\n")
+
+# ---------------------------------------------------------------- retrieval
+_E = """(SELECT vec_id, label, format('user_{:d}_notes', label) AS namespace,
+        CASE (label % 3 + 3) % 3 WHEN 0 THEN 'saved-ai-1' WHEN 1 THEN 'saved-ai-2' ELSE 'saved-ai-3' END AS index_name,
+        CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
+_Q = f"""(SELECT namespace AS query_id, namespace, list_transform(q, lambda y: y / sqrt(list_dot_product(q, q))) AS q
+ FROM (SELECT namespace, list(x ORDER BY i) AS q
+       FROM (SELECT namespace, i, avg(x) AS x
+             FROM (SELECT namespace, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM {_E} e0)
+             GROUP BY namespace, i)
+       GROUP BY namespace))"""
+_S = f"""(SELECT q.query_id, e.vec_id,
+        (1 + list_dot_product(q.q, e.v) / (sqrt(list_dot_product(q.q, q.q)) * sqrt(list_dot_product(e.v, e.v)))) / 2
+          AS score
+ FROM {_Q} q JOIN {_E} e USING (namespace))"""
+
+
+def _top(k: int, threshold: float | None) -> str:
+    where = f"WHERE score >= {threshold}" if threshold is not None else ""
+    return f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+                FROM {_S} s {where}) WHERE rank <= {k})"""
+
+
+def _noted(k, threshold):
+    return f"""(SELECT h.*, d.source, d.text AS page_content FROM {_top(k, threshold)} h
+               LEFT JOIN documents d ON d.doc_id = h.vec_id)"""
+
+
+ORACLES["vector_topk"] = f"SELECT query_id, rank, vec_id, round(score, 6) AS score FROM {_top(5, 0.6)} t"
+ORACLES["hits_dedup"] = f"""
+SELECT query_id, source, vec_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, vec_id) AS r
+  FROM {_noted(5, 0.6)} n WHERE source IS NOT NULL) WHERE r = 1"""
+
+
+def _context(tail: str | None) -> str:
+    t = f" || chr(10) || chr(10) || {_lit(tail)}" if tail else ""
+    return f"""
+SELECT query_id, count(*) AS n_docs,
+       string_agg(page_content, chr(10) || chr(10) ORDER BY r){t} AS context
+FROM (SELECT query_id, page_content, min(rank) AS r FROM {_noted(4, None)} n GROUP BY query_id, page_content)
+GROUP BY query_id"""
+
+
+ORACLES["rag_context"] = _context(None)
+ORACLES["context_union"] = _context('Carefully analyze relevant documents provided above and just say "OK"')
+ORACLES["index_stats"] = f"SELECT index_name, namespace, count(*) AS n_records FROM {_E} e GROUP BY ALL"
+ORACLES["index_clear"] = (f"SELECT index_name, namespace, count(*) AS n_records FROM {_E} e "
+                          f"WHERE index_name NOT IN ('saved-ai-1') GROUP BY ALL")

@@ -298,3 +298,73 @@ def note_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pending_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     return d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+# ---------------------------------------------------------------- chunking and retrieval
+
+from chatlake.operators import chunks as ch  # noqa: E402
+from chatlake.operators import retrieval as rt  # noqa: E402
+
+
+def _vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", "embedding", "label", acc.namespace("label").alias("namespace"),
+                    acc.shard("label").alias("index_name"))
+
+
+def _centroid_queries(vectors):
+    return rt.centroids(vectors, "namespace").withColumn("query_id", F.col("namespace"))
+
+
+def _hits(spark, sf_dir, k, threshold):
+    v = _vectors(spark, sf_dir)
+    return rt.top_k(rt.score(_centroid_queries(v), v, "namespace"), k=k, threshold=threshold)
+
+
+def _with_note(spark, sf_dir, hits):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source",
+                                                     F.col("text").alias("page_content"))
+    return hits.join(docs, "vec_id", "left")
+
+
+@query
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ch.chunk_documents(d, separator="\n")
+
+
+@query
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _hits(spark, sf_dir, rt.TOP_K, rt.SCORE_THRESHOLD)
+    return h.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query
+def hits_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _with_note(spark, sf_dir, _hits(spark, sf_dir, rt.TOP_K, rt.SCORE_THRESHOLD))
+    return rt.best_per_source(h).select("query_id", "source", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query
+def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _with_note(spark, sf_dir, _hits(spark, sf_dir, rt.RETRIEVER_K, None))
+    return rt.assemble_context(h)
+
+
+@query
+def context_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _with_note(spark, sf_dir, _hits(spark, sf_dir, rt.RETRIEVER_K, None))
+    return rt.assemble_context(h, tail=rt.CONTEXT_TAIL)
+
+
+@query
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chatlake.sources.sinks import index_stats as stats
+    return stats(_vectors(spark, sf_dir))
+
+
+@query
+def index_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chatlake.sources.sinks import clear_namespaces, index_stats as stats
+    v = _vectors(spark, sf_dir)
+    return stats(clear_namespaces(v, ["saved-ai-1"]))
