@@ -368,3 +368,33 @@ def index_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chatlake.sources.sinks import clear_namespaces, index_stats as stats
     v = _vectors(spark, sf_dir)
     return stats(clear_namespaces(v, ["saved-ai-1"]))
+
+
+# ---------------------------------------------------------------- chat-export round trip (SRC1-5, PRJ1-5)
+
+@query
+def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spark writes each conversation as a chat export (JSON lines, one export per line) into the
+    shared checkpoint folder, then the export reader parses it back into message rows."""
+    import uuid
+
+    from chatlake.session import scratch_path
+    from chatlake.sources import exports as ex
+    conv = table(spark, sf_dir, "conversations")
+    unix = F.lit(msg.BASE_EPOCH) + F.col("conv_id") * 3600 + F.col("turn") * 60
+    message = F.struct(
+        F.col("turn").alias("id"),
+        F.when(F.col("role") == "system", "service").otherwise("message").alias("type"),
+        F.date_format(F.timestamp_seconds(unix), "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
+        unix.cast("string").alias("date_unixtime"),
+        F.col("role").alias("from"),
+        F.concat(F.lit("user"), F.col("conv_id").cast("string")).alias("from_id"),
+        F.col("text").alias("text"))
+    chats = (conv.groupBy("conv_id")
+             .agg(F.sort_array(F.collect_list(F.struct("turn", message.alias("m")))).alias("ms"))
+             .select(F.concat(F.lit("chat "), F.col("conv_id").cast("string")).alias("name"),
+                     F.transform("ms", lambda x: x["m"]).alias("messages")))
+    out = scratch_path(spark, f"export_roundtrip/{uuid.uuid4().hex}")
+    chats.write.mode("overwrite").option("ignoreNullFields", False).json(out)
+    msgs, _ = ex.parse_exports(spark, out + "/*.json", multi_line=False)
+    return msgs.select("chat_name", *ex.MESSAGE_COLUMNS)
