@@ -36,8 +36,9 @@ def namespace(telegram_id) -> Column:
 
 def shard(telegram_id, current: str | None = None) -> Column:
     """MTH2: sticky shard: keep an assigned index, else a deterministic pick out of three."""
+    tid = F.col(telegram_id) if isinstance(telegram_id, str) else telegram_id
     pick = F.element_at(F.array(*[F.lit(n) for n in INDEX_NAMES]),
-                        (F.pmod(F.col(telegram_id), F.lit(len(INDEX_NAMES))) + 1).cast("int"))
+                        (F.pmod(tid, F.lit(len(INDEX_NAMES))) + 1).cast("int"))
     return F.coalesce(F.col(current), pick) if current else pick
 
 

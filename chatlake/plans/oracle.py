@@ -316,3 +316,20 @@ SELECT 'chat ' || conv_id AS chat_name, turn AS msg_id, role AS sender, 'user' |
        CAST(NULL AS VARCHAR) AS action, 0 AS has_mention, 0 AS has_email, 0 AS has_phone, 0 AS has_hashtag,
        0 AS is_bot_command
 FROM conversations WHERE role <> 'system'"""
+
+# ---------------------------------------------------------------- streaming (same results as batch)
+ORACLES["stream_users"] = ORACLES["insert_if_absent"]
+ORACLES["stream_modes"] = ORACLES["mode_routing"]
+ORACLES["stream_quota"] = """
+SELECT user_id, window_start, window_start + INTERVAL 1 DAY AS window_end, count(*) AS n_messages,
+       count(*) <= 30 AS within_quota
+FROM (SELECT user_id, date_trunc('hour', ts) - to_hours(k) AS window_start FROM events, range(0, 24) r(k))
+GROUP BY user_id, window_start"""
+ORACLES["stream_index"] = ORACLES["chunks"].replace(
+    "SELECT doc_id, generate_subscripts(cs, 1) - 1 AS chunk_idx",
+    "SELECT doc_id, format('user_{:d}_notes', u) AS namespace, "
+    "CASE u % 3 WHEN 0 THEN 'saved-ai-1' WHEN 1 THEN 'saved-ai-2' ELSE 'saved-ai-3' END AS index_name, "
+    "generate_subscripts(cs, 1) - 1 AS chunk_idx").replace(
+    "SELECT doc_id, list_filter(", "SELECT doc_id, CAST(substr(source, 4, 12) AS BIGINT) AS u, list_filter(").replace(
+    "SELECT doc_id, list_reduce(", "SELECT doc_id, u, list_reduce(").replace(
+    "SELECT doc_id, CASE WHEN length(", "SELECT doc_id, u, CASE WHEN length(")

@@ -398,3 +398,66 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats.write.mode("overwrite").option("ignoreNullFields", False).json(out)
     msgs, _ = ex.parse_exports(spark, out + "/*.json", multi_line=False)
     return msgs.select("chat_name", *ex.MESSAGE_COLUMNS)
+
+
+# ---------------------------------------------------------------- streaming (STR2-5): run to completion, read back
+
+def _stream_of(spark, sf_dir, name):
+    from chatlake.streaming.streams import file_stream
+    schema = table(spark, sf_dir, name).schema
+    return file_stream(spark, sf_dir, schema, glob=f"{name}.parquet")
+
+
+@query
+def stream_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from chatlake.session import scratch_path
+    from chatlake.streaming import streams as st
+    path = scratch_path(spark, f"stream_users/{uuid.uuid4().hex}")
+    _users(spark, sf_dir).write.parquet(path)
+    st.upsert_users_stream(spark, _stream_of(spark, sf_dir, "events"), path)
+    return spark.read.parquet(path)
+
+
+@query
+def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from chatlake.session import scratch_path
+    from chatlake.streaming import streams as st
+    path = scratch_path(spark, f"stream_quota/{uuid.uuid4().hex}")
+    ev = _stream_of(spark, sf_dir, "events").select("user_id", "ts")
+    st.run_update_table(spark, st.daily_quota(ev), path)
+    return st.latest_rows(spark, path, ["user_id", "window_start"])
+
+
+@query
+def stream_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from chatlake.session import scratch_path
+    from chatlake.streaming import streams as st
+    path = scratch_path(spark, f"stream_modes/{uuid.uuid4().hex}")
+    e = _stream_of(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    cmd = (F.when(F.col("event_type") == "signup", "/start").when(F.col("event_type") == "view", "/search")
+           .when(F.col("event_type") == "purchase", "payment").when(F.col("event_type") == "error", "reset"))
+    st.run_append(spark, st.route_modes_stream(e.withColumn("command", cmd).drop("event_type")), path)
+    return spark.read.parquet(path)
+
+
+@query
+def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from chatlake.session import scratch_path
+    from chatlake.streaming import streams as st
+    path = scratch_path(spark, f"stream_index/{uuid.uuid4().hex}")
+    d = _stream_of(spark, sf_dir, "documents")
+    user = F.substring("source", 4, 12).cast("bigint")
+    notes = d.select(user.alias("user_id"), F.col("doc_id").alias("telegram_message_id"), "text",
+                     acc.namespace(user).alias("namespace"),
+                     acc.shard(user).alias("index_name"))
+    st.index_notes_stream(spark, notes, path, separator="\n")
+    return spark.read.parquet(path).select(F.col("telegram_message_id").alias("doc_id"), "namespace", "index_name",
+                                           "chunk_idx", "chunk", "n_chars")
