@@ -162,6 +162,8 @@ def project_messages(msgs: DataFrame, dialect: str = "polars") -> DataFrame:
         *([] if dialect != "cli" else [
             (~(_has(m, "$.id") & _has(m, "$.from") & _has(m, "$.from_id") & _has(m, "$.date")
                & _has(m, "$.date_unixtime"))
+             | (_has(m, "$.media_type") & ~_has(m, "$.file")
+                & (media.isin(*CLI_FILE_TYPES) | ((media == "sticker") & _has(m, "$.sticker_emoji"))))
              | (_has(m, "$.poll") & ~_has(m, "$.poll.total_voters"))
              | (_has(m, "$.location_information") & ~(_has(m, "$.location_information.latitude")
                                                        & _has(m, "$.location_information.longitude"))))
