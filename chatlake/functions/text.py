@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 # cleaner (Latin and Cyrillic letters, optionally the colon, and the plain space), the token
 # rule (runs of two or more letters after lower-casing) and Python's str.split() whitespace.
 FILE_PLACEHOLDER = "(File not included. Change data exporting settings to download.)"
-CLEAN_KEEP_COLON = "[^A-Za-zА-Яа-яЁё: ]"
-CLEAN_NO_COLON = "[^A-Za-zА-Яа-яЁё ]"
+KEPT_WITH_COLON = "A-Za-zА-Яа-яЁё: "
+KEPT_NO_COLON = "A-Za-zА-Яа-яЁё "
+CLEAN_KEEP_COLON = f"[^{KEPT_WITH_COLON}]"
+CLEAN_NO_COLON = f"[^{KEPT_NO_COLON}]"
 TOKEN_RULE = "[a-zа-яё]{2,}"
 PY_WHITESPACE = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
                  r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
@@ -33,8 +35,10 @@ def clean_text(c, keep_colon: bool = True) -> Column:
 
     Characters are deleted, not replaced by spaces, so ``re-use`` becomes ``reuse``.
     """
-    pattern = CLEAN_KEEP_COLON if keep_colon else CLEAN_NO_COLON
-    return F.regexp_replace(remove_placeholder(c), pattern, "")
+    # Same string as deleting every character outside the class, but written as "keep the
+    # runs inside the class": the negated-class replace is several times slower in the JVM.
+    kept = KEPT_WITH_COLON if keep_colon else KEPT_NO_COLON
+    return F.array_join(F.regexp_extract_all(remove_placeholder(c), F.lit(f"[{kept}]+"), 0), "")
 
 
 def tokenize(c) -> Column:

@@ -10,7 +10,7 @@ Plan shape (all built-in operators): explode tokens -> partial count per (doc, t
 document frequency per term (partial aggregation, so hot terms are combined map-side) ->
 equi-join on term (AQE picks broadcast when the vocabulary turns out small, splits skewed
 partitions otherwise) -> one window per document for the norm -> sum per term.
-No cross join: the corpus size ``n`` is joined on the grouping key (a constant when ungrouped).
+No cross join: the corpus size ``n`` is a scalar subquery (ungrouped) or joined on the group key.
 """
 
 from __future__ import annotations
@@ -52,25 +52,37 @@ def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(),
-          keep_colon: bool = True, stopwords: DataFrame | None = None) -> DataFrame:
-    """AGG1-3: normalised TF-IDF weight per (group..., id, term)."""
+          keep_colon: bool = True, stopwords: DataFrame | None = None, materialize: bool = True) -> DataFrame:
+    """AGG1-3: normalised TF-IDF weight per (group..., id, term).
+
+    ``materialize`` writes the (doc, term, tf) table once to the shared checkpoint folder:
+    it feeds both the document-frequency branch and the weight branch, so tokenising runs once.
+    """
     g = _groups(group_cols)
     base = _with_group(docs.where(F.col(text_col).isNotNull()), group_cols)
-    n = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n_docs"))
     tf = term_frequencies(docs, id_col, text_col, group_cols, keep_colon, stopwords)
+    if materialize:
+        from chatlake.session import materialize as write_table
+        tf = write_table(tf, "tfidf_tf")
     dfreq = tf.groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = (dfreq.join(n, g)
-           .select(*g, "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")))
+    if group_cols:
+        n = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n_docs"))
+        dfreq = dfreq.join(n, g)
+        n_docs = F.col("n_docs")
+    else:  # one corpus: a scalar subquery, no join
+        n_docs = base.select(F.count(F.lit(1))).scalar()
+    idf = dfreq.select(*g, "term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     v = tf.join(idf, g + ["term"]).select(*g, id_col, "term", (F.col("tf") * F.col("idf")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*g, id_col)))
     return v.select(*g, id_col, "term", (F.col("v") / norm).alias("w"))
 
 
 def keyword_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(),
-                    keep_colon: bool = True, stopwords: DataFrame | None = None) -> DataFrame:
+                    keep_colon: bool = True, stopwords: DataFrame | None = None,
+                    materialize: bool = True) -> DataFrame:
     """AGG4: corpus weight per term = sum of the normalised weights."""
     g = _groups(group_cols)
-    return (tfidf(docs, id_col, text_col, group_cols, keep_colon, stopwords)
+    return (tfidf(docs, id_col, text_col, group_cols, keep_colon, stopwords, materialize)
             .groupBy(*g, "term").agg(F.sum("w").alias("weight")))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chatlake.operators import tfidf
 from chatlake.sources.stopwords import stopwords_df
-from chatlake.sources.tables import table
+from chatlake.sources.tables import documents, table
 
 QUERIES: dict = {}
 
@@ -26,28 +26,28 @@ def query(fn):
 
 @query
 def keyword_top100(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     w = tfidf.keyword_weights(docs, stopwords=stopwords_df(spark))
     return tfidf.top_terms(w, k=100)
 
 
 @query
 def keyword_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = documents(spark, sf_dir, "doc_id", "source", "text")
     w = tfidf.keyword_weights(docs, group_cols=["source"], stopwords=stopwords_df(spark))
     return tfidf.top_terms(w, k=100, group_cols=["source"])
 
 
 @query
 def keyword_notebook_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     w = tfidf.keyword_weights(docs, keep_colon=False, stopwords=None)
     return tfidf.top_terms(w, k=100)
 
 
 @query
 def vocab_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     return tfidf.vocabulary_shape(docs, keep_colon=False)
 
 
@@ -61,28 +61,28 @@ from chatlake.sources.stopwords import NOTEBOOK_EXTRA, union_stopwords  # noqa:
 @query
 def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sw = union_stopwords(stopwords_df(spark), stopwords_df(spark, NOTEBOOK_EXTRA))
-    return ts.term_counts(table(spark, sf_dir, "documents").select("text"), stopwords=sw)
+    return ts.term_counts(documents(spark, sf_dir, "doc_id", "text"), stopwords=sw)
 
 
 @query
 def sorted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ts.sorted_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ts.sorted_texts(documents(spark, sf_dir, "doc_id", "text"))
 
 
 @query
 def words_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = documents(spark, sf_dir, "doc_id", "text")
     return ts.with_words_count(d).select("doc_id", "words_count")
 
 
 @query
 def words_mean_p99(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ts.words_summary(table(spark, sf_dir, "documents").select("lang", "text"), group_cols=["lang"])
+    return ts.words_summary(documents(spark, sf_dir, "doc_id", "lang", "text"), group_cols=["lang"])
 
 
 @query
 def words_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ts.words_histogram(table(spark, sf_dir, "documents").select("text"))
+    return ts.words_histogram(documents(spark, sf_dir, "doc_id", "text"))
 
 
 @query
@@ -329,7 +329,7 @@ def _with_note(spark, sf_dir, hits):
 
 @query
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = documents(spark, sf_dir, "doc_id", "text")
     return ch.chunk_documents(d, separator="\n")
 
 

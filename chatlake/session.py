@@ -57,3 +57,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def materialize(df, name: str):
+    """Write an intermediate table under the shared checkpoint folder and read it back.
+
+    Used where one expensive intermediate feeds several branches (it is computed once) and to
+    cut lineage: after an executor loss only the work after this table is redone.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

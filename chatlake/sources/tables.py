@@ -21,3 +21,25 @@ def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         path = os.path.join(sf_dir, f"{n}.parquet")
         if os.path.exists(path):
             table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-spread an under-partitioned scan before CPU-heavy per-row work (tokenising, chunking).
+
+    Only when the scan yields fewer partitions than the cluster's parallelism (a small file with
+    one row group). A large input already has more splits than cores, so no shuffle is added.
+    Hash partitioning on the key is deterministic, so a retried task sees the same rows.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
+
+
+def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """The documents table, projected first (column pruning reaches the scan), then spread."""
+    d = table(spark, sf_dir, "documents")
+    if cols:
+        d = d.select(*cols)
+    return spread(d, "doc_id") if "doc_id" in d.columns else d
