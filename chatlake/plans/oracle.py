@@ -333,3 +333,5 @@ ORACLES["stream_index"] = ORACLES["chunks"].replace(
     "SELECT doc_id, list_filter(", "SELECT doc_id, CAST(substr(source, 4, 12) AS BIGINT) AS u, list_filter(").replace(
     "SELECT doc_id, list_reduce(", "SELECT doc_id, u, list_reduce(").replace(
     "SELECT doc_id, CASE WHEN length(", "SELECT doc_id, u, CASE WHEN length(")
+ORACLES["csv_roundtrip"] = f"SELECT text, date FROM {_COMPOSED} c WHERE text IS NOT NULL"
+ORACLES["chunk_store"] = ORACLES["stream_index"]

@@ -461,3 +461,39 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     st.index_notes_stream(spark, notes, path, separator="\n")
     return spark.read.parquet(path).select(F.col("telegram_message_id").alias("doc_id"), "namespace", "index_name",
                                            "chunk_idx", "chunk", "n_chars")
+
+
+# ---------------------------------------------------------------- sinks round trips (SRC6, SNK2, SNK4, PRJ7, PRJ9)
+
+@query
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composed chat texts written as ``text,date`` CSV to the shared folder and read back."""
+    import uuid
+
+    from chatlake.session import scratch_path
+    from chatlake.sources.csv import read_csv
+    from chatlake.sources.sinks import write_text_date_csv
+    path = scratch_path(spark, f"csv_roundtrip/{uuid.uuid4().hex}")
+    write_text_date_csv(msg.compose_index_text(_chat_messages(spark, sf_dir)), path)
+    return read_csv(spark, path, "text string, date string")
+
+
+@query
+def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes -> chunks -> partitioned store, appended twice: the second run adds nothing."""
+    import uuid
+
+    from chatlake.session import scratch_path
+    from chatlake.sources.sinks import append_chunks
+    path = scratch_path(spark, f"chunk_store/{uuid.uuid4().hex}")
+    d = documents(spark, sf_dir, "doc_id", "source", "text")
+    user = F.substring("source", 4, 12).cast("bigint")
+    notes = d.select(user.alias("user_id"), F.col("doc_id").alias("telegram_message_id"), "text",
+                     acc.namespace(user).alias("namespace"), acc.shard(user).alias("index_name"))
+    c = ch.chunk_documents(notes, id_cols=("user_id", "telegram_message_id"), separator="\n",
+                           keep_cols=("namespace", "index_name"))
+    c = c.withColumn("chunk_id", ch.chunk_id("namespace", "telegram_message_id", "chunk_idx", "chunk"))
+    append_chunks(c, path)
+    append_chunks(c, path)
+    return spark.read.parquet(path).select(F.col("telegram_message_id").alias("doc_id"), "namespace", "index_name",
+                                           "chunk_idx", "chunk", "n_chars")

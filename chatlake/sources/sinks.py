@@ -9,6 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+def _csv(writer):
+    """CSV options shared by the writers: keep whitespace as is (Spark trims it by default)."""
+    return (writer.option("header", True).option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False).option("escape", "\\"))
+
+
 MESSAGE_COLUMNS = ["msg_id", "sender", "sender_id", "reply_to_msg_id", "date", "date_unixtime", "msg_type",
                    "msg_content", "forwarded_from", "action", "has_mention", "has_email", "has_phone",
                    "has_hashtag", "is_bot_command"]
@@ -28,21 +34,21 @@ def write_messages_csv(msgs: DataFrame, path: str, partition_col: str = "chat_na
                        with_timestamp: str | None = None) -> None:
     """SNK1: one CSV folder per chat, header, all fields quoted (Spark cannot quote only text)."""
     out = path if not with_timestamp else f"{path}_{with_timestamp}"
-    (msgs.select(*[c for c in MESSAGE_COLUMNS if c in msgs.columns], partition_col)
-     .write.mode("overwrite").partitionBy(partition_col)
-     .option("header", True).option("quoteAll", True).option("encoding", "UTF-8").csv(out))
+    cols = [c for c in MESSAGE_COLUMNS if c in msgs.columns]
+    _csv(msgs.select(*cols, partition_col).write.mode("overwrite").partitionBy(partition_col)) \
+        .option("quoteAll", True).csv(out)
 
 
 def write_text_date_csv(df: DataFrame, path: str) -> None:
     """SNK2: the composed ``text,date`` of an import."""
-    df.select("text", "date").write.mode("overwrite").option("header", True).csv(path)
+    _csv(df.select("text", "date").write.mode("overwrite")).csv(path)
 
 
 def write_pending_notes_csv(notes: DataFrame, path: str, user_col: str = "telegram_id") -> None:
     """SNK3: un-indexed notes per user, ``message_id,text``, minimal quoting."""
-    (notes.where(~F.col("is_vectorized"))
-     .select(user_col, F.col("telegram_message_id").alias("message_id"), "text")
-     .write.mode("overwrite").partitionBy(user_col).option("header", True).csv(path))
+    pending = (notes.where(~F.col("is_vectorized"))
+               .select(user_col, F.col("telegram_message_id").alias("message_id"), "text"))
+    _csv(pending.write.mode("overwrite").partitionBy(user_col)).csv(path)
 
 
 def append_chunks(chunks: DataFrame, path: str) -> int:
