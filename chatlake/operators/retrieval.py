@@ -40,7 +40,7 @@ def norm(v) -> Column:
 def normalize(v) -> Column:
     """Unit vector (done once at write time makes scoring one dot product)."""
     n = norm(v)
-    return F.transform(_c(v), lambda x: x / n)
+    return F.when(n > 0, F.transform(_c(v), lambda x: x / n)).otherwise(_c(v))
 
 
 def relevance(cos: Column) -> Column:
@@ -65,7 +65,7 @@ def score(queries: DataFrame, vectors: DataFrame, ns_col: str, qvec: str = "qvec
     """JN5: every (query, vector) pair inside the query's namespace with its relevance."""
     v = vectors.select(ns_col, id_col, as_double(vec_col).alias("_v"))
     j = queries.join(v, ns_col)
-    cos = dot(qvec, "_v") / (norm(qvec) * norm("_v"))
+    cos = F.try_divide(dot(qvec, "_v"), norm(qvec) * norm("_v"))  # a zero vector scores null
     return j.withColumn("score", relevance(cos)).drop("_v")
 
 
