@@ -177,6 +177,17 @@ def route_modes(messages: DataFrame, key: str = "user_id", ts: str = "ts", tie:
             .drop("_new", "_before", "_after"))
 
 
+def users_with_notes(users: DataFrame, notes: DataFrame, key: str = "user_id") -> DataFrame:
+    """AGG14: users that have at least one note (a semi join, no note is fetched)."""
+    return users.join(notes.select(key), key, "left_semi")
+
+
+def note_text(text: str = "text", caption: str | None = None) -> Column:
+    """FLT5: the note text, else the caption; empty strings count as missing (null = rejected)."""
+    t = F.nullif(F.col(text), F.lit(""))
+    return F.coalesce(t, F.nullif(F.col(caption), F.lit(""))) if caption else t
+
+
 def first_per_group(df: DataFrame, group: str, order: str) -> DataFrame:
     """WIN2 + AGG14: first item of each group and the group size (one partial aggregate)."""
     return df.groupBy(group).agg(F.min(order).alias(f"first_{order}"), F.count(F.lit(1)).alias("n_items"))

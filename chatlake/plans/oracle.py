@@ -335,3 +335,6 @@ ORACLES["stream_index"] = ORACLES["chunks"].replace(
     "SELECT doc_id, CASE WHEN length(", "SELECT doc_id, u, CASE WHEN length(")
 ORACLES["csv_roundtrip"] = f"SELECT text, date FROM {_COMPOSED} c WHERE text IS NOT NULL"
 ORACLES["chunk_store"] = ORACLES["stream_index"]
+ORACLES["users_with_notes"] = f"""
+SELECT user_id, username FROM {_USERS} u
+WHERE EXISTS (SELECT 1 FROM documents d WHERE TRY_CAST(substr(d.source, 4, 12) AS BIGINT) = u.user_id)"""

@@ -282,7 +282,7 @@ def subscription_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def note_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chatlake.functions.text import name_or_default, preview
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    notes = (d.where(F.nullif("text", F.lit("")).isNotNull())
+    notes = (d.where(acc.note_text("text").isNotNull())
              .select(F.col("doc_id").alias("telegram_message_id"),
                      F.substring("source", 4, 12).cast("bigint").alias("user_id"), "text"))
     u = _users(spark, sf_dir)
@@ -294,6 +294,12 @@ def note_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                     preview("text").alias("preview")))
 
 
+@query
+def users_with_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "documents").select(F.substring("source", 4, 12).cast("bigint").alias("user_id"))
+    return acc.users_with_notes(_users(spark, sf_dir), notes).select("user_id", "username")
+
+
 @query
 def pending_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source")

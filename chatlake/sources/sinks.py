@@ -25,6 +25,11 @@ def index_stats(store: DataFrame) -> DataFrame:
     return store.groupBy("index_name", "namespace").agg(F.count(F.lit(1)).alias("n_records"))
 
 
+def list_indexes(store: DataFrame) -> DataFrame:
+    """SNK7: the index names present in the store."""
+    return store.select("index_name").distinct()
+
+
 def clear_namespaces(store: DataFrame, index_names) -> DataFrame:
     """SNK5 (as a DataFrame): the store without any record of the given indexes."""
     return store.where(~F.col("index_name").isin(list(index_names)))

@@ -69,3 +69,21 @@ def test_ingest_exports_stream_is_replay_safe(spark, tmp_path):
     rows = spark.read.parquet(out).collect()
     assert [(r.chat_name, r.msg_content) for r in rows] == [("A", "hi")]
     assert os.path.exists(out)
+
+
+def test_message_and_notes_csv(spark, tmp_path):
+    msgs = spark.createDataFrame([(1, "a", "x\ny", "chat 1"), (2, None, "z", "chat 2")],
+                                 "msg_id long, sender string, msg_content string, chat_name string")
+    p = str(tmp_path / "m")
+    sinks.write_messages_csv(msgs, p)
+    assert sorted(x for x in os.listdir(p) if x.startswith("chat_name=")) == ["chat_name=chat 1", "chat_name=chat 2"]
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", "\\").csv(p)
+    assert {(r.msg_id, r.msg_content) for r in back.collect()} == {("1", "x\ny"), ("2", "z")}
+    notes = spark.createDataFrame([(7, 100, "n1", False), (7, 101, "n2", True)],
+                                  "telegram_id long, telegram_message_id long, text string, is_vectorized boolean")
+    q = str(tmp_path / "n")
+    sinks.write_pending_notes_csv(notes, q)
+    got = spark.read.option("header", True).csv(q).collect()
+    assert [(r.telegram_id, r.message_id, r.text) for r in got] == [(7, "100", "n1")]
+    assert [r.index_name for r in sinks.list_indexes(spark.createDataFrame(
+        [("saved-ai-1", 1), ("saved-ai-1", 2)], "index_name string, x int")).collect()] == ["saved-ai-1"]
