@@ -21,6 +21,12 @@ SPLIT_MARK = "From the chat: "
 BASE_EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC: start of the synthetic chat clock
 
 
+def iso_from_epoch(seconds) -> "F.Column":
+    """ISO local date-time text of epoch seconds, independent of the session time zone."""
+    ntz = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return F.date_format(ntz, "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def conversation_messages(conv: DataFrame) -> DataFrame:
     """Chat rows from a conversations table (conv_id, turn, role, text).
 
@@ -34,7 +40,7 @@ def conversation_messages(conv: DataFrame) -> DataFrame:
         F.col("turn").alias("pos"),
         F.col("turn").alias("msg_id"),
         F.when(F.col("role") != "system", F.col("role")).alias("sender"),
-        F.date_format(F.timestamp_seconds(unix), "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
+        iso_from_epoch(unix).alias("date"),
         unix.alias("date_unixtime"),
         F.lit("text").alias("msg_type"),
         newline_to_space("text").alias("msg_content"),

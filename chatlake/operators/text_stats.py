@@ -40,19 +40,17 @@ def words_summary(docs: DataFrame, text_col: str = "text", group_cols=(), q: flo
 def words_histogram(docs: DataFrame, text_col: str = "text", bins: int = 10) -> DataFrame:
     """AGG11: equal-width histogram between min and max; the maximum falls in the last bin.
 
-    min/max are one global aggregate (one row), joined back on a constant key (broadcast of one row).
+    min/max are one scalar subquery (a global partial aggregate), no join.
     """
-    wc = docs.select(words_count(text_col).alias("wc"), F.lit(0).alias("_k"))
-    bounds = wc.groupBy("_k").agg(F.min("wc").alias("lo"), F.max("wc").alias("hi"))
-    span = F.col("hi") - F.col("lo")
-    b = F.when(span == 0, F.lit(1)).otherwise(
-        F.least(F.floor((F.col("wc") - F.col("lo")) * bins / span) + 1, F.lit(bins)))
-    return (wc.join(F.broadcast(bounds), "_k")
-            .groupBy(b.cast("int").alias("bucket"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-            .select("bucket",
-                    F.round(F.col("lo") + (F.col("bucket") - 1) * (F.col("hi") - F.col("lo")) / bins, 6)
-                    .alias("bucket_start"),
-                    "n"))
+    wc = docs.select(words_count(text_col).alias("wc"))
+    bounds = wc.select(F.struct(F.min("wc").alias("lo"), F.max("wc").alias("hi"))).scalar()
+    d = wc.select("wc", bounds.alias("_b"))  # one subquery, bound once
+    lo, span = F.col("_b.lo"), F.col("_b.hi") - F.col("_b.lo")
+    b = F.when(span == 0, F.lit(1)).otherwise(F.least(F.floor((F.col("wc") - lo) * bins / span) + 1, F.lit(bins)))
+    return (d.groupBy(b.cast("int").alias("bucket"), F.col("_b").alias("_b"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select("bucket", F.round(F.col("_b.lo") + (F.col("bucket") - 1) * (F.col("_b.hi") - F.col("_b.lo")) / bins, 6)
+                    .alias("bucket_start"), "n"))
 
 
 def corpus_chars(docs: DataFrame, text_col: str = "text", sep_len: int = 2) -> DataFrame:

@@ -107,10 +107,10 @@ def vocabulary_shape(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      keep_colon: bool = True, stopwords: DataFrame | None = None,
                      exact: bool = True) -> DataFrame:
     """AGG17: (n_docs, n_terms) of the document-term matrix; ``exact=False`` uses a sketch."""
-    n = docs.where(F.col(text_col).isNotNull()).agg(F.count(F.lit(1)).alias("n_docs"))
+    n = docs.where(F.col(text_col).isNotNull()).select(F.count(F.lit(1))).scalar()
     t = tokens(docs, id_col, text_col, (), keep_colon, stopwords)
     if exact:
         terms = t.select("term").distinct().agg(F.count(F.lit(1)).alias("n_terms"))
     else:
         terms = t.agg(F.approx_count_distinct("term").alias("n_terms"))
-    return n.withColumn(_ALL, F.lit(0)).join(terms.withColumn(_ALL, F.lit(0)), _ALL).drop(_ALL)
+    return terms.select(n.alias("n_docs"), "n_terms")

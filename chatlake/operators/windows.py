@@ -13,16 +13,21 @@ from pyspark.sql import functions as F
 
 
 def running_sum(df: DataFrame, keys, order_cols, value: str, bucket: Column, out: str) -> DataFrame:
-    """``out`` = sum of ``value`` over all earlier-or-equal rows of the key (rows frame)."""
+    """``out`` = sum of ``value`` over all earlier-or-equal rows of the key (rows frame).
+
+    The bucket window and the bucket summary read the same (key, bucket) shuffle, so the input
+    is scanned and shuffled once (the second use is a reused exchange).
+    """
     keys = list(keys)
     d = df.withColumn("_bucket", bucket)
     inner = F.sum(value).over(Window.partitionBy(*keys, "_bucket").orderBy(*order_cols)
                               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    summary = d.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_bt"))
+    w_in = d.withColumn("_inner", inner)
+    summary = w_in.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_bt"))
     before = F.coalesce(F.sum("_bt").over(Window.partitionBy(*keys).orderBy("_bucket")
                                           .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     summary = summary.select(*keys, "_bucket", before.alias("_before"))
-    return (d.withColumn("_inner", inner).join(summary, [*keys, "_bucket"])
+    return (w_in.join(summary, [*keys, "_bucket"])
             .withColumn(out, F.col("_before") + F.col("_inner")).drop("_bucket", "_inner", "_before"))
 
 
@@ -34,13 +39,14 @@ def carry_forward(df: DataFrame, keys, order_cols, value: str, bucket: Column, o
     end = Window.currentRow if include_current else -1
     inner = F.last(value, ignorenulls=True).over(
         Window.partitionBy(*keys, "_bucket").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end))
+    w_in = d.withColumn("_inner", inner)
     ordered = F.struct(*[F.col(c) for c in order_cols], F.col(value).alias("_v"))
-    summary = (d.groupBy(*keys, "_bucket")
+    summary = (w_in.groupBy(*keys, "_bucket")
                .agg(F.max(F.when(F.col(value).isNotNull(), ordered)).getField("_v").alias("_last")))
     prev = F.last("_last", ignorenulls=True).over(
         Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     summary = summary.select(*keys, "_bucket", prev.alias("_prev"))
-    return (d.withColumn("_inner", inner).join(summary, [*keys, "_bucket"])
+    return (w_in.join(summary, [*keys, "_bucket"])
             .withColumn(out, F.coalesce("_inner", "_prev")).drop("_bucket", "_inner", "_prev"))
 
 
@@ -48,14 +54,16 @@ def trailing_count(df: DataFrame, keys, ts: str, window_micros: int, out: str,
                    tie_cols=()) -> DataFrame:
     """Rows of the same key with time in [ts - window, ts] (closed at both ends), per row.
 
-    Buckets are ``window`` wide; each row also goes, as context only, into the next bucket,
-    so a frame never needs more than two buckets. Time is compared in microseconds.
+    Buckets are ``window`` wide; each row also goes, as context only, into the next bucket
+    (one scan: the two copies come from an explode), so a frame never needs more than two
+    buckets. Time is compared in microseconds.
     """
     keys = list(keys)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    d = df.withColumn("_us", us).withColumn("_b", F.floor(F.col("_us") / F.lit(window_micros)))
-    ctx = d.withColumn("_b", F.col("_b") + 1).withColumn("_target", F.lit(False))
-    both = d.withColumn("_target", F.lit(True)).unionByName(ctx)
+    b = F.floor(us / F.lit(window_micros))
+    copies = F.array(F.struct(b.alias("_b"), F.lit(True).alias("_target")),
+                     F.struct((b + 1).alias("_b"), F.lit(False).alias("_target")))
+    both = df.withColumn("_us", us).withColumn("_c", F.explode(copies)).select("*", "_c._b", "_c._target").drop("_c")
     w = (Window.partitionBy(*keys, "_b").orderBy("_us")
          .rangeBetween(-window_micros, Window.currentRow))
     return (both.withColumn(out, F.count(F.lit(1)).over(w)).where("_target")

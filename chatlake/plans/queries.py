@@ -240,7 +240,7 @@ def event_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     txt = F.when(F.col("event_type") == "error", F.col("props")).otherwise(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
     return e.select("event_id", txt.alias("event_text")).withColumn(
-        "event_at", F.try_to_timestamp("event_text", F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+        "event_at", F.try_to_timestamp("event_text", F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz"))
 
 
 @query
@@ -391,7 +391,7 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.struct(
         F.col("turn").alias("id"),
         F.when(F.col("role") == "system", "service").otherwise("message").alias("type"),
-        F.date_format(F.timestamp_seconds(unix), "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
+        msg.iso_from_epoch(unix).alias("date"),
         unix.cast("string").alias("date_unixtime"),
         F.col("role").alias("from"),
         F.concat(F.lit("user"), F.col("conv_id").cast("string")).alias("from_id"),

@@ -120,8 +120,8 @@ def daily_quota(messages: DataFrame, key: str = "user_id", ts: str = "ts", water
     return (messages.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
             .groupBy(key, F.window(ts, size, slide).alias("w"))
             .agg(F.count(F.lit(1)).alias("n_messages"))
-            .select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    "n_messages", (F.col("n_messages") <= acc.QUOTA_MESSAGES).alias("within_quota")))
+            .select(key, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n_messages", (F.col("n_messages") <= acc.QUOTA_MESSAGES).alias("within_quota")))
 
 
 def run_update_table(spark: SparkSession, agg: DataFrame, out_path: str, ckpt: str | None = None) -> None:
@@ -142,7 +142,7 @@ def latest_rows(spark: SparkSession, path: str, keys) -> DataFrame:
 # ---------------------------------------------------------------- STR3: mode routing with state
 
 MODE_STATE_SCHEMA = "mode string"
-MODE_OUTPUT_SCHEMA = ("event_id long, user_id long, ts timestamp, command string, "
+MODE_OUTPUT_SCHEMA = ("event_id long, user_id long, ts timestamp_ntz, command string, "
                       "mode_before string, mode_after string")
 
 
