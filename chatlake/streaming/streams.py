@@ -81,17 +81,19 @@ def index_notes_stream(spark: SparkSession, notes: DataFrame, store_path: str, s
     """STR2: every new note is chunked (and embedded, when ``embed_fn`` is given) and appended
     to the (index_name, namespace)-partitioned store. The checkpoint replaces the 'indexed'
     flag; deterministic chunk ids make a replayed batch a no-op."""
-    c = ch.chunk_documents(notes, id_cols=("user_id", "telegram_message_id"), separator=separator,
-                           keep_cols=("namespace", "index_name"))
-    c = c.withColumn("chunk_id", ch.chunk_id("namespace", "telegram_message_id", "chunk_idx", "chunk"))
-    if embed_fn is not None:
-        c = embed_fn(c)
-
     def sink(batch: DataFrame, batch_id: int) -> None:
         from chatlake.sources.sinks import append_chunks
-        append_chunks(batch, store_path)
-
-    run_available(c.writeStream.foreachBatch(sink), ckpt or _ckpt(spark, "index_notes"))
+        from chatlake.sources.tables import spread
+        # chunk inside the batch: a small batch read by one task is spread over the cores first
+        notes_b = spread(batch, "telegram_message_id")
+        c = ch.chunk_documents(notes_b, id_cols=("user_id", "telegram_message_id"), separator=separator,
+                               keep_cols=("namespace", "index_name"))
+        c = c.withColumn("chunk_id", ch.chunk_id("namespace", "telegram_message_id", "chunk_idx", "chunk"))
+        if embed_fn is not None:
+            c = embed_fn(c)
+        append_chunks(c, store_path)
+
+    run_available(notes.writeStream.foreachBatch(sink), ckpt or _ckpt(spark, "index_notes"))
 
 
 # ---------------------------------------------------------------- STR4: users from the stream
