@@ -49,8 +49,8 @@ def words_histogram(docs: DataFrame, text_col: str = "text", bins: int = 10) ->
     b = F.when(span == 0, F.lit(1)).otherwise(F.least(F.floor((F.col("wc") - lo) * bins / span) + 1, F.lit(bins)))
     return (d.groupBy(b.cast("int").alias("bucket"), F.col("_b").alias("_b"))
             .agg(F.count(F.lit(1)).alias("n"))
-            .select("bucket", F.round(F.col("_b.lo") + (F.col("bucket") - 1) * (F.col("_b.hi") - F.col("_b.lo")) / bins, 6)
-                    .alias("bucket_start"), "n"))
+            .select("bucket", F.round(F.col("_b.lo") + (F.col("bucket") - 1) * (F.col("_b.hi") - F.col("_b.lo"))
+                                      / bins, 6).alias("bucket_start"), "n"))
 
 
 def corpus_chars(docs: DataFrame, text_col: str = "text", sep_len: int = 2) -> DataFrame:

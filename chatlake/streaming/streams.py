@@ -123,7 +123,8 @@ def daily_quota(messages: DataFrame, key: str = "user_id", ts: str = "ts", water
             .groupBy(key, F.window(ts, size, slide).alias("w"))
             .agg(F.count(F.lit(1)).alias("n_messages"))
             .select(key, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n_messages", (F.col("n_messages") <= acc.QUOTA_MESSAGES).alias("within_quota")))
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n_messages",
+                    (F.col("n_messages") <= acc.QUOTA_MESSAGES).alias("within_quota")))
 
 
 def run_update_table(spark: SparkSession, agg: DataFrame, out_path: str, ckpt: str | None = None) -> None:
