@@ -53,7 +53,7 @@ def split_words(c) -> Column:
 
 def words_count(c) -> Column:
     """UD3 / STRF5: number of whitespace-separated words; null text counts 0."""
-    return F.coalesce(F.size(split_words(c)), F.lit(0))
+    return F.coalesce(F.size(split_words(c)), F.lit(0)).cast("bigint")
 
 
 def sorted_words(c) -> Column:

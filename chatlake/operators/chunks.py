@@ -78,7 +78,8 @@ def chunk_documents(docs: DataFrame, id_cols=("doc_id",), text_col: str = "text"
     return (docs.where(F.col(text_col).isNotNull())
             .select(*ids, F.posexplode(split_text(text_col, chunk_size, overlap, separator))
                     .alias("chunk_idx", "chunk"))
-            .withColumn("n_chars", F.length("chunk")))
+            .withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
+            .withColumn("n_chars", F.length("chunk").cast("bigint")))
 
 
 def note_to_document(notes: DataFrame, text_col: str = "text", source_col: str = "telegram_message_id") -> DataFrame:

@@ -74,7 +74,7 @@ def top_k(scored: DataFrame, k: int = TOP_K, threshold: float | None = SCORE_THR
     """FLT9 + LIM4 + SRT2: hits at or above the threshold, best k per query (ties by id)."""
     s = scored if threshold is None else scored.where(F.col("score") >= threshold)
     w = Window.partitionBy(key).orderBy(F.desc("score"), F.asc(id_col))
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return s.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
 def best_per_source(hits: DataFrame, key: str = "query_id", source: str = "source",

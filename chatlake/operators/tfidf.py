@@ -98,7 +98,7 @@ def top_terms(weights: DataFrame, k: int = 100, group_cols=(), digits: int | Non
         return top.select("term", r(F.col("weight")).alias("weight"), r(rel).alias("rel_weight"))
     g = list(group_cols)
     w = Window.partitionBy(*g).orderBy(F.desc("weight"), F.asc("term"))
-    ranked = weights.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = weights.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
     rel = F.col("weight") / F.max("weight").over(Window.partitionBy(*g))
     return ranked.select(*g, "rank", "term", r(F.col("weight")).alias("weight"), r(rel).alias("rel_weight"))
 

@@ -92,7 +92,7 @@ SELECT bucket, round(lo + (bucket - 1) * (hi - lo) / 10, 6) AS bucket_start, cou
 FROM k GROUP BY bucket, lo, hi"""
 
 ORACLES["corpus_chars"] = """
-SELECT coalesce(sum(length(text)), 0) + 2 * greatest(count(text) - 1, 0) AS n_chars,
+SELECT CAST(coalesce(sum(length(text)), 0) + 2 * greatest(count(text) - 1, 0) AS BIGINT) AS n_chars,
        count(text) AS n_messages FROM documents"""
 
 ORACLES["conversation_concat"] = """
@@ -136,14 +136,14 @@ _PAYMENTS = """(SELECT o_orderkey AS payment_id, o_custkey AS user_id, o_orderda
         AS months FROM orders)"""
 _PRICES = "(SELECT * FROM (VALUES (1, 640), (3, 580), (6, 540), (12, 480)) t(months, monthly_price))"
 _VALID = f"(SELECT * FROM {_PAYMENTS} p WHERE months IN (SELECT months FROM {_PRICES} pr))"
-_ENDS = f"""(SELECT user_id, min(paid_at) AS first_paid, sum(months) AS total_months, count(*) AS n_payments,
+_ENDS = f"""(SELECT user_id, min(paid_at) AS first_paid, CAST(sum(months) AS BIGINT) AS total_months, count(*) AS n_payments,
         min(paid_at) + to_days(CAST(sum(months) * 30 AS INTEGER)) AS subscription_end_date
  FROM {_VALID} v GROUP BY user_id)"""
 
 ORACLES["subscription_end"] = f"SELECT * FROM {_ENDS} e"
 ORACLES["subscription_running"] = f"""
 SELECT months, payment_id, user_id, paid_at,
-       sum(months) OVER w AS running_months,
+       CAST(sum(months) OVER w AS BIGINT) AS running_months,
        min(paid_at) OVER (PARTITION BY user_id)
          + to_days(CAST(30 * sum(months) OVER w AS INTEGER)) AS end_after
 FROM {_VALID} v
