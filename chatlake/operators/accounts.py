@@ -179,7 +179,8 @@ def route_modes(messages: DataFrame, key: str = "user_id", ts: str = "ts", tie:
 
 def users_with_notes(users: DataFrame, notes: DataFrame, key: str = "user_id") -> DataFrame:
     """AGG14: users that have at least one note (a semi join, no note is fetched)."""
-    return users.join(notes.select(key), key, "left_semi")
+    # distinct keys first (map-side): a user with a third of all notes becomes one row
+    return users.join(notes.select(key).distinct(), key, "left_semi")
 
 
 def note_text(text: str = "text", caption: str | None = None) -> Column:

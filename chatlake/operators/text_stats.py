@@ -61,18 +61,23 @@ def corpus_chars(docs: DataFrame, text_col: str = "text", sep_len: int = 2) -> D
 
 
 def concat_texts(df: DataFrame, key_cols, order_col: str, text_col: str = "text",
-                 sep: str = "\n\n") -> DataFrame:
+                 sep: str = "\n\n", bucket_size: int = 1024) -> DataFrame:
     """AGG7: one string per group, texts in ``order_col`` order, nulls skipped.
 
-    The result is inherently one value per group (that is the feature); it is never done
-    over the whole corpus at once.
+    Two levels, so a hot group (one huge chat) is not sorted and joined by one task: texts are
+    first joined per (group, order bucket of ``bucket_size`` positions), in parallel, then the
+    bucket strings are joined in bucket order. The result is inherently one value per group
+    (that is the feature); it is never built over the whole corpus.
     """
-    keys = ", ".join(f"`{k}`" for k in key_cols)
+    keys = list(key_cols)
     sep_sql = sep.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
-    return (df.groupBy(*key_cols)
-            .agg(F.expr(f"listagg(`{text_col}`, '{sep_sql}') WITHIN GROUP (ORDER BY `{order_col}`)")
-                 .alias("all_text"),
-                 F.count(text_col).alias("n_parts")))
+    part = (df.withColumn("_bucket", F.floor(F.col(order_col) / bucket_size))
+            .groupBy(*keys, "_bucket")
+            .agg(F.expr(f"listagg(`{text_col}`, '{sep_sql}') WITHIN GROUP (ORDER BY `{order_col}`)").alias("_s"),
+                 F.count(text_col).alias("_n")))
+    return (part.groupBy(*keys)
+            .agg(F.expr(f"listagg(_s, '{sep_sql}') WITHIN GROUP (ORDER BY _bucket)").alias("all_text"),
+                 F.sum("_n").alias("n_parts")))
 
 
 def sorted_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,8 +31,11 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     Hash partitioning on the key is deterministic, so a retried task sees the same rows.
     """
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # no RDD view (e.g. a remote session): leave the scan as it is
         return df
     return df.repartition(target, key)
 
