@@ -36,7 +36,11 @@ def hashing_embedder(dim: int = 64):
 
 
 def embed_column(text: str | Column, embed_fn) -> Column:
-    """An ``array<float>`` column computed by ``embed_fn`` over Arrow batches."""
+    """An ``array<float>`` column computed by ``embed_fn`` over Arrow batches.
+
+    Call ``chatlake.session.ship_package(spark)`` first when ``embed_fn`` lives in this package
+    and the workers cannot import it.
+    """
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _embed(s: pd.Series) -> pd.Series:
         return pd.Series(embed_fn(s))

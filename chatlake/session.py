@@ -71,3 +71,28 @@ def materialize(df, name: str):
     path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)  # known schema: no footer-reading job
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``chatlake`` importable in the Python workers (``addPyFile`` of a zipped copy).
+
+    Needed only where Python runs on the executors (pandas UDFs, grouped state). Done once per
+    SparkContext; the zip is written under the shared checkpoint folder.
+    """
+    import shutil
+
+    sc = spark.sparkContext
+    if getattr(sc, "_chatlake_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = scratch_path(spark, "pyfiles")
+    if "://" not in base or base.startswith("file:"):
+        local_base = base.replace("file:", "")
+        os.makedirs(local_base, exist_ok=True)
+        archive = shutil.make_archive(os.path.join(local_base, "chatlake"), "zip",
+                                      root_dir=os.path.dirname(pkg), base_dir="chatlake")
+    else:  # remote shared folder: build locally on the driver, addPyFile uploads it
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "chatlake"), "zip",
+                                      root_dir=os.path.dirname(pkg), base_dir="chatlake")
+    sc.addPyFile(archive)
+    sc._chatlake_shipped = True

@@ -171,6 +171,8 @@ def _route(key, pdfs, state: GroupState):
 
 def route_modes_stream(messages: DataFrame) -> DataFrame:
     """STR3: per-user mode as keyed state; each micro-batch is sorted by time inside the function."""
+    from chatlake.session import ship_package
+    ship_package(messages.sparkSession)
     return messages.groupBy("user_id").applyInPandasWithState(
         _route, MODE_OUTPUT_SCHEMA, MODE_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
