@@ -79,8 +79,11 @@ def explode_chats(files: DataFrame, include_left: bool = False) -> DataFrame:
                   F.concat(chats, F.coalesce(left, F.array().cast("array<variant>"))) if include_left else chats)
            .when(F.col("layout") == "left_chats", left)
            .otherwise(F.array(v)))
+    chat = F.col("chat")
+    # the default applies to a missing key only; a JSON null name stays null
+    name = F.when(_has(chat, "$.name"), _get(chat, "$.name", "string")).otherwise(F.lit(UNKNOWN_CHAT))
     return (files.select("file", F.posexplode(arr).alias("chat_idx", "chat"))
-            .withColumn("chat_name", F.coalesce(_get(F.col("chat"), "$.name", "string"), F.lit(UNKNOWN_CHAT))))
+            .withColumn("chat_name", name))
 
 
 def explode_messages(chats: DataFrame) -> DataFrame:

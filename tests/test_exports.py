@@ -48,7 +48,8 @@ def exports(tmp_path):
     ]
     _write(tmp_path, "single.json", {"name": "Branches", "type": "personal_chat", "messages": branches})
     _write(tmp_path, "both.json", {"chats": {"list": [{"name": "C1", "messages": [_msg(1)]},
-                                                      {"messages": [_msg(2)]}]},
+                                                      {"messages": [_msg(2)]},
+                                                      {"name": None, "messages": [_msg(5)]}]},
                                    "left_chats": {"list": [{"name": "L1", "messages": [_msg(3)]}]}})
     _write(tmp_path, "left.json", {"left_chats": {"list": [{"name": "L2", "messages": [_msg(4)]}]}}, bom=True)
     _write(tmp_path, "unknown.json", {"foo": 1})
@@ -87,6 +88,7 @@ def test_layouts_and_rejects(spark, exports):
     msgs, rejects = ex.parse_exports(spark, str(exports))
     keys = set(_rows(msgs))
     assert ("both.json", "C1", 1) in keys and ("both.json", "Unknown Chat", 2) in keys
+    assert ("both.json", None, 5) in keys  # a JSON null name is not replaced
     assert not any(k[0] == "both.json" and k[1] == "L1" for k in keys)  # chats win (Q16)
     assert ("left.json", "L2", 4) in keys  # BOM accepted
     rej = {r.file.rsplit("/", 1)[-1]: r.reason for r in rejects.collect()}
