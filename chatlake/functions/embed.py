@@ -15,7 +15,10 @@ from pyspark.sql import types as T
 
 
 def hashing_embedder(dim: int = 64):
-    """Token feature hashing (crc32 of each lower-cased token), L2-normalised."""
+    """Hashed bag of words (crc32 of each lower-cased token -> one of ``dim`` counts), L2-normalised.
+
+    Counts only add, so a non-empty text never cancels to the zero vector.
+    """
     import re
     import zlib
 
@@ -26,8 +29,7 @@ def hashing_embedder(dim: int = 64):
         for t in texts:
             v = np.zeros(dim, dtype=np.float64)
             for w in tok.findall((t or "").lower()):
-                h = zlib.crc32(w.encode("utf-8"))
-                v[h % dim] += 1.0 if (h >> 16) & 1 else -1.0
+                v[zlib.crc32(w.encode("utf-8")) % dim] += 1.0
             n = np.linalg.norm(v)
             out.append((v / n if n else v).astype(np.float32).tolist())
         return out

@@ -61,9 +61,12 @@ def centroids(vectors: DataFrame, ns_col: str, vec_col: str = "embedding") -> Da
 
 
 def score(queries: DataFrame, vectors: DataFrame, ns_col: str, qvec: str = "qvec",
-          vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """JN5: every (query, vector) pair inside the query's namespace with its relevance."""
-    v = vectors.select(ns_col, id_col, as_double(vec_col).alias("_v"))
+          vec_col: str = "embedding", id_col: str = "vec_id", keep=()) -> DataFrame:
+    """JN5: every (query, vector) pair inside the query's namespace with its relevance.
+
+    ``keep`` names vector columns carried along (metadata such as source, date, text).
+    """
+    v = vectors.select(ns_col, id_col, *keep, as_double(vec_col).alias("_v"))
     j = queries.join(v, ns_col)
     cos = F.try_divide(dot(qvec, "_v"), norm(qvec) * norm("_v"))  # a zero vector scores null
     return j.withColumn("score", relevance(cos)).drop("_v")
