@@ -6,11 +6,14 @@ Rules (smoothed IDF with L2-normalised rows, then a corpus sum per term):
   w   = tf * idf / ||tf * idf||_2 (per message)
   weight(term) = sum of w over messages
 
-Plan shape (all built-in operators): explode tokens -> partial count per (doc, term) ->
-document frequency per term (partial aggregation, so hot terms are combined map-side) ->
-equi-join on term (AQE picks broadcast when the vocabulary turns out small, splits skewed
-partitions otherwise) -> one window per document for the norm -> sum per term.
-No cross join: the corpus size ``n`` is a scalar subquery (ungrouped) or joined on the group key.
+Plan shape (all built-in operators): the messages are hash-partitioned by (group, id) once -- a
+shuffle of the raw text, which is smaller than any (doc, term) table. Everything per document
+then runs inside that partitioning without another exchange: tokens -> tf per (doc, term) ->
+the per-document L2 norm (a window over one document). Document frequency is a partial
+aggregate per term (hot terms combine map-side); its idf table joins the tf rows on term --
+AQE broadcasts it when the measured vocabulary is small, otherwise it is a sort-merge join
+(then one more exchange by document for the norm). The corpus size is a scalar subquery or a
+join on the group key, never a cross join. The text exchange is reused by every branch.
 """
 
 from __future__ import annotations
@@ -18,25 +21,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlake.functions.text import clean_text, tokenize
+from chatlake.functions.text import terms
+from chatlake.sources.tables import spread
 
-_ALL = "_all"
+def by_document(docs: DataFrame, keys) -> DataFrame:
+    """Hash-partition messages by ``keys`` into a fixed number of partitions.
 
-
-def _groups(group_cols):
-    return list(group_cols) if group_cols else [_ALL]
-
-
-def _with_group(df: DataFrame, group_cols) -> DataFrame:
-    return df if group_cols else df.withColumn(_ALL, F.lit(0))
+    The number is the larger of ``spark.sql.shuffle.partitions`` and the cluster parallelism and
+    is explicit, so AQE does not coalesce the CPU-heavy tokenising into a few tasks.
+    """
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        n = max(n, spark.sparkContext.defaultParallelism)
+    except Exception:  # no SparkContext (remote session): the configured count
+        pass
+    return docs.repartition(n, *keys)
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(),
            keep_colon: bool = True, stopwords: DataFrame | None = None) -> DataFrame:
     """One row per token occurrence: (group..., id, term). Stop words removed by a broadcast anti join."""
-    g = _groups(group_cols)
-    d = _with_group(docs.where(F.col(text_col).isNotNull()), group_cols)
-    t = d.select(*g, id_col, F.explode(tokenize(clean_text(text_col, keep_colon))).alias("term"))
+    g = list(group_cols)
+    d = docs.where(F.col(text_col).isNotNull())
+    t = d.select(*g, id_col, F.explode(terms(text_col, keep_colon)).alias("term"))
     if stopwords is not None:
         # The stop-word list has a fixed, small size: broadcasting it is bounded.
         t = t.join(F.broadcast(stopwords.select("term")), "term", "left_anti")
@@ -46,32 +54,55 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grou
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(),
                      keep_colon: bool = True, stopwords: DataFrame | None = None) -> DataFrame:
     """AGG1: (group..., id, term, tf)."""
-    g = _groups(group_cols)
-    return (tokens(docs, id_col, text_col, group_cols, keep_colon, stopwords)
+    g = list(group_cols)
+    return (tokens(docs, id_col, text_col, g, keep_colon, stopwords)
             .groupBy(*g, id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(),
-          keep_colon: bool = True, stopwords: DataFrame | None = None, materialize: bool = True) -> DataFrame:
+          keep_colon: bool = True, stopwords: DataFrame | None = None, materialize: bool = False,
+          broadcast_check: bool = True) -> DataFrame:
     """AGG1-3: normalised TF-IDF weight per (group..., id, term).
 
-    ``materialize`` writes the (doc, term, tf) table once to the shared checkpoint folder:
-    it feeds both the document-frequency branch and the weight branch, so tokenising runs once.
+    The (group, term, df) table is written to the shared folder first (it also cuts lineage);
+    with ``broadcast_check`` it is broadcast only when its measured size is under the threshold.
+
+    ``materialize`` writes the (doc, term, tf) table to the shared checkpoint folder instead, so
+    tokenising runs once; the default tokenises in both branches, which measured faster than
+    writing and re-reading the (doc, term) table and keeps the per-document partitioning.
     """
-    g = _groups(group_cols)
-    base = _with_group(docs.where(F.col(text_col).isNotNull()), group_cols)
-    tf = term_frequencies(docs, id_col, text_col, group_cols, keep_colon, stopwords)
+    g = list(group_cols)
+    texts = docs.where(F.col(text_col).isNotNull())
+    # Document frequency straight from the rows: each message's distinct terms, then a partial
+    # count per term. No (doc, term) table and no document partitioning are needed for it.
+    # One null "term" per message rides along, so its count is the corpus size n of the group
+    # (a left anti join keeps null keys) and the text is scanned once for both.
+    per_doc = F.concat(F.array_distinct(terms(text_col, keep_colon)), F.array(F.lit(None).cast("string")))
+    d_terms = spread(texts, id_col).select(*g, F.explode(per_doc).alias("term"))
+    if stopwords is not None:
+        d_terms = d_terms.join(F.broadcast(stopwords.select("term")), "term", "left_anti")
+    dfreq = d_terms.groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df"))
+    from chatlake.session import broadcast_fits, materialize as write_table
+    dfreq = write_table(dfreq, "tfidf_df")  # one row per (group, term): the measured vocabulary
+    known = dfreq.where(F.col("term").isNotNull())
+    if g:
+        n = dfreq.where(F.col("term").isNull()).select(*g, F.col("df").alias("n_docs"))
+        known = known.join(n, g)
+        n_docs = F.col("n_docs")
+    else:  # one corpus: a scalar subquery over the small written table, no join
+        n_docs = dfreq.where(F.col("term").isNull()).select(F.max("df")).scalar()
+    idf = known.select(*g, "term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+    if broadcast_check:
+        # Broadcast when the vocabulary fits, else sort-merge on term (then the norm window adds
+        # one exchange by document; AQE splits a hot term's partition).
+        idf = F.broadcast(idf) if broadcast_fits(dfreq) else idf.hint("shuffle_merge")
+    # Partition keys are real columns (no literal stand-in for "no group"): a constant key is
+    # folded away and the later per-document operators would no longer see the partitioning.
+    base = by_document(texts, [*g, id_col])
+    tf = term_frequencies(base, id_col, text_col, g, keep_colon, stopwords)
     if materialize:
         from chatlake.session import materialize as write_table
         tf = write_table(tf, "tfidf_tf")
-    dfreq = tf.groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df"))
-    if group_cols:
-        n = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n_docs"))
-        dfreq = dfreq.join(n, g)
-        n_docs = F.col("n_docs")
-    else:  # one corpus: a scalar subquery, no join
-        n_docs = base.select(F.count(F.lit(1))).scalar()
-    idf = dfreq.select(*g, "term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     v = tf.join(idf, g + ["term"]).select(*g, id_col, "term", (F.col("tf") * F.col("idf")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*g, id_col)))
     return v.select(*g, id_col, "term", (F.col("v") / norm).alias("w"))
@@ -79,10 +110,10 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
 
 def keyword_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(),
                     keep_colon: bool = True, stopwords: DataFrame | None = None,
-                    materialize: bool = True) -> DataFrame:
+                    materialize: bool = False, broadcast_check: bool = True) -> DataFrame:
     """AGG4: corpus weight per term = sum of the normalised weights."""
-    g = _groups(group_cols)
-    return (tfidf(docs, id_col, text_col, group_cols, keep_colon, stopwords, materialize)
+    g = list(group_cols)
+    return (tfidf(docs, id_col, text_col, g, keep_colon, stopwords, materialize, broadcast_check)
             .groupBy(*g, "term").agg(F.sum("w").alias("weight")))
 
 
@@ -94,7 +125,8 @@ def top_terms(weights: DataFrame, k: int = 100, group_cols=(), digits: int | Non
     r = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     if not group_cols:
         top = weights.orderBy(F.desc("weight"), F.asc("term")).limit(k)
-        rel = F.col("weight") / F.max("weight").over(Window.partitionBy(_ALL))
+        # one window over the <= k kept rows (they are already in one partition after the limit)
+        rel = F.col("weight") / F.max("weight").over(Window.partitionBy())
         return top.select("term", r(F.col("weight")).alias("weight"), r(rel).alias("rel_weight"))
     g = list(group_cols)
     w = Window.partitionBy(*g).orderBy(F.desc("weight"), F.asc("term"))
@@ -110,7 +142,7 @@ def vocabulary_shape(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n = docs.where(F.col(text_col).isNotNull()).select(F.count(F.lit(1))).scalar()
     t = tokens(docs, id_col, text_col, (), keep_colon, stopwords)
     if exact:
-        terms = t.select("term").distinct().agg(F.count(F.lit(1)).alias("n_terms"))
+        vocab = t.select("term").distinct().agg(F.count(F.lit(1)).alias("n_terms"))
     else:
-        terms = t.agg(F.approx_count_distinct("term").alias("n_terms"))
-    return terms.select(n.alias("n_docs"), "n_terms")
+        vocab = t.agg(F.approx_count_distinct("term").alias("n_terms"))
+    return vocab.select(n.alias("n_docs"), "n_terms")

@@ -26,21 +26,21 @@ def query(fn):
 
 @query
 def keyword_top100(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir, "doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")  # tfidf partitions by doc itself
     w = tfidf.keyword_weights(docs, stopwords=stopwords_df(spark))
     return tfidf.top_terms(w, k=100)
 
 
 @query
 def keyword_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir, "doc_id", "source", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")  # tfidf partitions by doc itself
     w = tfidf.keyword_weights(docs, group_cols=["source"], stopwords=stopwords_df(spark))
     return tfidf.top_terms(w, k=100, group_cols=["source"])
 
 
 @query
 def keyword_notebook_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir, "doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")  # tfidf partitions by doc itself
     w = tfidf.keyword_weights(docs, keep_colon=False, stopwords=None)
     return tfidf.top_terms(w, k=100)
 

@@ -14,6 +14,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Upper bound for a broadcast side; sizes are measured before a broadcast is chosen.
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -73,6 +75,56 @@ def materialize(df, name: str):
     return spark.read.schema(df.schema).parquet(path)  # known schema: no footer-reading job
 
 
+def _row_bytes(schema) -> int:
+    """Estimated bytes of one row held in a broadcast hash relation (Spark's default sizes)."""
+    from pyspark.sql import types as T
+    size = 8  # row header
+    for f in schema.fields:
+        t = f.dataType
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            size += 8 + 20
+        elif isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DateType, T.BooleanType)):
+            size += 8
+        else:
+            size += 8 if not isinstance(t, (T.ArrayType, T.MapType, T.StructType)) else 8 + 64
+    return size
+
+
+def broadcast_fits(table, max_bytes: int | None = None) -> bool:
+    """True when ``table`` (a written, re-read table) measures under the broadcast bound.
+
+    The row count comes from the files' footers; the bound is ``spark.sql.autoBroadcastJoinThreshold``
+    unless ``max_bytes`` is given (a negative threshold disables broadcasting).
+    """
+    spark = table.sparkSession
+    limit = max_bytes if max_bytes is not None else _parse_bytes(
+        spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    return limit > 0 and table.count() * _row_bytes(table.schema) <= limit
+
+
+def bounded_broadcast(df, name: str, max_bytes: int | None = None):
+    """Write ``df`` to the shared folder, measure it, and broadcast it only if it fits.
+
+    Beyond the bound the table is hinted to a shuffle (sort-merge) join, so a large side is never
+    broadcast on an estimate. Returns ``(table, broadcast_chosen)``.
+    """
+    from pyspark.sql import functions as F
+
+    t = materialize(df, name)
+    if broadcast_fits(t, max_bytes):
+        return F.broadcast(t), True
+    return t.hint("shuffle_merge"), False
+
+
+def _parse_bytes(v: str) -> int:
+    v = v.strip().lower()
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    v = v[:-1] if v.endswith("b") and len(v) > 1 and not v[-2].isdigit() else v
+    if v and v[-1] in units:
+        return int(float(v[:-1]) * units[v[-1]])
+    return int(v.rstrip("b"))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``chatlake`` importable in the Python workers (``addPyFile`` of a zipped copy).
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_PATH = os.path.join(os.path.dirname(os.path.dirname(__file__)), "resources", "stopwords.txt")
 
@@ -25,7 +26,9 @@ def stopwords_df(spark: SparkSession, words=None, path: str | None = None) -> Da
         return words.select("term").distinct()
     if words is None:
         words = read_stopword_list(path)
-    return spark.createDataFrame([(w,) for w in words], "term string").distinct()
+    # A local relation of literals (made distinct on the driver, the list is fixed and small):
+    # no Python-side RDD, so no Python worker is started to scan it.
+    return spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in dict.fromkeys(words)])).alias("term"))
 
 
 def union_stopwords(*lists: DataFrame) -> DataFrame:

@@ -36,3 +36,11 @@ def test_preview_and_default_name(spark):
 def test_newline_to_space(spark):
     assert _one(spark, T.newline_to_space("t"), "a\nb\n") == "a b "
     assert _one(spark, F.lit(1), "x") == 1
+
+
+def test_terms_equal_clean_then_tokenize(spark):
+    cases = ["Привет, мир! re-use 42 don't\tёж: İx", "a:b c", ":ab::cd  e: ЁЖ ёж", "", "   ", "x", "abc123def"]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    for keep in (True, False):
+        rows = df.select(T.terms("t", keep).alias("a"), T.tokenize(T.clean_text("t", keep)).alias("b")).collect()
+        assert all(r.a == r.b for r in rows), rows

@@ -40,3 +40,27 @@ def test_grouped_top_terms(spark):
     r = tfidf.top_terms(tfidf.keyword_weights(docs, group_cols=["source"]), k=1, group_cols=["source"]).collect()
     # a1: cat = 2*1.405/2.983 = 0.942, dog = 1/2.983 + 1 = 1.335
     assert {(x.source, x.term) for x in r} == {("a1", "dog"), ("b2", "fish")}
+
+
+def test_plan_shuffles_the_text_once_by_document(spark):
+    # The per-document work (tf, norm window) runs inside one hash partitioning by doc_id:
+    # no exchange keyed by (doc_id, term) and none by doc_id after the idf join.
+    docs = spark.createDataFrame([(1, "cat cat dog"), (2, "dog fish"), (3, "")], "doc_id long, text string")
+    plan = tfidf.keyword_weights(docs, stopwords=stopwords_df(spark))._jdf.queryExecution().executedPlan().toString()
+    exchanges = [ln for ln in plan.splitlines() if "Exchange hashpartitioning" in ln]
+    assert sum("doc_id" in ln for ln in exchanges) == 1, plan
+
+
+def test_large_vocabulary_path_gives_same_weights(spark):
+    # With broadcasting disabled the idf table is sort-merge joined; the weights must not change.
+    docs = spark.createDataFrame([(1, "cat cat dog"), (2, "dog fish"), (3, ""), (4, "cat: bird")],
+                                 "doc_id long, text string")
+    small = {r.term: r.weight for r in tfidf.top_terms(tfidf.keyword_weights(docs)).collect()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = tfidf.keyword_weights(docs)
+        assert "SortMergeJoin" in big._jdf.queryExecution().executedPlan().toString()
+        assert {r.term: r.weight for r in tfidf.top_terms(big).collect()} == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
