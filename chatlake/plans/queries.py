@@ -449,7 +449,7 @@ def stream_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cmd = (F.when(F.col("event_type") == "signup", "/start").when(F.col("event_type") == "view", "/search")
            .when(F.col("event_type") == "purchase", "payment").when(F.col("event_type") == "error", "reset"))
     st.run_append(spark, st.route_modes_stream(e.withColumn("command", cmd).drop("event_type")), path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("batch_id")
 
 
 @query

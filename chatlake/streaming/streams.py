@@ -127,10 +127,20 @@ def daily_quota(messages: DataFrame, key: str = "user_id", ts: str = "ts", water
                     (F.col("n_messages") <= acc.QUOTA_MESSAGES).alias("within_quota")))
 
 
+def write_batch(batch: DataFrame, out_path: str, batch_id: int) -> None:
+    """Write one micro-batch into its own ``batch_id=N`` folder, replacing what is there.
+
+    ``foreachBatch`` is at-least-once: a batch replayed after a failure has the same id and the
+    same rows, so overwriting its folder makes the replay a no-op instead of a duplicate.
+    Reading ``out_path`` gives the rows with a ``batch_id`` column (partition discovery).
+    """
+    batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+
 def run_update_table(spark: SparkSession, agg: DataFrame, out_path: str, ckpt: str | None = None) -> None:
-    """Run an aggregate in update mode; every batch appends its changed rows with the batch id."""
+    """Run an aggregate in update mode; every batch writes its changed rows under its batch id."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        write_batch(batch, out_path, batch_id)
 
     run_available(agg.writeStream.outputMode("update").foreachBatch(sink), ckpt or _ckpt(spark, "update_table"))
 
@@ -178,7 +188,8 @@ def route_modes_stream(messages: DataFrame) -> DataFrame:
 
 
 def run_append(spark: SparkSession, df: DataFrame, out_path: str, ckpt: str | None = None) -> None:
+    """Run an append-mode stream; each batch is written under its batch id (replay-safe)."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(out_path)
+        write_batch(batch, out_path, batch_id)
 
     run_available(df.writeStream.outputMode("append").foreachBatch(sink), ckpt or _ckpt(spark, "append"))

@@ -87,3 +87,15 @@ def test_message_and_notes_csv(spark, tmp_path):
     assert [(r.telegram_id, r.message_id, r.text) for r in got] == [(7, "100", "n1")]
     assert [r.index_name for r in sinks.list_indexes(spark.createDataFrame(
         [("saved-ai-1", 1), ("saved-ai-1", 2)], "index_name string, x int")).collect()] == ["saved-ai-1"]
+
+
+def test_replayed_micro_batch_is_written_once(spark, tmp_path):
+    # foreachBatch is at-least-once: the same batch id written twice must leave one copy
+    out = str(tmp_path / "log")
+    b = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    st.write_batch(b, out, 0)
+    st.write_batch(b, out, 0)
+    st.write_batch(b.limit(1), out, 1)
+    got = spark.read.parquet(out)
+    assert got.count() == 3 and sorted(r.batch_id for r in got.collect()) == [0, 0, 1]
+    assert st.latest_rows(spark, out, ["k"]).count() == 2
