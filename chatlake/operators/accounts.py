@@ -26,7 +26,10 @@ DAY_MICROS = 86_400_000_000
 
 def price_table(spark: SparkSession) -> DataFrame:
     """JN7: plan length -> monthly price (a fixed four-row table)."""
-    return spark.createDataFrame(sorted(MONTHLY_PRICE.items()), "months int, monthly_price int")
+    # literal rows: a local relation, no Python-side RDD to scan
+    rows = [F.struct(F.lit(m).alias("months"), F.lit(p).alias("monthly_price"))
+            for m, p in sorted(MONTHLY_PRICE.items())]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def namespace(telegram_id) -> Column:

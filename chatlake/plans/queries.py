@@ -183,7 +183,7 @@ def subscription_running(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def active_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = acc.subscription_end(_valid_payments(spark, sf_dir))
-    allow = spark.createDataFrame([(n,) for n in ALLOWLIST], "username string")
+    allow = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in ALLOWLIST])).alias("username"))
     return acc.with_access(_users(spark, sf_dir), ends, AS_OF_SUBSCRIPTION, allow).select(
         "user_id", "username", "subscription_end_date", "active", "access")
 

@@ -29,6 +29,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        # local mode runs everything (tasks, state stores, broadcasts) in the driver JVM; the 1 GB
+        # default heap ends in long GC pauses. On a cluster the deployment sizes the JVMs.
+        conf["spark.driver.memory"] = "8g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
