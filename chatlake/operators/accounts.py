@@ -165,19 +165,28 @@ COMMAND_MODE = {"/start": "notes", "/note": "notes", "/import": "wait_for_json",
 
 
 def route_modes(messages: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id",
-                command: str = "command") -> DataFrame:
+                command: str = "command", initial: DataFrame | None = None) -> DataFrame:
     """WIN5 / STR3 (batch): mode each message is handled in, and the mode after it.
 
     Commands win over modes; a reset clears the state (sentinel '' -> null in the output).
+    ``initial`` (key, mode) is the mode each key had before these messages (a stream's state):
+    it enters as one seed row per key, ordered before the key's first message, and is dropped
+    from the output. The window is split by day (``carry_forward``), so a hot key is not one task.
     """
     mapping = F.create_map(*[x for k, v in COMMAND_MODE.items() for x in (F.lit(k), F.lit(v))])
-    m = messages.withColumn("_new", F.element_at(mapping, F.col(command)))
+    m = messages.withColumn("_new", F.element_at(mapping, F.col(command))).withColumn("_seed", F.lit(1))
+    if initial is not None:
+        first = messages.groupBy(key).agg(F.min(ts).alias(ts))  # partial aggregate per key
+        seeds = (first.join(initial.where(F.col("mode").isNotNull()).select(key, F.col("mode").alias("_new")), key)
+                 .withColumn("_seed", F.lit(0)))
+        m = m.unionByName(seeds, allowMissingColumns=True)
     day = F.to_date(F.col(ts))
-    m = carry_forward(m, [key], [ts, tie], "_new", day, "_before", include_current=False)
+    m = carry_forward(m, [key], [ts, "_seed", tie], "_new", day, "_before", include_current=False)
     m = m.withColumn("_after", F.coalesce("_new", "_before"))
-    return (m.withColumn("mode_before", F.nullif("_before", F.lit("")))
+    return (m.where(F.col("_seed") == 1)
+            .withColumn("mode_before", F.nullif("_before", F.lit("")))
             .withColumn("mode_after", F.nullif("_after", F.lit("")))
-            .drop("_new", "_before", "_after"))
+            .drop("_new", "_before", "_after", "_seed"))
 
 
 def users_with_notes(users: DataFrame, notes: DataFrame, key: str = "user_id") -> DataFrame:

@@ -448,8 +448,8 @@ def stream_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _stream_of(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     cmd = (F.when(F.col("event_type") == "signup", "/start").when(F.col("event_type") == "view", "/search")
            .when(F.col("event_type") == "purchase", "payment").when(F.col("event_type") == "error", "reset"))
-    st.run_append(spark, st.route_modes_stream(e.withColumn("command", cmd).drop("event_type")), path)
-    return spark.read.parquet(path).drop("batch_id")
+    st.route_modes_batches(spark, e.withColumn("command", cmd).drop("event_type"), path, path + "_state")
+    return spark.read.parquet(path).select("event_id", "user_id", "ts", "command", "mode_before", "mode_after")
 
 
 @query

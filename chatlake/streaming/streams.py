@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chatlake.operators import accounts as acc
 from chatlake.operators import chunks as ch
@@ -154,37 +153,36 @@ def latest_rows(spark: SparkSession, path: str, keys) -> DataFrame:
 
 # ---------------------------------------------------------------- STR3: mode routing with state
 
-MODE_STATE_SCHEMA = "mode string"
-MODE_OUTPUT_SCHEMA = ("event_id long, user_id long, ts timestamp_ntz, command string, "
-                      "mode_before string, mode_after string")
-
-
-def _route(key, pdfs, state: GroupState):
-    mode = state.get[0] if state.exists else None
-    for pdf in pdfs:
-        pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-        new = pdf["command"].map(acc.COMMAND_MODE)
-        after = new.copy()
-        before = []
-        for i, v in enumerate(new.tolist()):
-            before.append(mode)
-            if isinstance(v, str):
-                mode = v
-            after.iat[i] = mode
-        out = pd.DataFrame({"event_id": pdf["event_id"].values, "user_id": pdf["user_id"].values,
-                            "ts": pdf["ts"].values, "command": pdf["command"].values,
-                            "mode_before": [b or None for b in before],
-                            "mode_after": [a or None for a in after.tolist()]})
-        yield out
-    state.update((mode,))
-
-
-def route_modes_stream(messages: DataFrame) -> DataFrame:
-    """STR3: per-user mode as keyed state; each micro-batch is sorted by time inside the function."""
-    from chatlake.session import ship_package
-    ship_package(messages.sparkSession)
-    return messages.groupBy("user_id").applyInPandasWithState(
-        _route, MODE_OUTPUT_SCHEMA, MODE_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+def _latest_state(spark: SparkSession, state_path: str, batch_id: int, keys: DataFrame, key: str = "user_id"):
+    """Mode of each key after the newest earlier batch that touched it, only for ``keys``."""
+    try:
+        hist = spark.read.parquet(state_path)
+    except AnalysisException:  # first batch: no state yet
+        return None
+    return (hist.where(F.col("batch_id") < batch_id).join(keys, key, "left_semi")
+            .groupBy(key).agg(F.max_by("mode", "batch_id").alias("mode")))
+
+
+def route_modes_batches(spark: SparkSession, messages: DataFrame, out_path: str, state_path: str,
+                        key: str = "user_id", ts: str = "ts", tie: str = "event_id", ckpt: str | None = None) -> None:
+    """STR3: route each message by its user's current mode; the mode is state kept across batches.
+
+    Each micro-batch runs the batch operator ``route_modes`` (a day-split window, so a user with a
+    third of all messages is still spread over tasks), seeded with every user's mode from earlier
+    batches. The state is a keyed table: one ``batch_id=N`` folder per batch with the mode after
+    the batch of each user it touched (including a cleared mode, which must override older
+    values). Output and state folders are overwritten on a replay, so a retried batch is a no-op.
+    Messages are routed in time order inside a batch and in arrival order across batches.
+    """
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        users = batch.select(key).distinct()
+        routed = acc.route_modes(batch, key, ts, tie, initial=_latest_state(spark, state_path, batch_id, users, key))
+        write_batch(routed, out_path, batch_id)
+        done = spark.read.parquet(f"{out_path}/batch_id={batch_id}")  # read back, not recomputed
+        state = done.groupBy(key).agg(F.max_by("mode_after", F.struct(ts, tie)).alias("mode"))
+        write_batch(state, state_path, batch_id)
+
+    run_available(messages.writeStream.foreachBatch(sink), ckpt or _ckpt(spark, "route_modes"))
 
 
 def run_append(spark: SparkSession, df: DataFrame, out_path: str, ckpt: str | None = None) -> None:

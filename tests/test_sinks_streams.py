@@ -99,3 +99,25 @@ def test_replayed_micro_batch_is_written_once(spark, tmp_path):
     got = spark.read.parquet(out)
     assert got.count() == 3 and sorted(r.batch_id for r in got.collect()) == [0, 0, 1]
     assert st.latest_rows(spark, out, ["k"]).count() == 2
+
+
+def test_mode_state_carries_across_micro_batches(spark, tmp_path):
+    # events split into three time-ordered files, one file per micro-batch: the mode a user is in
+    # must carry over from earlier batches, so the stream equals the batch routing of all events
+    from chatlake.operators import accounts as acc
+    ev = entry.queries()["mode_routing"](spark, SF001).select("event_id", "user_id", "ts", "command")
+    folder = str(tmp_path / "events")
+    bounds = ["2024-01-08", "2024-01-18"]
+    parts = [F.col("ts") < bounds[0], (F.col("ts") >= bounds[0]) & (F.col("ts") < bounds[1]), F.col("ts") >= bounds[1]]
+    for i, cond in enumerate(parts):
+        ev.where(cond).coalesce(1).write.parquet(f"{folder}/part{i}")
+        os.rename(next(p for p in (tmp_path / "events" / f"part{i}").iterdir() if p.name.endswith(".parquet")),
+                  tmp_path / "events" / f"ev{i}.parquet")
+    stream = st.file_stream(spark, folder, ev.schema, glob="ev*.parquet", max_files=1)
+    out = str(tmp_path / "routed")
+    st.route_modes_batches(spark, stream, out, out + "_state")
+    got = spark.read.parquet(out)
+    assert got.select("batch_id").distinct().count() == 3
+    want = acc.route_modes(ev).select(*[c for c in got.columns if c != "batch_id"])
+    got = got.drop("batch_id")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
