@@ -396,12 +396,10 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("role").alias("from"),
         F.concat(F.lit("user"), F.col("conv_id").cast("string")).alias("from_id"),
         F.col("text").alias("text"))
-    chats = (conv.groupBy("conv_id")
-             .agg(F.sort_array(F.collect_list(F.struct("turn", message.alias("m")))).alias("ms"))
-             .select(F.concat(F.lit("chat "), F.col("conv_id").cast("string")).alias("name"),
-                     F.transform("ms", lambda x: x["m"]).alias("messages")))
+    chats = ex.chat_exports(conv.select("conv_id", "turn", message.alias("m")), "conv_id", "turn", "m",
+                            F.concat(F.lit("chat "), F.col("conv_id").cast("string")))
     out = scratch_path(spark, f"export_roundtrip/{uuid.uuid4().hex}")
-    chats.write.mode("overwrite").option("ignoreNullFields", False).json(out)
+    chats.write.mode("overwrite").json(out)
     msgs, _ = ex.parse_exports(spark, out + "/*.json", multi_line=False)
     return msgs.select("chat_name", *ex.MESSAGE_COLUMNS)
 

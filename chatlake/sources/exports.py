@@ -218,3 +218,22 @@ def read_message_lines(spark: SparkSession, path: str) -> DataFrame:
     """Read what ``write_message_lines`` wrote, ready for ``project_messages`` (parallel read)."""
     return (spark.read.schema("file string, chat_idx int, chat_name string, pos int, message string").json(path)
             .withColumn("m", F.parse_json("message")).drop("message"))
+
+
+def chat_exports(msgs: DataFrame, chat_col: str, order_col: str, message_col: str, name: Column,
+                 piece_size: int = 1024) -> DataFrame:
+    """Build single-chat exports ``(name, messages VARIANT)`` from message structs (JSON writer ready).
+
+    An export is one record per chat. It is built in two levels so a hot chat is not sorted and
+    serialised by one task: every piece of ``piece_size`` positions becomes a JSON fragment in
+    parallel, then a chat's fragments are only concatenated in piece order and parsed.
+    """
+    js = F.to_json(F.col(message_col), {"ignoreNullFields": "false"})
+    pieces = (msgs.groupBy(chat_col, F.floor(F.col(order_col) / piece_size).alias("_piece"))
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order_col, js.alias("_j")))),
+                                            lambda x: x["_j"]), ",").alias("_frag")))
+    names = msgs.select(chat_col, name.alias("name")).dropDuplicates([chat_col])
+    return (pieces.groupBy(chat_col)
+            .agg(F.expr("listagg(_frag, ',') WITHIN GROUP (ORDER BY _piece)").alias("_all"))
+            .join(names, chat_col)
+            .select("name", F.parse_json(F.concat(F.lit("["), F.col("_all"), F.lit("]"))).alias("messages")))

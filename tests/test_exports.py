@@ -124,3 +124,19 @@ def test_message_lines_roundtrip(spark, exports, tmp_path_factory):
     b = ex.project_messages(ex.explode_messages(ex.explode_chats(ex.split_rejects(
         ex.read_exports(spark, str(exports)))[0]))).drop("file").collect()
     assert sorted(map(tuple, a), key=str) == sorted(map(tuple, b), key=str)
+
+
+def test_chat_export_built_in_pieces_round_trips(spark, tmp_path):
+    # 2500 messages span three pieces of 1024: the export keeps them whole and in order
+    from pyspark.sql import functions as F
+    n = 2500
+    m = spark.range(n).select(F.lit(7).alias("chat"), F.col("id").alias("turn"),
+                              F.struct(F.col("id").alias("id"), F.lit("message").alias("type"),
+                                       F.col("id").cast("string").alias("date_unixtime"),
+                                       F.concat(F.lit("t"), F.col("id").cast("string")).alias("text")).alias("m"))
+    out = str(tmp_path / "exp")
+    ex.chat_exports(m, "chat", "turn", "m", F.lit("big chat"), piece_size=1024).write.json(out)
+    msgs, _ = ex.parse_exports(spark, out + "/*.json", multi_line=False)
+    rows = msgs.select("chat_name", "msg_id", "msg_content").orderBy("msg_id").collect()
+    assert len(rows) == n and {r.chat_name for r in rows} == {"big chat"}
+    assert [r.msg_id for r in rows] == list(range(n)) and rows[-1].msg_content == f"t{n - 1}"
