@@ -19,6 +19,12 @@ CLEAN_NO_COLON = f"[^{KEPT_NO_COLON}]"
 TOKEN_RULE = "[a-zа-яё]{2,}"
 PY_WHITESPACE = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
                  r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
+# The same whitespace set as characters (for btrim): tab, newline, vertical tab, form feed,
+# carriage return, U+001C-U+001F, space, U+0085, U+00A0, U+1680, U+2000-U+200A, U+2028, U+2029,
+# U+202F, U+205F, U+3000.
+PY_WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                       "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                       "\u2028\u2029\u202f\u205f\u3000")
 
 
 def col_(c) -> Column:

@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.functions.text import PY_WHITESPACE
+from chatlake.functions.text import PY_WHITESPACE_CHARS
 
 CHUNK_SIZE = 1024
 CHUNK_OVERLAP = 256
@@ -26,42 +26,48 @@ SEPARATOR = "\n\n"
 
 
 def strip_py(c: Column) -> Column:
-    """Python ``str.strip()``: remove leading and trailing whitespace."""
-    return F.regexp_replace(c, f"^{PY_WHITESPACE}|{PY_WHITESPACE}$", "")
-
-
-def _joined_len(arr: Column, sep_len: int) -> Column:
-    return (F.aggregate(arr, F.lit(0), lambda a, x: a + F.length(x))
-            + F.lit(sep_len) * F.greatest(F.size(arr) - 1, F.lit(0)))
+    """Python ``str.strip()``: remove leading and trailing whitespace (no regex: ``btrim``)."""
+    return F.btrim(c, F.lit(PY_WHITESPACE_CHARS))
 
 
 def split_text(text, chunk_size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                separator: str = SEPARATOR) -> Column:
-    """array<string> of chunks for one text."""
+    """array<string> of chunks for one text.
+
+    The fold state is (emitted chunks, pieces of the current chunk, joined length of those
+    pieces); carrying the length makes the usual step O(1). On an overflow the kept overlap is
+    the longest suffix of the current pieces that is within ``overlap`` and leaves room for the
+    new piece; both limits only tighten as the suffix grows, so one pass from the right finds it.
+    """
     t = F.col(text) if isinstance(text, str) else text
     sep_len = len(separator)
     pieces = F.filter(F.split(t, re.escape(separator)), lambda x: x != "")
     empty = F.array().cast("array<string>")
-    init = F.struct(empty.alias("docs"), empty.alias("cur"))
+    init = F.struct(empty.alias("docs"), empty.alias("cur"), F.lit(0).alias("clen"))
+
+    def kept_suffix(cur, ld):
+        """(k, length) of the longest admissible suffix of ``cur`` for a new piece of length ``ld``."""
+        def take(a, x):
+            L = F.when(a["k"] == 0, F.length(x)).otherwise(a["L"] + sep_len + F.length(x))
+            ok = ~a["stop"] & (L <= overlap) & (L + sep_len + ld <= chunk_size)
+            return F.struct(F.when(ok, a["k"] + 1).otherwise(a["k"]).alias("k"),
+                            F.when(ok, L).otherwise(a["L"]).alias("L"), (~ok).alias("stop"))
+        start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("L"), F.lit(False).alias("stop"))
+        return F.aggregate(F.reverse(cur), start, take)
 
     def step(acc, d):
-        cur, docs = acc["cur"], acc["docs"]
+        cur, docs, clen = acc["cur"], acc["docs"], acc["clen"]
         n = F.size(cur)
         ld = F.length(d)
-        sep_if = F.when(n > 0, F.lit(sep_len)).otherwise(F.lit(0))
-        overflow = (n > 0) & (_joined_len(cur, sep_len) + ld + sep_if > chunk_size)
+        overflow = (n > 0) & (clen + sep_len + ld > chunk_size)
         emitted = strip_py(F.array_join(cur, separator))
         docs2 = F.when(overflow & (F.length(emitted) > 0), F.concat(docs, F.array(emitted))).otherwise(docs)
-
-        def admissible(i):
-            rest = F.slice(cur, i, n - i + 1)
-            L = _joined_len(rest, sep_len)
-            fits = L + ld + F.when(F.size(rest) > 0, F.lit(sep_len)).otherwise(F.lit(0)) <= chunk_size
-            return (L <= overlap) & (fits | (L == 0))
-
-        start = F.element_at(F.filter(F.sequence(F.lit(1), n + 1), admissible), 1)
-        kept = F.when(overflow, F.slice(cur, start, n - start + 1)).otherwise(cur)
-        return F.struct(docs2.alias("docs"), F.concat(kept, F.array(d)).alias("cur"))
+        suf = kept_suffix(cur, ld)
+        k, klen = suf["k"], suf["L"]
+        kept = F.when(overflow, F.slice(cur, n - k + 1, k)).otherwise(cur)
+        kept_len = F.when(overflow, klen).otherwise(clen)
+        new_len = F.when(F.size(kept) > 0, kept_len + sep_len + ld).otherwise(ld)
+        return F.struct(docs2.alias("docs"), F.concat(kept, F.array(d)).alias("cur"), new_len.alias("clen"))
 
     def finish(acc):
         last = strip_py(F.array_join(acc["cur"], separator))
