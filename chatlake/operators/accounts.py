@@ -66,8 +66,12 @@ def subscription_end(payments: DataFrame) -> DataFrame:
 
 
 def running_subscription_end(payments: DataFrame, bucket: Column | None = None) -> DataFrame:
-    """WIN4: end date after each payment (first payment + 30 days x running months)."""
-    bucket = bucket if bucket is not None else F.year("paid_at")
+    """WIN4: end date after each payment (first payment + 30 days x running months).
+
+    The running sum is split by day (``running_sum``): a user with a third of all payments is
+    windowed per (user, day), and only one summary row per day is windowed per user.
+    """
+    bucket = bucket if bucket is not None else F.to_date("paid_at")
     order = ["paid_at", "payment_id"]
     r = running_sum(payments, ["user_id"], order, "months", bucket, "running_months")
     first = payments.groupBy("user_id").agg(F.min("paid_at").alias("first_paid"))
