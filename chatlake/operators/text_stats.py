@@ -7,7 +7,7 @@ entry per *distinct* count, which is bounded by the longest message, not by the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.text import clean_text, sorted_words, terms, words_count
@@ -40,15 +40,21 @@ def words_summary(docs: DataFrame, text_col: str = "text", group_cols=(), q: flo
 def words_histogram(docs: DataFrame, text_col: str = "text", bins: int = 10) -> DataFrame:
     """AGG11: equal-width histogram between min and max; the maximum falls in the last bin.
 
-    min/max are one scalar subquery (a global partial aggregate), no join.
+    The texts are read once: messages are first counted per distinct word count (a partial
+    aggregate whose size is bounded by the longest message), and both the bounds and the bins
+    are computed from that small table.
     """
-    wc = docs.select(words_count(text_col).alias("wc"))
-    bounds = wc.select(F.struct(F.min("wc").alias("lo"), F.max("wc").alias("hi"))).scalar()
-    d = wc.select("wc", bounds.alias("_b"))  # one subquery, bound once
+    per_count = (docs.select(words_count(text_col).alias("wc"))
+                 .groupBy("wc").agg(F.count(F.lit(1)).alias("_n")))
+    # per_count has one row per distinct word count (at most the longest message's length), so a
+    # window over all of it is bounded; it keeps the texts to one pass (a subquery would re-split)
+    whole = Window.partitionBy()
+    bounds = F.struct(F.min("wc").over(whole).alias("lo"), F.max("wc").over(whole).alias("hi"))
+    d = per_count.select("wc", "_n", bounds.alias("_b"))
     lo, span = F.col("_b.lo"), F.col("_b.hi") - F.col("_b.lo")
     b = F.when(span == 0, F.lit(1)).otherwise(F.least(F.floor((F.col("wc") - lo) * bins / span) + 1, F.lit(bins)))
     return (d.groupBy(b.cast("int").alias("bucket"), F.col("_b").alias("_b"))
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.sum("_n").alias("n"))
             .select("bucket", F.round(F.col("_b.lo") + (F.col("bucket") - 1) * (F.col("_b.hi") - F.col("_b.lo"))
                                       / bins, 6).alias("bucket_start"), "n"))
 
