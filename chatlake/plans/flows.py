@@ -34,7 +34,7 @@ def _to_store(spark: SparkSession, docs: DataFrame, store_path: str, embed_fn) -
     if embed_fn is not None:
         ship_package(spark)
         c = c.withColumn("embedding", embed_column("chunk", embed_fn))
-    append_chunks(c, store_path)
+    append_chunks(c, store_path, namespaces=docs)
 
 
 def import_chat_export(spark: SparkSession, path: str, telegram_id: int, store_path: str, embed_fn=None,

@@ -497,7 +497,7 @@ def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = ch.chunk_documents(notes, id_cols=("user_id", "telegram_message_id"), separator="\n",
                            keep_cols=("namespace", "index_name"))
     c = c.withColumn("chunk_id", ch.chunk_id("namespace", "telegram_message_id", "chunk_idx", "chunk"))
-    append_chunks(c, path)
-    append_chunks(c, path)
+    append_chunks(c, path, namespaces=notes)
+    append_chunks(c, path, namespaces=notes)
     return spark.read.parquet(path).select(F.col("telegram_message_id").alias("doc_id"), "namespace", "index_name",
                                            "chunk_idx", "chunk", "n_chars")

@@ -6,6 +6,7 @@ user's folder (partition pruning), and a namespace is cleared by rewriting the c
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,18 +57,24 @@ def write_pending_notes_csv(notes: DataFrame, path: str, user_col: str = "telegr
     _csv(pending.write.mode("overwrite").partitionBy(user_col)).csv(path)
 
 
-def append_chunks(chunks: DataFrame, path: str) -> int:
+def append_chunks(chunks: DataFrame, path: str, namespaces: DataFrame | None = None) -> int:
     """SNK4: append chunks whose deterministic ``chunk_id`` is not stored yet (idempotent re-runs).
 
-    Returns nothing heavy: the anti join against the stored ids runs on the executors.
+    Only stored ids of the namespaces being written take part: the store's id column is
+    semi-joined on the partition columns to ``namespaces`` (index_name, namespace) first, so the
+    anti join never shuffles the ids of untouched users. Pass ``namespaces`` from the notes when
+    they are at hand; by default they are taken from ``chunks``.
     """
     spark = chunks.sparkSession
+    keys = ["index_name", "namespace"]
+    touched = (namespaces if namespaces is not None else chunks).select(*keys).distinct()
     try:
-        stored = spark.read.parquet(path).select("index_name", "namespace", "chunk_id")
-        new = chunks.join(stored, ["index_name", "namespace", "chunk_id"], "left_anti")
-    except Exception:  # first write: nothing stored yet
+        stored = (spark.read.parquet(path).select(*keys, "chunk_id")
+                  .join(touched, keys, "left_semi"))
+        new = chunks.join(stored, [*keys, "chunk_id"], "left_anti")
+    except AnalysisException:  # first write: nothing stored yet
         new = chunks
-    new.write.mode("append").partitionBy("index_name", "namespace").parquet(path)
+    new.write.mode("append").partitionBy(*keys).parquet(path)
     return 0
 
 

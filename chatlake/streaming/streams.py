@@ -90,7 +90,7 @@ def index_notes_stream(spark: SparkSession, notes: DataFrame, store_path: str, s
         c = c.withColumn("chunk_id", ch.chunk_id("namespace", "telegram_message_id", "chunk_idx", "chunk"))
         if embed_fn is not None:
             c = embed_fn(c)
-        append_chunks(c, store_path)
+        append_chunks(c, store_path, namespaces=batch)
 
     run_available(notes.writeStream.foreachBatch(sink), ckpt or _ckpt(spark, "index_notes"))
 

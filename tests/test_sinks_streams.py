@@ -121,3 +121,18 @@ def test_mode_state_carries_across_micro_batches(spark, tmp_path):
     want = acc.route_modes(ev).select(*[c for c in got.columns if c != "batch_id"])
     got = got.drop("batch_id")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_append_reads_only_ids_of_touched_namespaces(spark, tmp_path):
+    path = str(tmp_path / "store")
+    c = _chunks(spark)
+    sinks.append_chunks(c, path)
+    one = c.where(F.col("namespace") == "user_1_notes")
+    sinks.append_chunks(one, path, namespaces=one)  # a re-import of user 1 adds nothing
+    got = spark.read.parquet(path)
+    assert got.count() == c.count()
+    assert got.groupBy("namespace").count().count() == 2
+    stored = spark.read.parquet(path).select("index_name", "namespace", "chunk_id")
+    plan = one.join(stored.join(one.select("index_name", "namespace").distinct(), ["index_name", "namespace"],
+                                "left_semi"), ["index_name", "namespace", "chunk_id"], "left_anti")
+    assert "LeftSemi" in plan._jdf.queryExecution().executedPlan().toString()
