@@ -62,11 +62,13 @@ def ingest_exports(spark: SparkSession, in_folder: str, out_path: str, clean_sou
     msgs = ex.project_messages(ex.explode_messages(ex.explode_chats(good)))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # the same file re-read by a replayed batch is dropped by the (file, chat_idx, pos) key
+        # the same file re-read by a replayed batch (or a new checkpoint) is dropped by the
+        # (file, chat_idx, pos) key; only stored keys of this batch's files take part
         try:
-            done = batch.sparkSession.read.parquet(out_path).select("file", "chat_idx", "pos")
+            done = (batch.sparkSession.read.parquet(out_path).select("file", "chat_idx", "pos")
+                    .join(batch.select("file").distinct(), "file", "left_semi"))
             batch = batch.join(done, ["file", "chat_idx", "pos"], "left_anti")
-        except Exception:
+        except AnalysisException:  # first batch: nothing stored yet
             pass
         batch.write.mode("append").parquet(out_path)
 
