@@ -3,7 +3,7 @@
 
 Plan: queries are equi-joined to the vectors on the namespace (a user's partition), so each
 query only meets its own namespace: pruning by partition, never all pairs. The query side is
-small and AQE turns the join into a broadcast at runtime when its measured size allows.
+written and measured first and broadcast only when it fits (``session.bounded_broadcast``).
 Cosine is a dot product of unit vectors computed with built-in array functions; the top-k
 is a row_number window, which Spark plans as a window-group-limit with a partial (map-side)
 top-k before the shuffle, so a hot query or namespace never ships more than k rows per task.
@@ -66,8 +66,13 @@ def score(queries: DataFrame, vectors: DataFrame, ns_col: str, qvec: str = "qvec
 
     ``keep`` names vector columns carried along (metadata such as source, date, text).
     """
+    from chatlake.session import bounded_broadcast
     v = vectors.select(ns_col, id_col, *keep, as_double(vec_col).alias("_v"))
-    j = queries.join(v, ns_col)
+    # The query side is written and measured: broadcast when it fits, so the (large) vector side is
+    # scored where it is read, with no shuffle; beyond the bound both sides are hash-joined on the
+    # namespace and AQE splits a hot namespace's partition.
+    q, _ = bounded_broadcast(queries, "search_queries")
+    j = q.join(v, ns_col)
     cos = F.try_divide(dot(qvec, "_v"), norm(qvec) * norm("_v"))  # a zero vector scores null
     return j.withColumn("score", relevance(cos)).drop("_v")
 

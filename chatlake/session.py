@@ -97,13 +97,22 @@ def _row_bytes(schema) -> int:
 def broadcast_fits(table, max_bytes: int | None = None) -> bool:
     """True when ``table`` (a written, re-read table) measures under the broadcast bound.
 
-    The row count comes from the files' footers; the bound is ``spark.sql.autoBroadcastJoinThreshold``
-    unless ``max_bytes`` is given (a negative threshold disables broadcasting).
+    The estimate is the larger of (row count from the footers x Spark's per-row size) and three
+    times the files' size; the bound is ``spark.sql.autoBroadcastJoinThreshold`` unless ``max_bytes``
+    is given (a negative threshold disables broadcasting).
     """
     spark = table.sparkSession
     limit = max_bytes if max_bytes is not None else _parse_bytes(
         spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
-    return limit > 0 and table.count() * _row_bytes(table.schema) <= limit
+    if limit <= 0:
+        return False
+    estimate = table.count() * _row_bytes(table.schema)
+    try:  # the written files' size covers long strings and arrays (vectors) the row estimate misses
+        disk = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        estimate = max(estimate, 3 * disk)
+    except Exception:  # no JVM handle (remote session): the row estimate alone
+        pass
+    return estimate <= limit
 
 
 def bounded_broadcast(df, name: str, max_bytes: int | None = None):
