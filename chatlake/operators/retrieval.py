@@ -85,6 +85,23 @@ def top_k(scored: DataFrame, k: int = TOP_K, threshold: float | None = SCORE_THR
     return s.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
+def with_documents(hits: DataFrame, docs: DataFrame, key: str = "vec_id") -> DataFrame:
+    """JN6: every hit with its document's columns (left-join semantics; ``key`` unique in ``docs``).
+
+    A left join could only broadcast the document side, so at scale it would shuffle all the
+    documents. Instead the hits are measured and, when they fit, broadcast into an inner join:
+    the documents are read in place. The matched rows are written (they are no more than the
+    hits), and hits without a document are added back by an anti join of two small tables.
+    """
+    from chatlake.session import bounded_broadcast, materialize
+    h, small = bounded_broadcast(hits, "hits")
+    if not small:
+        return h.join(docs, key, "left")
+    matched = materialize(docs.join(h, key), "hits_matched")
+    unmatched = h.join(matched.select(key).distinct(), key, "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)
+
+
 def best_per_source(hits: DataFrame, key: str = "query_id", source: str = "source",
                     id_col: str = "vec_id") -> DataFrame:
     """FLT10 + WIN3 + SET3: hits without a source are skipped; the best hit per source stays."""

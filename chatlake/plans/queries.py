@@ -330,7 +330,7 @@ def _hits(spark, sf_dir, k, threshold):
 def _with_note(spark, sf_dir, hits):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source",
                                                      F.col("text").alias("page_content"))
-    return hits.join(docs, "vec_id", "left")
+    return rt.with_documents(hits, docs, "vec_id")
 
 
 @query

@@ -53,3 +53,14 @@ def test_unit_norm_and_embedder(spark):
     assert np.linalg.norm(out[2]) == 0
     n = e.select(rt.norm(rt.as_double("v")).alias("n"), rt.normalize(rt.as_double("v")).alias("u")).collect()
     assert all(abs(x.n - 1) < 1e-6 or x.n == 0 for x in n)
+
+
+def test_with_documents_equals_left_join(spark):
+    from chatlake.operators import retrieval as rt
+    hits = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.8), (2, 10, 0.7), (2, 99, 0.65)],
+                                 "query_id long, vec_id long, score double")
+    docs = spark.createDataFrame([(10, "s1", "ten"), (11, None, "eleven"), (12, "s2", "twelve")],
+                                 "vec_id long, source string, page_content string")
+    got = rt.with_documents(hits, docs).select("query_id", "vec_id", "score", "source", "page_content")
+    want = hits.join(docs, "vec_id", "left").select(*got.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 4
