@@ -149,8 +149,10 @@ def run_update_table(spark: SparkSession, agg: DataFrame, out_path: str, ckpt: s
 def latest_rows(spark: SparkSession, path: str, keys) -> DataFrame:
     """The newest version of each key in an update log (max batch id per key)."""
     d = spark.read.parquet(path)
-    last = d.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
-    return d.join(last, [*keys, "batch_id"]).drop("batch_id")
+    rest = [c for c in d.columns if c not in keys and c != "batch_id"]
+    # one pass, partial aggregate per key: the row of the newest batch wins
+    return (d.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_row"))
+            .select(*keys, "_row.*"))
 
 
 # ---------------------------------------------------------------- STR3: mode routing with state
