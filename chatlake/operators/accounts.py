@@ -73,12 +73,10 @@ def running_subscription_end(payments: DataFrame, bucket: Column | None = None)
     """
     bucket = bucket if bucket is not None else F.to_date("paid_at")
     order = ["paid_at", "payment_id"]
-    r = running_sum(payments, ["user_id"], order, "months", bucket, "running_months")
-    first = payments.groupBy("user_id").agg(F.min("paid_at").alias("first_paid"))
-    return (r.join(first, "user_id")
-            .withColumn("end_after", F.col("first_paid")
-                        + F.make_dt_interval(days=F.col("running_months") * DAYS_PER_MONTH))
-            .drop("first_paid"))
+    r = running_sum(payments, ["user_id"], order, "months", bucket, "running_months", first_of="paid_at")
+    return (r.withColumn("end_after", F.col("first_paid_at")
+                         + F.make_dt_interval(days=F.col("running_months") * DAYS_PER_MONTH))
+            .drop("first_paid_at"))
 
 
 def with_access(users: DataFrame, ends: DataFrame, as_of: str, allowlist: DataFrame | None = None) -> DataFrame:

@@ -12,28 +12,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sum(df: DataFrame, keys, order_cols, value: str, bucket: Column, out: str) -> DataFrame:
+def running_sum(df: DataFrame, keys, order_cols, value: str, bucket: Column, out: str,
+                first_of: str | None = None) -> DataFrame:
     """``out`` = sum of ``value`` over all earlier-or-equal rows of the key (rows frame).
 
-    The bucket window and the bucket summary read the same (key, bucket) shuffle, so the input
-    is scanned and shuffled once (the second use is a reused exchange).
+    The bucket totals are a partial aggregate of the input (one row per key and bucket crosses
+    the shuffle), windowed per key; only the row window shuffles the full data. ``first_of`` also
+    adds ``first_<col>``: the key's minimum of that column, from the same small summary.
     """
     keys = list(keys)
     d = df.withColumn("_bucket", bucket)
     inner = F.sum(value).over(Window.partitionBy(*keys, "_bucket").orderBy(*order_cols)
                               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     w_in = d.withColumn("_inner", inner)
-    summary = w_in.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_bt"))
+    aggs = [F.sum(value).alias("_bt")]
+    if first_of:
+        aggs.append(F.min(first_of).alias("_bmin"))
+    summary = d.groupBy(*keys, "_bucket").agg(*aggs)
     before = F.coalesce(F.sum("_bt").over(Window.partitionBy(*keys).orderBy("_bucket")
                                           .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    summary = summary.select(*keys, "_bucket", before.alias("_before"))
+    cols = [*keys, "_bucket", before.alias("_before")]
+    if first_of:
+        cols.append(F.min("_bmin").over(Window.partitionBy(*keys)).alias(f"first_{first_of}"))
+    summary = summary.select(*cols)
     return (w_in.join(summary, [*keys, "_bucket"])
             .withColumn(out, F.col("_before") + F.col("_inner")).drop("_bucket", "_inner", "_before"))
 
 
 def carry_forward(df: DataFrame, keys, order_cols, value: str, bucket: Column, out: str,
                   include_current: bool = True) -> DataFrame:
-    """``out`` = last non-null ``value`` of the key up to this row (or strictly before it)."""
+    """``out`` = last non-null ``value`` of the key up to this row (or strictly before it).
+
+    Each bucket's last non-null value is a partial aggregate of the input (max of an ordered
+    struct), windowed per key over one row per bucket; only the row window shuffles the full data.
+    """
     keys = list(keys)
     d = df.withColumn("_bucket", bucket)
     end = Window.currentRow if include_current else -1
@@ -41,7 +53,7 @@ def carry_forward(df: DataFrame, keys, order_cols, value: str, bucket: Column, o
         Window.partitionBy(*keys, "_bucket").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end))
     w_in = d.withColumn("_inner", inner)
     ordered = F.struct(*[F.col(c) for c in order_cols], F.col(value).alias("_v"))
-    summary = (w_in.groupBy(*keys, "_bucket")
+    summary = (d.groupBy(*keys, "_bucket")
                .agg(F.max(F.when(F.col(value).isNotNull(), ordered)).getField("_v").alias("_last")))
     prev = F.last("_last", ignorenulls=True).over(
         Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
