@@ -338,3 +338,7 @@ ORACLES["chunk_store"] = ORACLES["stream_index"]
 ORACLES["users_with_notes"] = f"""
 SELECT user_id, username FROM {_USERS} u
 WHERE EXISTS (SELECT 1 FROM documents d WHERE TRY_CAST(substr(d.source, 4, 12) AS BIGINT) = u.user_id)"""
+
+
+# The exact streaming quota must equal the batch trailing count over the same messages.
+ORACLES["stream_quota_exact"] = ORACLES["quota_24h"]

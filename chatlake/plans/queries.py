@@ -436,6 +436,18 @@ def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.latest_rows(spark, path, ["user_id", "window_start"])
 
 
+@query
+def stream_quota_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from chatlake.session import scratch_path
+    from chatlake.streaming import streams as st
+    path = scratch_path(spark, f"stream_quota_exact/{uuid.uuid4().hex}")
+    ev = _stream_of(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    st.trailing_quota_batches(spark, ev, path, path + "_state")
+    return spark.read.parquet(path).select("event_id", "user_id", "ts", "prior_24h", "within_quota")
+
+
 @query
 def stream_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid

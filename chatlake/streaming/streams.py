@@ -138,6 +138,39 @@ def write_batch(batch: DataFrame, out_path: str, batch_id: int) -> None:
     batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
 
+def trailing_quota_batches(spark: SparkSession, messages: DataFrame, out_path: str, state_path: str,
+                           key: str = "user_id", ts: str = "ts", ckpt: str | None = None) -> None:
+    """STR5, exact form (WIN1 + FLT8 per message): messages of the same user in the 24 hours
+    before each message, counted over everything that arrived so far.
+
+    Each micro-batch is counted with the skew-safe trailing window (``accounts.trailing_24h``)
+    over the batch plus, as context only, the earlier batches' messages of its users from the
+    preceding day. The state is the messages themselves, one ``batch_id=N`` folder per batch
+    (overwritten on a replay); the context read is limited to one day before the batch's earliest
+    message (a literal filter that reaches the parquet scan) and to the batch's users.
+    """
+    cols = [c for c in messages.columns]
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        t0 = batch.agg(F.min(F.col(ts).cast("timestamp"))).first()[0]  # one value to the driver
+        if t0 is None:
+            return
+        rows = batch.withColumn("_cur", F.lit(True))
+        try:
+            hist = spark.read.parquet(state_path)
+            since = F.lit(t0).cast("timestamp") - F.expr("INTERVAL 1 DAY")
+            ctx = (hist.where((F.col("batch_id") < batch_id) & (F.col(ts).cast("timestamp") >= since))
+                   .drop("batch_id").join(batch.select(key).distinct(), key, "left_semi"))
+            rows = rows.unionByName(ctx.withColumn("_cur", F.lit(False)))
+        except AnalysisException:  # first batch: no earlier messages
+            pass
+        counted = acc.trailing_24h(rows, key, ts).where("_cur").drop("_cur")
+        write_batch(counted, out_path, batch_id)
+        write_batch(batch.select(*cols), state_path, batch_id)
+
+    run_available(messages.writeStream.foreachBatch(sink), ckpt or _ckpt(spark, "trailing_quota"))
+
+
 def run_update_table(spark: SparkSession, agg: DataFrame, out_path: str, ckpt: str | None = None) -> None:
     """Run an aggregate in update mode; every batch writes its changed rows under its batch id."""
     def sink(batch: DataFrame, batch_id: int) -> None:

@@ -136,3 +136,26 @@ def test_append_reads_only_ids_of_touched_namespaces(spark, tmp_path):
     plan = one.join(stored.join(one.select("index_name", "namespace").distinct(), ["index_name", "namespace"],
                                 "left_semi"), ["index_name", "namespace", "chunk_id"], "left_anti")
     assert "LeftSemi" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_quota_stream_counts_across_micro_batches(spark, tmp_path):
+    # three time-ordered files, one per micro-batch: messages of the previous batch within 24 hours
+    # must be counted, so the stream equals the batch trailing count over all messages
+    from chatlake.operators import accounts as acc
+    from chatlake.sources.tables import table
+    ev = table(spark, SF001, "events").select("event_id", "user_id", "ts")
+    folder = tmp_path / "ev"
+    bounds = ["2024-01-08 12:00:00", "2024-01-18 06:30:00"]
+    parts = [F.col("ts") < bounds[0], (F.col("ts") >= bounds[0]) & (F.col("ts") < bounds[1]), F.col("ts") >= bounds[1]]
+    for i, cond in enumerate(parts):
+        ev.where(cond).coalesce(1).write.parquet(str(folder / f"part{i}"))
+        os.rename(next(p for p in (folder / f"part{i}").iterdir() if p.name.endswith(".parquet")),
+                  folder / f"ev{i}.parquet")
+    stream = st.file_stream(spark, str(folder), ev.schema, glob="ev*.parquet", max_files=1)
+    out = str(tmp_path / "quota")
+    st.trailing_quota_batches(spark, stream, out, out + "_state")
+    got = spark.read.parquet(out)
+    assert got.select("batch_id").distinct().count() == 3
+    got = got.select("event_id", "user_id", "ts", "prior_24h", "within_quota")
+    want = acc.trailing_24h(ev).select(*got.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
