@@ -10,6 +10,7 @@ The store is parquet partitioned by (index_name, namespace) with columns
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +69,11 @@ def index_pending_notes(spark: SparkSession, notes: DataFrame, users: DataFrame,
     docs = (notes.where(acc.note_text("text").isNotNull()).join(u, "user_id")
             .select("user_id", "telegram_message_id", "text", F.lit(None).cast("string").alias("date"),
                     "namespace", "index_name"))
-    try:
-        stored = spark.read.parquet(store_path).select("namespace", "telegram_message_id").distinct()
+    try:  # stored ids of the touched namespaces only (semi join on the partition column first)
+        stored = (spark.read.parquet(store_path).select("namespace", "telegram_message_id")
+                  .join(docs.select("namespace").distinct(), "namespace", "left_semi").distinct())
         docs = docs.join(stored, ["namespace", "telegram_message_id"], "left_anti")
-    except Exception:  # empty store
+    except AnalysisException:  # empty store
         pass
     _to_store(spark, docs, store_path, embed_fn)
 
@@ -80,9 +82,10 @@ def search_notes(spark: SparkSession, queries: DataFrame, store_path: str, k: in
                  threshold: float | None = rt.SCORE_THRESHOLD, include_imported: bool = False) -> DataFrame:
     """Top-k hits per query inside the user's namespace, best hit per source (FLT10/WIN3).
 
-    ``queries``: (query_id, telegram_id, qvec). The store is joined on (index_name, namespace),
-    so only the queried users' folders are read (dynamic partition pruning). Imported chunks
-    (date only) are kept when ``include_imported`` (distinct by text, Q1).
+    ``queries``: (query_id, telegram_id, qvec). The store is equi-joined on the namespace with the
+    measured, broadcast queries, so every stored vector meets only its own user's queries and is
+    scored where it is read (``retrieval.score``). Imported chunks (date only) are kept when
+    ``include_imported`` (distinct by text, Q1).
     """
     q = queries.select("query_id", "qvec", acc.namespace("telegram_id").alias("namespace"))
     store = spark.read.parquet(store_path)
