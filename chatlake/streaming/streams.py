@@ -190,25 +190,59 @@ def latest_rows(spark: SparkSession, path: str, keys) -> DataFrame:
 
 # ---------------------------------------------------------------- STR3: mode routing with state
 
-def _latest_state(spark: SparkSession, state_path: str, batch_id: int, keys: DataFrame, key: str = "user_id"):
-    """Mode of each key after the newest earlier batch that touched it, only for ``keys``."""
+def _snapshots(state_path: str) -> str:
+    return state_path + "_snapshots"
+
+
+def _state_rows(spark: SparkSession, state_path: str, before: int):
+    """(key, mode, batch_id) rows that hold every key's newest mode before batch ``before``:
+    the newest snapshot taken before it, plus the per-batch deltas written after that snapshot."""
+    parts = []
+    snap = None
+    try:  # one number to the driver: the newest snapshot before this batch
+        snap = (spark.read.parquet(_snapshots(state_path)).where(F.col("upto") < before)
+                .agg(F.max("upto")).first()[0])
+    except AnalysisException:  # no snapshot yet
+        pass
+    if snap is not None:
+        parts.append(spark.read.parquet(f"{_snapshots(state_path)}/upto={snap}")
+                     .withColumn("batch_id", F.lit(snap).cast("int")))
     try:
-        hist = spark.read.parquet(state_path)
+        deltas = spark.read.parquet(state_path).where(F.col("batch_id") < before)
+        if snap is not None:
+            deltas = deltas.where(F.col("batch_id") > snap)  # partition pruning: later folders only
+        parts.append(deltas)
     except AnalysisException:  # first batch: no state yet
+        pass
+    if not parts:
+        return None
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows
+
+
+def _latest_state(spark: SparkSession, state_path: str, batch_id: int, keys: DataFrame, key: str = "user_id"):
+    """Mode of each key after the newest earlier batch that touched it, only for ``keys``."""
+    rows = _state_rows(spark, state_path, batch_id)
+    if rows is None:
         return None
-    return (hist.where(F.col("batch_id") < batch_id).join(keys, key, "left_semi")
+    return (rows.join(keys, key, "left_semi")
             .groupBy(key).agg(F.max_by("mode", "batch_id").alias("mode")))
 
 
 def route_modes_batches(spark: SparkSession, messages: DataFrame, out_path: str, state_path: str,
-                        key: str = "user_id", ts: str = "ts", tie: str = "event_id", ckpt: str | None = None) -> None:
+                        key: str = "user_id", ts: str = "ts", tie: str = "event_id", ckpt: str | None = None,
+                        snapshot_every: int = 50) -> None:
     """STR3: route each message by its user's current mode; the mode is state kept across batches.
 
     Each micro-batch runs the batch operator ``route_modes`` (a day-split window, so a user with a
     third of all messages is still spread over tasks), seeded with every user's mode from earlier
     batches. The state is a keyed table: one ``batch_id=N`` folder per batch with the mode after
     the batch of each user it touched (including a cleared mode, which must override older
-    values). Output and state folders are overwritten on a replay, so a retried batch is a no-op.
+    values). Every ``snapshot_every`` batches the newest mode of every user is written as a
+    snapshot, so a batch reads one snapshot and the deltas after it, not the whole history.
+    Output, state and snapshot folders are overwritten on a replay, so a retried batch is a no-op.
     Messages are routed in time order inside a batch and in arrival order across batches.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -218,6 +252,10 @@ def route_modes_batches(spark: SparkSession, messages: DataFrame, out_path: str,
         done = spark.read.parquet(f"{out_path}/batch_id={batch_id}")  # read back, not recomputed
         state = done.groupBy(key).agg(F.max_by("mode_after", F.struct(ts, tie)).alias("mode"))
         write_batch(state, state_path, batch_id)
+        if snapshot_every and (batch_id + 1) % snapshot_every == 0:
+            snap = (_state_rows(spark, state_path, batch_id + 1)
+                    .groupBy(key).agg(F.max_by("mode", "batch_id").alias("mode")))
+            snap.write.mode("overwrite").parquet(f"{_snapshots(state_path)}/upto={batch_id}")
 
     run_available(messages.writeStream.foreachBatch(sink), ckpt or _ckpt(spark, "route_modes"))
 

@@ -115,7 +115,9 @@ def test_mode_state_carries_across_micro_batches(spark, tmp_path):
                   tmp_path / "events" / f"ev{i}.parquet")
     stream = st.file_stream(spark, folder, ev.schema, glob="ev*.parquet", max_files=1)
     out = str(tmp_path / "routed")
-    st.route_modes_batches(spark, stream, out, out + "_state")
+    # a snapshot after batch 1: batch 2 reads it instead of the earlier deltas
+    st.route_modes_batches(spark, stream, out, out + "_state", snapshot_every=2)
+    assert os.path.isdir(out + "_state_snapshots/upto=1")
     got = spark.read.parquet(out)
     assert got.select("batch_id").distinct().count() == 3
     want = acc.route_modes(ev).select(*[c for c in got.columns if c != "batch_id"])
