@@ -47,15 +47,27 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared (distributed) folder and is used as is.
-    Only when it is unset (local tests) a fresh scratch folder is created.
+    On a cluster this setting names a shared (distributed) folder and is used as is. When it is
+    unset, the SparkContext's checkpoint folder is used if one was set; only when neither exists
+    (a local run) a scratch folder is created and registered with ``setCheckpointDir`` -- the
+    ``spark.checkpoint.dir`` setting itself cannot be changed at runtime.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="chatlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session: no SparkContext here
+        sc = None
+    if d:
+        if sc is not None and sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(d)
+        return d
+    current = sc.getCheckpointDir() if sc is not None else None
+    if current:
+        return current
+    d = tempfile.mkdtemp(prefix="chatlake-ckpt-")
+    if sc is not None:
+        sc.setCheckpointDir(d)
+        return sc.getCheckpointDir() or d  # the same folder on every later call
     return d
 
 

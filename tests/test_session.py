@@ -15,3 +15,32 @@ def test_broadcast_only_under_the_measured_bound(spark):
     probe = spark.range(2000).select(F.col("id").alias("k"))
     assert "BroadcastHashJoin" in probe.join(small, "k")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in probe.join(big, "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_checkpoint_folder_when_the_setting_is_unset():
+    # spark.checkpoint.dir cannot be set at runtime: an unset session falls back to the context's
+    # checkpoint folder, or registers a scratch folder with setCheckpointDir (local runs only)
+    from chatlake.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        def __init__(self, current):
+            self.current = current
+
+        def getCheckpointDir(self):
+            return self.current
+
+        def setCheckpointDir(self, d):
+            self.current = d + "/app"
+
+    class Session:
+        def __init__(self, current):
+            self.conf, self.sparkContext = Conf(), Context(current)
+
+    assert ensure_checkpoint_dir(Session("file:/shared/ckpt/app")) == "file:/shared/ckpt/app"
+    fresh = Session(None)
+    d = ensure_checkpoint_dir(fresh)
+    assert d.endswith("/app") and fresh.sparkContext.current == d
