@@ -67,9 +67,9 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     The (group, term, df) table is written to the shared folder first (it also cuts lineage);
     with ``broadcast_check`` it is broadcast only when its measured size is under the threshold.
 
-    ``materialize`` writes the (doc, term, tf) table to the shared checkpoint folder instead, so
-    tokenising runs once; the default tokenises in both branches, which measured faster than
-    writing and re-reading the (doc, term) table and keeps the per-document partitioning.
+    Texts are tokenised twice: once per row for document frequency, once inside the document
+    partitioning for tf. ``materialize`` also writes the (doc, term, tf) table to the shared folder
+    (lineage cut before the join), at the cost of losing that partitioning for the norm window.
     """
     g = list(group_cols)
     texts = docs.where(F.col(text_col).isNotNull())
@@ -101,7 +101,6 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     base = by_document(texts, [*g, id_col])
     tf = term_frequencies(base, id_col, text_col, g, keep_colon, stopwords)
     if materialize:
-        from chatlake.session import materialize as write_table
         tf = write_table(tf, "tfidf_tf")
     v = tf.join(idf, g + ["term"]).select(*g, id_col, "term", (F.col("tf") * F.col("idf")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*g, id_col)))
