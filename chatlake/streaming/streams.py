@@ -138,6 +138,13 @@ def write_batch(batch: DataFrame, out_path: str, batch_id: int) -> None:
     batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
 
+def _days(first: str, last: str) -> list[str]:
+    """Every calendar day from ``first`` to ``last`` (``yyyy-MM-dd`` text), both included."""
+    import datetime as dt
+    a, b = dt.date.fromisoformat(first), dt.date.fromisoformat(last)
+    return [(a + dt.timedelta(days=i)).isoformat() for i in range((b - a).days + 1)]
+
+
 def trailing_quota_batches(spark: SparkSession, messages: DataFrame, out_path: str, state_path: str,
                            key: str = "user_id", ts: str = "ts", ckpt: str | None = None) -> None:
     """STR5, exact form (WIN1 + FLT8 per message): messages of the same user in the 24 hours
@@ -145,28 +152,35 @@ def trailing_quota_batches(spark: SparkSession, messages: DataFrame, out_path: s
 
     Each micro-batch is counted with the skew-safe trailing window (``accounts.trailing_24h``)
     over the batch plus, as context only, the earlier batches' messages of its users from the
-    preceding day. The state is the messages themselves, one ``batch_id=N`` folder per batch
-    (overwritten on a replay); the context read is limited to one day before the batch's earliest
-    message (a literal filter that reaches the parquet scan) and to the batch's users.
+    preceding day. The state is the messages themselves, partitioned by (day, batch_id) and written
+    with dynamic partition overwrite (a replay replaces its own folders). A batch reads only the
+    day folders from one day before its earliest message to its latest one (a path glob, so old
+    days are not even listed), then filters by time and semi-joins to its users.
     """
-    cols = [c for c in messages.columns]
+    cols = list(messages.columns)
+    t = F.col(ts).cast("timestamp")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        t0 = batch.agg(F.min(F.col(ts).cast("timestamp"))).first()[0]  # one value to the driver
-        if t0 is None:
+        span = batch.agg(  # two short texts to the driver: the time range the context must cover
+            F.date_format(F.min(t) - F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("since"),
+            F.date_format(F.max(t), "yyyy-MM-dd").alias("last")).first()
+        if span["since"] is None:
             return
         rows = batch.withColumn("_cur", F.lit(True))
+        days = ",".join(_days(span["since"][:10], span["last"]))
         try:
-            hist = spark.read.parquet(state_path)
-            since = F.lit(t0).cast("timestamp") - F.expr("INTERVAL 1 DAY")
-            ctx = (hist.where((F.col("batch_id") < batch_id) & (F.col(ts).cast("timestamp") >= since))
-                   .drop("batch_id").join(batch.select(key).distinct(), key, "left_semi"))
+            hist = spark.read.option("basePath", state_path).parquet(f"{state_path}/day={{{days}}}")
+            ctx = (hist.where((F.col("batch_id") < batch_id) & (t >= F.lit(span["since"]).cast("timestamp")))
+                   .select(*cols).join(batch.select(key).distinct(), key, "left_semi"))
             rows = rows.unionByName(ctx.withColumn("_cur", F.lit(False)))
-        except AnalysisException:  # first batch: no earlier messages
+        except AnalysisException:  # no earlier messages in those days
             pass
         counted = acc.trailing_24h(rows, key, ts).where("_cur").drop("_cur")
         write_batch(counted, out_path, batch_id)
-        write_batch(batch.select(*cols), state_path, batch_id)
+        (batch.select(*cols).withColumn("day", F.date_format(t, "yyyy-MM-dd"))
+         .withColumn("batch_id", F.lit(batch_id))
+         .write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+         .partitionBy("day", "batch_id").parquet(state_path))
 
     run_available(messages.writeStream.foreachBatch(sink), ckpt or _ckpt(spark, "trailing_quota"))
 

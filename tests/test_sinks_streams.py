@@ -158,6 +158,8 @@ def test_exact_quota_stream_counts_across_micro_batches(spark, tmp_path):
     st.trailing_quota_batches(spark, stream, out, out + "_state")
     got = spark.read.parquet(out)
     assert got.select("batch_id").distinct().count() == 3
+    # each batch replaced only its own (day, batch) folders: all messages are still in the state
+    assert spark.read.parquet(out + "_state").count() == ev.count()
     got = got.select("event_id", "user_id", "ts", "prior_24h", "within_quota")
     want = acc.trailing_24h(ev).select(*got.columns)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
