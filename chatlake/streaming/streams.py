@@ -208,37 +208,41 @@ def _snapshots(state_path: str) -> str:
     return state_path + "_snapshots"
 
 
-def _state_rows(spark: SparkSession, state_path: str, before: int):
+def _state_rows(spark: SparkSession, state_path: str, before: int, snapshot_every: int = 0,
+                snap_before: int | None = None):
     """(key, mode, batch_id) rows that hold every key's newest mode before batch ``before``:
-    the newest snapshot taken before it, plus the per-batch deltas written after that snapshot."""
-    parts = []
-    snap = None
-    try:  # one number to the driver: the newest snapshot before this batch
-        snap = (spark.read.parquet(_snapshots(state_path)).where(F.col("upto") < before)
-                .agg(F.max("upto")).first()[0])
-    except AnalysisException:  # no snapshot yet
-        pass
-    if snap is not None:
-        parts.append(spark.read.parquet(f"{_snapshots(state_path)}/upto={snap}")
-                     .withColumn("batch_id", F.lit(snap).cast("int")))
+    the newest snapshot taken before it, plus the per-batch deltas written after that snapshot.
+
+    Snapshots are taken after every ``snapshot_every``-th batch, so the newest one is known
+    without listing; the deltas after it are at most ``snapshot_every - 1`` folders, read by a
+    path glob. Without a usable snapshot every earlier delta is read.
+    """
+    limit = before if snap_before is None else snap_before  # the snapshot used is taken before this batch
+    snap = (limit // snapshot_every) * snapshot_every - 1 if snapshot_every else -1
+    if snap >= 0:
+        try:
+            base = (spark.read.parquet(f"{_snapshots(state_path)}/upto={snap}")
+                    .withColumn("batch_id", F.lit(snap).cast("int")))
+            ids = ",".join(str(i) for i in range(snap + 1, before))
+            if not ids:
+                return base
+            try:
+                deltas = spark.read.option("basePath", state_path).parquet(f"{state_path}/batch_id={{{ids}}}")
+                return base.unionByName(deltas.select(*base.columns))
+            except AnalysisException:  # no delta folder after the snapshot yet
+                return base
+        except AnalysisException:  # snapshot missing (e.g. another cadence before): read everything
+            pass
     try:
-        deltas = spark.read.parquet(state_path).where(F.col("batch_id") < before)
-        if snap is not None:
-            deltas = deltas.where(F.col("batch_id") > snap)  # partition pruning: later folders only
-        parts.append(deltas)
+        return spark.read.parquet(state_path).where(F.col("batch_id") < before)
     except AnalysisException:  # first batch: no state yet
-        pass
-    if not parts:
         return None
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows
 
 
-def _latest_state(spark: SparkSession, state_path: str, batch_id: int, keys: DataFrame, key: str = "user_id"):
+def _latest_state(spark: SparkSession, state_path: str, batch_id: int, keys: DataFrame, key: str = "user_id",
+                  snapshot_every: int = 0):
     """Mode of each key after the newest earlier batch that touched it, only for ``keys``."""
-    rows = _state_rows(spark, state_path, batch_id)
+    rows = _state_rows(spark, state_path, batch_id, snapshot_every)
     if rows is None:
         return None
     return (rows.join(keys, key, "left_semi")
@@ -255,19 +259,22 @@ def route_modes_batches(spark: SparkSession, messages: DataFrame, out_path: str,
     batches. The state is a keyed table: one ``batch_id=N`` folder per batch with the mode after
     the batch of each user it touched (including a cleared mode, which must override older
     values). Every ``snapshot_every`` batches the newest mode of every user is written as a
-    snapshot, so a batch reads one snapshot and the deltas after it, not the whole history.
+    snapshot, so a batch reads one snapshot and at most ``snapshot_every - 1`` delta folders (by
+    path, nothing else is listed), not the whole history.
     Output, state and snapshot folders are overwritten on a replay, so a retried batch is a no-op.
     Messages are routed in time order inside a batch and in arrival order across batches.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
         users = batch.select(key).distinct()
-        routed = acc.route_modes(batch, key, ts, tie, initial=_latest_state(spark, state_path, batch_id, users, key))
+        prior = _latest_state(spark, state_path, batch_id, users, key, snapshot_every)
+        routed = acc.route_modes(batch, key, ts, tie, initial=prior)
         write_batch(routed, out_path, batch_id)
         done = spark.read.parquet(f"{out_path}/batch_id={batch_id}")  # read back, not recomputed
         state = done.groupBy(key).agg(F.max_by("mode_after", F.struct(ts, tie)).alias("mode"))
         write_batch(state, state_path, batch_id)
         if snapshot_every and (batch_id + 1) % snapshot_every == 0:
-            snap = (_state_rows(spark, state_path, batch_id + 1)
+            # previous snapshot + the deltas since, this batch's included
+            snap = (_state_rows(spark, state_path, batch_id + 1, snapshot_every, snap_before=batch_id)
                     .groupBy(key).agg(F.max_by("mode", "batch_id").alias("mode")))
             snap.write.mode("overwrite").parquet(f"{_snapshots(state_path)}/upto={batch_id}")
 

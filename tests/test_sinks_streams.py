@@ -107,19 +107,25 @@ def test_mode_state_carries_across_micro_batches(spark, tmp_path):
     from chatlake.operators import accounts as acc
     ev = entry.queries()["mode_routing"](spark, SF001).select("event_id", "user_id", "ts", "command")
     folder = str(tmp_path / "events")
-    bounds = ["2024-01-08", "2024-01-18"]
-    parts = [F.col("ts") < bounds[0], (F.col("ts") >= bounds[0]) & (F.col("ts") < bounds[1]), F.col("ts") >= bounds[1]]
+    bounds = ["2024-01-08", "2024-01-14", "2024-01-22"]
+    parts = [F.col("ts") < bounds[0], (F.col("ts") >= bounds[0]) & (F.col("ts") < bounds[1]),
+             (F.col("ts") >= bounds[1]) & (F.col("ts") < bounds[2]), F.col("ts") >= bounds[2]]
     for i, cond in enumerate(parts):
         ev.where(cond).coalesce(1).write.parquet(f"{folder}/part{i}")
         os.rename(next(p for p in (tmp_path / "events" / f"part{i}").iterdir() if p.name.endswith(".parquet")),
                   tmp_path / "events" / f"ev{i}.parquet")
     stream = st.file_stream(spark, folder, ev.schema, glob="ev*.parquet", max_files=1)
     out = str(tmp_path / "routed")
-    # a snapshot after batch 1: batch 2 reads it instead of the earlier deltas
+    # snapshots after batches 1 and 3: batches 2 and 3 read snapshot 1 (plus delta 2), and
+    # snapshot 3 is built from snapshot 1 and the deltas of batches 2 and 3
     st.route_modes_batches(spark, stream, out, out + "_state", snapshot_every=2)
-    assert os.path.isdir(out + "_state_snapshots/upto=1")
+    assert os.path.isdir(out + "_state_snapshots/upto=1") and os.path.isdir(out + "_state_snapshots/upto=3")
     got = spark.read.parquet(out)
-    assert got.select("batch_id").distinct().count() == 3
+    assert got.select("batch_id").distinct().count() == 4
+    last = (acc.route_modes(ev).groupBy("user_id")
+            .agg(F.max_by("mode_after", F.struct("ts", "event_id")).alias("mode")))
+    snap = spark.read.parquet(out + "_state_snapshots/upto=3")
+    assert snap.exceptAll(last.select(*snap.columns)).count() == 0 and last.count() == snap.count()
     want = acc.route_modes(ev).select(*[c for c in got.columns if c != "batch_id"])
     got = got.drop("batch_id")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
