@@ -45,6 +45,9 @@ def run_available(writer, ckpt: str) -> None:
 
 # ---------------------------------------------------------------- STR1: export ingest
 
+FILE_BUCKETS = 64  # hash buckets of the source file that partition the ingested messages
+
+
 def ingest_exports(spark: SparkSession, in_folder: str, out_path: str, clean_source: str | None = None,
                    ckpt: str | None = None) -> None:
     """STR1 + SRC5: parse each export file as it arrives and append its messages.
@@ -62,15 +65,26 @@ def ingest_exports(spark: SparkSession, in_folder: str, out_path: str, clean_sou
     msgs = ex.project_messages(ex.explode_messages(ex.explode_chats(good)))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # the same file re-read by a replayed batch (or a new checkpoint) is dropped by the
-        # (file, chat_idx, pos) key; only stored keys of this batch's files take part
+        # The same file re-read by a replayed batch (or a new checkpoint) is dropped by the
+        # (file, chat_idx, pos) key. The output is partitioned by a fixed hash bucket of the file, so
+        # only the bucket folders of this batch's files are read (by path), then semi-joined to them.
+        batch = batch.withColumn("file_bucket", F.pmod(F.xxhash64("file"), F.lit(FILE_BUCKETS)).cast("int"))
+        batch = batch.persist()  # used three times; recomputed from the files if an executor is lost
         try:
-            done = (batch.sparkSession.read.parquet(out_path).select("file", "chat_idx", "pos")
-                    .join(batch.select("file").distinct(), "file", "left_semi"))
-            batch = batch.join(done, ["file", "chat_idx", "pos"], "left_anti")
-        except AnalysisException:  # first batch: nothing stored yet
-            pass
-        batch.write.mode("append").parquet(out_path)
+            buckets = sorted(r[0] for r in batch.select("file_bucket").distinct().collect())  # <= 64 numbers
+            if not buckets:
+                return
+            new = batch
+            try:
+                glob = f"{out_path}/file_bucket={{{','.join(str(b) for b in buckets)}}}"
+                done = (spark.read.option("basePath", out_path).parquet(glob).select("file", "chat_idx", "pos")
+                        .join(batch.select("file").distinct(), "file", "left_semi"))
+                new = batch.join(done, ["file", "chat_idx", "pos"], "left_anti")
+            except AnalysisException:  # nothing stored in those buckets yet
+                pass
+            new.write.mode("append").partitionBy("file_bucket").parquet(out_path)
+        finally:
+            batch.unpersist()
 
     run_available(msgs.writeStream.foreachBatch(sink), ckpt or _ckpt(spark, "ingest_exports"))
 
