@@ -175,6 +175,13 @@ def trailing_quota_batches(spark: SparkSession, messages: DataFrame, out_path: s
     t = F.col(ts).cast("timestamp")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read several times below; recomputed from the source if lost
+        try:
+            _count_batch(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _count_batch(batch: DataFrame, batch_id: int) -> None:
         span = batch.agg(  # two short texts to the driver: the time range the context must cover
             F.date_format(F.min(t) - F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("since"),
             F.date_format(F.max(t), "yyyy-MM-dd").alias("last")).first()
@@ -279,6 +286,13 @@ def route_modes_batches(spark: SparkSession, messages: DataFrame, out_path: str,
     Messages are routed in time order inside a batch and in arrival order across batches.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read several times below; recomputed from the source if lost
+        try:
+            _route_batch(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _route_batch(batch: DataFrame, batch_id: int) -> None:
         users = batch.select(key).distinct()
         prior = _latest_state(spark, state_path, batch_id, users, key, snapshot_every)
         routed = acc.route_modes(batch, key, ts, tie, initial=prior)
