@@ -97,6 +97,13 @@ def index_notes_stream(spark: SparkSession, notes: DataFrame, store_path: str, s
     to the (index_name, namespace)-partitioned store. The checkpoint replaces the 'indexed'
     flag; deterministic chunk ids make a replayed batch a no-op."""
     def sink(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # chunked and used for the touched namespaces; recomputed if lost
+        try:
+            _index_batch(batch)
+        finally:
+            batch.unpersist()
+
+    def _index_batch(batch: DataFrame) -> None:
         from chatlake.sources.sinks import append_chunks
         from chatlake.sources.tables import spread
         # chunk inside the batch: a small batch read by one task is spread over the cores first
