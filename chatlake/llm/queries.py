@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import bpe, minhash
+from chatlake.llm import bpe, minhash, warc
 from chatlake.llm import exact_dedup as xd
 from chatlake.llm.common import table
 
@@ -51,3 +51,23 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = warc.archive_and_read(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return seen.select("page_id", "response.payload_bytes", "response.payload_digest", "response.record_type", "response.refers_to")
+
+
+SQL["op3_warc_captures"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex,
+             min(page_id) OVER (PARTITION BY body) AS first_id FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(1 + ((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), '')
+           AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM h
+"""
