@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import bpe, minhash, warc
+from chatlake.llm import bpe, minhash, mixing, warc
 from chatlake.llm import exact_dedup as xd
 from chatlake.llm.common import table
 
@@ -71,3 +71,32 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM h
 """
+
+
+@query
+def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    placed = mixing.assign(docs)
+    placed = placed.orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id")
+    return placed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op6_curriculum_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size) AS cap,
+             [5.0::DOUBLE, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS i, sum(source_size) OVER () AS total,
+             sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST) - cap AS before,
+             sum(weight) OVER (ORDER BY cap / weight DESC, source DESC NULLS FIRST) AS rest FROM s),
+l AS (SELECT *, (total - before) / rest AS level FROM o),
+f AS (SELECT min(i) AS i, min_by(level, i) AS level FROM l WHERE cap > level * weight),
+t AS (SELECT l.source, l.source_size, CASE WHEN f.i IS NULL OR l.i < f.i THEN l.cap ELSE f.level * l.weight END AS target FROM l, f),
+m AS (SELECT doc_id, size, t.source_size, target,
+             sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id) - size / 2.0 AS middle
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(size * ((middle < target)::INT + (middle + source_size < target)::INT + (middle + 2 * source_size < target)::INT) AS BIGINT) AS taken
+FROM m
+"""
