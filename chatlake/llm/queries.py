@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import bpe, minhash, mixing, warc
+from chatlake.llm import bpe, minhash, mixing, topk, warc
+from chatlake.llm import chat_format as cf
 from chatlake.llm import exact_dedup as xd
 from chatlake.llm.common import table
 
@@ -100,3 +101,50 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * ((middle < target)::INT + (middle + source_size < target)::INT + (middle + 2 * source_size < target)::INT) AS BIGINT) AS taken
 FROM m
 """
+
+
+@query
+def op7_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+
+
+SQL["op7_norm_sorted_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query
+def op5_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = rows.unionByName(extra).select("conv_id", "turn", "role", cf.text_parts(F.col("text")).alias("parts"))
+    pieces = cf.format_pieces(rows)
+    turns = F.transform(cf.read_turns(F.col("text")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = pieces.select("conv", "piece", F.size(cf.read_turns(F.col("text"))).cast("long").alias("turns"),
+                         F.array_join(turns, "").alias("all"), F.array_join(cf.read_loss(F.col("text"), F.col("loss")), "").alias("loss"),
+                         F.char_length("text").cast("long").alias("chars"))
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", c))), lambda p: p[c]), "")
+    chats = read.groupBy("conv").agg(F.sum("turns").alias("n_turns"), joined("all").alias("all"), joined("loss").alias("loss"),
+                                     F.sum("chars").alias("formatted_chars"))
+    return chats.select(F.col("conv").alias("conv_id"), "n_turns", F.sha2("all", 256).alias("turns_sha256"),
+                        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+SQL["op5_chat_parts"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(i)),
+e AS (SELECT *, length('<turn><body><text></turn>') + sum_len AS chars FROM (SELECT *, (SELECT
+        length(regexp_replace(role, p, '\1\\\2\3', 'g')) + length(regexp_replace(text, p, '\1\\\2\3', 'g')) FROM
+        (SELECT '([<\[])(\\*)(/?turn>|body>|(?:text|image|audio|document|part)>|/?s>|/?INST\])' AS p)) AS sum_len FROM c)),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+             CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
