@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatlake.llm import bpe, minhash, mixing, topk, warc
 from chatlake.llm import chat_format as cf
+from chatlake.llm import suffix_dedup as sd
 from chatlake.llm import exact_dedup as xd
 from chatlake.llm.common import table
 
@@ -148,3 +149,11 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
              CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = sd.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
