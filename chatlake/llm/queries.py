@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import bpe, minhash, mixing, topk, warc
+from chatlake.llm import bpe, minhash, mixing, pii, topk, warc
 from chatlake.llm import chat_format as cf
 from chatlake.llm import suffix_dedup as sd
+from chatlake.llm import toxicity as tox
 from chatlake.llm import exact_dedup as xd
 from chatlake.llm.common import table
 
@@ -157,3 +158,29 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def held_out(col) -> Column:
+    """The fold that learns nothing: crc32 of the id's text leaves 2 when divided by 4."""
+    return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tox.Model:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return tox.train(docs, labels, ~held_out(F.col("id")))
+
+
+@query
+def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = tox.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op4_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.learn(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
