@@ -1,31 +1,78 @@
-"""The corpus pipeline: stages over the documents table, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Toxic documents go; of equal texts one row stays; of every group of near-duplicates one document stays; the sources are mixed to
+their target weights (a document once for each pass that takes it, in training order); the mix is encoded by byte-level BPE.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows it is given. Columns a stage doesn't need pass through
+under other names, so they may be called like its results. Defined results, besides those of the operators: documents
+without an id are judged by their texts and are never dropped as near-duplicates; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chatlake.llm import exact_dedup as xd
+from chatlake.llm import bpe, exact_dedup, minhash, mixing, toxicity
 from chatlake.llm.common import new_path, table
+from chatlake.llm.queries import bpe_path, toxicity_model
+
+NEEDED = ("doc_id", "text", "source")
+TOXIC = 0.3
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns that no stage reads under names that no stage uses."""
+    return docs.toDF(*(c if c in NEEDED else f"__column_{i}" for i, c in enumerate(docs.columns)))
+
+
+def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(c if c in NEEDED else f"__column_{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar scores below ``TOXIC``."""
+    rows = _aside(docs)
+    scored = toxicity.score(rows, toxicity_model(spark, rows.select("doc_id", "text"), sf_dir), keep_text=True)
+    return _back(scored.where(F.col("score") < TOXIC), docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays."""
-    return xd.exact_dedup(docs).where("kept").select(*docs.columns)
+    """Of equal texts the row with the smallest doc_id."""
+    return _back(exact_dedup.exact_dedup(_aside(docs)).where("kept"), docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near-duplicates the document with the smallest doc_id."""
+    judged = minhash.near_dedup(docs.select("doc_id", "text"))
+    go = judged.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(go, "doc_id", "left_anti").select(*docs.columns)
 
-ORACLE_SQL = None
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources' documents in training order, once for each pass that takes them."""
+    return _back(mixing.curriculum(_aside(docs)), docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, and whether they decode to its text."""
+    rows = docs.select("doc_id", "source", "text")
+    done = bpe.decode(bpe.encode(rows, bpe_path(), keep_text=True), bpe_path())
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return done.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES = [("toxicity", toxic), ("exact dedup", exact), ("minhash near-dedup", near), ("mixing", mix), ("bpe", encode)]
+
+ORACLE_SQL = None  # a trained score, MinHash components and BPE have no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the last stage's rows."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
+    for name, stage in STAGES[:-1]:
         path = new_path(spark, f"stage-{name.replace(' ', '-')}")
+        out = stage(spark, docs, sf_dir)
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
