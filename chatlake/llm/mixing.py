@@ -90,7 +90,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, ceiling: float = CEILING, schedul
 def assign(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS,
            ceiling: int = CEILING, schedules=SCHEDULES) -> DataFrame:
     """``docs`` with size, source_size, target, copies, taken (words, repeats counted) and positions (one per copy)."""
-    rows = docs.drop(*(c for c in ADDED if c not in (id_col, source_col, text_col)))
+    own = [c for c in docs.columns if c not in ADDED or c in (id_col, source_col, text_col)]
+    rows = docs.select(*own)
     # the first 32 bits of a digest of the id: a seeded order that SQL can repeat
     order = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10)
     keyed = {"__size": word_count(text_col), "__order": order.cast("long"), "__source": F.col(source_col)}
@@ -115,7 +116,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     out = {"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"),
            "copies": F.size("__taken"), "taken": F.size("__taken") * F.col("__size"),
            "positions": F.transform("__taken", lambda m: training_time(m / F.col("__target"), F.col("__schedule")))}
-    return joined.withColumns(out).select(*(c for c in rows.columns if not c.startswith("__")), *out)
+    return joined.withColumns(out).select(*(c for c in own if c not in out), *out)
 
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
