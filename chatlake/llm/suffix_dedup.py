@@ -123,16 +123,16 @@ def suffix_array(data: np.ndarray, words: np.ndarray, depth: int = LENGTH) -> np
     group = np.cumsum(np.append(True, words[order][1:] != words[order][:-1])[:len(order)]) if len(order) else order
     tied = np.arange(len(order))
     for at in range(8, depth, 8):
+        if not len(tied):
+            break
         g = group[tied]
         same = np.append(g[1:] == g[:-1], False)
         tied = tied[same | np.append(False, same[:-1])]
-        if not len(tied):
-            break
         g, p = group[tied], order[tied]
         w = words[p + at]
         sort = np.lexsort((w, g))
         order[tied], w = p[sort], w[sort]
-        fresh = np.append(True, (g[1:] != g[:-1]) | (w[1:] != w[:-1]))
+        fresh = np.append(True, (g[1:] != g[:-1]) | (w[1:] != w[:-1]))[:len(tied)]
         group[tied] = np.cumsum(fresh) + n * 2  # numbers only need to differ between neighbours
     # second stage: scan buckets by first byte; a suffix's larger predecessor goes to the next place of its own bucket
     count = np.bincount(data, minlength=256)
