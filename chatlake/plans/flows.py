@@ -39,7 +39,7 @@ def _to_store(spark: SparkSession, docs: DataFrame, store_path: str, embed_fn) -
 
 
 def import_chat_export(spark: SparkSession, path: str, telegram_id: int, store_path: str, embed_fn=None,
-                       index_name: str | None = None, max_messages: int = ex.MAX_MESSAGES):
+                       index_name: str | None = None, max_messages: int | None = None):
     """Import one user's export(s): returns (messages, rejects, keywords) and appends the chunks.
 
     Imported chunks carry a date and no source (the reference's metadata for imports, Q1).

@@ -312,8 +312,8 @@ SELECT 'chat ' || conv_id AS chat_name, turn AS msg_id, role AS sender, 'user' |
        CAST(NULL AS BIGINT) AS reply_to_msg_id,
        strftime(make_timestamp((1704067200 + conv_id * 3600 + turn * 60) * 1000000), '%Y-%m-%dT%H:%M:%S') AS date,
        1704067200 + conv_id * 3600 + turn * 60 AS date_unixtime, 'text' AS msg_type,
-       replace(coalesce(text, ''), chr(10), ' ') AS msg_content, CAST(NULL AS VARCHAR) AS forwarded_from,
-       CAST(NULL AS VARCHAR) AS action, 0 AS has_mention, 0 AS has_email, 0 AS has_phone, 0 AS has_hashtag,
+       replace(coalesce(text, ''), chr(10), ' ') AS msg_content, '' AS forwarded_from,
+       '' AS action, 0 AS has_mention, 0 AS has_email, 0 AS has_phone, 0 AS has_hashtag,
        0 AS is_bot_command
 FROM conversations WHERE role <> 'system'"""
 

@@ -1,8 +1,9 @@
 """Chat-export JSON reader (SRC1-5, SRC2 explode, PRJ1-5, FLT1, JSN1-3, ARR1, STRF6, STRF8, LIM1, SRT1).
 
-Exports are polymorphic JSON (text is a string *or* a list of strings and typed parts), so
-they are read as a single VARIANT column: key presence, JSON null and list-vs-string stay
-distinguishable, which a string-typed read loses.
+Exports are polymorphic JSON (text is a string *or* a list of strings and typed parts), so every
+message is a VARIANT of its own: key presence, JSON null and list-vs-string stay distinguishable,
+which a string-typed read loses. The frame around the messages is read by a schema, so no VARIANT
+(at most 128 MiB) ever holds a whole export.
 
 Scale: a multi-line JSON file is read by one task. ``write_message_lines`` is the first job
 for large exports: it writes one message per line (with chat name and arrival position), so
@@ -20,7 +21,9 @@ MENTION_TYPES = ("mention", "mention_name")
 CLI_FILE_TYPES = ("animation", "video_file", "video_message", "voice_message", "audio_file")
 UNKNOWN_CHAT = "Unknown Chat"
 MESSAGE_TYPE = "message"
-MAX_MESSAGES = 50000
+_CHAT = "name: variant, id: variant, messages: array<variant>"
+EXPORT_SCHEMA = (f"{_CHAT.replace(':', '')}, chats struct<list: array<struct<{_CHAT}>>>, "
+                 f"left_chats struct<list: array<struct<{_CHAT}>>>, broken string")
 
 MESSAGE_COLUMNS = ["msg_id", "sender", "sender_id", "reply_to_msg_id", "date", "date_unixtime", "msg_type",
                    "msg_content", "forwarded_from", "action", "has_mention", "has_email", "has_phone",
@@ -40,56 +43,88 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def _text(v: Column, path: str) -> Column:
+    """A string field: an absent key is the empty text, a JSON null stays null."""
+    return F.when(_has(v, path), _get(v, path, "string")).otherwise(F.lit(""))
+
+
+def _reader(reader, multi_line: bool = True):
+    return (reader.format("json").schema(EXPORT_SCHEMA).option("multiLine", multi_line)
+            .option("columnNameOfCorruptRecord", "broken").option("pathGlobFilter", "*.json"))
+
+
+def _frame(df: DataFrame, multi_line: bool) -> DataFrame:
+    """(file, line, export columns). ``line`` tells the exports of a JSON-lines file apart: the export's
+    own id, else a hash of its name and messages (lines that say the same are one export)."""
+    key = F.xxhash64(F.to_json("name"), F.to_json("messages"), F.to_json("chats"), F.to_json("left_chats"))
+    own = F.when(F.col("id").isNotNull(), F.try_variant_get("id", "$", "bigint"))
+    line = F.lit(0).cast("long") if multi_line else F.coalesce(own, key)
+    return df.select(F.col("_metadata.file_path").alias("file"), line.alias("line"), "name", "messages", "chats",
+                     "left_chats", "broken")
+
+
 def read_exports(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """SRC1 + SRC4: every ``*.json`` under ``path`` as (file, v). A broken file gives v = null.
+    """SRC1 + SRC4: every ``*.json`` under ``path``, one row per export, its messages one VARIANT each.
 
     ``multi_line=False`` reads JSON-lines files where each line is one export (one task per split).
     """
-    return (spark.read.option("multiLine", multi_line).option("singleVariantColumn", "v")
-            .option("pathGlobFilter", "*.json").json(path)
-            .select(F.col("_metadata.file_path").alias("file"), "v"))
+    return _frame(_reader(spark.read, multi_line).load(path), multi_line)
+
+
+def stream_exports(spark: SparkSession, folder: str, options: dict) -> DataFrame:
+    """The same as a stream of files."""
+    r = _reader(spark.readStream)
+    for k, v in options.items():
+        r = r.option(k, v)
+    return _frame(r.load(folder), True)
 
 
-def layout(v: Column) -> Column:
-    """Which of the three layouts a file has; 'unknown' otherwise."""
-    return (F.when(_has(v, "$.chats.list"), "chats")
-            .when(_has(v, "$.left_chats.list"), "left_chats")
-            .when(_has(v, "$.name") & _has(v, "$.messages"), "single")
+def layout() -> Column:
+    """Which of the three layouts an export has; 'unknown' otherwise."""
+    return (F.when(F.col("chats.list").isNotNull(), "chats")
+            .when(F.col("left_chats.list").isNotNull(), "left_chats")
+            .when(F.col("name").isNotNull() & F.col("messages").isNotNull(), "single")
             .otherwise("unknown"))
 
 
+def with_layout(raw: DataFrame) -> DataFrame:
+    """``raw`` with its layout, or 'invalid' where the JSON is broken (nothing of it is used)."""
+    return raw.withColumn("layout", F.when(F.col("broken").isNotNull(), "invalid").otherwise(layout()))
+
+
+def rejects_of(tagged: DataFrame) -> DataFrame:
+    """SRC3: (file, reason) of what has no layout."""
+    return (tagged.where(F.col("layout").isin("invalid", "unknown"))
+            .select("file", F.when(F.col("layout") == "invalid", "invalid JSON")
+                    .otherwise("unrecognised layout").alias("reason")))
+
+
 def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SRC3: (recognised files, rejects with a reason) instead of raising."""
-    lay = layout(F.col("v"))
-    tagged = raw.withColumn("layout", F.when(F.col("v").isNull(), "invalid").otherwise(lay))
-    good = tagged.where(F.col("layout").isin("chats", "left_chats", "single"))
-    bad = (tagged.where(~F.col("layout").isin("chats", "left_chats", "single"))
-           .select("file", F.when(F.col("layout") == "invalid", "invalid JSON")
-                   .otherwise("unrecognised layout").alias("reason")))
-    return good, bad
+    tagged = with_layout(raw)
+    return tagged.where(~F.col("layout").isin("invalid", "unknown")), rejects_of(tagged)
 
 
 def explode_chats(files: DataFrame, include_left: bool = False) -> DataFrame:
-    """SRC2: one row per chat (file, chat_idx, chat_name, chat). ``chats`` wins over ``left_chats``
-    (Q16); ``include_left`` also takes the left chats of a file that has both."""
-    v = F.col("v")
-    chats = _get(v, "$.chats.list", "array<variant>")
-    left = _get(v, "$.left_chats.list", "array<variant>")
-    arr = (F.when(F.col("layout") == "chats",
-                  F.concat(chats, F.coalesce(left, F.array().cast("array<variant>"))) if include_left else chats)
+    """SRC2: one row per chat (file, chat_idx, chat_name, messages). ``chats`` wins over ``left_chats``
+    (Q16); ``include_left`` also takes the left chats of a file that has both. A chat's number counts
+    inside its export; in JSON lines it is the line's key, so (file, chat_idx, pos) stays unique."""
+    chats, left = F.col("chats.list"), F.col("left_chats.list")
+    single = F.array(F.struct("name", F.lit(None).cast("variant").alias("id"), "messages"))
+    arr = (F.when(F.col("layout") == "chats", F.concat(chats, F.coalesce(left, F.array())) if include_left else chats)
            .when(F.col("layout") == "left_chats", left)
-           .otherwise(F.array(v)))
-    chat = F.col("chat")
+           .otherwise(single))
+    rows = files.select("file", "line", F.posexplode(arr).alias("at", "chat"))
     # the default applies to a missing key only; a JSON null name stays null
-    name = F.when(_has(chat, "$.name"), _get(chat, "$.name", "string")).otherwise(F.lit(UNKNOWN_CHAT))
-    return (files.select("file", F.posexplode(arr).alias("chat_idx", "chat"))
-            .withColumn("chat_name", name))
+    name = F.when(F.col("chat.name").isNotNull(), F.try_variant_get("chat.name", "$", "string")).otherwise(F.lit(UNKNOWN_CHAT))
+    return rows.select("file", (F.col("line") + F.col("at")).alias("chat_idx"), name.alias("chat_name"),
+                       F.col("chat.messages").alias("messages"))
 
 
 def explode_messages(chats: DataFrame) -> DataFrame:
     """SRC2: one row per message, arrival order kept as (chat_idx, pos)."""
     return chats.select("file", "chat_idx", "chat_name",
-                        F.posexplode(_get(F.col("chat"), "$.messages", "array<variant>")).alias("pos", "m"))
+                        F.posexplode("messages").alias("pos", "m"))
 
 
 def _flatten_parts(parts: Column) -> Column:
@@ -125,19 +160,21 @@ def project_messages(msgs: DataFrame, dialect: str = "polars") -> DataFrame:
         media_content = F.coalesce(file_, F.lit("?"))
     lat = F.coalesce(_get(m, "$.location_information.latitude", "string"), F.lit(""))
     lon = F.coalesce(_get(m, "$.location_information.longitude", "string"), F.lit(""))
+    # which branch holds is a matter of key presence; a JSON null inside it is an empty content
+    override_type = (F.when(_has(m, "$.photo"), "photo").when(_has(m, "$.poll"), "poll")
+                     .when(_has(m, "$.location_information"), "location"))
     override = (F.when(_has(m, "$.photo"), _get(m, "$.photo", "string"))
                 .when(_has(m, "$.poll"), F.coalesce(_get(m, "$.poll.total_voters", "string"), F.lit("0")))
                 .when(_has(m, "$.location_information"), F.concat(lat, F.lit(","), lon)))
-    override_type = (F.when(_has(m, "$.photo"), "photo").when(_has(m, "$.poll"), "poll")
-                     .when(_has(m, "$.location_information"), "location"))
     media_type = F.when(_has(m, "$.media_type"), media).when(_has(m, "$.file"), F.lit("file"))
     from_media = F.when(_has(m, "$.media_type"), media_content).when(_has(m, "$.file"), file_)
 
     parts = F.when(_kind(text_v).startswith("ARRAY"), _get(m, "$.text", "array<variant>"))
     # the text list is only read when nothing replaced the content
-    uses_text = override_type.isNull() & from_media.isNull()
+    has_media = _has(m, "$.media_type") | _has(m, "$.file")
+    uses_text = override_type.isNull() & (from_media.isNull() if dialect == "cli" else ~has_media)
     text_content = F.when(parts.isNotNull(), _flatten_parts(parts)).otherwise(_get(m, "$.text", "string"))
-    content = F.coalesce(override, from_media, F.when(uses_text, text_content), F.lit(""))
+    content = F.coalesce(F.when(override_type.isNotNull(), override).when(uses_text, text_content).otherwise(from_media), F.lit(""))
     list_parts = F.when(uses_text, parts)
     msg_type = (F.when(list_parts.isNotNull() & _any_part(list_parts, ["link"]), F.lit("link"))
                 .otherwise(F.coalesce(override_type, media_type, F.lit("text"))))
@@ -148,15 +185,15 @@ def project_messages(msgs: DataFrame, dialect: str = "polars") -> DataFrame:
     out = msgs.where(_get(m, "$.type", "string") == MESSAGE_TYPE).select(
         "file", "chat_idx", "chat_name", "pos",
         _get(m, "$.id", "bigint").alias("msg_id"),
-        _get(m, "$.from", "string").alias("sender"),
-        _get(m, "$.from_id", "string").alias("sender_id"),
+        _text(m, "$.from").alias("sender"),
+        _text(m, "$.from_id").alias("sender_id"),
         _get(m, "$.reply_to_message_id", "bigint").alias("reply_to_msg_id"),
-        _get(m, "$.date", "string").alias("date"),
+        _text(m, "$.date").alias("date"),
         _get(m, "$.date_unixtime", "bigint").alias("date_unixtime"),
         msg_type.alias("msg_type"),
         F.translate(content, "\n", " ").alias("msg_content"),
-        _get(m, "$.forwarded_from", "string").alias("forwarded_from"),
-        _get(m, "$.action", "string").alias("action"),
+        _text(m, "$.forwarded_from").alias("forwarded_from"),
+        _text(m, "$.action").alias("action"),
         flag(MENTION_TYPES).alias("has_mention"),
         flag(["email"]).alias("has_email"),
         flag(["phone"]).alias("has_phone"),
@@ -177,7 +214,7 @@ def project_messages(msgs: DataFrame, dialect: str = "polars") -> DataFrame:
     return out
 
 
-def keep_last(msgs: DataFrame, n: int = MAX_MESSAGES, per=("file",)) -> DataFrame:
+def keep_last(msgs: DataFrame, n: int, per=("file",)) -> DataFrame:
     """LIM1: the last ``n`` messages of each export by arrival (window-group-limit per export)."""
     per = [c for c in per if c in msgs.columns]
     w = Window.partitionBy(*per).orderBy(F.desc("chat_idx"), F.desc("pos"))
@@ -189,23 +226,21 @@ def sort_chronologically(msgs: DataFrame) -> DataFrame:
     return msgs.orderBy(F.col("date_unixtime").asc_nulls_first(), "file", "chat_idx", "pos")
 
 
-def parse_exports(spark: SparkSession, path: str, dialect: str = "polars", max_messages: int | None = MAX_MESSAGES,
+def parse_exports(spark: SparkSession, path: str, dialect: str = "polars", max_messages: int | None = None,
                   include_left: bool = False, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The whole import: (messages, rejects). Files without any message are rejected too."""
+    """The whole import: (messages, rejects). Files without any message are rejected too.
+
+    Every message is kept; ``max_messages`` keeps only the last ones of each export (LIM1).
+    """
     good, bad = split_rejects(read_exports(spark, path, multi_line))
     msgs = project_messages(explode_messages(explode_chats(good, include_left)), dialect)
     if dialect != "cli" and max_messages:
-        msgs = keep_last(msgs, max_messages, per=["file"] if multi_line else ["file", "chat_name"])
+        msgs = keep_last(msgs, max_messages, per=["file"] if multi_line else ["file", "chat_idx"])
     empty = good.select("file").join(msgs.select("file").distinct(), "file", "left_anti") \
         .select("file", F.lit("no messages").alias("reason"))
     return sort_chronologically(msgs), bad.unionByName(empty)
 
 
-def chat_names(msgs: DataFrame) -> DataFrame:
-    """SET5: distinct chat names per file (every name is kept, Q5)."""
-    return msgs.select("file", "chat_name").distinct()
-
-
 def write_message_lines(spark: SparkSession, path: str, out: str, include_left: bool = False) -> None:
     """Pre-split big exports: one JSON line per message with its chat and arrival position."""
     good, _ = split_rejects(read_exports(spark, path))
@@ -216,13 +251,13 @@ def write_message_lines(spark: SparkSession, path: str, out: str, include_left:
 
 def read_message_lines(spark: SparkSession, path: str) -> DataFrame:
     """Read what ``write_message_lines`` wrote, ready for ``project_messages`` (parallel read)."""
-    return (spark.read.schema("file string, chat_idx int, chat_name string, pos int, message string").json(path)
+    return (spark.read.schema("file string, chat_idx long, chat_name string, pos int, message string").json(path)
             .withColumn("m", F.parse_json("message")).drop("message"))
 
 
 def chat_exports(msgs: DataFrame, chat_col: str, order_col: str, message_col: str, name: Column,
                  piece_size: int = 1024) -> DataFrame:
-    """Build single-chat exports ``(name, messages VARIANT)`` from message structs (JSON writer ready).
+    """Build single-chat exports ``(name, id, messages VARIANT)`` from message structs (JSON writer ready).
 
     An export is one record per chat. It is built in two levels so a hot chat is not sorted and
     serialised by one task: every piece of ``piece_size`` positions becomes a JSON fragment in
@@ -236,4 +271,4 @@ def chat_exports(msgs: DataFrame, chat_col: str, order_col: str, message_col: st
     return (pieces.groupBy(chat_col)
             .agg(F.expr("listagg(_frag, ',') WITHIN GROUP (ORDER BY _piece)").alias("_all"))
             .join(names, chat_col)
-            .select("name", F.parse_json(F.concat(F.lit("["), F.col("_all"), F.lit("]"))).alias("messages")))
+            .select("name", F.col(chat_col).alias("id"), F.parse_json(F.concat(F.lit("["), F.col("_all"), F.lit("]"))).alias("messages")))

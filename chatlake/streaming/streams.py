@@ -54,14 +54,12 @@ def ingest_exports(spark: SparkSession, in_folder: str, out_path: str, clean_sou
 
     ``clean_source='archive'|'delete'`` removes consumed files (done by a later batch).
     """
-    r = (spark.readStream.format("json").schema("v variant").option("singleVariantColumn", "v")
-         .option("multiLine", True).option("pathGlobFilter", "*.json"))
+    options = {}
     if clean_source:
-        r = r.option("cleanSource", clean_source)
+        options["cleanSource"] = clean_source
         if clean_source == "archive":
-            r = r.option("sourceArchiveDir", scratch_path(spark, "export_archive"))
-    raw = r.load(in_folder).select(F.col("_metadata.file_path").alias("file"), "v")
-    good = raw.withColumn("layout", ex.layout(F.col("v"))).where(F.col("layout") != "unknown")
+            options["sourceArchiveDir"] = scratch_path(spark, "export_archive")
+    good, _ = ex.split_rejects(ex.stream_exports(spark, in_folder, options))
     msgs = ex.project_messages(ex.explode_messages(ex.explode_chats(good)))
 
     def sink(batch: DataFrame, batch_id: int) -> None:

@@ -78,7 +78,7 @@ def test_branches_polars_dialect(spark, exports):
     assert t[11] == ("location", "55.5,37.25") and t[12] == ("location", ",")
     assert 13 not in rows  # service rows are skipped
     assert rows[14].sender is None and t[14] == ("text", "")  # JSON null text -> '' (Q15)
-    assert rows[15].sender is None and t[15] == ("text", "")
+    assert rows[15].sender == '' and t[15] == ("text", "")
     assert t[16] == ("text", '["a"]')  # a string that looks like a list stays a string
     assert t[17] == ("link", "ab")
     assert rows[1].date_unixtime == 1704103260 and rows[1].date == "2024-01-01T10:01:00"

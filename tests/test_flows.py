@@ -8,7 +8,7 @@ from chatlake.plans import flows
 
 def _export(folder):
     ms = [{"id": i, "type": "message", "date": f"2024-01-01T10:{i:02d}:00", "date_unixtime": str(1704103200 + 60 * i),
-           "from": "Ann", "from_id": "user1", "text": t, "forwarded_from": ""}
+           "from": "Ann", "from_id": "user1", "text": t}
           for i, t in enumerate(["cooking pasta with tomato", "writing code in python", "cooking soup", "python code review"])]
     (folder / "result.json").write_text(json.dumps({"name": "Kitchen", "messages": ms}))
 

@@ -6,12 +6,14 @@ import pytest
 
 import __spark_entry__ as entry
 from chatlake.plans.check import compare, duckdb_connection
+from chatlake.plans.oracle import ORACLES
+from chatlake.plans.queries import QUERIES
 from tests.conftest import SF001
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF001), reason="test data missing")
 
-_Q = entry.queries()
-_SQL = entry.oracle_sql()
+_Q = QUERIES  # the optional subpackage's queries have tests of their own
+_SQL = ORACLES
 
 
 @pytest.fixture(scope="module")
