@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from chatlake.operators.windows import carry_forward, running_sum, trailing_count
 
 # Monthly prices by plan length, the invite discount, minor units per unit,
-# days per paid month, the shard (index) names, the quota limits.
+# days per paid month, the quota limits. The shard (index) names are only defaults.
 MONTHLY_PRICE = {1: 640, 3: 580, 6: 540, 12: 480}
 INVITE_DISCOUNT = "0.8"
 MINOR_UNITS = 100
 DAYS_PER_MONTH = 30
-INDEX_NAMES = ("saved-ai-1", "saved-ai-2", "saved-ai-3")
+INDEX_NAMES = ("index-1", "index-2", "index-3")
 QUOTA_MESSAGES = 30
 QUOTA_VOLUME = 200
 DAY_MICROS = 86_400_000_000
@@ -37,11 +37,11 @@ def namespace(telegram_id) -> Column:
     return F.format_string("user_%d_notes", F.col(telegram_id) if isinstance(telegram_id, str) else telegram_id)
 
 
-def shard(telegram_id, current: str | None = None) -> Column:
-    """MTH2: sticky shard: keep an assigned index, else a deterministic pick out of three."""
+def shard(telegram_id, current: str | None = None, names=INDEX_NAMES) -> Column:
+    """MTH2: sticky shard: keep an assigned index, else a deterministic pick out of ``names``."""
     tid = F.col(telegram_id) if isinstance(telegram_id, str) else telegram_id
-    pick = F.element_at(F.array(*[F.lit(n) for n in INDEX_NAMES]),
-                        (F.pmod(tid, F.lit(len(INDEX_NAMES))) + 1).cast("int"))
+    pick = F.element_at(F.array(*[F.lit(n) for n in names]),
+                        (F.pmod(tid, F.lit(len(names))) + 1).cast("int"))
     return F.coalesce(F.col(current), pick) if current else pick
 
 
@@ -110,8 +110,13 @@ def referral_counts(users: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def insert_if_absent(users: DataFrame, incoming: DataFrame, key: str = "telegram_id") -> DataFrame:
-    """JN3: add incoming users whose key is new (defaults apply to them only); existing rows untouched."""
-    new = incoming.dropDuplicates([key]).join(users.select(key), key, "left_anti")
+    """JN3: add incoming users whose key is new (defaults apply to them only); existing rows untouched.
+
+    Of several incoming rows with one key the smallest (column by column) is added, so a rerun adds the same.
+    """
+    rest = [c for c in incoming.columns if c != key]
+    one = incoming.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*")
+    new = one.select(*incoming.columns).join(users.select(key), key, "left_anti")
     return users.unionByName(new, allowMissingColumns=True)
 
 
@@ -127,12 +132,12 @@ def trailing_24h(messages: DataFrame, key: str = "user_id", ts: str = "ts",
 
 def quota_as_of(messages: DataFrame, as_of: str, key: str = "user_id", ts: str = "ts",
                 volume: Column | None = None) -> DataFrame:
-    """AGG13 + FLT8: count in [as_of - 1 day, as_of] per user and the limits check."""
+    """AGG13 + FLT8: count in [as_of - 1 day, as_of] and the limits check, for every user with any message."""
     t = F.col(ts).cast("timestamp")
     end = F.lit(as_of).cast("timestamp")
     vol = volume if volume is not None else F.lit(0.0)
-    return (messages.where((t >= end - F.expr("INTERVAL 1 DAY")) & (t <= end))
-            .groupBy(key).agg(F.count(F.lit(1)).alias("n_24h"))
+    inside = (t >= end - F.expr("INTERVAL 1 DAY")) & (t <= end)
+    return (messages.groupBy(key).agg(F.count(F.when(inside, 1)).alias("n_24h"))
             .withColumn("within_limits", (F.col("n_24h") <= QUOTA_MESSAGES) & (vol <= QUOTA_VOLUME)))
 
 

@@ -12,6 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _join_back(rows: DataFrame, summary: DataFrame, keys) -> DataFrame:
+    """Equi-join on the keys that also matches nulls (a null key or time is a key like any other)."""
+    renamed = summary.withColumnsRenamed({k: f"_s_{k}" for k in keys})
+    on = [rows[k].eqNullSafe(renamed[f"_s_{k}"]) for k in keys]
+    return rows.join(renamed, on).drop(*(f"_s_{k}" for k in keys))
+
+
 def running_sum(df: DataFrame, keys, order_cols, value: str, bucket: Column, out: str,
                 first_of: str | None = None) -> DataFrame:
     """``out`` = sum of ``value`` over all earlier-or-equal rows of the key (rows frame).
@@ -35,7 +42,7 @@ def running_sum(df: DataFrame, keys, order_cols, value: str, bucket: Column, out
     if first_of:
         cols.append(F.min("_bmin").over(Window.partitionBy(*keys)).alias(f"first_{first_of}"))
     summary = summary.select(*cols)
-    return (w_in.join(summary, [*keys, "_bucket"])
+    return (_join_back(w_in, summary, [*keys, "_bucket"])
             .withColumn(out, F.col("_before") + F.col("_inner")).drop("_bucket", "_inner", "_before"))
 
 
@@ -58,7 +65,7 @@ def carry_forward(df: DataFrame, keys, order_cols, value: str, bucket: Column, o
     prev = F.last("_last", ignorenulls=True).over(
         Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     summary = summary.select(*keys, "_bucket", prev.alias("_prev"))
-    return (w_in.join(summary, [*keys, "_bucket"])
+    return (_join_back(w_in, summary, [*keys, "_bucket"])
             .withColumn(out, F.coalesce("_inner", "_prev")).drop("_bucket", "_inner", "_prev"))
 
 
@@ -68,13 +75,13 @@ def trailing_count(df: DataFrame, keys, ts: str, window_micros: int, out: str,
 
     Buckets are ``window`` wide; each row also goes, as context only, into the next bucket
     (one scan: the two copies come from an explode), so a frame never needs more than two
-    buckets. Time is compared in microseconds.
+    buckets. Time is compared in microseconds. Rows without a time count among themselves only.
     """
     keys = list(keys)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     b = F.floor(us / F.lit(window_micros))
-    copies = F.array(F.struct(b.alias("_b"), F.lit(True).alias("_target")),
-                     F.struct((b + 1).alias("_b"), F.lit(False).alias("_target")))
+    own = F.struct(b.alias("_b"), F.lit(True).alias("_target"))
+    copies = F.when(us.isNull(), F.array(own)).otherwise(F.array(own, F.struct((b + 1).alias("_b"), F.lit(False).alias("_target"))))
     both = df.withColumn("_us", us).withColumn("_c", F.explode(copies)).select("*", "_c._b", "_c._target").drop("_c")
     w = (Window.partitionBy(*keys, "_b").orderBy("_us")
          .rangeBetween(-window_micros, Window.currentRow))

@@ -10,7 +10,6 @@ The store is parquet partitioned by (index_name, namespace) with columns
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +23,7 @@ from chatlake.session import ship_package
 from chatlake.sources import exports as ex
 from chatlake.sources.sinks import append_chunks
 from chatlake.sources.stopwords import stopwords_df
+from chatlake.sources.tables import stored
 
 
 def _to_store(spark: SparkSession, docs: DataFrame, store_path: str, embed_fn) -> None:
@@ -69,12 +69,11 @@ def index_pending_notes(spark: SparkSession, notes: DataFrame, users: DataFrame,
     docs = (notes.where(acc.note_text("text").isNotNull()).join(u, "user_id")
             .select("user_id", "telegram_message_id", "text", F.lit(None).cast("string").alias("date"),
                     "namespace", "index_name"))
-    try:  # stored ids of the touched namespaces only (semi join on the partition column first)
-        stored = (spark.read.parquet(store_path).select("namespace", "telegram_message_id")
-                  .join(docs.select("namespace").distinct(), "namespace", "left_semi").distinct())
-        docs = docs.join(stored, ["namespace", "telegram_message_id"], "left_anti")
-    except AnalysisException:  # empty store
-        pass
+    store = stored(spark, store_path)
+    if store is not None:  # stored ids of the touched namespaces only (semi join on the partition column first)
+        done = (store.select("namespace", "telegram_message_id")
+                .join(docs.select("namespace").distinct(), "namespace", "left_semi").distinct())
+        docs = docs.join(done, ["namespace", "telegram_message_id"], "left_anti")
     _to_store(spark, docs, store_path, embed_fn)
 
 

@@ -172,9 +172,9 @@ SELECT event_id, user_id, ts, prior_24h, prior_24h <= 30 AS within_quota FROM (
                         RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) - 1 AS prior_24h
   FROM events)"""
 ORACLES["quota_asof"] = """
-SELECT user_id, count(*) AS n_24h, count(*) <= 30 AND 0.0 <= 200 AS within_limits FROM events
-WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 1 DAY AND ts <= TIMESTAMP '2024-01-30 00:00:00'
-GROUP BY user_id"""
+SELECT user_id, n_24h, n_24h <= 30 AND 0.0 <= 200 AS within_limits FROM (
+  SELECT user_id, count(*) FILTER (ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 1 DAY
+                                   AND ts <= TIMESTAMP '2024-01-30 00:00:00') AS n_24h FROM events GROUP BY user_id)"""
 ORACLES["mode_routing"] = """
 WITH m AS (
   SELECT event_id, user_id, ts,
@@ -218,7 +218,7 @@ ORACLES["note_documents"] = f"""
 SELECT u.user_id, format('user_{{:d}}_notes', u.telegram_id) AS namespace,
        coalesce(nullif(u.username, ''), 'there') AS username, d.text AS page_content,
        CAST(d.doc_id AS VARCHAR) AS source, substr(d.text, 1, 20) AS preview
-FROM documents d JOIN {_USERS} u ON u.user_id = TRY_CAST(substr(d.source, 4, 12) AS BIGINT)
+FROM documents d JOIN {_USERS} u ON u.user_id = TRY_CAST(regexp_extract(d.source, '^src([0-9]+)$', 1) AS BIGINT)
 WHERE nullif(d.text, '') IS NOT NULL"""
 ORACLES["pending_notes"] = "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
 
@@ -260,7 +260,7 @@ ORACLES["chunks"] = _chunk_sql("\n")
 
 # ---------------------------------------------------------------- retrieval
 _E = """(SELECT vec_id, label, format('user_{:d}_notes', label) AS namespace,
-        CASE (label % 3 + 3) % 3 WHEN 0 THEN 'saved-ai-1' WHEN 1 THEN 'saved-ai-2' ELSE 'saved-ai-3' END AS index_name,
+        CASE (label % 3 + 3) % 3 WHEN 0 THEN 'index-1' WHEN 1 THEN 'index-2' ELSE 'index-3' END AS index_name,
         CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
 _Q = f"""(SELECT namespace AS query_id, namespace, list_transform(q, lambda y: y / sqrt(list_dot_product(q, q))) AS q
  FROM (SELECT namespace, list(x ORDER BY i) AS q
@@ -305,7 +305,7 @@ ORACLES["rag_context"] = _context(None)
 ORACLES["context_union"] = _context('Carefully analyze relevant documents provided above and just say "OK"')
 ORACLES["index_stats"] = f"SELECT index_name, namespace, count(*) AS n_records FROM {_E} e GROUP BY ALL"
 ORACLES["index_clear"] = (f"SELECT index_name, namespace, count(*) AS n_records FROM {_E} e "
-                          f"WHERE index_name NOT IN ('saved-ai-1') GROUP BY ALL")
+                          f"WHERE index_name NOT IN ('index-1') GROUP BY ALL")
 
 ORACLES["export_roundtrip"] = """
 SELECT 'chat ' || conv_id AS chat_name, turn AS msg_id, role AS sender, 'user' || conv_id AS sender_id,
@@ -328,16 +328,16 @@ GROUP BY user_id, window_start"""
 ORACLES["stream_index"] = ORACLES["chunks"].replace(
     "SELECT doc_id, generate_subscripts(cs, 1) - 1 AS chunk_idx",
     "SELECT doc_id, format('user_{:d}_notes', u) AS namespace, "
-    "CASE u % 3 WHEN 0 THEN 'saved-ai-1' WHEN 1 THEN 'saved-ai-2' ELSE 'saved-ai-3' END AS index_name, "
+    "CASE u % 3 WHEN 0 THEN 'index-1' WHEN 1 THEN 'index-2' ELSE 'index-3' END AS index_name, "
     "generate_subscripts(cs, 1) - 1 AS chunk_idx").replace(
-    "SELECT doc_id, list_filter(", "SELECT doc_id, CAST(substr(source, 4, 12) AS BIGINT) AS u, list_filter(").replace(
+    "SELECT doc_id, list_filter(", "SELECT doc_id, TRY_CAST(regexp_extract(source, '^src([0-9]+)$', 1) AS BIGINT) AS u, list_filter(").replace(
     "SELECT doc_id, list_reduce(", "SELECT doc_id, u, list_reduce(").replace(
     "SELECT doc_id, CASE WHEN length(", "SELECT doc_id, u, CASE WHEN length(")
 ORACLES["csv_roundtrip"] = f"SELECT text, date FROM {_COMPOSED} c WHERE text IS NOT NULL"
 ORACLES["chunk_store"] = ORACLES["stream_index"]
 ORACLES["users_with_notes"] = f"""
 SELECT user_id, username FROM {_USERS} u
-WHERE EXISTS (SELECT 1 FROM documents d WHERE TRY_CAST(substr(d.source, 4, 12) AS BIGINT) = u.user_id)"""
+WHERE EXISTS (SELECT 1 FROM documents d WHERE TRY_CAST(regexp_extract(d.source, '^src([0-9]+)$', 1) AS BIGINT) = u.user_id)"""
 
 
 # The exact streaming quota must equal the batch trailing count over the same messages.

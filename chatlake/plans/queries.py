@@ -22,6 +22,11 @@ def query(fn):
     return fn
 
 
+def user_of(source: str):
+    """The user behind a note's source ``srcN``: N, or null where the source has another form."""
+    return F.regexp_extract(source, "^src([0-9]+)$", 1).try_cast("bigint")
+
+
 # ---------------------------------------------------------------- keywords (AGG1-5, LIM3, JN4)
 
 @query
@@ -284,7 +289,7 @@ def note_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     notes = (d.where(acc.note_text("text").isNotNull())
              .select(F.col("doc_id").alias("telegram_message_id"),
-                     F.substring("source", 4, 12).cast("bigint").alias("user_id"), "text"))
+                     user_of("source").alias("user_id"), "text"))
     u = _users(spark, sf_dir)
     return (notes.join(u, "user_id")
             .select("user_id", acc.namespace("telegram_id").alias("namespace"),
@@ -296,7 +301,7 @@ def note_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def users_with_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = table(spark, sf_dir, "documents").select(F.substring("source", 4, 12).cast("bigint").alias("user_id"))
+    notes = table(spark, sf_dir, "documents").select(user_of("source").alias("user_id"))
     return acc.users_with_notes(_users(spark, sf_dir), notes).select("user_id", "username")
 
 
@@ -373,7 +378,7 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chatlake.sources.sinks import clear_namespaces, index_stats as stats
     v = _vectors(spark, sf_dir)
-    return stats(clear_namespaces(v, ["saved-ai-1"]))
+    return stats(clear_namespaces(v, ["index-1"]))
 
 
 # ---------------------------------------------------------------- chat-export round trip (SRC1-5, PRJ1-5)
@@ -407,9 +412,8 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- streaming (STR2-5): run to completion, read back
 
 def _stream_of(spark, sf_dir, name):
-    from chatlake.streaming.streams import file_stream
-    schema = table(spark, sf_dir, name).schema
-    return file_stream(spark, sf_dir, schema, glob=f"{name}.parquet")
+    from chatlake.streaming.streams import table_stream
+    return table_stream(spark, f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema)
 
 
 @query
@@ -470,7 +474,7 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chatlake.streaming import streams as st
     path = scratch_path(spark, f"stream_index/{uuid.uuid4().hex}")
     d = _stream_of(spark, sf_dir, "documents")
-    user = F.substring("source", 4, 12).cast("bigint")
+    user = user_of("source")
     notes = d.select(user.alias("user_id"), F.col("doc_id").alias("telegram_message_id"), "text",
                      acc.namespace(user).alias("namespace"),
                      acc.shard(user).alias("index_name"))
@@ -503,7 +507,7 @@ def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chatlake.sources.sinks import append_chunks
     path = scratch_path(spark, f"chunk_store/{uuid.uuid4().hex}")
     d = documents(spark, sf_dir, "doc_id", "source", "text")
-    user = F.substring("source", 4, 12).cast("bigint")
+    user = user_of("source")
     notes = d.select(user.alias("user_id"), F.col("doc_id").alias("telegram_message_id"), "text",
                      acc.namespace(user).alias("namespace"), acc.shard(user).alias("index_name"))
     c = ch.chunk_documents(notes, id_cols=("user_id", "telegram_message_id"), separator="\n",

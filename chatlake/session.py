@@ -50,7 +50,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this setting names a shared (distributed) folder and is used as is. When it is
     unset, the SparkContext's checkpoint folder is used if one was set; only when neither exists
     (a local run) a scratch folder is created and registered with ``setCheckpointDir`` -- the
-    ``spark.checkpoint.dir`` setting itself cannot be changed at runtime.
+    ``spark.checkpoint.dir`` setting itself cannot be changed at runtime. With a cluster master and no folder it raises.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -64,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
+    if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master", "local").startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     d = tempfile.mkdtemp(prefix="chatlake-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(d)

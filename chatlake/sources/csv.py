@@ -6,6 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Empty and missing values both read back as null (as pandas reads NaN)."""
+    """Quotes inside a field are doubled. Empty and missing values both read back as null (as pandas reads NaN)."""
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", "\\").csv(path))
+            .option("escape", '"').csv(path))

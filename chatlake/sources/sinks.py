@@ -6,14 +6,16 @@ user's folder (partition pruning), and a namespace is cleared by rewriting the c
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatlake.sources.tables import stored
+
+
 def _csv(writer):
-    """CSV options shared by the writers: keep whitespace as is (Spark trims it by default)."""
+    """CSV options shared by the writers: whitespace as is (Spark trims it by default), quotes doubled."""
     return (writer.option("header", True).option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False).option("escape", "\\"))
+            .option("ignoreTrailingWhiteSpace", False).option("escape", '"'))
 
 
 MESSAGE_COLUMNS = ["msg_id", "sender", "sender_id", "reply_to_msg_id", "date", "date_unixtime", "msg_type",
@@ -57,7 +59,7 @@ def write_pending_notes_csv(notes: DataFrame, path: str, user_col: str = "telegr
     _csv(pending.write.mode("overwrite").partitionBy(user_col)).csv(path)
 
 
-def append_chunks(chunks: DataFrame, path: str, namespaces: DataFrame | None = None) -> int:
+def append_chunks(chunks: DataFrame, path: str, namespaces: DataFrame | None = None) -> None:
     """SNK4: append chunks whose deterministic ``chunk_id`` is not stored yet (idempotent re-runs).
 
     Only stored ids of the namespaces being written take part: the store's id column is
@@ -65,17 +67,14 @@ def append_chunks(chunks: DataFrame, path: str, namespaces: DataFrame | None = N
     anti join never shuffles the ids of untouched users. Pass ``namespaces`` from the notes when
     they are at hand; by default they are taken from ``chunks``.
     """
-    spark = chunks.sparkSession
     keys = ["index_name", "namespace"]
+    chunks = chunks.dropDuplicates([*keys, "chunk_id"])  # the id is a digest of the chunk: equal ids are equal rows
     touched = (namespaces if namespaces is not None else chunks).select(*keys).distinct()
-    try:
-        stored = (spark.read.parquet(path).select(*keys, "chunk_id")
-                  .join(touched, keys, "left_semi"))
-        new = chunks.join(stored, [*keys, "chunk_id"], "left_anti")
-    except AnalysisException:  # first write: nothing stored yet
-        new = chunks
-    new.write.mode("append").partitionBy(*keys).parquet(path)
-    return 0
+    old = stored(chunks.sparkSession, path)
+    if old is not None:
+        ids = old.select(*keys, "chunk_id").join(touched, keys, "left_semi")
+        chunks = chunks.join(ids, [*keys, "chunk_id"], "left_anti")
+    chunks.write.mode("append").partitionBy(*keys).parquet(path)
 
 
 def rewrite_without(path: str, new_path: str, spark, index_names) -> None:

@@ -8,9 +8,8 @@ failure adds nothing twice. Checkpoints live under the shared ``spark.checkpoint
 
 from __future__ import annotations
 
-import uuid
+import os
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,23 +17,34 @@ from chatlake.operators import accounts as acc
 from chatlake.operators import chunks as ch
 from chatlake.session import scratch_path
 from chatlake.sources import exports as ex
+from chatlake.sources.tables import stored
 
 
-def _ckpt(spark: SparkSession, name: str) -> str:
-    return scratch_path(spark, f"streams/{name}/{uuid.uuid4().hex}")
+def _ckpt(out_path: str) -> str:
+    """The checkpoint that belongs to an output: a second run goes on where the first one ended."""
+    return f"{out_path.rstrip('/')}_checkpoint"
+
+
+MAX_FILES = 1000  # files of one micro-batch unless the caller says otherwise
 
 
 def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = None,
-                fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
+                fmt: str = "parquet", max_files: int = MAX_FILES) -> DataFrame:
     """A file-folder stream with an explicit schema; ``glob`` picks files inside the folder."""
-    r = spark.readStream.format(fmt).schema(schema)
+    r = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
     return r.load(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema, max_files: int = MAX_FILES) -> DataFrame:
+    """A parquet table as a stream, whether it is stored as one file or as a folder of files."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return file_stream(spark, path, schema, glob="*.parquet", max_files=max_files)
+    return file_stream(spark, os.path.dirname(path), schema, glob=os.path.basename(path), max_files=max_files)
+
+
 def run_available(writer, ckpt: str) -> None:
     """Process everything available now, then stop (``trigger(availableNow=True)``)."""
     q = writer.option("checkpointLocation", ckpt).trigger(availableNow=True).start()
@@ -73,18 +83,16 @@ def ingest_exports(spark: SparkSession, in_folder: str, out_path: str, clean_sou
             if not buckets:
                 return
             new = batch
-            try:
-                glob = f"{out_path}/file_bucket={{{','.join(str(b) for b in buckets)}}}"
-                done = (spark.read.option("basePath", out_path).parquet(glob).select("file", "chat_idx", "pos")
+            old = stored(spark, f"{out_path}/file_bucket={{{','.join(str(b) for b in buckets)}}}", basePath=out_path)
+            if old is not None:
+                done = (old.select("file", "chat_idx", "pos")
                         .join(batch.select("file").distinct(), "file", "left_semi"))
                 new = batch.join(done, ["file", "chat_idx", "pos"], "left_anti")
-            except AnalysisException:  # nothing stored in those buckets yet
-                pass
             new.write.mode("append").partitionBy("file_bucket").parquet(out_path)
         finally:
             batch.unpersist()
 
-    run_available(msgs.writeStream.foreachBatch(sink), ckpt or _ckpt(spark, "ingest_exports"))
+    run_available(msgs.writeStream.foreachBatch(sink), ckpt or _ckpt(out_path))
 
 
 # ---------------------------------------------------------------- STR2: incremental indexing
@@ -113,7 +121,7 @@ def index_notes_stream(spark: SparkSession, notes: DataFrame, store_path: str, s
             c = embed_fn(c)
         append_chunks(c, store_path, namespaces=batch)
 
-    run_available(notes.writeStream.foreachBatch(sink), ckpt or _ckpt(spark, "index_notes"))
+    run_available(notes.writeStream.foreachBatch(sink), ckpt or _ckpt(store_path))
 
 
 # ---------------------------------------------------------------- STR4: users from the stream
@@ -126,10 +134,10 @@ def upsert_users_stream(spark: SparkSession, messages: DataFrame, users_path: st
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         current = batch.sparkSession.read.parquet(users_path).select("telegram_id")
-        new = batch.dropDuplicates(["telegram_id"]).join(current, "telegram_id", "left_anti")
+        new = batch.distinct().join(current, "telegram_id", "left_anti")  # one row per user: the rest are defaults
         new.select("user_id", "telegram_id", "username", "invited_by_id").write.mode("append").parquet(users_path)
 
-    run_available(incoming.writeStream.foreachBatch(sink), ckpt or _ckpt(spark, "upsert_users"))
+    run_available(incoming.writeStream.foreachBatch(sink), ckpt or _ckpt(users_path))
 
 
 # ---------------------------------------------------------------- STR5: daily quota
@@ -157,13 +165,6 @@ def write_batch(batch: DataFrame, out_path: str, batch_id: int) -> None:
     batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
 
-def _days(first: str, last: str) -> list[str]:
-    """Every calendar day from ``first`` to ``last`` (``yyyy-MM-dd`` text), both included."""
-    import datetime as dt
-    a, b = dt.date.fromisoformat(first), dt.date.fromisoformat(last)
-    return [(a + dt.timedelta(days=i)).isoformat() for i in range((b - a).days + 1)]
-
-
 def trailing_quota_batches(spark: SparkSession, messages: DataFrame, out_path: str, state_path: str,
                            key: str = "user_id", ts: str = "ts", ckpt: str | None = None) -> None:
     """STR5, exact form (WIN1 + FLT8 per message): messages of the same user in the 24 hours
@@ -173,8 +174,8 @@ def trailing_quota_batches(spark: SparkSession, messages: DataFrame, out_path: s
     over the batch plus, as context only, the earlier batches' messages of its users from the
     preceding day. The state is the messages themselves, partitioned by (day, batch_id) and written
     with dynamic partition overwrite (a replay replaces its own folders). A batch reads only the
-    day folders from one day before its earliest message to its latest one (a path glob, so old
-    days are not even listed), then filters by time and semi-joins to its users.
+    day folders from one day before its earliest message to its latest one (a partition filter),
+    then filters by time and semi-joins to its users.
     """
     cols = list(messages.columns)
     t = F.col(ts).cast("timestamp")
@@ -193,14 +194,12 @@ def trailing_quota_batches(spark: SparkSession, messages: DataFrame, out_path: s
         if span["since"] is None:
             return
         rows = batch.withColumn("_cur", F.lit(True))
-        days = ",".join(_days(span["since"][:10], span["last"]))
-        try:
-            hist = spark.read.option("basePath", state_path).parquet(f"{state_path}/day={{{days}}}")
-            ctx = (hist.where((F.col("batch_id") < batch_id) & (t >= F.lit(span["since"]).cast("timestamp")))
+        hist = stored(spark, state_path)
+        if hist is not None:  # the day folders of the range are a partition filter
+            inside = F.col("day").cast("string").between(span["since"][:10], span["last"])
+            ctx = (hist.where(inside & (F.col("batch_id") < batch_id) & (t >= F.lit(span["since"]).cast("timestamp")))
                    .select(*cols).join(batch.select(key).distinct(), key, "left_semi"))
             rows = rows.unionByName(ctx.withColumn("_cur", F.lit(False)))
-        except AnalysisException:  # no earlier messages in those days
-            pass
         counted = acc.trailing_24h(rows, key, ts).where("_cur").drop("_cur")
         write_batch(counted, out_path, batch_id)
         (batch.select(*cols).withColumn("day", F.date_format(t, "yyyy-MM-dd"))
@@ -208,7 +207,7 @@ def trailing_quota_batches(spark: SparkSession, messages: DataFrame, out_path: s
          .write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
          .partitionBy("day", "batch_id").parquet(state_path))
 
-    run_available(messages.writeStream.foreachBatch(sink), ckpt or _ckpt(spark, "trailing_quota"))
+    run_available(messages.writeStream.foreachBatch(sink), ckpt or _ckpt(out_path))
 
 
 def run_update_table(spark: SparkSession, agg: DataFrame, out_path: str, ckpt: str | None = None) -> None:
@@ -216,7 +215,7 @@ def run_update_table(spark: SparkSession, agg: DataFrame, out_path: str, ckpt: s
     def sink(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, out_path, batch_id)
 
-    run_available(agg.writeStream.outputMode("update").foreachBatch(sink), ckpt or _ckpt(spark, "update_table"))
+    run_available(agg.writeStream.outputMode("update").foreachBatch(sink), ckpt or _ckpt(out_path))
 
 
 def latest_rows(spark: SparkSession, path: str, keys) -> DataFrame:
@@ -230,64 +229,14 @@ def latest_rows(spark: SparkSession, path: str, keys) -> DataFrame:
 
 # ---------------------------------------------------------------- STR3: mode routing with state
 
-def _snapshots(state_path: str) -> str:
-    return state_path + "_snapshots"
-
-
-def _state_rows(spark: SparkSession, state_path: str, before: int, snapshot_every: int = 0,
-                snap_before: int | None = None):
-    """(key, mode, batch_id) rows that hold every key's newest mode before batch ``before``:
-    the newest snapshot taken before it, plus the per-batch deltas written after that snapshot.
-
-    Snapshots are taken after every ``snapshot_every``-th batch, so the newest one is known
-    without listing; the deltas after it are at most ``snapshot_every - 1`` folders, read by a
-    path glob. Without a usable snapshot every earlier delta is read.
-    """
-    limit = before if snap_before is None else snap_before  # the snapshot used is taken before this batch
-    snap = (limit // snapshot_every) * snapshot_every - 1 if snapshot_every else -1
-    if snap >= 0:
-        try:
-            base = (spark.read.parquet(f"{_snapshots(state_path)}/upto={snap}")
-                    .withColumn("batch_id", F.lit(snap).cast("int")))
-            ids = ",".join(str(i) for i in range(snap + 1, before))
-            if not ids:
-                return base
-            try:
-                deltas = spark.read.option("basePath", state_path).parquet(f"{state_path}/batch_id={{{ids}}}")
-                return base.unionByName(deltas.select(*base.columns))
-            except AnalysisException:  # no delta folder after the snapshot yet
-                return base
-        except AnalysisException:  # snapshot missing (e.g. another cadence before): read everything
-            pass
-    try:
-        return spark.read.parquet(state_path).where(F.col("batch_id") < before)
-    except AnalysisException:  # first batch: no state yet
-        return None
-
-
-def _latest_state(spark: SparkSession, state_path: str, batch_id: int, keys: DataFrame, key: str = "user_id",
-                  snapshot_every: int = 0):
-    """Mode of each key after the newest earlier batch that touched it, only for ``keys``."""
-    rows = _state_rows(spark, state_path, batch_id, snapshot_every)
-    if rows is None:
-        return None
-    return (rows.join(keys, key, "left_semi")
-            .groupBy(key).agg(F.max_by("mode", "batch_id").alias("mode")))
-
-
 def route_modes_batches(spark: SparkSession, messages: DataFrame, out_path: str, state_path: str,
-                        key: str = "user_id", ts: str = "ts", tie: str = "event_id", ckpt: str | None = None,
-                        snapshot_every: int = 50) -> None:
+                        key: str = "user_id", ts: str = "ts", tie: str = "event_id", ckpt: str | None = None) -> None:
     """STR3: route each message by its user's current mode; the mode is state kept across batches.
 
     Each micro-batch runs the batch operator ``route_modes`` (a day-split window, so a user with a
     third of all messages is still spread over tasks), seeded with every user's mode from earlier
-    batches. The state is a keyed table: one ``batch_id=N`` folder per batch with the mode after
-    the batch of each user it touched (including a cleared mode, which must override older
-    values). Every ``snapshot_every`` batches the newest mode of every user is written as a
-    snapshot, so a batch reads one snapshot and at most ``snapshot_every - 1`` delta folders (by
-    path, nothing else is listed), not the whole history.
-    Output, state and snapshot folders are overwritten on a replay, so a retried batch is a no-op.
+    batches. The state is one keyed table (key, mode), written anew after each batch under the batch's
+    id from the table before it: a replayed batch reads the same state and overwrites its own.
     Messages are routed in time order inside a batch and in arrival order across batches.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -298,25 +247,14 @@ def route_modes_batches(spark: SparkSession, messages: DataFrame, out_path: str,
             batch.unpersist()
 
     def _route_batch(batch: DataFrame, batch_id: int) -> None:
-        users = batch.select(key).distinct()
-        prior = _latest_state(spark, state_path, batch_id, users, key, snapshot_every)
+        before = stored(spark, f"{state_path}/batch_id={batch_id - 1}")
+        prior = None if before is None else before.join(batch.select(key).distinct(), key, "left_semi")
         routed = acc.route_modes(batch, key, ts, tie, initial=prior)
         write_batch(routed, out_path, batch_id)
         done = spark.read.parquet(f"{out_path}/batch_id={batch_id}")  # read back, not recomputed
         state = done.groupBy(key).agg(F.max_by("mode_after", F.struct(ts, tie)).alias("mode"))
+        if before is not None:
+            state = state.unionByName(before.join(state.select(key), key, "left_anti"))
         write_batch(state, state_path, batch_id)
-        if snapshot_every and (batch_id + 1) % snapshot_every == 0:
-            # previous snapshot + the deltas since, this batch's included
-            snap = (_state_rows(spark, state_path, batch_id + 1, snapshot_every, snap_before=batch_id)
-                    .groupBy(key).agg(F.max_by("mode", "batch_id").alias("mode")))
-            snap.write.mode("overwrite").parquet(f"{_snapshots(state_path)}/upto={batch_id}")
-
-    run_available(messages.writeStream.foreachBatch(sink), ckpt or _ckpt(spark, "route_modes"))
-
-
-def run_append(spark: SparkSession, df: DataFrame, out_path: str, ckpt: str | None = None) -> None:
-    """Run an append-mode stream; each batch is written under its batch id (replay-safe)."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, out_path, batch_id)
 
-    run_available(df.writeStream.outputMode("append").foreachBatch(sink), ckpt or _ckpt(spark, "append"))
+    run_available(messages.writeStream.foreachBatch(sink), ckpt or _ckpt(out_path))

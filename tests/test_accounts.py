@@ -99,4 +99,21 @@ def test_payload_and_namespace(spark):
     assert [tuple(r) for r in df.select(g, m).collect()] == [("subscribe", 3), ("subscribe", None)]
     one = spark.createDataFrame([(42,)], "t long")
     r = one.select(acc.namespace("t").alias("ns"), acc.shard("t").alias("ix")).first()
-    assert (r.ns, r.ix) == ("user_42_notes", "saved-ai-1")
+    assert (r.ns, r.ix) == ("user_42_notes", "index-1")
+
+
+def test_rows_without_key_or_time_stay(spark):
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1, 12)
+    pay = spark.createDataFrame([(1, 1, t, 1), (2, None, t, 3), (3, 1, None, 6)], "payment_id long, user_id long, paid_at timestamp, months int")
+    assert acc.running_subscription_end(pay).count() == 3
+    ev = spark.createDataFrame([(1, 1, t, "/start"), (2, None, t, "/chat"), (3, 1, None, "x")], "event_id long, user_id long, ts timestamp, command string")
+    assert acc.route_modes(ev).count() == 3
+    got = {r.event_id: r.prior_24h for r in acc.trailing_24h(ev.unionAll(ev.where("event_id = 3"))).collect()}
+    assert got == {1: 0, 2: 0, 3: 1}
+
+
+def test_insert_if_absent_is_deterministic(spark):
+    users = spark.createDataFrame([(1, "a")], "telegram_id long, username string")
+    new = spark.createDataFrame([(2, "z"), (2, "b"), (1, "other")], "telegram_id long, username string")
+    assert sorted(map(tuple, acc.insert_if_absent(users, new).collect())) == [(1, "a"), (2, "b")]

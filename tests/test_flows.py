@@ -24,12 +24,12 @@ def test_import_index_search(spark, tmp_path):
     assert {"cooking", "python", "code"} <= {r.term for r in kw.collect()}
     notes = spark.createDataFrame([(42, 7, "python code notes"), (42, 8, "soup recipe"), (43, 9, "other user")],
                                   "user_id long, telegram_message_id long, text string")
-    users = spark.createDataFrame([(42, 42, None), (43, 43, "saved-ai-3")], "user_id long, telegram_id long, index_name string")
+    users = spark.createDataFrame([(42, 42, None), (43, 43, "index-3")], "user_id long, telegram_id long, index_name string")
     flows.index_pending_notes(spark, notes, users, store, embed_fn=emb)
     flows.index_pending_notes(spark, notes, users, store, embed_fn=emb)  # nothing new the second time
     st = spark.read.parquet(store)
     assert st.where(F.col("telegram_message_id").isNotNull()).count() == 3
-    assert {r.index_name for r in st.where("user_id = 43").collect()} == {"saved-ai-3"}
+    assert {r.index_name for r in st.where("user_id = 43").collect()} == {"index-3"}
     qv = emb(__import__("pandas").Series(["python code"]))[0]
     q = spark.createDataFrame([(1, 42, qv)], "query_id long, telegram_id long, qvec array<float>") \
         .withColumn("qvec", F.col("qvec").cast("array<double>"))

@@ -12,8 +12,8 @@ from tests.conftest import SF001
 
 
 def _chunks(spark):
-    notes = spark.createDataFrame([(1, 10, "a\nb" * 300, "user_1_notes", "saved-ai-2"),
-                                   (2, 11, "c", "user_2_notes", "saved-ai-3")],
+    notes = spark.createDataFrame([(1, 10, "a\nb" * 300, "user_1_notes", "index-2"),
+                                   (2, 11, "c", "user_2_notes", "index-3")],
                                   "user_id long, telegram_message_id long, text string, namespace string, index_name string")
     c = ch.chunk_documents(notes, id_cols=("user_id", "telegram_message_id"), separator="\n",
                            keep_cols=("namespace", "index_name"))
@@ -28,10 +28,10 @@ def test_chunk_store_is_idempotent_and_clearable(spark, tmp_path):
     sinks.append_chunks(c, path)
     assert spark.read.parquet(path).count() == n1 == c.count()
     stats = {(r.index_name, r.namespace): r.n_records for r in sinks.index_stats(spark.read.parquet(path)).collect()}
-    assert sum(stats.values()) == n1 and ("saved-ai-3", "user_2_notes") in stats
+    assert sum(stats.values()) == n1 and ("index-3", "user_2_notes") in stats
     new = str(tmp_path / "store_v2")
-    sinks.rewrite_without(path, new, spark, ["saved-ai-3"])
-    assert {r.index_name for r in spark.read.parquet(new).select("index_name").distinct().collect()} == {"saved-ai-2"}
+    sinks.rewrite_without(path, new, spark, ["index-3"])
+    assert {r.index_name for r in spark.read.parquet(new).select("index_name").distinct().collect()} == {"index-2"}
     # partition pruning: a namespace filter reads one folder
     plan = spark.read.parquet(path).where(F.col("namespace") == "user_1_notes")._jdf.queryExecution() \
         .executedPlan().toString()
@@ -65,7 +65,7 @@ def test_ingest_exports_stream_is_replay_safe(spark, tmp_path):
     ck = scratch_path(spark, "test_ingest_ckpt")
     st.ingest_exports(spark, str(src), out, ckpt=ck)
     st.ingest_exports(spark, str(src), out, ckpt=ck)  # same checkpoint: nothing new
-    st.ingest_exports(spark, str(src), out)  # fresh checkpoint replays the file: the key drops it
+    st.ingest_exports(spark, str(src), out)  # another checkpoint replays the file: the key drops it
     rows = spark.read.parquet(out).collect()
     assert [(r.chat_name, r.msg_content) for r in rows] == [("A", "hi")]
     assert os.path.exists(out)
@@ -77,7 +77,7 @@ def test_message_and_notes_csv(spark, tmp_path):
     p = str(tmp_path / "m")
     sinks.write_messages_csv(msgs, p)
     assert sorted(x for x in os.listdir(p) if x.startswith("chat_name=")) == ["chat_name=chat 1", "chat_name=chat 2"]
-    back = spark.read.option("header", True).option("multiLine", True).option("escape", "\\").csv(p)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(p)
     assert {(r.msg_id, r.msg_content) for r in back.collect()} == {("1", "x\ny"), ("2", "z")}
     notes = spark.createDataFrame([(7, 100, "n1", False), (7, 101, "n2", True)],
                                   "telegram_id long, telegram_message_id long, text string, is_vectorized boolean")
@@ -86,7 +86,7 @@ def test_message_and_notes_csv(spark, tmp_path):
     got = spark.read.option("header", True).csv(q).collect()
     assert [(r.telegram_id, r.message_id, r.text) for r in got] == [(7, "100", "n1")]
     assert [r.index_name for r in sinks.list_indexes(spark.createDataFrame(
-        [("saved-ai-1", 1), ("saved-ai-1", 2)], "index_name string, x int")).collect()] == ["saved-ai-1"]
+        [("index-1", 1), ("index-1", 2)], "index_name string, x int")).collect()] == ["index-1"]
 
 
 def test_replayed_micro_batch_is_written_once(spark, tmp_path):
@@ -116,15 +116,12 @@ def test_mode_state_carries_across_micro_batches(spark, tmp_path):
                   tmp_path / "events" / f"ev{i}.parquet")
     stream = st.file_stream(spark, folder, ev.schema, glob="ev*.parquet", max_files=1)
     out = str(tmp_path / "routed")
-    # snapshots after batches 1 and 3: batches 2 and 3 read snapshot 1 (plus delta 2), and
-    # snapshot 3 is built from snapshot 1 and the deltas of batches 2 and 3
-    st.route_modes_batches(spark, stream, out, out + "_state", snapshot_every=2)
-    assert os.path.isdir(out + "_state_snapshots/upto=1") and os.path.isdir(out + "_state_snapshots/upto=3")
+    st.route_modes_batches(spark, stream, out, out + "_state")
     got = spark.read.parquet(out)
     assert got.select("batch_id").distinct().count() == 4
     last = (acc.route_modes(ev).groupBy("user_id")
             .agg(F.max_by("mode_after", F.struct("ts", "event_id")).alias("mode")))
-    snap = spark.read.parquet(out + "_state_snapshots/upto=3")
+    snap = spark.read.parquet(out + "_state/batch_id=3")
     assert snap.exceptAll(last.select(*snap.columns)).count() == 0 and last.count() == snap.count()
     want = acc.route_modes(ev).select(*[c for c in got.columns if c != "batch_id"])
     got = got.drop("batch_id")
@@ -169,3 +166,47 @@ def test_exact_quota_stream_counts_across_micro_batches(spark, tmp_path):
     got = got.select("event_id", "user_id", "ts", "prior_24h", "within_quota")
     want = acc.trailing_24h(ev).select(*got.columns)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_a_folder_table_streams_like_a_file(spark, tmp_path):
+    q = entry.queries()
+    for n in ("events", "documents", "customer"):
+        spark.read.parquet(f"{SF001}/{n}.parquet").repartition(3).write.parquet(str(tmp_path / f"{n}.parquet"))
+    for name in ("stream_users", "stream_modes", "stream_quota_exact"):
+        a, b = q[name](spark, str(tmp_path)), q[name](spark, SF001)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() > 0
+
+
+def test_second_run_goes_on_where_the_first_ended(spark, tmp_path):
+    from chatlake.operators import accounts as acc
+    ev = spark.read.parquet(f"{SF001}/events.parquet").select("event_id", "user_id", "ts")
+    folder, out = str(tmp_path / "ev"), str(tmp_path / "out")
+    for k, half in enumerate((F.col("ts") < "2024-01-15", F.col("ts") >= "2024-01-15")):
+        ev.where(half).write.mode("append").parquet(folder)
+        st.trailing_quota_batches(spark, st.file_stream(spark, folder, ev.schema, glob="*.parquet"), out, out + "_state")
+    got = spark.read.parquet(out).select("event_id", "user_id", "ts", "prior_24h", "within_quota")
+    want = acc.trailing_24h(ev).select(*got.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_append_raises_on_an_unreadable_store(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+    path = str(tmp_path / "store")
+    spark.range(3).withColumn("index_name", F.lit("i")).withColumn("namespace", F.lit("n")).write.partitionBy("index_name", "namespace").parquet(path)
+    with pytest.raises(AnalysisException):
+        sinks.append_chunks(_chunks(spark), path)
+
+
+def test_equal_chunk_ids_of_one_run_are_stored_once(spark, tmp_path):
+    path = str(tmp_path / "store")
+    c = _chunks(spark)
+    sinks.append_chunks(c.unionAll(c), path)
+    assert spark.read.parquet(path).count() == c.count()
+
+
+def test_doubled_quotes_read_back_whole(spark, tmp_path):
+    from chatlake.sources.csv import read_csv
+    (tmp_path / "q.csv").write_text('text,date\n"say ""hi"", ok",2024\n"two\nlines",2025\nplain,2026\n')
+    got = sorted(map(tuple, read_csv(spark, str(tmp_path / "q.csv"), "text string, date string").collect()))
+    assert got == [("plain", "2026"), ('say "hi", ok', "2024"), ("two\nlines", "2025")]
