@@ -342,3 +342,34 @@ WHERE EXISTS (SELECT 1 FROM documents d WHERE TRY_CAST(regexp_extract(d.source,
 
 # The exact streaming quota must equal the batch trailing count over the same messages.
 ORACLES["stream_quota_exact"] = ORACLES["quota_24h"]
+
+# ---------------------------------------------------------------- rich exports, CSV sinks (rules restated from the reference)
+_RICH = """
+m AS (SELECT *, (conv_id * 7 + turn) % 9 AS kind, 1704067200 + conv_id * 3600 + turn * 60 AS unix FROM conversations),
+r AS (SELECT *, 'see ' || coalesce(text, '') || '@a' AS listed FROM m WHERE kind <> 8 AND conv_id % 11 <> 10),
+p AS (SELECT *, CASE kind WHEN 0 THEN 'text' WHEN 1 THEN 'link' WHEN 2 THEN 'sticker' WHEN 3 THEN 'video_file' WHEN 4 THEN 'file'
+                          WHEN 5 THEN 'photo' WHEN 6 THEN 'poll' ELSE 'location' END AS msg_type,
+             replace(CASE kind WHEN 0 THEN coalesce(text, '') WHEN 1 THEN listed WHEN 2 THEN 's.webp' WHEN 3 THEN '?' WHEN 4 THEN 'doc.pdf'
+                          WHEN 5 THEN 'p.jpg' WHEN 6 THEN CAST(turn AS VARCHAR) ELSE '1.5,2.25' END, chr(10), ' ') AS msg_content FROM r),
+n AS (SELECT *, 'chat ' || conv_id AS chat_name, 0 AS second FROM p
+      UNION ALL SELECT *, 'Unknown Chat', 1 FROM p WHERE conv_id % 3 <> 0)"""
+ORACLES["export_rich"] = f"""WITH {_RICH}
+SELECT chat_name, turn AS msg_id, CASE WHEN conv_id % 4 = 0 THEN '' ELSE role END AS sender, 'user' || conv_id AS sender_id,
+       CASE WHEN turn % 3 = 2 THEN turn - 1 END AS reply_to_msg_id, strftime(make_timestamp(unix * 1000000), '%Y-%m-%dT%H:%M:%S') AS date,
+       unix AS date_unixtime, msg_type, msg_content, CASE WHEN turn % 2 = 1 THEN 'someone' ELSE '' END AS forwarded_from, '' AS action,
+       (kind = 1)::INT AS has_mention, 0 AS has_email, 0 AS has_phone, 0 AS has_hashtag, 0 AS is_bot_command FROM n"""
+ORACLES["import_chunks"] = f"""WITH {_RICH},
+documents AS (SELECT conv_id * 1000000 + turn * 10 + second AS doc_id, strftime(make_timestamp(unix * 1000000), '%Y-%m-%dT%H:%M:%S') AS date,
+  msg_content || chr(10) || 'From the chat: ' || chat_name || chr(10) || chr(10) || 'Sender: ' || CASE WHEN conv_id % 4 = 0 THEN '' ELSE role END
+  || chr(10) || 'Forwarded from: ' || CASE WHEN turn % 2 = 1 THEN 'someone' ELSE '' END AS text FROM n),
+x AS ({_chunk_sql(chr(10))})
+SELECT 'user_42_notes' AS namespace, date, chunk_idx, chunk, n_chars FROM x JOIN documents USING (doc_id)"""
+ORACLES["export_rejects"] = """
+SELECT 'unrecognised layout' AS reason, count(DISTINCT conv_id) AS n FROM conversations WHERE conv_id % 11 = 10 HAVING count(*) > 0"""
+ORACLES["messages_csv"] = """
+SELECT 'chat ' || conv_id AS chat_name, turn AS msg_id, CASE WHEN role <> 'system' AND role <> '' THEN role END AS sender,
+       strftime(make_timestamp((1704067200 + conv_id * 3600 + turn * 60) * 1000000), '%Y-%m-%dT%H:%M:%S') AS date,
+       nullif(replace(text, chr(10), ' '), '') AS msg_content FROM conversations"""
+ORACLES["notes_csv"] = """
+SELECT TRY_CAST(regexp_extract(source, '^src([0-9]+)$', 1) AS BIGINT) AS telegram_id, doc_id AS message_id, nullif(text, '') AS text
+FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"""

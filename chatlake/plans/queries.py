@@ -409,6 +409,110 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return msgs.select("chat_name", *ex.MESSAGE_COLUMNS)
 
 
+def _rich_exports(spark: SparkSession, sf_dir: str) -> str:
+    """Exports written from the conversations in all three layouts, with every content branch, lists of typed parts, absent and null
+    keys, and lines without a layout; returns their folder.
+
+    kind = (7 conv_id + turn) mod 9: text, part list, sticker, media without a file, file, photo with a caption list, poll, location,
+    service. conv_id mod 3: one chat, ``chats`` (its second chat has no name), ``left_chats``; conv_id mod 11 = 10: no layout.
+    """
+    import uuid
+
+    from chatlake.session import scratch_path
+    from chatlake.sources import exports as ex
+    c = table(spark, sf_dir, "conversations").withColumn("kind", (F.col("conv_id") * 7 + F.col("turn")) % 9)
+    unix = F.lit(msg.BASE_EPOCH) + F.col("conv_id") * 3600 + F.col("turn") * 60
+    only = lambda k, v: F.when(F.col("kind") == k, v)
+    fields = F.struct(
+        F.col("turn").alias("id"), F.when(F.col("kind") == 8, "service").otherwise("message").alias("type"),
+        msg.iso_from_epoch(unix).alias("date"), unix.cast("string").alias("date_unixtime"),
+        F.when(F.col("conv_id") % 4 != 0, F.col("role")).alias("from"), F.concat(F.lit("user"), F.col("conv_id").cast("string")).alias("from_id"),
+        F.when(F.col("turn") % 2 == 1, "someone").alias("forwarded_from"),
+        F.when(F.col("turn") % 3 == 2, F.col("turn") - 1).alias("reply_to_message_id"),
+        F.when(F.col("kind") == 2, "sticker").when(F.col("kind") == 3, "video_file").alias("media_type"),
+        F.when(F.col("kind") == 2, "s.webp").when(F.col("kind") == 4, "doc.pdf").alias("file"), only(5, F.lit("p.jpg")).alias("photo"),
+        only(6, F.struct(F.col("turn").alias("total_voters"))).alias("poll"),
+        only(7, F.struct(F.lit(1.5).alias("latitude"), F.lit(2.25).alias("longitude"))).alias("location_information"))
+    said = F.to_json(F.struct("text"), {"ignoreNullFields": "false"})
+    said = F.substring(said, F.lit(9), F.length(said) - 9)  # the JSON of the text alone
+    parts = F.concat(F.lit('["see ",{"type":"link","text":'), said, F.lit('},{"type":"mention","text":"@a"},{"type":"plain"},5]'))
+    text = F.when(F.col("kind").isin(1, 5), parts).otherwise(said)
+    base = F.to_json(fields)
+    c = c.withColumn("json", F.concat(F.substring(base, F.lit(1), F.length(base) - 1), F.lit(',"text":'), text, F.lit("}")))
+    chats = ex.chat_messages_json(c, "conv_id", "turn", "json")
+    name = F.concat(F.lit('"chat '), F.col("conv_id").cast("string"), F.lit('"'))
+    messages = F.concat(F.lit("["), F.col("_all"), F.lit("]"))
+    two = F.concat(F.lit('{"list":[{"name":'), name, F.lit(',"messages":'), messages, F.lit('},{"messages":'), messages, F.lit("}]}"))
+    layout = F.when(F.col("conv_id") % 11 == 10, "none").otherwise(F.element_at(F.array(F.lit("single"), F.lit("chats"), F.lit("left_chats")), (F.col("conv_id") % 3 + 1).cast("int")))
+    given = lambda k, v: F.when(layout == k, F.parse_json(v))
+    out = scratch_path(spark, f"export_rich/{uuid.uuid4().hex}")
+    chats.select(F.parse_json(F.col("conv_id").cast("string")).alias("id"), given("single", name).alias("name"), given("single", messages).alias("messages"),
+                 given("chats", two).alias("chats"), given("left_chats", two).alias("left_chats")).write.json(out)
+    return out
+
+
+@query
+def export_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chatlake.sources import exports as ex
+    msgs, _ = ex.parse_exports(spark, _rich_exports(spark, sf_dir) + "/*.json", multi_line=False)
+    return msgs.select("chat_name", *ex.MESSAGE_COLUMNS)
+
+
+@query
+def export_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chatlake.sources import exports as ex
+    _, bad = ex.split_rejects(ex.read_exports(spark, _rich_exports(spark, sf_dir) + "/*.json", multi_line=False))
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def import_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ordinary import (most messages not forwarded) from export to stored chunks, read back from the store."""
+    import uuid
+
+    from chatlake.session import scratch_path
+    from chatlake.sources import exports as ex
+    from chatlake.sources.sinks import append_chunks
+    msgs, _ = ex.parse_exports(spark, _rich_exports(spark, sf_dir) + "/*.json", multi_line=False)
+    tid = F.lit(42).cast("bigint")
+    docs = msg.compose_index_text(msgs).select("chat_idx", "pos", "text", "date", acc.namespace(tid).alias("namespace"), acc.shard(tid).alias("index_name"))
+    c = ch.chunk_documents(docs, id_cols=("chat_idx", "pos"), separator="\n", keep_cols=("namespace", "index_name", "date"))
+    c = c.withColumn("chunk_id", ch.chunk_id("namespace", F.concat_ws(":", "chat_idx", "pos"), "chunk_idx", "chunk"))
+    path = scratch_path(spark, f"import_chunks/{uuid.uuid4().hex}")
+    append_chunks(c, path)
+    return spark.read.parquet(path).select("namespace", "date", "chunk_idx", "chunk", "n_chars")
+
+
+@query
+def messages_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK1: one CSV folder per chat, read back (empty and missing values are both null)."""
+    import uuid
+
+    from chatlake.session import scratch_path
+    from chatlake.sources.csv import read_csv
+    from chatlake.sources.sinks import write_messages_csv
+    path = scratch_path(spark, f"messages_csv/{uuid.uuid4().hex}")
+    m = _chat_messages(spark, sf_dir).select("chat_name", "msg_id", "sender", "date", "msg_content")
+    write_messages_csv(m, path)
+    return read_csv(spark, path, "msg_id bigint, sender string, date string, msg_content string, chat_name string")
+
+
+@query
+def notes_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK3: notes not indexed yet (no label), one CSV folder per user, read back."""
+    import uuid
+
+    from chatlake.session import scratch_path
+    from chatlake.sources.csv import read_csv
+    from chatlake.sources.sinks import write_pending_notes_csv
+    path = scratch_path(spark, f"notes_csv/{uuid.uuid4().hex}")
+    d = table(spark, sf_dir, "documents").select(user_of("source").alias("telegram_id"), F.col("doc_id").alias("telegram_message_id"), "text")
+    done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("telegram_message_id"), F.lit(True).alias("is_vectorized")).distinct()
+    notes = d.join(done, "telegram_message_id", "left").withColumn("is_vectorized", F.coalesce("is_vectorized", F.lit(False)))
+    write_pending_notes_csv(notes, path)
+    return read_csv(spark, path, "message_id bigint, text string, telegram_id bigint")
+
+
 # ---------------------------------------------------------------- streaming (STR2-5): run to completion, read back
 
 def _stream_of(spark, sf_dir, name):

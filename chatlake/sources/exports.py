@@ -55,10 +55,10 @@ def _reader(reader, multi_line: bool = True):
 
 def _frame(df: DataFrame, multi_line: bool) -> DataFrame:
     """(file, line, export columns). ``line`` tells the exports of a JSON-lines file apart: the export's
-    own id, else a hash of its name and messages (lines that say the same are one export)."""
+    own id, else a hash of its name and messages (lines that say the same are one export); null for whole files."""
     key = F.xxhash64(F.to_json("name"), F.to_json("messages"), F.to_json("chats"), F.to_json("left_chats"))
     own = F.when(F.col("id").isNotNull(), F.try_variant_get("id", "$", "bigint"))
-    line = F.lit(0).cast("long") if multi_line else F.coalesce(own, key)
+    line = F.lit(None).cast("long") if multi_line else F.coalesce(own, key)
     return df.select(F.col("_metadata.file_path").alias("file"), line.alias("line"), "name", "messages", "chats",
                      "left_chats", "broken")
 
@@ -108,7 +108,8 @@ def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def explode_chats(files: DataFrame, include_left: bool = False) -> DataFrame:
     """SRC2: one row per chat (file, chat_idx, chat_name, messages). ``chats`` wins over ``left_chats``
     (Q16); ``include_left`` also takes the left chats of a file that has both. A chat's number counts
-    inside its export; in JSON lines it is the line's key, so (file, chat_idx, pos) stays unique."""
+    inside its file; in JSON lines it is the line's key (a hash of key and number for a line's further chats),
+    so (file, chat_idx, pos) stays unique."""
     chats, left = F.col("chats.list"), F.col("left_chats.list")
     single = F.array(F.struct("name", F.lit(None).cast("variant").alias("id"), "messages"))
     arr = (F.when(F.col("layout") == "chats", F.concat(chats, F.coalesce(left, F.array())) if include_left else chats)
@@ -117,7 +118,9 @@ def explode_chats(files: DataFrame, include_left: bool = False) -> DataFrame:
     rows = files.select("file", "line", F.posexplode(arr).alias("at", "chat"))
     # the default applies to a missing key only; a JSON null name stays null
     name = F.when(F.col("chat.name").isNotNull(), F.try_variant_get("chat.name", "$", "string")).otherwise(F.lit(UNKNOWN_CHAT))
-    return rows.select("file", (F.col("line") + F.col("at")).alias("chat_idx"), name.alias("chat_name"),
+    number = (F.when(F.col("line").isNull(), F.col("at").cast("long")).when(F.col("at") == 0, F.col("line"))
+              .otherwise(F.xxhash64("line", "at")))
+    return rows.select("file", number.alias("chat_idx"), name.alias("chat_name"),
                        F.col("chat.messages").alias("messages"))
 
 
@@ -255,6 +258,14 @@ def read_message_lines(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("m", F.parse_json("message")).drop("message"))
 
 
+def chat_messages_json(msgs: DataFrame, chat_col: str, order_col: str, json_col: str, piece_size: int = 1024) -> DataFrame:
+    """(chat, ``_all``): each chat's messages as the inside of one JSON list, in order, built in two levels (see ``chat_exports``)."""
+    pieces = (msgs.groupBy(chat_col, F.floor(F.col(order_col) / piece_size).alias("_piece"))
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order_col, F.col(json_col).alias("_j")))),
+                                            lambda x: x["_j"]), ",").alias("_frag")))
+    return pieces.groupBy(chat_col).agg(F.expr("listagg(_frag, ',') WITHIN GROUP (ORDER BY _piece)").alias("_all"))
+
+
 def chat_exports(msgs: DataFrame, chat_col: str, order_col: str, message_col: str, name: Column,
                  piece_size: int = 1024) -> DataFrame:
     """Build single-chat exports ``(name, id, messages VARIANT)`` from message structs (JSON writer ready).
@@ -263,12 +274,8 @@ def chat_exports(msgs: DataFrame, chat_col: str, order_col: str, message_col: st
     serialised by one task: every piece of ``piece_size`` positions becomes a JSON fragment in
     parallel, then a chat's fragments are only concatenated in piece order and parsed.
     """
-    js = F.to_json(F.col(message_col), {"ignoreNullFields": "false"})
-    pieces = (msgs.groupBy(chat_col, F.floor(F.col(order_col) / piece_size).alias("_piece"))
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order_col, js.alias("_j")))),
-                                            lambda x: x["_j"]), ",").alias("_frag")))
+    lines = msgs.withColumn("_json", F.to_json(F.col(message_col), {"ignoreNullFields": "false"}))
     names = msgs.select(chat_col, name.alias("name")).dropDuplicates([chat_col])
-    return (pieces.groupBy(chat_col)
-            .agg(F.expr("listagg(_frag, ',') WITHIN GROUP (ORDER BY _piece)").alias("_all"))
+    return (chat_messages_json(lines, chat_col, order_col, "_json", piece_size)
             .join(names, chat_col)
             .select("name", F.col(chat_col).alias("id"), F.parse_json(F.concat(F.lit("["), F.col("_all"), F.lit("]"))).alias("messages")))

@@ -140,3 +140,27 @@ def test_chat_export_built_in_pieces_round_trips(spark, tmp_path):
     rows = msgs.select("chat_name", "msg_id", "msg_content").orderBy("msg_id").collect()
     assert len(rows) == n and {r.chat_name for r in rows} == {"big chat"}
     assert [r.msg_id for r in rows] == list(range(n)) and rows[-1].msg_content == f"t{n - 1}"
+
+
+def test_json_lines_keys_are_unique(spark, tmp_path):
+    lines = [{"name": "A", "messages": [_msg(1), _msg(2)]}, {"name": "A", "messages": [_msg(3)]}, {"id": 1, "chats": {"list": [
+        {"name": "A", "messages": [_msg(4)]}, {"messages": [_msg(5)]}]}}, {"id": 2, "name": "A", "messages": [_msg(6)]}]
+    (tmp_path / "l.json").write_text("\n".join(json.dumps(x) for x in lines))
+    msgs, _ = ex.parse_exports(spark, str(tmp_path), multi_line=False)
+    assert msgs.count() == 6 == msgs.select("file", "chat_idx", "pos").distinct().count()
+
+
+def test_null_photo_hides_the_media_file(spark, tmp_path):
+    _write(tmp_path, "p.json", {"name": "P", "messages": [_msg(1, photo=None, media_type="sticker", file="s.webp")]})
+    r = ex.parse_exports(spark, str(tmp_path))[0].first()
+    assert (r.msg_type, r.msg_content, r.forwarded_from, r.action) == ("photo", "", "", "")
+
+
+def test_an_export_above_the_variant_limit_keeps_all_messages(spark, tmp_path):
+    text = "x" * 1_400_000
+    with open(tmp_path / "big.json", "w") as f:  # about 140 MB
+        f.write('{"name": "Big", "messages": [')
+        f.write(",".join(json.dumps(_msg(k, text=text)) for k in range(100)))
+        f.write("]}")
+    msgs, rejects = ex.parse_exports(spark, str(tmp_path))
+    assert msgs.select("msg_id").count() == 100 and rejects.count() == 0
