@@ -373,3 +373,4 @@ SELECT 'chat ' || conv_id AS chat_name, turn AS msg_id, CASE WHEN role <> 'syste
 ORACLES["notes_csv"] = """
 SELECT TRY_CAST(regexp_extract(source, '^src([0-9]+)$', 1) AS BIGINT) AS telegram_id, doc_id AS message_id, nullif(text, '') AS text
 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"""
+ORACLES["stream_exports"] = ORACLES["export_rich"]

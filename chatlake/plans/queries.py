@@ -520,6 +520,19 @@ def _stream_of(spark, sf_dir, name):
     return table_stream(spark, f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema)
 
 
+@query
+def stream_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR1: the rich exports ingested as a stream, a few files per micro-batch."""
+    import uuid
+
+    from chatlake.session import scratch_path
+    from chatlake.sources import exports as ex
+    from chatlake.streaming import streams as st
+    out = scratch_path(spark, f"stream_exports/{uuid.uuid4().hex}")
+    st.ingest_exports(spark, _rich_exports(spark, sf_dir), out, multi_line=False, max_files=4)
+    return spark.read.parquet(out).select("chat_name", *ex.MESSAGE_COLUMNS)
+
+
 @query
 def stream_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid

@@ -71,12 +71,12 @@ def read_exports(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     return _frame(_reader(spark.read, multi_line).load(path), multi_line)
 
 
-def stream_exports(spark: SparkSession, folder: str, options: dict) -> DataFrame:
+def stream_exports(spark: SparkSession, folder: str, options: dict, multi_line: bool = True) -> DataFrame:
     """The same as a stream of files."""
-    r = _reader(spark.readStream)
+    r = _reader(spark.readStream, multi_line)
     for k, v in options.items():
         r = r.option(k, v)
-    return _frame(r.load(folder), True)
+    return _frame(r.load(folder), multi_line)
 
 
 def layout() -> Column:

@@ -59,40 +59,44 @@ FILE_BUCKETS = 64  # hash buckets of the source file that partition the ingested
 
 
 def ingest_exports(spark: SparkSession, in_folder: str, out_path: str, clean_source: str | None = None,
-                   ckpt: str | None = None) -> None:
-    """STR1 + SRC5: parse each export file as it arrives and append its messages.
+                   ckpt: str | None = None, multi_line: bool = True, max_files: int = MAX_FILES) -> None:
+    """STR1 + SRC3 + SRC5: parse each export file as it arrives, append its messages to ``out_path`` and
+    write broken or unknown exports (file, reason) to ``<out_path>_rejects``.
 
-    ``clean_source='archive'|'delete'`` removes consumed files (done by a later batch).
+    ``clean_source='archive'|'delete'`` removes consumed files (done by a later batch);
+    ``multi_line=False`` reads JSON lines, one export each.
     """
-    options = {}
+    options = {"maxFilesPerTrigger": max_files}
     if clean_source:
         options["cleanSource"] = clean_source
         if clean_source == "archive":
             options["sourceArchiveDir"] = scratch_path(spark, "export_archive")
-    good, _ = ex.split_rejects(ex.stream_exports(spark, in_folder, options))
-    msgs = ex.project_messages(ex.explode_messages(ex.explode_chats(good)))
+    raw = ex.with_layout(ex.stream_exports(spark, in_folder, options, multi_line))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         # The same file re-read by a replayed batch (or a new checkpoint) is dropped by the
         # (file, chat_idx, pos) key. The output is partitioned by a fixed hash bucket of the file, so
         # only the bucket folders of this batch's files are read (by path), then semi-joined to them.
         batch = batch.withColumn("file_bucket", F.pmod(F.xxhash64("file"), F.lit(FILE_BUCKETS)).cast("int"))
-        batch = batch.persist()  # used three times; recomputed from the files if an executor is lost
+        batch = batch.persist()  # read several times; recomputed from the files if an executor is lost
         try:
-            buckets = sorted(r[0] for r in batch.select("file_bucket").distinct().collect())  # <= 64 numbers
+            write_batch(ex.rejects_of(batch), f"{out_path}_rejects", batch_id)
+            good = batch.where(~F.col("layout").isin("invalid", "unknown"))
+            buckets = sorted(r[0] for r in good.select("file_bucket").distinct().collect())  # <= 64 numbers
             if not buckets:
                 return
-            new = batch
+            new = ex.project_messages(ex.explode_messages(ex.explode_chats(good)))
+            new = new.withColumn("file_bucket", F.pmod(F.xxhash64("file"), F.lit(FILE_BUCKETS)).cast("int"))
             old = stored(spark, f"{out_path}/file_bucket={{{','.join(str(b) for b in buckets)}}}", basePath=out_path)
             if old is not None:
                 done = (old.select("file", "chat_idx", "pos")
-                        .join(batch.select("file").distinct(), "file", "left_semi"))
-                new = batch.join(done, ["file", "chat_idx", "pos"], "left_anti")
+                        .join(good.select("file").distinct(), "file", "left_semi"))
+                new = new.join(done, ["file", "chat_idx", "pos"], "left_anti")
             new.write.mode("append").partitionBy("file_bucket").parquet(out_path)
         finally:
             batch.unpersist()
 
-    run_available(msgs.writeStream.foreachBatch(sink), ckpt or _ckpt(out_path))
+    run_available(raw.writeStream.foreachBatch(sink), ckpt or _ckpt(out_path))
 
 
 # ---------------------------------------------------------------- STR2: incremental indexing

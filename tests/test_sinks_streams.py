@@ -68,7 +68,22 @@ def test_ingest_exports_stream_is_replay_safe(spark, tmp_path):
     st.ingest_exports(spark, str(src), out)  # another checkpoint replays the file: the key drops it
     rows = spark.read.parquet(out).collect()
     assert [(r.chat_name, r.msg_content) for r in rows] == [("A", "hi")]
-    assert os.path.exists(out)
+
+
+def test_ingest_exports_writes_rejects_and_cleans_its_source(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "bad.json").write_text('{"name": "x')
+    (src / "odd.json").write_text('{"foo": 1}')
+    out = str(tmp_path / "out")
+    st.ingest_exports(spark, str(src), out, clean_source="delete")
+    got = {(r.file.rsplit("/", 1)[-1], r.reason) for r in spark.read.parquet(out + "_rejects").collect()}
+    assert got == {("bad.json", "invalid JSON"), ("odd.json", "unrecognised layout")}
+    for k in (1, 2):  # a consumed file goes when a later batch has been finished
+        (src / f"m{k}.json").write_text(json.dumps({"name": "A", "messages": [{"id": k, "type": "message", "text": "t"}]}))
+        st.ingest_exports(spark, str(src), out, clean_source="delete")
+    assert spark.read.parquet(out).count() == 2
+    assert "bad.json" not in os.listdir(src)
 
 
 def test_message_and_notes_csv(spark, tmp_path):
