@@ -71,10 +71,10 @@ def score(queries: DataFrame, vectors: DataFrame, ns_col: str, qvec: str = "qvec
     # The query side is written and measured: broadcast when it fits, so the (large) vector side is
     # scored where it is read, with no shuffle; beyond the bound both sides are hash-joined on the
     # namespace and AQE splits a hot namespace's partition.
-    q, _ = bounded_broadcast(queries, "search_queries")
-    j = q.join(v, ns_col)
-    cos = F.try_divide(dot(qvec, "_v"), norm(qvec) * norm("_v"))  # a zero vector scores null
-    return j.withColumn("score", relevance(cos)).drop("_v")
+    q, _ = bounded_broadcast(queries.withColumn("_qnorm", norm(qvec)), "search_queries")  # one norm per query
+    j = q.join(v.withColumn("_vnorm", norm("_v")), ns_col)
+    cos = F.try_divide(dot(qvec, "_v"), F.col("_qnorm") * F.col("_vnorm"))  # a zero vector scores null
+    return j.withColumn("score", relevance(cos)).drop("_v", "_qnorm", "_vnorm")
 
 
 def top_k(scored: DataFrame, k: int = TOP_K, threshold: float | None = SCORE_THRESHOLD,
@@ -99,7 +99,8 @@ def with_documents(hits: DataFrame, docs: DataFrame, key: str = "vec_id") -> Dat
         return h.join(docs, key, "left")
     matched = materialize(docs.join(h, key), "hits_matched")
     unmatched = h.join(matched.select(key).distinct(), key, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    columns = [key, *(c for c in hits.columns if c != key), *(c for c in docs.columns if c != key)]
+    return matched.unionByName(unmatched, allowMissingColumns=True).select(*columns)  # as the left join has them
 
 
 def best_per_source(hits: DataFrame, key: str = "query_id", source: str = "source",
@@ -111,11 +112,14 @@ def best_per_source(hits: DataFrame, key: str = "query_id", source: str = "sourc
 
 
 def assemble_context(hits: DataFrame, key: str = "query_id", text_col: str = "page_content",
-                     sep: str = "\n\n", tail: str | None = None) -> DataFrame:
-    """AGG19 + SET2 (+ SET6 with ``tail``): distinct texts of a query's hits, best first,
+                     sep: str = "\n\n", tail: str | None = None, answer: Column | None = None) -> DataFrame:
+    """AGG19 + SET2 (+ SET6 with ``answer`` and ``tail``): distinct texts of a query's hits, best first, then
+    the query's answer (an expression over its key; a null answer is empty) and the closing line,
     joined by a blank line. At most k texts per query are collected (bounded)."""
     d = hits.groupBy(key, text_col).agg(F.min("rank").alias("_r"))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("_r", text_col))), lambda s: s[text_col])
+    if answer is not None:
+        texts = F.concat(texts, F.array(F.coalesce(answer, F.lit(""))))
     if tail is not None:
         texts = F.concat(texts, F.array(F.lit(tail)))
     return d.groupBy(key).agg(F.count(F.lit(1)).alias("n_docs"), F.array_join(texts, sep).alias("context"))

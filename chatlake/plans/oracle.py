@@ -293,7 +293,7 @@ SELECT query_id, source, vec_id, round(score, 6) AS score FROM (
 
 
 def _context(tail: str | None) -> str:
-    t = f" || chr(10) || chr(10) || {_lit(tail)}" if tail else ""
+    t = f" || chr(10) || chr(10) || 'Answer to ' || query_id || chr(10) || chr(10) || {_lit(tail)}" if tail else ""
     return f"""
 SELECT query_id, count(*) AS n_docs,
        string_agg(page_content, chr(10) || chr(10) ORDER BY r){t} AS context
