@@ -47,7 +47,6 @@ def _size(part: Column, name: str) -> Column:
     return F.greatest(F.coalesce(part[name], F.lit(0)), F.lit(0))
 
 
-#: The visitor: marker -> (condition on the type, tokens it expands to).
 def visit(part: Column) -> Column:
     """A part's marker and body, its expanded tokens, and the reference of an attachment (null for text)."""
     kind = F.lower(part["type"])
