@@ -10,7 +10,7 @@ are linked when the Jaccard similarity of their sets is at least ``PERCENT`` / 1
    (1 - 0.75**4)**32 = 5e-6.
 2. **Classes**: documents with equal word sequences are one class, represented by its smallest doc_id, so copies are
    aggregated away before anything else.
-3. **Stars**: in every bucket (band, key) each member is paired with the bucket's smallest member.
+3. **Stars**: every document is paired with the smallest document of all the buckets (band, key) it lies in.
 4. **Completion**: in buckets whose members still lie in several components, pivots from the rarest components are paired
    with the members of other components, ``PIVOTS`` per bucket and round, until no such bucket is left: every candidate
    pair is then either inside one component or tested, without all pairs of a bucket. The signature test is part of the
@@ -18,7 +18,8 @@ are linked when the Jaccard similarity of their sets is at least ``PERCENT`` / 1
 5. **Confirmation** on the full shingle sets; components by large-star and small-star over the confirmed links.
 
 The signature test drops a pair whose bits agree in fewer than ``AGREE`` of 512 places; a pair at the threshold has
-mean 448 and standard deviation 11.3 there (5.5 deviations).
+mean 448 and standard deviation 11.3 there (5.5 deviations). The second one asks for ``DEEP_AGREE`` of 2048, two of every minimum (mean 1792,
+standard deviation 17.9: 5 deviations).
 
 Defined results: a null text has no words; a null doc_id is given no set, no component and kept false; rows that repeat
 a doc_id are judged each by its own text, and texts that share their class's smallest id are one node; an empty table
@@ -43,13 +44,15 @@ WIDTH, PERCENT = 5, 75
 ROWS, BANDS = 4, 32
 BITS = ROWS * BANDS * 4 // 64
 AGREE = 386
-PIVOTS = 64
+DEEP, DEEP_AGREE = 1024, 1703
+PIVOTS = 1024
 CACHE = 500_000
 BLOCK = 2048
 
 _RNG = np.random.default_rng(20240229)
-_A = _RNG.integers(0, 1 << 32, ROWS * BANDS, np.uint32) | np.uint32(1)
-_B = _RNG.integers(0, 1 << 32, ROWS * BANDS, np.uint32)
+_A = _RNG.integers(0, 1 << 32, ROWS * BANDS + DEEP, np.uint32) | np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, ROWS * BANDS + DEEP, np.uint32)
+_FIRST, _SECOND = slice(0, ROWS * BANDS), slice(ROWS * BANDS, None)
 _POSITION = _RNG.integers(0, 1 << 63, max(WIDTH, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -89,17 +92,25 @@ def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def minima(x: np.ndarray) -> np.ndarray:
+def minima(x: np.ndarray, which: slice = _FIRST) -> np.ndarray:
     """The least value of each universal hash function over the set, block by block."""
     x = (x >> np.uint64(32)).astype(np.uint32)
-    out = np.full(len(_A), 0xFFFFFFFF, np.uint32)
-    for low in range(0, len(x), BLOCK):
-        h = x[low:low + BLOCK] * _A[:, None]
-        h += _B[:, None]
+    a, b = _A[which, None], _B[which, None]
+    out = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    block = BLOCK * ROWS * BANDS // len(a)
+    for low in range(0, len(x), block):
+        h = x[low:low + block] * a
+        h += b
         np.minimum(out, h.min(1), out=out)
     return out
 
 
+def signature(m: np.ndarray, bits: int = 4) -> np.ndarray:
+    """The last bits of every minimum, packed into longs."""
+    part = (m[:, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)
+    return np.packbits(part.astype(np.uint8).ravel()).view(np.int64)
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, class (digest of the word sequence, null without words), n_shingles, bands, bits."""
     def run(batches):
@@ -120,8 +131,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     m = minima(x)
                     rows = m.reshape(BANDS, ROWS).astype(np.uint64)
                     bands.append(_mix((rows * _POSITION[:ROWS]).sum(1, dtype=np.uint64)).view(np.int64))
-                    nibbles = (m & np.uint32(15)).astype(np.uint8)
-                    bits.append((nibbles[::2] << 4 | nibbles[1::2]).view(np.int64))
+                    bits.append(signature(m))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), pa.array(cls, pa.binary()), pa.array(sizes, pa.int64()),
                      pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
@@ -131,23 +141,31 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return ship(rows).mapInArrow(run, "id long, cls binary, n_shingles long, bands array<long>, bits array<long>")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles array<long>) of the documents that ``ids`` (node) names, computed anew from their texts."""
+def _from_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, make) -> DataFrame:
+    """(node, made array<long>) of the documents that ``ids`` (node) names: ``make`` of their shingles, from their texts."""
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 part = batch.slice(low, 64)
-                sets = [shingles(words_of(t)).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                made = [make(shingles(words_of(t))).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "made"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    return ship(rows).join(ids, "node", "left_semi").mapInArrow(run, "node long, shingles array<long>")
+    return ship(rows).join(ids, "node", "left_semi").mapInArrow(run, "node long, made array<long>")
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return _from_texts(docs, ids, id_col, text_col, lambda x: x).withColumnRenamed("made", "shingles")
+
+
+def deep_signatures(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return _from_texts(docs, ids, id_col, text_col, lambda x: signature(minima(x, _SECOND), 2)).withColumnRenamed("made", "deep")
 
 
 def _alike(a: str, b: str) -> str:
     """SQL: the signatures of rows ``a`` and ``b`` agree well enough, and their sizes allow the similarity."""
     differ = " + ".join(f"bit_count({a}.bits[{k}] ^ {b}.bits[{k}])" for k in range(BITS))
-    return (f"100 * least({a}.n, {b}.n) >= {PERCENT} * greatest({a}.n, {b}.n) and {differ} <= {64 * BITS - AGREE}")
+    return f"100 * least({a}.n, {b}.n) >= {PERCENT} * greatest({a}.n, {b}.n) and {differ} <= {64 * BITS - AGREE}"
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -162,44 +180,48 @@ def _confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> D
     return materialize(common.where(f"100 * common >= {PERCENT} * (total - common)").select("a", "b"), "links")
 
 
-def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Confirmed links (a, b) that connect everything that is linked; ``nodes``: node, n, bands, bits."""
+def link_components(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, component) over all links between ``nodes`` (node, n, bands, bits); nodes without a link are left out."""
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    keys = keys.select("node", F.xxhash64("band", "key").alias("bucket"))
+    keys = keys.select("node", "band", F.xxhash64("band", "key").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-    members = materialize(keys.join(shared.hint("merge"), "bucket").select("bucket", "node", "first"), "buckets")
-    facts = nodes.select("node", "n", "bits")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        a, b = facts.alias("x"), facts.alias("y")
-        p = pairs.join(a, pairs["a"] == F.col("x.node")).join(b, F.col("b") == F.col("y.node"))
-        return p.where(F.expr(_alike("x", "y"))).select("a", "b")
-
-    stars = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    found = _confirm(docs, materialize(likely(stars), "pairs"), id_col, text_col)
+    members = materialize(keys.join(shared.hint("merge"), "bucket").select("bucket", "band", "node", "first"), "buckets")
+    facts = nodes.select("node", "n", "bits", "bands")
+    stars = members.groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).where("a <> b")
+    a, b = facts.alias("x"), facts.alias("y")
+    likely = stars.join(a, F.col("a") == F.col("x.node")).join(b, F.col("b") == F.col("y.node")).where(F.expr(_alike("x", "y")))
+    found = _confirm(docs, materialize(likely.select("a", "b"), "pairs"), id_col, text_col)
+    comp = materialize(components(found, "a", "b"), "components")
+    info = None
+    deep = f"aggregate(zip_with(x.deep, y.deep, (a, b) -> bit_count(a ^ b)), 0, (s, d) -> s + d) <= {DEEP * 2 - DEEP_AGREE}"
+    # a pair leaves the join once: with the pivot that ranks first, and in the first band that its documents share
+    once = "(x.mates < y.mates or x.mates = y.mates and x.node < y.node)"
+    here = "array_position(zip_with(x.bands, y.bands, (a, b) -> a = b), true) = x.band + 1"
     while True:
-        comp = components(found, "a", "b").withColumnRenamed("node", "cnode")
-        placed = members.join(comp, F.col("node") == F.col("cnode"), "left")
-        placed = placed.select("bucket", "node", F.coalesce("component", "node").alias("comp"))
-        counts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+        placed = members.join(comp.withColumnRenamed("node", "cnode"), F.col("node") == F.col("cnode"), "left")
+        placed = placed.select("bucket", "band", "node", F.coalesce("component", "node").alias("comp"))
+        counts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("mates"))
         mixed = counts.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        open_ = placed.join(mixed.select("bucket").hint("merge"), "bucket", "left_semi")
-        open_ = materialize(open_.join(counts.hint("merge"), ["bucket", "comp"]), "open")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("n", "node"))
-        pivots = open_.select("bucket", "node", "comp", "n").withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
-        pivots = materialize(pivots.select("bucket", "node", "comp", "rank"), "pivots")
+        left = placed.join(mixed.select("bucket").hint("merge"), "bucket", "left_semi")
+        left = materialize(left.join(counts.hint("merge"), ["bucket", "comp"]), "open")
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("mates", "node"))
+        pivots = left.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).drop("rank")
+        pivots = materialize(pivots, "pivots")
         if pivots.isEmpty():
-            return found
-        info = facts.select("node", F.col("n").alias("size"), "bits")
-        x = pivots.join(info, "node").select("bucket", "node", "comp", F.col("size").alias("n"), "bits").alias("x")
-        y = open_.drop("n").join(info, "node").select("bucket", "node", "comp", F.col("size").alias("n"), "bits").alias("y")
-        pairs = y.join(x.hint("merge"), F.expr(f"x.bucket = y.bucket and x.comp <> y.comp and {_alike('x', 'y')}"))
+            return comp
+        if info is None:  # later rounds work on a part of these nodes
+            deeper = materialize(deep_signatures(docs, materialize(left.select("node").distinct(), "nodes"), id_col, text_col), "deep")
+            info = materialize(facts.join(deeper, "node").select("node", "n", "bits", "bands", "deep"), "facts")
+        x, y = pivots.join(info, "node").alias("x"), left.join(info, "node").alias("y")
+        pairs = y.join(x.hint("merge"), F.expr(f"x.bucket = y.bucket and x.comp <> y.comp and {once} and {_alike('x', 'y')} and {deep} and {here}"))
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         pairs = materialize(pairs, "pairs")
         if not pairs.isEmpty():
-            found = materialize(found.unionAll(_confirm(docs, pairs, id_col, text_col)), "links")
-        members = materialize(open_.join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti")
-                              .select("bucket", "node"), "buckets")
+            more = _confirm(docs, pairs, id_col, text_col)
+            if not more.isEmpty():
+                found = found.unionAll(more)
+                comp = materialize(components(found, "a", "b"), "components")
+        members = left.join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti").select("bucket", "band", "node")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,7 +231,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     least = F.min(F.struct("id", "n_shingles", "bands", "bits")).alias("first")
     classes = materialize(with_set.groupBy("cls").agg(least).select("cls", "first.*"), "classes")
     nodes = classes.select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "bands", "bits")
-    comp = components(links(docs, nodes, id_col, text_col), "a", "b")
+    comp = link_components(docs, nodes, id_col, text_col)
     placed = classes.select("cls", F.col("id").alias("node")).join(comp, "node", "left")
     placed = placed.select("cls", F.coalesce("component", "node").alias("reach"))
     out = rows.select("id", "cls", "n_shingles").join(placed.hint("merge"), "cls", "left")
