@@ -11,7 +11,7 @@ A suffix array of the whole corpus fits no task, so equal windows are first brou
    task, which concatenates them (0xFF, never in UTF-8, between them) and sorts their suffixes in two stages: only the
    suffixes smaller than their successors are compared directly; the others are induced by scanning the buckets of the first byte
    from small to large. Windows whose common prefix with a neighbour reaches ``LENGTH`` are repeated. An f with more than ``HOT`` different
-   segments (the edge of a very common passage) is not sorted in one task: its windows' 128-bit digests are counted.
+   segments (the edge of a very common passage) is not sorted in one task: 128-bit digests of its windows are counted, in blocks of ``STRIDE``.
 4. **Cut.** Covered ranges return to their documents and are cut out.
 
 Defined results: a null text is empty; a text shorter than ``LENGTH`` loses nothing; matches never cross documents; rows are told
@@ -32,6 +32,7 @@ from chatlake.llm.common import materialize, ship, text_or_empty
 
 LENGTH, GRAM = 200, 64
 HOT = 256
+STRIDE = 12  # windows of a block where an f is hot
 WIDE = LENGTH - GRAM + 1  # strings a window picks from
 CHUNK, PLACE = 1 << 16, 17  # windows hashed at once; bits for a place among them
 SORT_BYTES = 1 << 20
@@ -267,38 +268,84 @@ def _sorted_ranges(segments: DataFrame) -> DataFrame:
     return ship(dealt).select("f", "n", "place", "rid", "bytes").mapInArrow(run, "rid long, start long, end long")
 
 
-def _hot_ranges(segments: DataFrame) -> DataFrame:
-    """The same for an f with very many segments: its windows' digests are counted."""
+def _halves(digest: int) -> tuple[int, int]:
+    return (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
+
+
+def _digests(data, ranges) -> list[pa.Array]:
+    """Two columns: the 128-bit digests of these ranges of ``data``."""
+    d = [_halves(xxhash.xxh3_128_intdigest(data[a:b])) for a, b in ranges]
+    return [pa.array([x[k] for x in d], pa.int64()) for k in (0, 1)]
+
+
+def _hot_blocks(segments: DataFrame) -> DataFrame:
+    """Up to ``STRIDE`` neighbouring windows of a segment as one block, numbered by their distance to the pick.
+
+    Blocks that hold equal windows have the same number and the same *core*, the bytes that all windows of the full block share; blocks
+    with the same *piece* (all their bytes) hold the same windows.
+    """
     def run(batches):
-        digest = xxhash.xxh3_128_intdigest
         for batch in batches:
-            for r in batch.to_pylist():
-                data, lo = memoryview(r["bytes"]), r["place"] >> 16
-                at = range(len(data) - LENGTH + 1)
-                d = [digest(data[i:i + LENGTH]) for i in at]
+            for f, n, place, rid, data in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                lo, pick, span = place >> 16, place >> 8 & 255, place & 255
+                blocks, core = [], []
+                for number in range((pick - span) // STRIDE, pick // STRIDE + 1):
+                    first, last = max(0, pick - number * STRIDE - STRIDE + 1), min(span, pick - number * STRIDE)
+                    blocks.append((first, last))
+                    core.append((pick - number * STRIDE, pick - number * STRIDE - STRIDE + 1 + LENGTH))
+                k = len(blocks)
+                piece = [(a, b + LENGTH) for a, b in blocks]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x >> 64 for x in d], pa.uint64()).view(pa.int64()), pa.array([x & (1 << 64) - 1 for x in d], pa.uint64()).view(pa.int64()),
-                     pa.array([r["n"]] * len(d), pa.int64()), pa.array([r["rid"]] * len(d), pa.int64()), pa.array([lo + i for i in at], pa.int64())],
-                    names=["d1", "d2", "n", "rid", "start"])
+                    [*_digests(data, piece), *_digests(data, core), pa.array([n] * k, pa.int64()), pa.array([rid] * k, pa.int64()),
+                     pa.array([lo + a for a, _ in blocks], pa.int64()), pa.array([data[a:b] for a, b in piece], pa.binary())],
+                    names=["p1", "p2", "c1", "c2", "n", "rid", "start", "bytes"])
+
+    return ship(segments).select("f", "n", "place", "rid", "bytes").mapInArrow(
+        run, "p1 long, p2 long, c1 long, c2 long, n long, rid long, start long, bytes binary")
+
 
-    windows = ship(segments).select("n", "place", "rid", "bytes").mapInArrow(run, "d1 long, d2 long, n long, rid long, start long")
-    windows = materialize(windows, "hot-windows")
-    twice = windows.groupBy("d1", "d2").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
-    found = windows.where("n = 1").join(twice.hint("merge"), ["d1", "d2"], "left_semi")
-    return found.select("rid", "start", (F.col("start") + LENGTH).alias("end"))
+def _block_windows(blocks: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for n, rid, start, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                k = len(data) - LENGTH + 1
+                yield pa.RecordBatch.from_arrays(
+                    [*_digests(data, [(i, i + LENGTH) for i in range(k)]), pa.array([n] * k, pa.int64()), pa.array([rid] * k, pa.int64()),
+                     pa.array(range(start, start + k), pa.int64())], names=["d1", "d2", "n", "rid", "start"])
+
+    return ship(blocks).select("n", "rid", "start", "bytes").mapInArrow(run, "d1 long, d2 long, n long, rid long, start long")
+
+
+def _hot_ranges(segments: DataFrame) -> DataFrame:
+    """The same for an f with very many segments, whose windows' digests are counted, block by block.
+
+    All windows of a piece that occurs twice are repeated. Only blocks that share their core with a different piece can hold other
+    repeated windows: one copy of each such piece is taken apart and its windows are counted.
+    """
+    blocks = materialize(_hot_blocks(segments), "hot-blocks")
+    pieces = blocks.groupBy("c1", "c2", "p1", "p2").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "start", "bytes")).alias("one"))
+    pieces = materialize(pieces.select("c1", "c2", "p1", "p2", "n", "one.*"), "hot-pieces")
+    twice = pieces.where("n > 1").select("p1", "p2").distinct()
+    whole = blocks.where("n = 1").join(twice.hint("merge"), ["p1", "p2"], "left_semi")
+    whole = whole.select("rid", "start", (F.col("start") + F.octet_length("bytes")).alias("end"))
+    mixed = pieces.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    windows = materialize(_block_windows(pieces.join(mixed.hint("merge"), ["c1", "c2"], "left_semi")), "hot-windows")
+    again = materialize(windows.groupBy("d1", "d2").agg(F.sum("n").alias("all")).where("all > 1").drop("all"), "hot-repeats")
+    found = windows.where("n = 1").join(again.hint("merge"), ["d1", "d2"], "left_semi")
+    return whole.unionAll(found.select("rid", "start", (F.col("start") + LENGTH).alias("end")))
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(rid, start, end) byte ranges, possibly overlapping, that cover all repeated windows of ``docs`` (rid, text)."""
     all_ = materialize(_anchor_rows(docs), "anchors")
-    twice = all_.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    twice = materialize(all_.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated-picks")
     rows = materialize(all_.join(twice.hint("merge"), "f", "left_semi"), "candidates")
     classes = materialize(rows.groupBy("f", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place")).alias("first"))
                           .select("f", "h", "n", "first.*"), "segments")
     kinds = classes.groupBy("f").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     wanted = classes.join(kinds.hint("merge"), "f").withColumn("hot", F.col("kinds") > HOT).drop("kinds")
     segments = materialize(_segment_rows(docs, wanted), "segment-bytes")
-    again = classes.where("n > 1").select("f", "h")
+    again = classes.where("n > 1").select("f", "h")  # written, so the join on the right of it can split a hot segment
     copies = rows.join(again.hint("merge"), ["f", "h"], "left_semi")
     copies = copies.selectExpr("rid", "shiftright(place, 16) as start", f"shiftright(place, 16) + (place & 255) + {LENGTH} as end")
     sorted_ = _sorted_ranges(segments.where("not hot"))
