@@ -12,6 +12,7 @@ import corpus_pipeline
 from chatlake.llm import bpe, chat_format, exact_dedup, minhash, mixing, pii, suffix_dedup, topk, toxicity, warc
 from chatlake.llm.components import components
 from chatlake.llm.queries import bpe_path
+from .test_contracts import brute_components
 
 rnd = random.Random(11)
 WORDS = [f"w{k}" for k in range(400)]
@@ -71,6 +72,21 @@ def test_near_dedup_completes_chains(spark):
     assert all(r.component_id == r.doc_id for r in rows if r.doc_id >= 100)
 
 
+def test_near_dedup_completes_short_texts(spark):
+    """Pairs of few shingles that only the completion can bring together: each first meets a smaller document it is not linked to."""
+    texts = {}
+    for k in range(400):
+        n = 4 + k % 13  # shingles of the family's longest text
+        words = [f"f{k}_{j}" for j in range(n + 4)]
+        near = words[:-1] if k % 2 or n < 7 else words[1:] + [f"f{k}_"]
+        shared = (n - 1) * 74 // 100 if near == words[:-1] else n * 74 // 100
+        texts |= {k: " ".join(words[1:][:shared + 4]), 1000 + k: " ".join(words), 2000 + k: " ".join(near)}
+    want = brute_components(texts)
+    links = sum(want[2000 + k][1] == 1000 + k for k in range(400))
+    rows = minhash.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert links > 300 and {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == want
+
+
 def test_components(spark):
     path = [(k + 1, k) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(path, "u long, v long")).collect()}
