@@ -440,15 +440,14 @@ def _rich_exports(spark: SparkSession, sf_dir: str) -> str:
     text = F.when(F.col("kind").isin(1, 5), parts).otherwise(said)
     base = F.to_json(fields)
     c = c.withColumn("json", F.concat(F.substring(base, F.lit(1), F.length(base) - 1), F.lit(',"text":'), text, F.lit("}")))
-    chats = ex.chat_messages_json(c, "conv_id", "turn", "json")
-    name = F.concat(F.lit('"chat '), F.col("conv_id").cast("string"), F.lit('"'))
-    messages = F.concat(F.lit("["), F.col("_all"), F.lit("]"))
-    two = F.concat(F.lit('{"list":[{"name":'), name, F.lit(',"messages":'), messages, F.lit('},{"messages":'), messages, F.lit("}]}"))
+    pieces = ex.chat_pieces(c, "conv_id", "turn", "json", F.concat(F.lit("chat "), F.col("conv_id").cast("string")))
+    two = F.struct(F.array(F.struct("name", "messages"), F.struct(F.lit(None).cast("string").alias("name"), "messages")).alias("list"))
     layout = F.when(F.col("conv_id") % 11 == 10, "none").otherwise(F.element_at(F.array(F.lit("single"), F.lit("chats"), F.lit("left_chats")), (F.col("conv_id") % 3 + 1).cast("int")))
-    given = lambda k, v: F.when(layout == k, F.parse_json(v))
+    given = lambda k, v: F.when(layout == k, v)
     out = scratch_path(spark, f"export_rich/{uuid.uuid4().hex}")
-    chats.select(F.parse_json(F.col("conv_id").cast("string")).alias("id"), given("single", name).alias("name"), given("single", messages).alias("messages"),
-                 given("chats", two).alias("chats"), given("left_chats", two).alias("left_chats")).write.json(out)
+    pieces = pieces.where((layout != "none") | layout.isNull() | (F.col("first_pos") == 0))  # one line of a chat without a layout
+    pieces.select(F.col("conv_id").alias("id"), "first_pos", given("single", F.col("name")).alias("name"), given("single", F.col("messages")).alias("messages"),
+                  given("chats", two).alias("chats"), given("left_chats", two).alias("left_chats")).write.json(out)
     return out
 
 

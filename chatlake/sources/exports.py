@@ -22,7 +22,7 @@ CLI_FILE_TYPES = ("animation", "video_file", "video_message", "voice_message", "
 UNKNOWN_CHAT = "Unknown Chat"
 MESSAGE_TYPE = "message"
 _CHAT = "name: variant, id: variant, messages: array<variant>"
-EXPORT_SCHEMA = (f"{_CHAT.replace(':', '')}, chats struct<list: array<struct<{_CHAT}>>>, "
+EXPORT_SCHEMA = (f"{_CHAT.replace(':', '')}, first_pos int, chats struct<list: array<struct<{_CHAT}>>>, "
                  f"left_chats struct<list: array<struct<{_CHAT}>>>, broken string")
 
 MESSAGE_COLUMNS = ["msg_id", "sender", "sender_id", "reply_to_msg_id", "date", "date_unixtime", "msg_type",
@@ -60,7 +60,7 @@ def _frame(df: DataFrame, multi_line: bool) -> DataFrame:
     own = F.when(F.col("id").isNotNull(), F.try_variant_get("id", "$", "bigint"))
     line = F.lit(None).cast("long") if multi_line else F.coalesce(own, key)
     return df.select(F.col("_metadata.file_path").alias("file"), line.alias("line"), "name", "messages", "chats",
-                     "left_chats", "broken")
+                     "left_chats", "first_pos", "broken")
 
 
 def read_exports(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -109,25 +109,25 @@ def explode_chats(files: DataFrame, include_left: bool = False) -> DataFrame:
     """SRC2: one row per chat (file, chat_idx, chat_name, messages). ``chats`` wins over ``left_chats``
     (Q16); ``include_left`` also takes the left chats of a file that has both. A chat's number counts
     inside its file; in JSON lines it is the line's key (a hash of key and number for a line's further chats),
-    so (file, chat_idx, pos) stays unique."""
+    so (file, chat_idx, pos) stays unique; lines that hold pieces of one chat give ``first_pos`` (see ``chat_exports``)."""
     chats, left = F.col("chats.list"), F.col("left_chats.list")
     single = F.array(F.struct("name", F.lit(None).cast("variant").alias("id"), "messages"))
     arr = (F.when(F.col("layout") == "chats", F.concat(chats, F.coalesce(left, F.array())) if include_left else chats)
            .when(F.col("layout") == "left_chats", left)
            .otherwise(single))
-    rows = files.select("file", "line", F.posexplode(arr).alias("at", "chat"))
+    rows = files.select("file", "line", "first_pos", F.posexplode(arr).alias("at", "chat"))
     # the default applies to a missing key only; a JSON null name stays null
     name = F.when(F.col("chat.name").isNotNull(), F.try_variant_get("chat.name", "$", "string")).otherwise(F.lit(UNKNOWN_CHAT))
     number = (F.when(F.col("line").isNull(), F.col("at").cast("long")).when(F.col("at") == 0, F.col("line"))
               .otherwise(F.xxhash64("line", "at")))
     return rows.select("file", number.alias("chat_idx"), name.alias("chat_name"),
-                       F.col("chat.messages").alias("messages"))
+                       F.coalesce("first_pos", F.lit(0)).alias("first_pos"), F.col("chat.messages").alias("messages"))
 
 
 def explode_messages(chats: DataFrame) -> DataFrame:
     """SRC2: one row per message, arrival order kept as (chat_idx, pos)."""
-    return chats.select("file", "chat_idx", "chat_name",
-                        F.posexplode("messages").alias("pos", "m"))
+    rows = chats.select("file", "chat_idx", "chat_name", "first_pos", F.posexplode("messages").alias("pos", "m"))
+    return rows.withColumn("pos", F.col("first_pos") + F.col("pos")).drop("first_pos")
 
 
 def _flatten_parts(parts: Column) -> Column:
@@ -233,7 +233,8 @@ def parse_exports(spark: SparkSession, path: str, dialect: str = "polars", max_m
                   include_left: bool = False, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """The whole import: (messages, rejects). Files without any message are rejected too.
 
-    Every message is kept; ``max_messages`` keeps only the last ones of each export (LIM1).
+    Every message is kept; ``max_messages`` keeps only the last ones of each export (LIM1). In JSON lines that is each (file, id):
+    pieces of one chat that lie in several files count as several exports there.
     """
     good, bad = split_rejects(read_exports(spark, path, multi_line))
     msgs = project_messages(explode_messages(explode_chats(good, include_left)), dialect)
@@ -258,24 +259,28 @@ def read_message_lines(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("m", F.parse_json("message")).drop("message"))
 
 
-def chat_messages_json(msgs: DataFrame, chat_col: str, order_col: str, json_col: str, piece_size: int = 1024) -> DataFrame:
-    """(chat, ``_all``): each chat's messages as the inside of one JSON list, in order, built in two levels (see ``chat_exports``)."""
-    pieces = (msgs.groupBy(chat_col, F.floor(F.col(order_col) / piece_size).alias("_piece"))
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order_col, F.col(json_col).alias("_j")))),
-                                            lambda x: x["_j"]), ",").alias("_frag")))
-    return pieces.groupBy(chat_col).agg(F.expr("listagg(_frag, ',') WITHIN GROUP (ORDER BY _piece)").alias("_all"))
+def chat_pieces(msgs: DataFrame, chat_col: str, order_col: str, json_col: str, name: Column, piece_size: int = 1024) -> DataFrame:
+    """(chat, ``name``, ``first_pos``, ``messages`` array<variant>): each chat's messages, given as JSON texts, in order, in rows of
+    ``piece_size`` positions. Only a piece's count and name meet the other pieces of its chat, so no value grows with a hot chat."""
+    rows = msgs.select(F.col(chat_col).alias("_chat"), F.floor(F.col(order_col) / piece_size).alias("_piece"),
+                       F.col(order_col).alias("_order"), F.col(json_col).alias("_j"), name.alias("_name"))
+    pieces = rows.groupBy("_chat", "_piece").agg(F.array_sort(F.collect_list(F.struct("_order", "_j"))).alias("_all")).alias("p")
+    w = Window.partitionBy("_chat")
+    before = F.sum("_n").over(w.orderBy(F.col("_piece").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy("_chat", "_piece").agg(F.count(F.lit(1)).alias("_n"), F.min("_name").alias("_name"))
+    counts = counts.select("_chat", "_piece", F.min("_name").over(w).alias("name"), F.coalesce(before, F.lit(0)).cast("int").alias("first_pos")).alias("c")
+    both = pieces.join(counts, F.expr("p._chat <=> c._chat and p._piece <=> c._piece"))
+    return both.select(F.col("p._chat").alias(chat_col), "name", "first_pos", F.transform("_all", lambda x: F.parse_json(x["_j"])).alias("messages"))
 
 
 def chat_exports(msgs: DataFrame, chat_col: str, order_col: str, message_col: str, name: Column,
                  piece_size: int = 1024) -> DataFrame:
-    """Build single-chat exports ``(name, id, messages VARIANT)`` from message structs (JSON writer ready).
+    """Build single-chat exports ``(name, id, first_pos, messages)`` from message structs (JSON writer ready).
 
-    An export is one record per chat. It is built in two levels so a hot chat is not sorted and
-    serialised by one task: every piece of ``piece_size`` positions becomes a JSON fragment in
-    parallel, then a chat's fragments are only concatenated in piece order and parsed.
+    A chat is one or more export lines of the same id and name, one for each ``piece_size`` positions, so a hot chat is not
+    sorted, serialised or held by one task. ``first_pos`` is the position of a line's first message; every message is a VARIANT
+    of its own.
     """
     lines = msgs.withColumn("_json", F.to_json(F.col(message_col), {"ignoreNullFields": "false"}))
-    names = msgs.select(chat_col, name.alias("name")).dropDuplicates([chat_col])
-    return (chat_messages_json(lines, chat_col, order_col, "_json", piece_size)
-            .join(names, chat_col)
-            .select("name", F.col(chat_col).alias("id"), F.parse_json(F.concat(F.lit("["), F.col("_all"), F.lit("]"))).alias("messages")))
+    return chat_pieces(lines, chat_col, order_col, "_json", name, piece_size).where(F.col(chat_col).isNotNull()).select(
+        "name", F.col(chat_col).alias("id"), "first_pos", "messages")

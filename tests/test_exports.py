@@ -164,3 +164,49 @@ def test_an_export_above_the_variant_limit_keeps_all_messages(spark, tmp_path):
         f.write("]}")
     msgs, rejects = ex.parse_exports(spark, str(tmp_path))
     assert msgs.select("msg_id").count() == 100 and rejects.count() == 0
+
+
+def _long_chat(spark, n, text):
+    from pyspark.sql import functions as F
+    return spark.range(n).select(F.lit(7).alias("chat"), F.col("id").alias("turn"),
+                                 F.struct(F.col("id").alias("id"), F.lit("message").alias("type"), F.col("id").cast("string").alias("date_unixtime"),
+                                          text.alias("text")).alias("m"))
+
+
+def test_a_written_chat_above_the_variant_limit_keeps_all_messages(spark, tmp_path):
+    from pyspark.sql import functions as F
+    out = str(tmp_path / "exp")
+    chats = ex.chat_exports(_long_chat(spark, 100, F.lit("x" * 1_400_000)), "chat", "turn", "m", F.lit("big"), piece_size=16)  # about 140 MB
+    chats.write.json(out)
+    msgs, _ = ex.parse_exports(spark, out + "/*.json", multi_line=False)
+    assert sorted(r.msg_id for r in msgs.select("msg_id").collect()) == list(range(100))
+
+
+def test_pieces_of_a_written_chat_keep_one_number_and_positions(spark, tmp_path):
+    from pyspark.sql import functions as F
+    twice = _long_chat(spark, 300, F.lit("t")).unionAll(_long_chat(spark, 300, F.lit("u")))  # repeated positions
+    out = str(tmp_path / "exp")
+    chats = ex.chat_exports(twice, "chat", "turn", "m", F.lit("long"), piece_size=100)
+    assert chats.count() == 3
+    chats.write.json(out)
+    msgs, _ = ex.parse_exports(spark, out + "/*.json", multi_line=False)
+    rows = msgs.collect()
+    assert {r.chat_idx for r in rows} == {7} and sorted(r.pos for r in rows) == list(range(600))
+    assert [r.msg_id for r in sorted(rows, key=lambda r: r.pos)] == [k // 2 for k in range(600)]
+
+
+def test_rich_exports_of_a_long_chat(spark, tmp_path):
+    """Chats of 2500 turns in every layout are written in pieces; a chat without a layout is rejected once."""
+    from chatlake.plans import queries as Q
+    from pyspark.sql import functions as F
+    conv = spark.range(4 * 2500).select(F.element_at(F.array(*map(F.lit, (0, 1, 2, 10))), (F.col("id") % 4 + 1).cast("int")).cast("long").alias("conv_id"),
+                                        F.floor(F.col("id") / 4).alias("turn"), F.lit("user").alias("role"), F.lit("hello").alias("text"))
+    conv.write.parquet(str(tmp_path / "conversations.parquet"))
+    folder = Q._rich_exports(spark, str(tmp_path))
+    raw = ex.read_exports(spark, folder + "/*.json", multi_line=False)
+    assert raw.agg(F.max(F.size("messages"))).first()[0] == 1024
+    assert raw.agg(F.max(F.size(F.col("chats.list")[0]["messages"]))).first()[0] == 1024
+    msgs, bad = ex.parse_exports(spark, folder + "/*.json", multi_line=False)
+    assert bad.count() == 1
+    n = sum((7 * c + t) % 9 != 8 for c in (0, 1, 1, 2, 2) for t in range(2500))
+    assert msgs.count() == n == msgs.select("chat_idx", "pos").distinct().count()
