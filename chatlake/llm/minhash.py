@@ -8,8 +8,8 @@ are linked when the Jaccard similarity of their sets is at least ``PERCENT`` / 1
    functions a * x + b give the minima; each band of ``ROWS`` minima becomes one key; four bits of every minimum, mixed,
    are packed into ``BITS`` longs as the signature. A pair at the threshold misses every band with probability
    (1 - 0.75**4)**32 = 5e-6.
-2. **Classes**: documents with equal word sequences are one class, represented by its smallest doc_id, so copies are
-   aggregated away before anything else.
+2. **Classes**: documents with equal word sequences are one class, so copies are aggregated away before anything else. A class
+   is a node (smallest doc_id, hash of the class); nodes compare by doc_id first.
 3. **Stars**: every document is paired with the smallest document of all the buckets (band, key) it lies in.
 4. **Completion**: in buckets whose members still lie in several components, pivots from the rarest components are paired
    with the members of other components, ``PIVOTS`` per bucket and round, until no such bucket is left: every candidate
@@ -22,7 +22,7 @@ mean 448 and standard deviation 11.3 there (5.5 deviations). The second one asks
 standard deviation 17.9: 5 deviations). Both hold for sets of any size, as the bits of different minima are independent.
 
 Defined results: a null text has no words; a null doc_id is given no set, no component and kept false; rows that repeat
-a doc_id are judged each by its own text, and texts that share their class's smallest id are one node; an empty table
+a doc_id are judged each by its own text, and of near texts under one doc_id one class is kept; an empty table
 gives no rows; the input's other columns are not read.
 """
 
@@ -33,7 +33,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -111,6 +111,25 @@ def signature(m: np.ndarray, bits: int = 4) -> np.ndarray:
     return np.packbits(part.astype(np.uint8).ravel()).view(np.int64)
 
 
+def word_class(words: list[bytes]) -> bytes | None:
+    """Digest of the word sequence, null without words."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
+
+
+def class_of(text: Column) -> Column:
+    """``word_class`` of a text column."""
+    @F.arrow_udf("binary")
+    def digest(t: pa.Array) -> pa.Array:
+        return pa.array((word_class(words_of(x.as_py())) for x in t), pa.binary())
+    return digest(text)
+
+
+def _tie(cls: bytes | None) -> int:
+    """What Spark's xxhash64 makes of the digest: tells classes of one smallest doc_id apart."""
+    h = xxhash.xxh64_intdigest(cls or b"", 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, class (digest of the word sequence, null without words), n_shingles, bands, bits."""
     def run(batches):
@@ -127,7 +146,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                         bands.append(None)
                         bits.append(None)
                         continue
-                    cls.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                    cls.append(word_class(words))
                     m = minima(x)
                     rows = m.reshape(BANDS, ROWS).astype(np.uint64)
                     bands.append(_mix((rows * _POSITION[:ROWS]).sum(1, dtype=np.uint64)).view(np.int64))
@@ -142,16 +161,20 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _from_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, make) -> DataFrame:
-    """(node, made array<long>) of the documents that ``ids`` (node) names: ``make`` of their shingles, from their texts."""
+    """(node, made array<long>) of the documents whose ids ``ids`` (node) names: ``make`` of their shingles, from their texts."""
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 part = batch.slice(low, 64)
-                made = [make(shingles(words_of(t))).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "made"])
+                words = [words_of(t) for t in part.column(1).to_pylist()]
+                made = [make(shingles(w)).view(np.int64) for w in words]
+                ties = pa.array([_tie(word_class(w)) for w in words], pa.int64())
+                nodes = pa.StructArray.from_arrays([part.column(0), ties], names=["id", "tie"])
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(made, pa.list_(pa.int64()))], names=["node", "made"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    return ship(rows).join(ids, "node", "left_semi").mapInArrow(run, "node long, made array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    named = ship(rows).join(ids.select("node.id"), "id", "left_semi")
+    return named.mapInArrow(run, "node struct<id: long, tie: long>, made array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -226,15 +249,22 @@ def link_components(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", t
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: its id, n_shingles, component_id (smallest id reachable, itself included), kept."""
+    return judge(docs, id_col, text_col).drop("cls")
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_dedup`` with each row's class, ``cls``."""
     rows = materialize(sketch(docs, id_col, text_col), "sketch")
     with_set = rows.where("cls is not null and id is not null")
     least = F.min(F.struct("id", "n_shingles", "bands", "bits")).alias("first")
     classes = materialize(with_set.groupBy("cls").agg(least).select("cls", "first.*"), "classes")
-    nodes = classes.select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "bands", "bits")
+    node = F.struct("id", F.xxhash64("cls").alias("tie")).alias("node")
+    nodes = classes.select(node, F.col("n_shingles").alias("n"), "bands", "bits")
     comp = link_components(docs, nodes, id_col, text_col)
-    placed = classes.select("cls", F.col("id").alias("node")).join(comp, "node", "left")
+    placed = classes.select("cls", node).join(comp, "node", "left")
     placed = placed.select("cls", F.coalesce("component", "node").alias("reach"))
     out = rows.select("id", "cls", "n_shingles").join(placed.hint("merge"), "cls", "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("reach", "id"))
+    own = F.when(F.col("id").isNotNull(), F.coalesce("reach.id", "id"))
+    first = F.col("reach").isNull() | (F.col("reach.tie") == F.xxhash64("cls"))
     return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("n_shingles")).otherwise(0).alias("n_shingles"),
-                      own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
+                      own.alias("component_id"), F.coalesce((F.col("id") == own) & first, F.lit(False)).alias("kept"), "cls")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake.llm import bpe, exact_dedup, minhash, mixing, toxicity
-from chatlake.llm.common import new_path, table
+from chatlake.llm.common import new_path, ship, table
 from chatlake.llm.queries import bpe_path, toxicity_model
 
 NEEDED = ("doc_id", "text", "source")
@@ -44,9 +44,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the document with the smallest doc_id."""
-    judged = minhash.near_dedup(docs.select("doc_id", "text"))
-    go = judged.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(go, "doc_id", "left_anti").select(*docs.columns)
+    rows = _aside(docs)
+    judged = minhash.judge(rows.select("doc_id", "text"))
+    go = judged.where("doc_id is not null and cls is not null and not kept").select("doc_id", F.col("cls").alias("__cls")).distinct()
+    rows = ship(rows).withColumn("__cls", minhash.class_of(F.col("text")))  # rows that repeat a doc_id go by their own text
+    return _back(rows.join(go, ["doc_id", "__cls"], "left_anti"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,6 +87,19 @@ def test_near_dedup_completes_short_texts(spark):
     assert links > 300 and {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == want
 
 
+def test_near_dedup_judges_repeated_ids_by_their_texts(spark):
+    """(3, B), (5, A), (5, B'): A stays; of two near texts under one id (7) one stays; copies of a text follow it."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(3, b), (5, a), (5, b + " x"), (7, c), (7, c + " y"), (9, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id): r.kept for r in minhash.near_dedup(df).collect()}
+    assert got.pop((7, 56, 7)) != got.pop((7, 57, 7))
+    assert got == {(3, 56, 3): True, (5, 56, 5): True, (5, 57, 3): False, (9, 56, 5): False}
+    stage = dict(corpus_pipeline.STAGES)["minhash near-dedup"]
+    left = sorted((r.doc_id, r.text[0]) for r in stage(spark, df, "").collect())
+    assert left == [(3, "b"), (5, "a"), (7, "c")]
+
+
 def test_components(spark):
     path = [(k + 1, k) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(path, "u long, v long")).collect()}
