@@ -16,8 +16,8 @@ into blocks of ``BLOCK`` rows.
 Bounds are widened by ``SLACK`` of |q||v|, far above the rounding of the rotation, so pruning never loses a result. Scores are exact: where products
 may pass 2**53 they are computed with Python integers, and scores outside the 64-bit range are set to its ends.
 
-Defined results: a vector that is null, has no id or holds a null or non-finite component takes no part; of rows that
-repeat an id the smallest vector (component by component) takes part; a shorter vector counts as padded with
+Defined results: a vector that is null, has no id or holds a null or non-finite component takes no part; rows equal
+in id and vector take part once, other rows that repeat an id each (a query's results are the k best of all its rows); a shorter vector counts as padded with
 zeros; a query with fewer than k candidates gets them all; no queries or no vectors give no rows.
 """
 
@@ -37,12 +37,12 @@ _PACKED = "n long, longest double, ids binary, vectors binary"
 
 
 def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v array<double> of whole numbers, norm2), one row per id that takes part."""
+    """(id, v array<double> of whole numbers, norm2), one row per id and vector that takes part."""
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     rows = rows.where(F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", good))
     whole = F.transform("x", lambda x: F.floor(x * F.lit(float(scale))).cast("double"))
-    rows = rows.select("id", whole.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    rows = rows.distinct().select("id", whole.alias("v"))
     return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
 
 

@@ -245,6 +245,13 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert [r.rank for r in sorted(few)] == [1, 2]
 
 
+def test_top_k_keeps_rows_that_repeat_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (1, [5.0, 0.0]), (2, [0.0, 4.0]), (2, [0.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, F.col("id") == 0, k=4, scale=1).collect()))
+    assert got == [(0, 1, 1, 5), (0, 2, 2, 4), (0, 3, 1, 3), (0, 4, 1, 1)]
+
+
 def test_top_k_large_numbers_and_padding(spark):
     rows = [(0, [3e10, 1e10]), (1, [2.0]), (2, [1e10, -1e10, 5.0]), (3, [])]
     got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0, k=3, scale=1).collect()))
