@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
 Toxic documents go; of equal texts one row stays; of every group of near-duplicates one document stays; the sources are mixed to
-their target weights (a document once for each pass that takes it, in training order); the mix is encoded by byte-level BPE.
+their target weights (a document once for each pass that takes it); the mix is encoded by byte-level BPE.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows it is given. Columns a stage doesn't need pass through
 under other names, so they may be called like its results. Defined results, besides those of the operators: documents
@@ -52,7 +52,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources' documents in training order, once for each pass that takes them."""
+    """The sources' documents, once for each pass that takes them, written in training order. The positions are not kept: the order
+    is that of the stage's own files only, and the result of ``run`` has none."""
     return _back(mixing.curriculum(_aside(docs)), docs)
 
 
