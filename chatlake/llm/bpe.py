@@ -28,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -243,19 +244,36 @@ def _with(batch: pa.RecordBatch, schema: pa.Schema, cols: dict) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([cols[n] if n in cols else batch.column(n) for n in schema.names], names=schema.names)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` without its text (unless ``keep_text``) with ``ids`` and ``token_ends`` (array<int>)."""
-    keep = [f for f in docs.schema.fields if f.name not in ("ids", "token_ends") and (keep_text or f.name != text_col)]
-    schema = T.StructType([*keep, *(T.StructField(n, T.ArrayType(T.IntegerType(), False), False) for n in ("ids", "token_ends"))])
+def _parts(batch: pa.RecordBatch, text_col: str, most: int = CHUNK):
+    """Slices of a batch of about ``most`` bytes of text, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + most, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool = False, check: bool = False) -> DataFrame:
+    """``docs`` without its text (unless ``keep_text``) with ``ids`` and ``token_ends`` (array<int>).
+
+    With ``check`` each document is decoded again in the same pass, and ``round_trip`` says whether its ids give its bytes.
+    """
+    added = ("ids", "token_ends", *(["round_trip"] if check else []))
+    keep = [f for f in docs.schema.fields if f.name not in added and (keep_text or f.name != text_col)]
+    schema = T.StructType([*keep, *(T.StructField(n, T.ArrayType(T.IntegerType(), False), False) for n in added[:2]),
+                           *(T.StructField(n, T.BooleanType(), False) for n in added[2:])])
 
     def run(batches):
         vocab = vocabulary(path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                ids = encode_texts([t or "" for t in part.column(text_col).to_pylist()], vocab)
+            for part in _parts(batch, text_col):
+                texts = [t or "" for t in part.column(text_col).to_pylist()]
+                ids = encode_texts(texts, vocab)
                 ends = [np.cumsum(vocab.length[i], dtype=np.int32) for i in ids]
                 cols = {"ids": _lists(ids), "token_ends": _lists(ends)}
+                if check:
+                    cols["round_trip"] = pa.array([decode_ids(i, e, vocab) == t.encode() for i, e, t in zip(ids, ends, texts)])
                 yield _with(part, names, cols)
 
     names = pa.schema([(f.name, pa.null()) for f in schema.fields])

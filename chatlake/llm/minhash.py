@@ -12,11 +12,15 @@ are linked when the Jaccard similarity of their sets is at least ``PERCENT`` / 1
    is a node (smallest doc_id, hash of the class); nodes compare by doc_id first.
 3. **Stars**: every document is paired with the smallest document of all the buckets (band, key) it lies in.
 4. **Completion**: in buckets whose members still lie in several components, pivots from the rarest components are paired
-   with the members of other components, ``PIVOTS`` per bucket and round, until no such bucket is left: every candidate
-   pair is then either inside one component or tested, without all pairs of a bucket. The signature test is part of the
-   join condition, so only likely pairs leave it.
+   with the members of other components, until no such bucket is left: every candidate pair is then either inside one
+   component or tested, without all pairs of a bucket. A round's first few pivots (``PIVOTS``) already join most of a true group,
+   so later rounds, with ``GROWTH`` times as many, meet components in place of members. The signature tests are part of the
+   join condition, so only likely pairs leave it, each pair once: in the first band that its documents share.
 5. **Confirmation** on the full shingle sets; components by large-star and small-star over the confirmed links.
 
+Texts are moved once: the sets of the documents that share a bucket with another class are written, and confirmation and the second
+signature work on them.
+
 The signature test drops a pair whose bits agree in fewer than ``AGREE`` of 512 places; a pair at the threshold has
 mean 448 and standard deviation 11.3 there (5.5 deviations). The second one asks for ``DEEP_AGREE`` of 2048, two of every minimum (mean 1792,
 standard deviation 17.9: 5 deviations). Both hold for sets of any size, as the bits of different minima are independent.
@@ -45,8 +49,8 @@ ROWS, BANDS = 4, 32
 BITS = ROWS * BANDS * 4 // 64
 AGREE = 386
 DEEP, DEEP_AGREE = 1024, 1703
-PIVOTS = 1024
-CACHE = 500_000
+PIVOTS, GROWTH, MOST_PIVOTS = 4, 16, 1024
+CACHE = 100_000
 BLOCK = 2048
 
 _RNG = np.random.default_rng(20240229)
@@ -160,29 +164,32 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return ship(rows).mapInArrow(run, "id long, cls binary, n_shingles long, bands array<long>, bits array<long>")
 
 
-def _from_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, make) -> DataFrame:
-    """(node, made array<long>) of the documents whose ids ``ids`` (node) names: ``make`` of their shingles, from their texts."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of the documents whose ids ``ids`` (node) names, from their texts."""
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 part = batch.slice(low, 64)
                 words = [words_of(t) for t in part.column(1).to_pylist()]
-                made = [make(shingles(w)).view(np.int64) for w in words]
+                made = [shingles(w).view(np.int64) for w in words]
                 ties = pa.array([_tie(word_class(w)) for w in words], pa.int64())
                 nodes = pa.StructArray.from_arrays([part.column(0), ties], names=["id", "tie"])
-                yield pa.RecordBatch.from_arrays([nodes, pa.array(made, pa.list_(pa.int64()))], names=["node", "made"])
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    named = ship(rows).join(ids.select("node.id"), "id", "left_semi")
-    return named.mapInArrow(run, "node struct<id: long, tie: long>, made array<long>")
-
+    # one plan at every size: the texts are moved once
+    named = ship(rows).join(ids.select("node.id").distinct().hint("merge"), "id", "left_semi")
+    return named.mapInArrow(run, "node struct<id: long, tie: long>, shingles array<long>")
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return _from_texts(docs, ids, id_col, text_col, lambda x: x).withColumnRenamed("made", "shingles")
 
+def deep_signatures(sets: DataFrame) -> DataFrame:
+    """(node, deep): the second signature of each set."""
+    def run(batches):
+        for batch in batches:
+            made = [signature(minima(x.values.to_numpy(zero_copy_only=False).view(np.uint64), _SECOND), 2) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "deep"])
 
-def deep_signatures(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return _from_texts(docs, ids, id_col, text_col, lambda x: signature(minima(x, _SECOND), 2)).withColumnRenamed("made", "deep")
+    return ship(sets).select("node", "shingles").mapInArrow(run, "node struct<id: long, tie: long>, deep array<long>")
 
 
 def _alike(a: str, b: str) -> str:
@@ -191,10 +198,10 @@ def _alike(a: str, b: str) -> str:
     return f"100 * least({a}.n, {b}.n) >= {PERCENT} * greatest({a}.n, {b}.n) and {differ} <= {64 * BITS - AGREE}"
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of ``pairs`` (a, b) those whose full sets are similar enough, written to the shared folder."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(shingle_sets(docs, materialize(ids, "nodes"), id_col, text_col), "sets")
+    ids = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    sets = materialize(sets.join(ids.hint("merge"), "node", "left_semi"), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -210,12 +217,13 @@ def link_components(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", t
     shared = keys.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
     members = materialize(keys.join(shared.hint("merge"), "bucket").select("bucket", "band", "node", "first"), "buckets")
     facts = nodes.select("node", "n", "bits", "bands")
+    sets = materialize(shingle_sets(docs, members.select("node"), id_col, text_col), "sets").dropDuplicates(["node"])
     stars = members.groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).where("a <> b")
     a, b = facts.alias("x"), facts.alias("y")
     likely = stars.join(a, F.col("a") == F.col("x.node")).join(b, F.col("b") == F.col("y.node")).where(F.expr(_alike("x", "y")))
-    found = _confirm(docs, materialize(likely.select("a", "b"), "pairs"), id_col, text_col)
+    found = _confirm(materialize(likely.select("a", "b"), "pairs"), sets)
     comp = materialize(components(found, "a", "b"), "components")
-    info = None
+    info, most = None, PIVOTS
     deep = f"aggregate(zip_with(x.deep, y.deep, (a, b) -> bit_count(a ^ b)), 0, (s, d) -> s + d) <= {DEEP * 2 - DEEP_AGREE}"
     # a pair leaves the join once: with the pivot that ranks first, and in the first band that its documents share
     once = "(x.mates < y.mates or x.mates = y.mates and x.node < y.node)"
@@ -228,23 +236,25 @@ def link_components(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", t
         left = placed.join(mixed.select("bucket").hint("merge"), "bucket", "left_semi")
         left = materialize(left.join(counts.hint("merge"), ["bucket", "comp"]), "open")
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("mates", "node"))
-        pivots = left.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).drop("rank")
+        pivots = left.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
         pivots = materialize(pivots, "pivots")
         if pivots.isEmpty():
             return comp
         if info is None:  # later rounds work on a part of these nodes
-            deeper = materialize(deep_signatures(docs, materialize(left.select("node").distinct(), "nodes"), id_col, text_col), "deep")
+            sets = materialize(sets.join(left.select("node").distinct().hint("merge"), "node", "left_semi"), "sets")
+            deeper = materialize(deep_signatures(sets), "deep")
             info = materialize(facts.join(deeper, "node").select("node", "n", "bits", "bands", "deep"), "facts")
         x, y = pivots.join(info, "node").alias("x"), left.join(info, "node").alias("y")
         pairs = y.join(x.hint("merge"), F.expr(f"x.bucket = y.bucket and x.comp <> y.comp and {once} and {_alike('x', 'y')} and {deep} and {here}"))
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         pairs = materialize(pairs, "pairs")
         if not pairs.isEmpty():
-            more = _confirm(docs, pairs, id_col, text_col)
+            more = _confirm(pairs, sets)
             if not more.isEmpty():
                 found = found.unionAll(more)
                 comp = materialize(components(found, "a", "b"), "components")
         members = left.join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti").select("bucket", "band", "node")
+        most = min(most * GROWTH, MOST_PIVOTS)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
