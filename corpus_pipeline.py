@@ -60,9 +60,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and whether they decode to its text."""
     rows = docs.select("doc_id", "source", "text")
-    done = bpe.decode(bpe.encode(rows, bpe_path(), keep_text=True), bpe_path())
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return done.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    done = bpe.encode(rows, bpe_path(), check=True)
+    return done.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [("toxicity", toxic), ("exact dedup", exact), ("minhash near-dedup", near), ("mixing", mix), ("bpe", encode)]
