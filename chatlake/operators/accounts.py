@@ -1,5 +1,5 @@
 """Accounts: subscriptions, access, quota, referrals, prices, shards (FLT5-8, FLT11, JN1-3, JN7,
-AGG12-16, WIN1-2, WIN4-5, MTH1-2, STRF9, STRF12, DTF2-4).
+AGG12-16, WIN1-2, WIN4, MTH1-2, STRF9, STRF12, DTF2-4).
 
 Tables: users (user_id, telegram_id, username, invited_by_id), payments (payment_id, user_id,
 paid_at, months), messages/events (user_id, ts, ...). ``as_of`` is always passed in.
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.operators.windows import carry_forward, running_sum, trailing_count
+from chatlake.operators.windows import running_sum, trailing_count
+from chatlake.session import bounded_broadcast
 
 # Monthly prices by plan length, the invite discount, minor units per unit,
 # days per paid month, the quota limits. The shard (index) names are only defaults.
@@ -120,6 +121,23 @@ def insert_if_absent(users: DataFrame, incoming: DataFrame, key: str = "telegram
     return users.unionByName(new, allowMissingColumns=True)
 
 
+def assign_inviters(users: DataFrame, starts: DataFrame, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """JN2: ``users`` after the deep links in ``starts`` (telegram_id, inviter, ts, event_id): the last link that names a user wins.
+
+    A link without an inviter, or whose inviter is no user, changes nothing; a user may name themselves. Links are first reduced to
+    their last time per (user, inviter), so neither a user's nor an inviter's many links meet in one task; the known inviters are
+    broadcast only if they measure small enough.
+    """
+    links = (starts.where(F.col("inviter").isNotNull() & F.col("telegram_id").isNotNull()).groupBy("telegram_id", "inviter")
+             .agg(F.max(F.struct(ts, tie)).alias("_at")))
+    named = links.select("inviter").distinct()
+    known, _ = bounded_broadcast(users.select(F.col("telegram_id").alias("inviter"), F.col("user_id").alias("_by")).dropDuplicates(["inviter"])
+                                 .join(named, "inviter", "left_semi"), "inviters")
+    last = links.join(known, "inviter").groupBy("telegram_id").agg(F.max_by("_by", "_at").alias("_by"))
+    return (users.join(last, "telegram_id", "left").withColumn("invited_by_id", F.coalesce("_by", "invited_by_id"))
+            .select(*users.columns))
+
+
 # ---------------------------------------------------------------- quota
 
 def trailing_24h(messages: DataFrame, key: str = "user_id", ts: str = "ts",
@@ -130,15 +148,17 @@ def trailing_24h(messages: DataFrame, key: str = "user_id", ts: str = "ts",
             .withColumn("within_quota", F.col("prior_24h") <= limit))
 
 
-def quota_as_of(messages: DataFrame, as_of: str, key: str = "user_id", ts: str = "ts",
-                volume: Column | None = None) -> DataFrame:
-    """AGG13 + FLT8: count in [as_of - 1 day, as_of] and the limits check, for every user with any message."""
-    t = F.col(ts).cast("timestamp")
-    end = F.lit(as_of).cast("timestamp")
-    vol = volume if volume is not None else F.lit(0.0)
-    inside = (t >= end - F.expr("INTERVAL 1 DAY")) & (t <= end)
-    return (messages.groupBy(key).agg(F.count(F.when(inside, 1)).alias("n_24h"))
-            .withColumn("within_limits", (F.col("n_24h") <= QUOTA_MESSAGES) & (vol <= QUOTA_VOLUME)))
+def quota_as_of(users: DataFrame, messages: DataFrame, as_of: str, key: str = "user_id", ts: str = "ts",
+                volume: str = "vector_storage_volume") -> DataFrame:
+    """AGG13 + FLT8: every user's messages in [as_of - 1 day, as_of], and whether count and stored volume are within the limits.
+
+    Users without messages have none; a null volume is none. Messages are counted by a partial aggregate before they meet the users.
+    """
+    t, end = F.col(ts).cast("timestamp"), F.lit(as_of).cast("timestamp")
+    counts = messages.where((t >= end - F.expr("INTERVAL 1 DAY")) & (t <= end)).groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    n, vol = F.coalesce("_n", F.lit(0)), F.coalesce(F.col(volume), F.lit(0.0))
+    return (users.select(key, vol.alias(volume)).join(counts, F.col(key).eqNullSafe(F.col("_k")), "left")
+            .select(key, n.alias("n_24h"), ((n <= QUOTA_MESSAGES) & (F.col(volume) <= QUOTA_VOLUME)).alias("within_limits")))
 
 
 # ---------------------------------------------------------------- prices
@@ -163,38 +183,7 @@ def rejected_choices(payments: DataFrame, prices: DataFrame) -> DataFrame:
     return payments.join(F.broadcast(prices.select("months")), "months", "left_anti")
 
 
-# ---------------------------------------------------------------- modes
-
-# The mode a command leads to ('' = state cleared).
-COMMAND_MODE = {"/start": "notes", "/note": "notes", "/import": "wait_for_json",
-                "/subscribe": "subscription_choice", "/chat": "chat", "/search": "search",
-                "choice": "wait_for_payment", "payment": "notes", "reset": ""}
-
-
-def route_modes(messages: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id",
-                command: str = "command", initial: DataFrame | None = None) -> DataFrame:
-    """WIN5 / STR3 (batch): mode each message is handled in, and the mode after it.
-
-    Commands win over modes; a reset clears the state (sentinel '' -> null in the output).
-    ``initial`` (key, mode) is the mode each key had before these messages (a stream's state):
-    it enters as one seed row per key, ordered before the key's first message, and is dropped
-    from the output. The window is split by day (``carry_forward``), so a hot key is not one task.
-    """
-    mapping = F.create_map(*[x for k, v in COMMAND_MODE.items() for x in (F.lit(k), F.lit(v))])
-    m = messages.withColumn("_new", F.element_at(mapping, F.col(command))).withColumn("_seed", F.lit(1))
-    if initial is not None:
-        first = messages.groupBy(key).agg(F.min(ts).alias(ts))  # partial aggregate per key
-        seeds = (first.join(initial.where(F.col("mode").isNotNull()).select(key, F.col("mode").alias("_new")), key)
-                 .withColumn("_seed", F.lit(0)))
-        m = m.unionByName(seeds, allowMissingColumns=True)
-    day = F.to_date(F.col(ts))
-    m = carry_forward(m, [key], [ts, "_seed", tie], "_new", day, "_before", include_current=False)
-    m = m.withColumn("_after", F.coalesce("_new", "_before"))
-    return (m.where(F.col("_seed") == 1)
-            .withColumn("mode_before", F.nullif("_before", F.lit("")))
-            .withColumn("mode_after", F.nullif("_after", F.lit("")))
-            .drop("_new", "_before", "_after", "_seed"))
-
+# ---------------------------------------------------------------- notes
 
 def users_with_notes(users: DataFrame, notes: DataFrame, key: str = "user_id") -> DataFrame:
     """AGG14: users that have at least one note (a semi join, no note is fetched)."""

@@ -69,21 +69,33 @@ def carry_forward(df: DataFrame, keys, order_cols, value: str, bucket: Column, o
             .withColumn(out, F.coalesce("_inner", "_prev")).drop("_bucket", "_inner", "_prev"))
 
 
-def trailing_count(df: DataFrame, keys, ts: str, window_micros: int, out: str,
-                   tie_cols=()) -> DataFrame:
+def trailing_count(df: DataFrame, keys, ts: str, window_micros: int, out: str, slices: int = 24) -> DataFrame:
     """Rows of the same key with time in [ts - window, ts] (closed at both ends), per row.
 
-    Buckets are ``window`` wide; each row also goes, as context only, into the next bucket
-    (one scan: the two copies come from an explode), so a frame never needs more than two
-    buckets. Time is compared in microseconds. Rows without a time count among themselves only.
+    The window is cut into ``slices`` (hours of a day). Whole slices between a row's own and the window's first are counted by a partial
+    aggregate, one row per (key, slice), and summed over a small window; only the two boundary slices are row work: a row meets its own
+    slice, and its time alone (the other columns are left out) meets the rows one window later. So one exchange moves the rows, partitioned by (key,
+    slice): a hot key is spread over its hours. Time is compared in microseconds. Rows without a time count among themselves only.
     """
-    keys = list(keys)
+    keys, names = list(keys), df.columns
+    width = window_micros // slices
+    if width * slices != window_micros:
+        raise ValueError("the window must be a whole number of slices")
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    b = F.floor(us / F.lit(window_micros))
-    own = F.struct(b.alias("_b"), F.lit(True).alias("_target"))
-    copies = F.when(us.isNull(), F.array(own)).otherwise(F.array(own, F.struct((b + 1).alias("_b"), F.lit(False).alias("_target"))))
-    both = df.withColumn("_us", us).withColumn("_c", F.explode(copies)).select("*", "_c._b", "_c._target").drop("_c")
-    w = (Window.partitionBy(*keys, "_b").orderBy("_us")
-         .rangeBetween(-window_micros, Window.currentRow))
-    return (both.withColumn(out, F.count(F.lit(1)).over(w)).where("_target")
-            .drop("_us", "_b", "_target"))
+    own = F.struct(F.floor(us / width).alias("b"), us.alias("at"), F.lit(0).alias("kind"))
+    later = F.struct(F.floor(us / width + slices).alias("b"), (us + window_micros).alias("at"), F.lit(1).alias("kind"))
+    copies = F.explode(F.when(us.isNull(), F.array(own)).otherwise(F.array(own, later)))
+    rows = df.withColumn("_c", copies).select(
+        *((F.col(c) if c in keys else F.when(F.col("_c.kind") == 0, F.col(c)).alias(c)) for c in names), "_c.b", "_c.at", "_c.kind", F.lit(0).cast("long").alias("_whole"))
+    rows = rows.toDF(*names, "_b", "_at", "_kind", "_whole")
+    counts = df.where(us.isNotNull()).groupBy(*keys, F.floor(us / width).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    # a count serves the slices behind it: each slice with rows gets the sum of the slices - 1 whole ones before it
+    between = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-(slices - 1), -1)
+    whole = counts.select(*keys, "_b", F.lit(2).alias("_kind"), F.coalesce(F.sum("_n").over(between), F.lit(0)).alias("_whole"))
+    both = rows.unionByName(whole, allowMissingColumns=True)
+    part = Window.partitionBy(*keys, "_b").orderBy("_at")
+    upto, behind = part.rangeBetween(Window.unboundedPreceding, Window.currentRow), part.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    every = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kind = lambda k: F.when(F.col("_kind") == k, 1)
+    n = F.count(kind(0)).over(upto) + F.count(kind(1)).over(behind) + F.max("_whole").over(every)
+    return both.withColumn(out, n).where("_kind = 0").select(*names, out)

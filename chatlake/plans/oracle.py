@@ -171,22 +171,53 @@ SELECT event_id, user_id, ts, prior_24h, prior_24h <= 30 AS within_quota FROM (
          count(*) OVER (PARTITION BY user_id ORDER BY ts
                         RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) - 1 AS prior_24h
   FROM events)"""
-ORACLES["quota_asof"] = """
-SELECT user_id, n_24h, n_24h <= 30 AND 0.0 <= 200 AS within_limits FROM (
-  SELECT user_id, count(*) FILTER (ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 1 DAY
-                                   AND ts <= TIMESTAMP '2024-01-30 00:00:00') AS n_24h FROM events GROUP BY user_id)"""
-ORACLES["mode_routing"] = """
-WITH m AS (
-  SELECT event_id, user_id, ts,
-         CASE event_type WHEN 'signup' THEN '/start' WHEN 'view' THEN '/search'
-                         WHEN 'purchase' THEN 'payment' WHEN 'error' THEN 'reset' END AS command
-  FROM events),
-n AS (SELECT *, CASE command WHEN '/start' THEN 'notes' WHEN '/search' THEN 'search'
-                             WHEN 'payment' THEN 'notes' WHEN 'reset' THEN '' END AS new_mode FROM m),
-b AS (SELECT *, last_value(new_mode IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id
-                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM n)
-SELECT event_id, user_id, ts, command, nullif(before, '') AS mode_before,
-       nullif(coalesce(new_mode, before), '') AS mode_after FROM b"""
+_SENDERS = f"""(SELECT user_id, telegram_id, username, invited_by_id, greatest(c_acctbal, 0.0) / 45 AS volume
+  FROM {_USERS} u0 JOIN customer c0 ON c0.c_custkey = u0.user_id
+  UNION ALL SELECT DISTINCT user_id, user_id, 'there', NULL, NULL FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer))"""
+ORACLES["quota_asof"] = f"""
+SELECT user_id, n_24h, n_24h <= 30 AND coalesce(volume, 0) <= 200 AS within_limits FROM (
+  SELECT s.user_id, any_value(volume) AS volume, count(e.ts) FILTER (ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 1 DAY
+                                   AND ts <= TIMESTAMP '2024-01-30 00:00:00') AS n_24h
+  FROM {_SENDERS} s LEFT JOIN events e USING (user_id) GROUP BY s.user_id)"""
+ORACLES["inviter_assign"] = f"""
+WITH s AS (SELECT * FROM {_SENDERS} s0),
+l AS (SELECT e.user_id AS telegram_id, i.user_id AS named, row_number() OVER (PARTITION BY e.user_id ORDER BY ts DESC, event_id DESC) AS r
+      FROM events e JOIN s i ON i.telegram_id = 200 * (CAST(json_extract(props, '$.k') AS INTEGER) % 10)
+      WHERE event_type = 'signup' AND CAST(json_extract(props, '$.k') AS INTEGER) % 10 <> 5)
+SELECT user_id, s.telegram_id, username, coalesce(named, invited_by_id) AS invited_by_id FROM s LEFT JOIN l ON l.telegram_id = s.telegram_id AND r = 1"""
+# one message after the other, as the handlers are tried
+ORACLES["mode_routing"] = f"""
+WITH RECURSIVE
+e AS (SELECT event_id, user_id, ts, event_type, value, CAST(json_extract(props, '$.k') AS INTEGER) % 10 AS k FROM events),
+m AS (SELECT *, CASE event_type WHEN 'signup' THEN '/start' WHEN 'view' THEN '/search' WHEN 'purchase' THEN 'payment' WHEN 'error' THEN
+               CASE WHEN k <= 1 THEN '/import' WHEN k <= 3 THEN '/subscribe' WHEN k = 4 THEN '/note' WHEN k <= 7 THEN '/chat' WHEN k = 8 THEN 'reset' ELSE '/help' END END AS command,
+             CASE WHEN event_type = 'purchase' AND k <> 9 THEN [1, 3, 6, 12][1 + k % 4] END AS months FROM e),
+p AS (SELECT *, sum(months) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS paid,
+             min(ts) FILTER (months IS NOT NULL) OVER (PARTITION BY user_id) AS first_paid,
+             count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) - 1 AS prior,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM m),
+g AS (SELECT p.*, coalesce(paid > 0 AND first_paid + to_days(CAST(30 * paid AS INTEGER)) >= ts, false)
+               OR coalesce(s.username IN ('Customer#000000001', 'Customer#000000002', 'Customer#000000003'), false) AS sub,
+             prior <= 30 AND coalesce(s.volume, 0) <= 200 AS within,
+             EXISTS (SELECT 1 FROM documents d WHERE d.source = 'src' || p.user_id) AS noted
+      FROM p LEFT JOIN {_SENDERS} s ON s.user_id = p.user_id),
+w AS (
+  SELECT g.*, '' AS before, CASE WHEN command IN ('/start', '/note') THEN 'notes' WHEN command = '/chat' THEN 'chat' WHEN command = '/subscribe' THEN 'subscription_choice'
+    WHEN command = '/import' AND sub THEN 'wait_for_json' WHEN command = '/search' AND within AND noted THEN 'search'
+    WHEN command = 'payment' AND k <> 9 THEN 'notes' ELSE '' END AS after FROM g WHERE i = 1
+  UNION ALL
+  SELECT g.*, w.after AS before, CASE
+    WHEN g.command IN ('/start', '/note') THEN 'notes' WHEN g.command = '/chat' THEN 'chat' WHEN g.command = '/subscribe' THEN 'subscription_choice'
+    WHEN g.command = 'reset' THEN '' WHEN g.command = '/help' THEN w.after
+    WHEN g.command = '/import' THEN CASE WHEN g.sub THEN 'wait_for_json' ELSE w.after END
+    WHEN g.command = '/search' THEN CASE WHEN g.within AND g.noted THEN 'search' ELSE w.after END
+    WHEN w.after = 'subscription_choice' THEN CASE WHEN g.event_type = 'click' AND g.k IN (1, 3, 6) THEN 'wait_for_payment' ELSE w.after END
+    WHEN g.command = 'payment' THEN CASE WHEN g.k <> 9 THEN 'notes' ELSE w.after END
+    WHEN w.after = 'chat' AND g.sub AND NOT g.within THEN ''
+    WHEN w.after = 'search' AND g.sub AND (NOT g.within OR g.value >= 30) THEN ''
+    ELSE w.after END AS after
+  FROM w JOIN g ON g.user_id = w.user_id AND g.i = w.i + 1)
+SELECT event_id, user_id, ts, command, nullif(before, '') AS mode_before, nullif(after, '') AS mode_after FROM w"""
 ORACLES["payload_split"] = f"""
 SELECT payment_id, payload, split_part(payload, '_', 1) AS goal, TRY_CAST(split_part(payload, '_', 2) AS INTEGER) AS months_num
 FROM (SELECT payment_id, 'subscribe_' || coalesce(CAST(months AS VARCHAR), 'x') AS payload FROM {_PAYMENTS} p)"""
@@ -318,7 +349,11 @@ SELECT 'chat ' || conv_id AS chat_name, turn AS msg_id, role AS sender, 'user' |
 FROM conversations WHERE role <> 'system'"""
 
 # ---------------------------------------------------------------- streaming (same results as batch)
-ORACLES["stream_users"] = ORACLES["insert_if_absent"]
+ORACLES["stream_users"] = f"""
+SELECT user_id, telegram_id, username, '' AS first_name, '' AS last_name FROM {_USERS} u
+UNION ALL
+SELECT DISTINCT 20 * user_id, 20 * user_id, CASE WHEN user_id % 3 <> 0 THEN 'user' || 20 * user_id ELSE 'there' END,
+       CASE WHEN user_id % 5 <> 0 THEN 'First ' || 20 * user_id ELSE '' END, '' FROM events WHERE 20 * user_id NOT IN (SELECT c_custkey FROM customer)"""
 ORACLES["stream_modes"] = ORACLES["mode_routing"]
 ORACLES["stream_quota"] = """
 SELECT user_id, window_start, window_start + INTERVAL 1 DAY AS window_end, count(*) AS n_messages,

@@ -141,6 +141,7 @@ def distinct_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- accounts
 
 from chatlake.operators import accounts as acc  # noqa: E402
+from chatlake.operators import modes  # noqa: E402
 
 AS_OF_SUBSCRIPTION = "2001-01-01 00:00:00"
 AS_OF_QUOTA = "2024-01-30 00:00:00"
@@ -168,11 +169,34 @@ def _valid_payments(spark, sf_dir):
     return _payments(spark, sf_dir).join(F.broadcast(acc.price_table(spark)).select("months"), "months", "left_semi")
 
 
+def _users_full(spark, sf_dir):
+    """The users with their stored volume, a figure of the customer's balance (null for senders that are no customer)."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.greatest("c_acctbal", F.lit(0.0)) / 45).alias("vector_storage_volume"))
+    known = _users(spark, sf_dir).join(c, "user_id")
+    senders = table(spark, sf_dir, "events").select(F.col("user_id"), F.col("user_id").alias("telegram_id"), F.lit("there").alias("username"))
+    return acc.insert_if_absent(known, senders.where("user_id is not null").distinct(), key="telegram_id")
+
+
 def _events_as_messages(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    cmd = (F.when(F.col("event_type") == "signup", "/start").when(F.col("event_type") == "view", "/search")
-           .when(F.col("event_type") == "purchase", "payment").when(F.col("event_type") == "error", "reset"))
-    return e.withColumn("command", cmd)
+    """Events as messages: a command (null: plain text), the plan a payment is for, and what the guards of the mode machine ask for.
+
+    signup = /start, view = /search, purchase = a payment (for a gift where k is 9), click = plain text, error = one of the other commands by k, the last digit of
+    the event's number.
+    """
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", (F.get_json_object("props", "$.k").cast("int") % 10).alias("k"))
+    of = lambda t: F.col("event_type") == t
+    rest = F.element_at(F.array(*(F.lit(c) for c in ("/import", "/import", "/subscribe", "/subscribe", "/note", "/chat", "/chat", "/chat", "reset", "/help"))),
+                        F.col("k") + 1)
+    cmd = F.when(of("signup"), "/start").when(of("view"), "/search").when(of("purchase"), "payment").when(of("error"), rest)
+    plan = F.element_at(F.array(*(F.lit(m) for m in (1, 3, 6, 12))), F.col("k") % 4 + 1)
+    return e.select("event_id", "ts", "user_id", cmd.alias("command"), F.when(of("purchase") & (F.col("k") != 9), plan).alias("months"),
+                    (F.col("k") != 9).alias("paid"), (of("click") & F.col("k").isin(1, 3, 6)).alias("valid_choice"), (F.col("value") >= 30).alias("has_hits"))
+
+
+def _guarded_messages(spark, sf_dir):
+    notes = table(spark, sf_dir, "documents").select(user_of("source").alias("user_id")).where("user_id is not null")
+    allow = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in ALLOWLIST])).alias("username"))
+    return modes.with_guards(_events_as_messages(spark, sf_dir), _users_full(spark, sf_dir), notes, allow)
 
 
 @query
@@ -221,15 +245,24 @@ def quota_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def quota_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return acc.quota_as_of(table(spark, sf_dir, "events").select("user_id", "ts"), AS_OF_QUOTA)
+    return acc.quota_as_of(_users_full(spark, sf_dir), table(spark, sf_dir, "events").select("user_id", "ts"), AS_OF_QUOTA)
 
 
 @query
 def mode_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return acc.route_modes(_events_as_messages(spark, sf_dir)).select(
+    return modes.route(_guarded_messages(spark, sf_dir)).select(
         "event_id", "user_id", "ts", "command", "mode_before", "mode_after")
 
 
+@query
+def inviter_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN2: a signup is a /start; its deep link names the inviter 200 k, k the last digit of the event's number (no link where it is 5)."""
+    k = F.get_json_object("props", "$.k").cast("int") % 10
+    starts = table(spark, sf_dir, "events").where(F.col("event_type") == "signup").select(
+        F.col("user_id").alias("telegram_id"), F.when(k != 5, (k * 200).cast("bigint")).alias("inviter"), "ts", "event_id")
+    return acc.assign_inviters(_users_full(spark, sf_dir), starts).select("user_id", "telegram_id", "username", "invited_by_id")
+
+
 @query
 def payload_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _payments(spark, sf_dir).select(
@@ -535,14 +568,20 @@ def stream_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR4: senders (telegram id 20 x user id, so about half are customers); every third has no username, every fifth no first name."""
     import uuid
 
     from chatlake.session import scratch_path
     from chatlake.streaming import streams as st
     path = scratch_path(spark, f"stream_users/{uuid.uuid4().hex}")
-    _users(spark, sf_dir).write.parquet(path)
-    st.upsert_users_stream(spark, _stream_of(spark, sf_dir, "events"), path)
-    return spark.read.parquet(path)
+    known = _users(spark, sf_dir).select("user_id", "telegram_id", "username", F.lit("").alias("first_name"), F.lit("").alias("last_name"))
+    st.write_users(known, path)
+    tid = F.col("user_id") * 20
+    name = lambda text, every: F.when(F.col("user_id") % every != 0, F.concat(F.lit(text), tid.cast("string")))
+    senders = _stream_of(spark, sf_dir, "events").select(tid.alias("user_id"), tid.alias("telegram_id"), name("user", 3).alias("username"),
+                                                         name("First ", 5).alias("first_name"), F.lit(None).cast("string").alias("last_name"))
+    st.upsert_users_stream(spark, senders, path)
+    return spark.read.parquet(path).drop("bucket")
 
 
 @query
@@ -553,8 +592,8 @@ def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chatlake.streaming import streams as st
     path = scratch_path(spark, f"stream_quota/{uuid.uuid4().hex}")
     ev = _stream_of(spark, sf_dir, "events").select("user_id", "ts")
-    st.run_update_table(spark, st.daily_quota(ev), path)
-    return st.latest_rows(spark, path, ["user_id", "window_start"])
+    st.run_update_table(spark, st.hourly_counts(ev), path)
+    return st.daily_quota(st.latest_rows(spark, path, ["user_id", "slice"]))
 
 
 @query
@@ -576,10 +615,9 @@ def stream_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chatlake.session import scratch_path
     from chatlake.streaming import streams as st
     path = scratch_path(spark, f"stream_modes/{uuid.uuid4().hex}")
-    e = _stream_of(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    cmd = (F.when(F.col("event_type") == "signup", "/start").when(F.col("event_type") == "view", "/search")
-           .when(F.col("event_type") == "purchase", "payment").when(F.col("event_type") == "error", "reset"))
-    st.route_modes_batches(spark, e.withColumn("command", cmd).drop("event_type"), path, path + "_state")
+    guarded = _guarded_messages(spark, sf_dir)  # the stream's source: messages with their guards, as the job before it leaves them
+    guarded.write.parquet(f"{path}_messages")
+    st.route_modes_stream(spark, st.file_stream(spark, f"{path}_messages", guarded.schema, glob="*.parquet"), path)
     return spark.read.parquet(path).select("event_id", "user_id", "ts", "command", "mode_before", "mode_after")
 
 

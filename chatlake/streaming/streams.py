@@ -12,10 +12,12 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from chatlake.operators import accounts as acc
 from chatlake.operators import chunks as ch
-from chatlake.session import scratch_path
+from chatlake.operators import modes, scan
+from chatlake.session import scratch_path, ship_package
 from chatlake.sources import exports as ex
 from chatlake.sources.tables import stored
 
@@ -56,6 +58,7 @@ def run_available(writer, ckpt: str) -> None:
 # ---------------------------------------------------------------- STR1: export ingest
 
 FILE_BUCKETS = 64  # hash buckets of the source file that partition the ingested messages
+PIECE = 1 << 16  # messages of one chat that are written by one task
 
 
 def ingest_exports(spark: SparkSession, in_folder: str, out_path: str, clean_source: str | None = None,
@@ -72,11 +75,12 @@ def ingest_exports(spark: SparkSession, in_folder: str, out_path: str, clean_sou
         if clean_source == "archive":
             options["sourceArchiveDir"] = scratch_path(spark, "export_archive")
     raw = ex.with_layout(ex.stream_exports(spark, in_folder, options, multi_line))
+    key = ["file", "chat_idx", "pos", "digest"]
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # The same file re-read by a replayed batch (or a new checkpoint) is dropped by the
-        # (file, chat_idx, pos) key. The output is partitioned by a fixed hash bucket of the file, so
-        # only the bucket folders of this batch's files are read (by path), then semi-joined to them.
+        # A message read again by a replayed batch (or a new checkpoint) is dropped by its key: file, place and
+        # what it says, so an export that changed at a known path adds its changed messages. The output is partitioned
+        # by a fixed hash bucket of the file: only the folders of this batch's files are read (by path), then semi-joined to them.
         batch = batch.withColumn("file_bucket", F.pmod(F.xxhash64("file"), F.lit(FILE_BUCKETS)).cast("int"))
         batch = batch.persist()  # read several times; recomputed from the files if an executor is lost
         try:
@@ -86,13 +90,13 @@ def ingest_exports(spark: SparkSession, in_folder: str, out_path: str, clean_sou
             if not buckets:
                 return
             new = ex.project_messages(ex.explode_messages(ex.explode_chats(good)))
-            new = new.withColumn("file_bucket", F.pmod(F.xxhash64("file"), F.lit(FILE_BUCKETS)).cast("int"))
+            new = new.withColumns({"file_bucket": F.pmod(F.xxhash64("file"), F.lit(FILE_BUCKETS)).cast("int"),
+                                   "digest": F.xxhash64(F.to_json(F.struct("chat_name", *ex.MESSAGE_COLUMNS)))})
             old = stored(spark, f"{out_path}/file_bucket={{{','.join(str(b) for b in buckets)}}}", basePath=out_path)
             if old is not None:
-                done = (old.select("file", "chat_idx", "pos")
-                        .join(good.select("file").distinct(), "file", "left_semi"))
-                new = new.join(done, ["file", "chat_idx", "pos"], "left_anti")
-            new.write.mode("append").partitionBy("file_bucket").parquet(out_path)
+                done = old.select(*key).join(good.select("file").distinct(), "file", "left_semi")
+                new = new.join(done, key, "left_anti")
+            new.repartition("file_bucket", "chat_idx", F.floor(F.col("pos") / PIECE)).write.mode("append").partitionBy("file_bucket").parquet(out_path)
         finally:
             batch.unpersist()
 
@@ -130,32 +134,64 @@ def index_notes_stream(spark: SparkSession, notes: DataFrame, store_path: str, s
 
 # ---------------------------------------------------------------- STR4: users from the stream
 
-def upsert_users_stream(spark: SparkSession, messages: DataFrame, users_path: str,
-                        ckpt: str | None = None) -> None:
-    """STR4 + JN3: users seen in the message stream are inserted once, with defaults."""
-    incoming = messages.select(F.col("user_id"), F.col("user_id").alias("telegram_id"),
-                               F.lit("there").alias("username"), F.lit(None).cast("bigint").alias("invited_by_id"))
+USER_BUCKETS = 64  # hash buckets of the telegram id that partition the users table
+USER_DEFAULTS = {"username": "there", "first_name": "", "last_name": ""}  # fixed values
+
+
+def user_bucket(telegram_id):
+    return F.pmod(F.xxhash64(telegram_id), F.lit(USER_BUCKETS)).cast("int")
+
+
+def write_users(users: DataFrame, path: str) -> None:
+    """A users table partitioned by the telegram id's bucket, one file a bucket."""
+    users.withColumn("bucket", user_bucket("telegram_id")).repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def upsert_users_stream(spark: SparkSession, messages: DataFrame, users_path: str, ckpt: str | None = None, remember: str = "1 hour") -> None:
+    """STR4 + JN3: senders in the message stream (user_id, telegram_id, username, first_name, last_name) are inserted once; names they lack get
+    the defaults, and what is stored of a user stays.
+
+    A sender passes once while it is remembered: the stream drops repeats within ``remember`` of *arrival* (its watermark is the
+    arrival time, so no message is late and the state stays bounded). What is left meets only the users of its buckets, by a partition
+    filter; a replayed batch finds its users stored. Messages without a sender add nobody.
+    """
+    incoming = (messages.where("telegram_id is not null").withColumn("_seen", F.current_timestamp()).withWatermark("_seen", remember)
+                .dropDuplicatesWithinWatermark(["telegram_id"]).drop("_seen"))
+    names = {c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(d)) for c, d in USER_DEFAULTS.items()}
+    incoming = incoming.select("user_id", "telegram_id", *(v.alias(k) for k, v in names.items()))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        current = batch.sparkSession.read.parquet(users_path).select("telegram_id")
-        new = batch.distinct().join(current, "telegram_id", "left_anti")  # one row per user: the rest are defaults
-        new.select("user_id", "telegram_id", "username", "invited_by_id").write.mode("append").parquet(users_path)
+        batch = batch.withColumn("bucket", user_bucket("telegram_id")).persist()  # read twice; recomputed from the source if lost
+        try:
+            touched = sorted(r[0] for r in batch.select("bucket").distinct().collect())  # at most USER_BUCKETS numbers
+            old = stored(spark, users_path)
+            if old is not None:
+                batch = batch.join(old.where(F.col("bucket").isin(touched)).select("bucket", "telegram_id"), ["bucket", "telegram_id"], "left_anti")
+            batch.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(users_path)
+        finally:
+            batch.unpersist()
 
     run_available(incoming.writeStream.foreachBatch(sink), ckpt or _ckpt(users_path))
 
 
 # ---------------------------------------------------------------- STR5: daily quota
 
-def daily_quota(messages: DataFrame, key: str = "user_id", ts: str = "ts", watermark: str = "1 day",
-                size: str = "1 day", slide: str = "1 hour") -> DataFrame:
-    """STR5: messages per user in sliding one-day windows (hourly step). Late rule: rows more
-    than one day behind the watermark are dropped (the reference has no rule of its own)."""
+def hourly_counts(messages: DataFrame, key: str = "user_id", ts: str = "ts", watermark: str = "1 day", slide: str = "1 hour") -> DataFrame:
+    """STR5, the stateful part: messages per user and slice; an event updates one state row.
+
+    Late rule: rows more than ``watermark`` behind the latest time are dropped (the reference has no rule of its own).
+    """
     # event time must be TIMESTAMP (zone-aware); wall-clock NTZ values are read in the session zone
     return (messages.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
-            .groupBy(key, F.window(ts, size, slide).alias("w"))
-            .agg(F.count(F.lit(1)).alias("n_messages"))
-            .select(key, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n_messages",
+            .groupBy(key, F.window(ts, slide).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("slice"), "n"))
+
+
+def daily_quota(slices: DataFrame, key: str = "user_id", hours: int = 24) -> DataFrame:
+    """STR5: messages per user in sliding windows of ``hours`` slices, from the newest count of each slice (batch or read from the stream's log)."""
+    starts = F.sequence(F.col("slice") - F.make_dt_interval(hours=F.lit(hours - 1)), F.col("slice"), F.expr("INTERVAL 1 HOUR"))
+    return (slices.select(key, "n", F.explode(starts).alias("start")).groupBy(key, "start").agg(F.sum("n").alias("n_messages"))
+            .select(key, F.col("start").cast("timestamp_ntz").alias("window_start"),
+                    (F.col("start") + F.make_dt_interval(hours=F.lit(hours))).cast("timestamp_ntz").alias("window_end"), "n_messages",
                     (F.col("n_messages") <= acc.QUOTA_MESSAGES).alias("within_quota")))
 
 
@@ -169,6 +205,9 @@ def write_batch(batch: DataFrame, out_path: str, batch_id: int) -> None:
     batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
 
+NO_DAY = "none"  # the state folder of messages without a time
+
+
 def trailing_quota_batches(spark: SparkSession, messages: DataFrame, out_path: str, state_path: str,
                            key: str = "user_id", ts: str = "ts", ckpt: str | None = None) -> None:
     """STR5, exact form (WIN1 + FLT8 per message): messages of the same user in the 24 hours
@@ -179,7 +218,8 @@ def trailing_quota_batches(spark: SparkSession, messages: DataFrame, out_path: s
     preceding day. The state is the messages themselves, partitioned by (day, batch_id) and written
     with dynamic partition overwrite (a replay replaces its own folders). A batch reads only the
     day folders from one day before its earliest message to its latest one (a partition filter),
-    then filters by time and semi-joins to its users.
+    then filters by time and semi-joins to its users. Messages without a time, which count among themselves, have a folder of
+    their own that is read only by batches with such messages; a null user is a user like any other.
     """
     cols = list(messages.columns)
     t = F.col(ts).cast("timestamp")
@@ -192,21 +232,24 @@ def trailing_quota_batches(spark: SparkSession, messages: DataFrame, out_path: s
             batch.unpersist()
 
     def _count_batch(batch: DataFrame, batch_id: int) -> None:
-        span = batch.agg(  # two short texts to the driver: the time range the context must cover
+        span = batch.agg(  # two short texts and a flag to the driver: the time range the context must cover
             F.date_format(F.min(t) - F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("since"),
-            F.date_format(F.max(t), "yyyy-MM-dd").alias("last")).first()
-        if span["since"] is None:
-            return
+            F.date_format(F.max(t), "yyyy-MM-dd").alias("last"), F.coalesce(F.bool_or(t.isNull()), F.lit(False)).alias("timeless")).first()
         rows = batch.withColumn("_cur", F.lit(True))
         hist = stored(spark, state_path)
         if hist is not None:  # the day folders of the range are a partition filter
-            inside = F.col("day").cast("string").between(span["since"][:10], span["last"])
-            ctx = (hist.where(inside & (F.col("batch_id") < batch_id) & (t >= F.lit(span["since"]).cast("timestamp")))
-                   .select(*cols).join(batch.select(key).distinct(), key, "left_semi"))
+            inside = F.lit(False)
+            if span["since"] is not None:
+                inside = F.col("day").cast("string").between(span["since"][:10], span["last"]) & (t >= F.lit(span["since"]).cast("timestamp"))
+            if span["timeless"]:
+                inside = inside | (F.col("day").cast("string") == NO_DAY)
+            users = batch.select(F.col(key).alias("_k")).distinct()
+            ctx = (hist.where((F.col("batch_id") < batch_id) & inside).select(*cols)
+                   .join(users, F.col(key).eqNullSafe(F.col("_k")), "left_semi"))
             rows = rows.unionByName(ctx.withColumn("_cur", F.lit(False)))
         counted = acc.trailing_24h(rows, key, ts).where("_cur").drop("_cur")
         write_batch(counted, out_path, batch_id)
-        (batch.select(*cols).withColumn("day", F.date_format(t, "yyyy-MM-dd"))
+        (batch.select(*cols).withColumn("day", F.coalesce(F.date_format(t, "yyyy-MM-dd"), F.lit(NO_DAY)))
          .withColumn("batch_id", F.lit(batch_id))
          .write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
          .partitionBy("day", "batch_id").parquet(state_path))
@@ -233,32 +276,66 @@ def latest_rows(spark: SparkSession, path: str, keys) -> DataFrame:
 
 # ---------------------------------------------------------------- STR3: mode routing with state
 
-def route_modes_batches(spark: SparkSession, messages: DataFrame, out_path: str, state_path: str,
-                        key: str = "user_id", ts: str = "ts", tie: str = "event_id", ckpt: str | None = None) -> None:
-    """STR3: route each message by its user's current mode; the mode is state kept across batches.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _ModeProcessor(StatefulProcessor):
+    """A user's mode as value state: the messages of a micro-batch in time order, each through its own transition."""
+
+    def init(self, handle) -> None:
+        self.mode = handle.getValueState("mode", "number int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        part = pd.concat(list(rows), ignore_index=True).set_axis(["_user", "_at", "_tie", "_fn", "_command"], axis=1)  # Spark hands them over by place
+        part = part.sort_values(["_at", "_tie"], kind="stable")
+        state = self.mode.get()[0] if self.mode.exists() else 0
+        before = []
+        for fn in part["_fn"].tolist():
+            before.append(state)
+            state = (fn >> (scan.BITS * state)) & (2 ** scan.BITS - 1)
+        self.mode.update((state,))
+        yield pd.DataFrame({"_user": key[0], "_at": part["_at"].to_numpy(), "_tie": part["_tie"].to_numpy(),
+                            "_fn": part["_fn"].to_numpy(), "_command": part["_command"].to_numpy(), "_before": before})
+
+    def close(self) -> None:
+        pass
+
 
-    Each micro-batch runs the batch operator ``route_modes`` (a day-split window, so a user with a
-    third of all messages is still spread over tasks), seeded with every user's mode from earlier
-    batches. The state is one keyed table (key, mode), written anew after each batch under the batch's
-    id from the table before it: a replayed batch reads the same state and overwrites its own.
-    Messages are routed in time order inside a batch and in arrival order across batches.
+def routed_modes(messages: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id", command: str = "command") -> DataFrame:
+    """STR3: each message of a stream with its user's mode before and after it (key, ts, tie, command, mode_before, mode_after).
+
+    The transitions, with their guards, are computed by SQL (``modes.transition``); the mode is Spark's own state per user, so
+    a batch reads and writes the users it meets and a replay starts from the state before it. Messages are taken in time order
+    inside a micro-batch and in arrival order across batches; a micro-batch (``maxFilesPerTrigger``) bounds what one user's task holds, five
+    numbers a message. Messages without a user are those of one user; those without a time come first.
     """
+    dtype = messages.schema[ts].dataType.simpleString()
+    least = F.lit(-2 ** 62)
+    # the state's key is a text that is never null: groups of a null key run into their neighbours in this operator
+    user = F.coalesce(F.concat(F.lit("u"), F.col(key).cast("string")), F.lit(""))
+    rows = messages.select(user.alias("_user"), F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), least).alias("_at"),
+                           F.col(tie).cast("long").alias("_tie"), modes.transition(messages, command).alias("_fn"), F.col(command).alias("_command"))
+    ship_package(messages.sparkSession)
+    out = rows.groupBy("_user").transformWithStateInPandas(
+        _ModeProcessor(), "_user string, _at long, _tie long, _fn long, _command string, _before int", "update", "none")
+    named = F.when(F.col("_user") != "", F.substr("_user", F.lit(2))).cast(messages.schema[key].dataType)
+    return out.select(named.alias(key), F.when(F.col("_at") != least, F.timestamp_micros("_at")).cast(dtype).alias(ts), F.col("_tie").alias(tie),
+                      F.col("_command").alias(command), modes.name(F.col("_before")).alias("mode_before"),
+                      modes.name(scan.apply(F.col("_fn"), F.col("_before"))).alias("mode_after"))
+
+
+def route_modes_stream(spark: SparkSession, messages: DataFrame, out_path: str, key: str = "user_id", ts: str = "ts", tie: str = "event_id",
+                       ckpt: str | None = None) -> None:
+    """STR3 run to its end into ``out_path``, one folder a micro-batch; state in RocksDB, which keeps it off the heap."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # read several times below; recomputed from the source if lost
-        try:
-            _route_batch(batch, batch_id)
-        finally:
-            batch.unpersist()
-
-    def _route_batch(batch: DataFrame, batch_id: int) -> None:
-        before = stored(spark, f"{state_path}/batch_id={batch_id - 1}")
-        prior = None if before is None else before.join(batch.select(key).distinct(), key, "left_semi")
-        routed = acc.route_modes(batch, key, ts, tie, initial=prior)
-        write_batch(routed, out_path, batch_id)
-        done = spark.read.parquet(f"{out_path}/batch_id={batch_id}")  # read back, not recomputed
-        state = done.groupBy(key).agg(F.max_by("mode_after", F.struct(ts, tie)).alias("mode"))
-        if before is not None:
-            state = state.unionByName(before.join(state.select(key), key, "left_anti"))
-        write_batch(state, state_path, batch_id)
+        write_batch(batch, out_path, batch_id)
 
-    run_available(messages.writeStream.foreachBatch(sink), ckpt or _ckpt(out_path))
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKSDB)  # what a query starts with stays in its checkpoint
+    try:
+        run_available(routed_modes(messages, key, ts, tie).writeStream.outputMode("update").foreachBatch(sink), ckpt or _ckpt(out_path))
+    finally:
+        spark.conf.set(setting, before)

@@ -37,8 +37,9 @@ def test_quota_edges(spark):
     got = {r.event_id: (r.prior_24h, r.within_quota) for r in acc.trailing_24h(ev).collect()}
     assert got[29] == (29, True) and got[30] == (30, True) and got[31] == (31, False)
     assert got[100] == (32, False)
-    q = {r.user_id: (r.n_24h, r.within_limits) for r in acc.quota_as_of(ev, "2024-01-11 12:00:00").collect()}
-    assert q == {1: (33, False)}
+    users = spark.createDataFrame([(1, 0.0), (2, 200.0), (3, 200.5), (4, None)], "user_id long, vector_storage_volume double")
+    q = {r.user_id: (r.n_24h, r.within_limits) for r in acc.quota_as_of(users, ev, "2024-01-11 12:00:00").collect()}
+    assert q == {1: (33, False), 2: (0, True), 3: (0, False), 4: (0, True)}
 
 
 def test_prices_and_rejects(spark):
@@ -50,16 +51,6 @@ def test_prices_and_rejects(spark):
     assert [r.payment_id for r in acc.rejected_choices(pays, acc.price_table(spark)).collect()] == [3]
 
 
-def test_mode_routing_every_change(spark):
-    cmds = ["/start", None, "/subscribe", "choice", "payment", "/chat", None, "reset", None, "/search", "/note"]
-    ev = spark.createDataFrame([(i, 1, T0 + dt.timedelta(hours=20 * i), c) for i, c in enumerate(cmds)],
-                               "event_id long, user_id long, ts timestamp, command string")
-    got = [(r.mode_before, r.mode_after) for r in acc.route_modes(ev).orderBy("event_id").collect()]
-    assert got == [(None, "notes"), ("notes", "notes"), ("notes", "subscription_choice"),
-                   ("subscription_choice", "wait_for_payment"), ("wait_for_payment", "notes"), ("notes", "chat"),
-                   ("chat", "chat"), ("chat", None), (None, None), (None, "search"), ("search", "notes")]
-
-
 def test_referrals_and_insert_if_absent(spark):
     users = spark.createDataFrame([(1, 1, "a", None), (2, 2, "b", 1), (3, 3, "c", 1), (4, 4, "d", 2)],
                                   "user_id long, telegram_id long, username string, invited_by_id long")
@@ -108,7 +99,6 @@ def test_rows_without_key_or_time_stay(spark):
     pay = spark.createDataFrame([(1, 1, t, 1), (2, None, t, 3), (3, 1, None, 6)], "payment_id long, user_id long, paid_at timestamp, months int")
     assert acc.running_subscription_end(pay).count() == 3
     ev = spark.createDataFrame([(1, 1, t, "/start"), (2, None, t, "/chat"), (3, 1, None, "x")], "event_id long, user_id long, ts timestamp, command string")
-    assert acc.route_modes(ev).count() == 3
     got = {r.event_id: r.prior_24h for r in acc.trailing_24h(ev.unionAll(ev.where("event_id = 3"))).collect()}
     assert got == {1: 0, 2: 0, 3: 1}
 
@@ -117,3 +107,14 @@ def test_insert_if_absent_is_deterministic(spark):
     users = spark.createDataFrame([(1, "a")], "telegram_id long, username string")
     new = spark.createDataFrame([(2, "z"), (2, "b"), (1, "other")], "telegram_id long, username string")
     assert sorted(map(tuple, acc.insert_if_absent(users, new).collect())) == [(1, "a"), (2, "b")]
+
+
+def test_the_last_known_inviter_wins(spark):
+    users = spark.createDataFrame([(1, 101, None), (2, 102, 1), (3, 103, None), (4, 104, 2)], "user_id long, telegram_id long, invited_by_id long")
+    starts = spark.createDataFrame([(101, 102, T0, 1), (101, 103, T0, 2), (101, 999, T0 + dt.timedelta(days=1), 3), (102, None, T0, 4), (103, 103, None, 5),
+                                    (105, 101, T0, 6), (None, 101, T0, 7), (103, 101, T0, 8), (104, 998, T0, 9)],
+                                   "telegram_id long, inviter long, ts timestamp, event_id long")
+    got = {r.user_id: r.invited_by_id for r in acc.assign_inviters(users, starts).collect()}
+    assert got == {1: 3, 2: 1, 3: 1, 4: 2}
+    assert acc.assign_inviters(users, starts.where("false")).exceptAll(users).count() == 0
+    assert acc.assign_inviters(users.where("false"), starts).count() == 0

@@ -49,7 +49,7 @@ def test_csv_writers_keep_text(spark, tmp_path):
 
 def test_streams_equal_batch(spark):
     q = entry.queries()
-    for s, b in [("stream_modes", "mode_routing"), ("stream_users", "insert_if_absent")]:
+    for s, b in [("stream_modes", "mode_routing"), ("stream_quota_exact", "quota_24h")]:
         a = q[s](spark, SF001)
         c = q[b](spark, SF001).select(*a.columns)
         assert a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
@@ -116,30 +116,97 @@ def test_replayed_micro_batch_is_written_once(spark, tmp_path):
     assert st.latest_rows(spark, out, ["k"]).count() == 2
 
 
+def _one_file_each(df, folder, conditions):
+    """Write the rows of each condition as one file ``ev<i>.parquet`` of ``folder``; the stream takes one a micro-batch, oldest first."""
+    for i, cond in enumerate(conditions):
+        df.where(cond).coalesce(1).write.parquet(str(folder / f"part{i}"))
+        os.rename(next(p for p in (folder / f"part{i}").iterdir() if p.name.endswith(".parquet")), folder / f"ev{i}.parquet")
+
+
 def test_mode_state_carries_across_micro_batches(spark, tmp_path):
-    # events split into three time-ordered files, one file per micro-batch: the mode a user is in
-    # must carry over from earlier batches, so the stream equals the batch routing of all events
-    from chatlake.operators import accounts as acc
-    ev = entry.queries()["mode_routing"](spark, SF001).select("event_id", "user_id", "ts", "command")
-    folder = str(tmp_path / "events")
-    bounds = ["2024-01-08", "2024-01-14", "2024-01-22"]
-    parts = [F.col("ts") < bounds[0], (F.col("ts") >= bounds[0]) & (F.col("ts") < bounds[1]),
-             (F.col("ts") >= bounds[1]) & (F.col("ts") < bounds[2]), F.col("ts") >= bounds[2]]
-    for i, cond in enumerate(parts):
-        ev.where(cond).coalesce(1).write.parquet(f"{folder}/part{i}")
-        os.rename(next(p for p in (tmp_path / "events" / f"part{i}").iterdir() if p.name.endswith(".parquet")),
-                  tmp_path / "events" / f"ev{i}.parquet")
-    stream = st.file_stream(spark, folder, ev.schema, glob="ev*.parquet", max_files=1)
-    out = str(tmp_path / "routed")
-    st.route_modes_batches(spark, stream, out, out + "_state")
+    # four time-ordered files, one a micro-batch: a user's mode, also that of messages without a user, carries over
+    from chatlake.operators import modes
+    from tests.test_modes import SCHEMA, messages
+    ev = spark.createDataFrame([r for r in messages(800, seed=5) if r[2] is not None], SCHEMA)
+    folder, out = tmp_path / "events", str(tmp_path / "routed")
+    bounds = ["2024-01-10 20:00:00", "2024-01-11 12:00:00", "2024-01-12 00:00:00"]
+    t = F.col("ts")
+    _one_file_each(ev, folder, [t < bounds[0], (t >= bounds[0]) & (t < bounds[1]), (t >= bounds[1]) & (t < bounds[2]), t >= bounds[2]])
+    st.route_modes_stream(spark, st.file_stream(spark, str(folder), ev.schema, glob="ev*.parquet", max_files=1), out)
     got = spark.read.parquet(out)
     assert got.select("batch_id").distinct().count() == 4
-    last = (acc.route_modes(ev).groupBy("user_id")
-            .agg(F.max_by("mode_after", F.struct("ts", "event_id")).alias("mode")))
-    snap = spark.read.parquet(out + "_state/batch_id=3")
-    assert snap.exceptAll(last.select(*snap.columns)).count() == 0 and last.count() == snap.count()
-    want = acc.route_modes(ev).select(*[c for c in got.columns if c != "batch_id"])
     got = got.drop("batch_id")
+    want = modes.route(ev).select(*got.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert got.where("user_id is null").select("mode_before").distinct().count() > 3
+    state = spark.read.format("statestore").option("stateVarName", "mode").load(f"{out}_checkpoint")
+    assert state.count() == ev.select("user_id").distinct().count()  # one row a user, whatever the number of messages
+
+
+def test_messages_without_a_time_stay_in_the_mode_stream(spark, tmp_path):
+    from chatlake.operators import modes
+    from tests.test_modes import SCHEMA, messages
+    ev = spark.createDataFrame(messages(300, seed=6), SCHEMA)
+    ev.coalesce(1).write.parquet(str(tmp_path / "ev"))
+    out = str(tmp_path / "out")
+    st.route_modes_stream(spark, st.file_stream(spark, str(tmp_path / "ev"), ev.schema, glob="*.parquet"), out)
+    got = spark.read.parquet(out).drop("batch_id")
+    want = modes.route(ev).select(*got.columns)
+    assert got.count() == 300 and got.exceptAll(want).count() == 0
+
+
+def test_a_changed_export_at_a_known_path_is_ingested(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+
+    def put(*texts):
+        (src / "result.json").write_text(json.dumps({"name": "A", "messages": [{"id": k, "type": "message", "text": t} for k, t in enumerate(texts)]}))
+    for n, texts in enumerate((["old", "same"], ["new", "same"], ["new", "same"])):
+        put(*texts)
+        st.ingest_exports(spark, str(src), out, ckpt=str(tmp_path / f"ck{n}"))
+    assert sorted((r.pos, r.msg_content) for r in spark.read.parquet(out).collect()) == [(0, "new"), (0, "old"), (1, "same")]
+
+
+def test_quota_stream_keeps_batches_without_times_and_users(spark, tmp_path):
+    import datetime as dt
+    from chatlake.operators import accounts as acc
+    t = dt.datetime(2024, 1, 1)
+    rows = [(0, 1, None, 0), (1, 1, None, 0), (2, None, None, 0), (3, 1, t, 1), (4, None, t, 1), (5, 1, None, 2), (6, None, t + dt.timedelta(hours=2), 2),
+            (7, 1, t + dt.timedelta(hours=3), 2)]
+    ev = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, part int")
+    folder, out = tmp_path / "ev", str(tmp_path / "out")
+    _one_file_each(ev, folder, [F.col("part") == k for k in range(3)])
+    stream = st.file_stream(spark, str(folder), ev.schema, glob="ev*.parquet", max_files=1)
+    st.trailing_quota_batches(spark, stream.drop("part"), out, out + "_state")
+    got = {r.event_id: (r.batch_id, r.prior_24h) for r in spark.read.parquet(out).collect()}
+    # messages without a time count those that arrived before them, the rest those of the day before
+    assert got == {0: (0, 1), 1: (0, 1), 2: (0, 0), 3: (1, 0), 4: (1, 0), 5: (2, 2), 6: (2, 1), 7: (2, 1)}
+    assert acc.trailing_24h(ev).count() == len(rows)
+
+
+def test_new_senders_are_stored_once_with_defaults(spark, tmp_path):
+    schema = "user_id long, telegram_id long, username string, first_name string, last_name string"
+    path = str(tmp_path / "users")
+    st.write_users(spark.createDataFrame([(1, 1, "known", "K", "N")], schema), path)
+    msgs = [(1, 1, "other", "O", "O"), (2, 2, None, "", None), (2, 2, None, "", None), (3, 3, "three", None, "L"), (None, None, "nobody", "x", "y")]
+    df = spark.createDataFrame(msgs, schema)
+    for n in range(2):  # the second stream has a checkpoint of its own and meets stored users only
+        df.write.mode("overwrite").parquet(str(tmp_path / f"m{n}"))
+        st.upsert_users_stream(spark, st.file_stream(spark, str(tmp_path / f"m{n}"), df.schema, glob="*.parquet"), path, ckpt=str(tmp_path / f"ck{n}"))
+        got = sorted(tuple(r)[:5] for r in spark.read.parquet(path).select("telegram_id", "username", "first_name", "last_name").collect())
+        assert got == [(1, "known", "K", "N"), (2, "there", "", ""), (3, "three", "", "L")]
+
+
+def test_hourly_slices_give_the_sliding_windows(spark, tmp_path):
+    ev = spark.read.parquet(f"{SF001}/events.parquet").select("user_id", "ts")
+    folder, out = tmp_path / "ev", str(tmp_path / "out")
+    _one_file_each(ev, folder, [F.col("ts") < "2024-01-15", F.col("ts") >= "2024-01-15"])
+    stream = st.file_stream(spark, str(folder), ev.schema, glob="ev*.parquet", max_files=1)
+    st.run_update_table(spark, st.hourly_counts(stream), out)
+    log = spark.read.parquet(out)
+    assert log.count() <= ev.count()  # an event updates one row
+    got = st.daily_quota(st.latest_rows(spark, out, ["user_id", "slice"]))
+    want = entry.queries()["stream_quota"](spark, SF001)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
