@@ -49,7 +49,7 @@ ROWS, BANDS = 4, 32
 BITS = ROWS * BANDS * 4 // 64
 AGREE = 386
 DEEP, DEEP_AGREE = 1024, 1703
-PIVOTS, GROWTH, MOST_PIVOTS = 4, 16, 1024
+PIVOTS, GROWTH, MOST_PIVOTS = 16, 64, 1024
 CACHE = 100_000
 BLOCK = 2048
 
@@ -210,6 +210,19 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(common.where(f"100 * common >= {PERCENT} * (total - common)").select("a", "b"), "links")
 
 
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after ``links`` (a, b) between nodes of ``comp`` or alone: only the components that they join are worked on."""
+    ends = links
+    for end in ("a", "b"):
+        place = comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        ends = ends.join(place, end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+    merged = materialize(components(ends, "a", "b"), "merged")  # components' smallest nodes, and nodes that were alone
+    moved = merged.select(F.col("node").alias("component"), F.col("component").alias("__to"))
+    kept = comp.join(moved, "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
+    alone = merged.join(comp.select("node"), "node", "left_anti")
+    return kept.unionAll(alone.select("node", "component"))
+
+
 def link_components(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component) over all links between ``nodes`` (node, n, bands, bits); nodes without a link are left out."""
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -221,8 +234,8 @@ def link_components(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", t
     stars = members.groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).where("a <> b")
     a, b = facts.alias("x"), facts.alias("y")
     likely = stars.join(a, F.col("a") == F.col("x.node")).join(b, F.col("b") == F.col("y.node")).where(F.expr(_alike("x", "y")))
-    found = _confirm(materialize(likely.select("a", "b"), "pairs"), sets)
-    comp = materialize(components(found, "a", "b"), "components")
+    links = _confirm(materialize(likely.select("a", "b"), "pairs"), sets)
+    comp = materialize(components(links, "a", "b"), "components")
     info, most = None, PIVOTS
     deep = f"aggregate(zip_with(x.deep, y.deep, (a, b) -> bit_count(a ^ b)), 0, (s, d) -> s + d) <= {DEEP * 2 - DEEP_AGREE}"
     # a pair leaves the join once: with the pivot that ranks first, and in the first band that its documents share
@@ -251,8 +264,7 @@ def link_components(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", t
         if not pairs.isEmpty():
             more = _confirm(pairs, sets)
             if not more.isEmpty():
-                found = found.unionAll(more)
-                comp = materialize(components(found, "a", "b"), "components")
+                comp = materialize(_joined(comp, more), "components")
         members = left.join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti").select("bucket", "band", "node")
         most = min(most * GROWTH, MOST_PIVOTS)
 
