@@ -53,16 +53,29 @@ def sort_messages(msgs: DataFrame) -> DataFrame:
     return msgs.orderBy(F.col("date_unixtime").cast("bigint").asc_nulls_first(), "chat_idx", "pos")
 
 
-def last_n_by_arrival(msgs: DataFrame, n: int = 50000, per: list | None = None) -> DataFrame:
-    """LIM1-2: keep the last ``n`` messages by arrival (chat_idx, pos).
+def last_n_by_arrival(msgs: DataFrame, n: int = 50000, per: list | None = None, chat: str = "chat_idx", pos: str = "pos", piece: int = 4096) -> DataFrame:
+    """LIM1-2: keep the last ``n`` messages by arrival (chat, position), of all messages or of each group ``per`` (e.g. an import file).
 
-    Ungrouped this is a TakeOrdered (each task keeps at most ``n`` rows); with ``per`` (e.g. one
-    import file) it is a row_number window limited per group (window-group-limit, partial first).
+    Messages are counted by piece of ``piece`` positions (a partial aggregate); running sums of these counts from the end name the piece
+    in which the limit falls. Later pieces stay whole by a filter, only that one piece of a group is numbered, so no task sorts more than
+    a piece. Positions need not be unique; of messages at one place the limit takes any.
     """
-    if not per:
-        return msgs.orderBy(F.desc("chat_idx"), F.desc("pos")).limit(n)
-    w = Window.partitionBy(*per).orderBy(F.desc("chat_idx"), F.desc("pos"))
-    return msgs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    per = list(per or [])
+    place = F.floor(F.col(pos) / piece)
+    keys = [f"__key{i}" for i in range(len(per))]
+    counts = msgs.groupBy(*(F.col(c).alias(k) for c, k in zip(per, keys)), F.col(chat).alias("__chat"), place.alias("__piece")).agg(F.count(F.lit(1)).alias("__size"))
+    order = [F.desc_nulls_last("__chat"), F.desc_nulls_last("__piece")]
+    upto = F.sum("__size").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # what is left of the limit for each piece that has a part in it; whole pieces have at least their size left
+    sums = counts.withColumn("__left", F.lit(n) - upto + F.col("__size")).where("__left > 0")
+    on = F.col(chat).eqNullSafe(F.col("__chat")) & place.eqNullSafe(F.col("__piece"))
+    for c, k in zip(per, keys):
+        on &= F.col(c).eqNullSafe(F.col(k))
+    kept = msgs.join(sums, on)
+    whole = kept.where("__left >= __size").select(*msgs.columns)
+    row = F.row_number().over(Window.partitionBy(*per, chat, "__piece").orderBy(F.desc_nulls_last(pos)))
+    cut = kept.where("__left < __size").withColumn("__row", row).where("__row <= __left").select(*msgs.columns)
+    return whole.unionAll(cut)
 
 
 def compose_index_text(msgs: DataFrame, null_as: str | None = None) -> DataFrame:

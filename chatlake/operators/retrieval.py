@@ -1,12 +1,9 @@
 """Vector retrieval: exact top-k per query inside a namespace, dedupe, context assembly
 (JN5-6, MTH3, FLT9-10, WIN3, LIM4-5, SRT2, SET2-3, SET6, AGG19).
 
-Plan: queries are equi-joined to the vectors on the namespace (a user's partition), so each
-query only meets its own namespace: pruning by partition, never all pairs. The query side is
-written and measured first and broadcast only when it fits (``session.bounded_broadcast``).
-Cosine is a dot product of unit vectors computed with built-in array functions; the top-k
-is a row_number window, which Spark plans as a window-group-limit with a partial (map-side)
-top-k before the shuffle, so a hot query or namespace never ships more than k rows per task.
+Plan: a query only meets the vectors of its own namespace, never all pairs. The query side is written and
+measured first; where it fits, the vectors are scored in place by blocks and a task sends on its best k per query, so a hot
+namespace never ships more. The top-k is a row_number window, which Spark plans with a partial limit before the shuffle.
 """
 
 from __future__ import annotations
@@ -49,32 +46,82 @@ def relevance(cos: Column) -> Column:
 
 
 def centroids(vectors: DataFrame, ns_col: str, vec_col: str = "embedding") -> DataFrame:
-    """Mean vector per namespace, unit-normalised: (ns, qvec).
-
-    Averaged per (namespace, dimension) with a partial aggregate, then re-assembled; the
-    collected list per namespace has one entry per dimension, so it is bounded.
+    """Mean vector per namespace, unit-normalised: (ns, qvec); whole vectors are averaged by a partial aggregate."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    mean = vectors.groupBy(ns_col).agg(Summarizer.mean(array_to_vector(as_double(vec_col))).alias("_m"))
+    return mean.select(ns_col, vector_to_array("_m").alias("qvec")).withColumn("qvec", normalize("qvec"))
+
+
+def score(queries: DataFrame, vectors: DataFrame, on: str | list, qvec: str = "qvec",
+          vec_col: str = "embedding", id_col: str = "vec_id", keep=(), k: int | None = None, threshold: float | None = None) -> DataFrame:
+    """JN5: the vectors in each query's namespace (the columns ``on``) with their relevance; with ``k`` only those that can be
+    among the query's best ``k`` (of at least ``threshold``).
+
+    The query side is written and measured. Where it fits it goes to the tasks, and the vectors are read once, in place: a batch is a
+    matrix, its namespaces' queries another, one product scores them, and a task keeps its best ``k`` per query so far. Beyond
+    the bound both sides are joined on the namespace (Spark splits a hot one), scored pair by pair.
+    ``keep`` names vector columns carried along (metadata such as source, date, text). A zero vector scores null.
     """
-    e = vectors.select(ns_col, F.posexplode(as_double(vec_col)).alias("_d", "_x"))
-    m = e.groupBy(ns_col, "_d").agg(F.avg("_x").alias("_x"))
-    arr = F.transform(F.array_sort(F.collect_list(F.struct("_d", "_x"))), lambda s: s["_x"])
-    return m.groupBy(ns_col).agg(arr.alias("qvec")).withColumn("qvec", normalize("qvec"))
-
+    from chatlake.session import broadcast_fits, materialize
+    on = [on] if isinstance(on, str) else list(on)
+    v = vectors.select(*on, id_col, *keep, as_double(vec_col).alias("_v"))
+    q = materialize(queries, "search_queries")
+    if k is not None and broadcast_fits(q):
+        return _score_blocks(q, v, on, qvec, id_col, list(keep), k, threshold)
+    q = q.withColumn("_qnorm", norm(qvec)).hint("shuffle_merge")
+    j = q.join(v.withColumn("_vnorm", norm("_v")), on)
+    cos = F.try_divide(dot(qvec, "_v"), F.col("_qnorm") * F.col("_vnorm"))
+    return j.withColumn("score", relevance(cos)).drop("_v", "_qnorm", "_vnorm")
 
-def score(queries: DataFrame, vectors: DataFrame, ns_col: str, qvec: str = "qvec",
-          vec_col: str = "embedding", id_col: str = "vec_id", keep=()) -> DataFrame:
-    """JN5: every (query, vector) pair inside the query's namespace with its relevance.
 
-    ``keep`` names vector columns carried along (metadata such as source, date, text).
-    """
-    from chatlake.session import bounded_broadcast
-    v = vectors.select(ns_col, id_col, *keep, as_double(vec_col).alias("_v"))
-    # The query side is written and measured: broadcast when it fits, so the (large) vector side is
-    # scored where it is read, with no shuffle; beyond the bound both sides are hash-joined on the
-    # namespace and AQE splits a hot namespace's partition.
-    q, _ = bounded_broadcast(queries.withColumn("_qnorm", norm(qvec)), "search_queries")  # one norm per query
-    j = q.join(v.withColumn("_vnorm", norm("_v")), ns_col)
-    cos = F.try_divide(dot(qvec, "_v"), F.col("_qnorm") * F.col("_vnorm"))  # a zero vector scores null
-    return j.withColumn("score", relevance(cos)).drop("_v", "_qnorm", "_vnorm")
+def _score_blocks(queries: DataFrame, vectors: DataFrame, on: list, qvec: str, id_col: str, keep: list, k: int, threshold: float | None) -> DataFrame:
+    """Each task's best ``k`` vectors per query, from Arrow batches; ``queries`` is measured to be small."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+    from pyspark.sql import types as T
+
+    named = [f for f in queries.schema.fields if f.name not in on]
+    schema = T.StructType([*(vectors.schema[c] for c in [*on, id_col, *keep]), *named, T.StructField("score", T.DoubleType())])
+    table = queries.where(F.forall(_c(qvec), lambda x: x.isNotNull())).toArrow().combine_chunks()  # below the broadcast bound; no vector, no hits
+    asked = [np.array(x, float) for x in table[qvec].to_pylist()]
+    by: dict = {}  # (namespace, dimension) -> query rows
+    for row, key in enumerate(zip(*(table[c].to_pylist() for c in on))):
+        by.setdefault((key, len(asked[row])), []).append(row)
+    blocks = {key: np.array([asked[r] for r in rows]) for key, rows in by.items()}
+    lengths = {key: np.sqrt((m ** 2).sum(1)) for key, m in blocks.items()}
+
+    def run(batches):
+        best: dict = {}  # query row -> (scores, ids, one-row columns)
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in on)))
+            lists = batch.column("_v")
+            sizes = pa.compute.list_value_length(lists).to_pylist()
+            places: dict = {}
+            for i, key in enumerate(zip(keys, sizes)):
+                if key in by and None not in key[0]:
+                    places.setdefault(key, []).append(i)
+            for key, rows in places.items():
+                x = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+                size = np.sqrt((x ** 2).sum(1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = (1 + x @ blocks[key].T / (size[:, None] * lengths[key])) / 2
+                for n, query in enumerate(by[key]):
+                    s = score[:, n]
+                    good = np.flatnonzero(~np.isnan(s) if threshold is None else s >= threshold)
+                    if not len(good):
+                        continue
+                    part = batch.take(pa.array(np.array(rows)[good])).append_column("_s", pa.array(s[good]))
+                    part = pa.Table.from_batches([part]).select([*on, id_col, *keep, "_s"])
+                    if query in best:
+                        part = pa.concat_tables([best[query], part])
+                    best[query] = part.take(pa.compute.sort_indices(part, [("_s", "descending"), (id_col, "ascending")])[:k]).combine_chunks()
+        for query, part in best.items():
+            cols = [*(part[c] for c in [*on, id_col, *keep]), *(pa.chunked_array([table[f.name].take(pa.array([query] * len(part))).combine_chunks()]) for f in named), part["_s"]]
+            yield from pa.table(cols, names=schema.names).combine_chunks().to_batches()
+
+    return vectors.mapInArrow(run, schema)
 
 
 def top_k(scored: DataFrame, k: int = TOP_K, threshold: float | None = SCORE_THRESHOLD,

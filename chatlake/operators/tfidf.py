@@ -6,114 +6,96 @@ Rules (smoothed IDF with L2-normalised rows, then a corpus sum per term):
   w   = tf * idf / ||tf * idf||_2 (per message)
   weight(term) = sum of w over messages
 
-Plan shape (all built-in operators): the messages are hash-partitioned by (group, id) once -- a
-shuffle of the raw text, which is smaller than any (doc, term) table. Everything per document
-then runs inside that partitioning without another exchange: tokens -> tf per (doc, term) ->
-the per-document L2 norm (a window over one document). Document frequency is a partial
-aggregate per term (hot terms combine map-side); its idf table joins the tf rows on term --
-AQE broadcasts it when the measured vocabulary is small, otherwise it is a sort-merge join
-(then one more exchange by document for the norm). The corpus size is a scalar subquery or a
-join on the group key, never a cross join. The text exchange is reused by every branch.
+Plan shape (all built-in operators): one pass over the texts makes a row per message, its array of (term, tf), inside the
+row: no text and no token is ever shuffled. That table is written once. Document frequency is a partial count over it (hot terms
+combine map-side), the corpus size a count of its rows. Terms of a single message all have the same idf, so only terms of two
+messages or more make the idf table; it is measured and broadcast where it fits, else joined by sort-merge. The weighted terms
+of a message come back together in the one exchange, keyed by message, where their squares are summed: the norm is then known
+inside the row, and weights leave it as partial sums per term. Partition counts are Spark's own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.text import terms
+from chatlake.session import broadcast_fits, materialize
 from chatlake.sources.tables import spread
 
-def by_document(docs: DataFrame, keys) -> DataFrame:
-    """Hash-partition messages by ``keys`` into a fixed number of partitions.
-
-    The number is the larger of ``spark.sql.shuffle.partitions`` and the cluster parallelism and
-    is explicit, so AQE does not coalesce the CPU-heavy tokenising into a few tasks.
-    """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        n = max(n, spark.sparkContext.defaultParallelism)
-    except Exception:  # no SparkContext (remote session): the configured count
-        pass
-    return docs.repartition(n, *keys)
-
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(),
            keep_colon: bool = True, stopwords: DataFrame | None = None) -> DataFrame:
-    """One row per token occurrence: (group..., id, term). Stop words removed by a broadcast anti join."""
-    g = list(group_cols)
-    d = docs.where(F.col(text_col).isNotNull())
-    t = d.select(*g, id_col, F.explode(terms(text_col, keep_colon)).alias("term"))
-    if stopwords is not None:
-        # The stop-word list has a fixed, small size: broadcasting it is bounded.
-        t = t.join(F.broadcast(stopwords.select("term")), "term", "left_anti")
-    return t
+    """One row per token occurrence: (group..., id, term). Stop words removed by an anti join."""
+    t = docs.where(F.col(text_col).isNotNull()).select(*group_cols, id_col, F.explode(terms(text_col, keep_colon)).alias("term"))
+    return without(t, stopwords)
+
+
+def without(rows: DataFrame, stopwords: DataFrame | None) -> DataFrame:
+    """``rows`` (term, ...) without the stop words; how the list is joined is left to its size."""
+    return rows if stopwords is None else rows.join(stopwords.select("term"), "term", "left_anti")
+
+
+def counted(sorted_terms: Column) -> Column:
+    """AGG1 inside the row: a sorted array of tokens as an array of (term, tf), by the places where a new term starts."""
+    n = F.size(sorted_terms)
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(sorted_terms, i - 1) != F.get(sorted_terms, i - 2)))
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(n + 1))
+    return F.when(n > 0, F.zip_with(starts, ends, lambda a, b: F.struct(F.get(sorted_terms, a - 1).alias("term"), (b - a).alias("tf")))
+                  ).otherwise(F.array().cast("array<struct<term: string, tf: int>>"))
+
+
+def message_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(), keep_colon: bool = True) -> DataFrame:
+    """(group..., id, terms array<struct<term, tf>>): one row per message with a text, written to the shared folder."""
+    texts = spread(docs.where(F.col(text_col).isNotNull()).select(*group_cols, id_col, text_col), id_col)
+    rows = texts.select(*group_cols, id_col, F.sort_array(terms(text_col, keep_colon)).alias("_t"))
+    return materialize(rows.select(*group_cols, id_col, counted(F.col("_t")).alias("terms")), "message-terms")
 
 
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(),
                      keep_colon: bool = True, stopwords: DataFrame | None = None) -> DataFrame:
     """AGG1: (group..., id, term, tf)."""
-    g = list(group_cols)
-    return (tokens(docs, id_col, text_col, g, keep_colon, stopwords)
-            .groupBy(*g, id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    return _exploded(message_terms(docs, id_col, text_col, group_cols, keep_colon), [*group_cols, id_col], stopwords)
 
 
-def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(),
-          keep_colon: bool = True, stopwords: DataFrame | None = None, materialize: bool = False,
-          broadcast_check: bool = True) -> DataFrame:
-    """AGG1-3: normalised TF-IDF weight per (group..., id, term).
+def _exploded(rows: DataFrame, keys, stopwords: DataFrame | None) -> DataFrame:
+    t = rows.select(*keys, F.explode("terms").alias("_e")).select(*keys, "_e.term", "_e.tf")
+    return without(t, stopwords)
 
-    The (group, term, df) table is written to the shared folder first (it also cuts lineage);
-    with ``broadcast_check`` it is broadcast only when its measured size is under the threshold.
 
-    Texts are tokenised twice: once per row for document frequency, once inside the document
-    partitioning for tf. ``materialize`` also writes the (doc, term, tf) table to the shared folder
-    (lineage cut before the join), at the cost of losing that partitioning for the norm window.
-    """
+def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(), keep_colon: bool = True,
+          stopwords: DataFrame | None = None) -> DataFrame:
+    """AGG1-3: normalised TF-IDF weight per (group..., id, term). Rows that repeat a group and id are one message."""
     g = list(group_cols)
-    texts = docs.where(F.col(text_col).isNotNull())
-    # Document frequency straight from the rows: each message's distinct terms, then a partial
-    # count per term. No (doc, term) table and no document partitioning are needed for it.
-    # One null "term" per message rides along, so its count is the corpus size n of the group
-    # (a left anti join keeps null keys) and the text is scanned once for both.
-    per_doc = F.concat(F.array_distinct(terms(text_col, keep_colon)), F.array(F.lit(None).cast("string")))
-    d_terms = spread(texts, id_col).select(*g, F.explode(per_doc).alias("term"))
-    if stopwords is not None:
-        d_terms = d_terms.join(F.broadcast(stopwords.select("term")), "term", "left_anti")
-    dfreq = d_terms.groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df"))
-    from chatlake.session import broadcast_fits, materialize as write_table
-    dfreq = write_table(dfreq, "tfidf_df")  # one row per (group, term): the measured vocabulary
-    known = dfreq.where(F.col("term").isNotNull())
+    rows = message_terms(docs, id_col, text_col, g, keep_colon)
+    each = _exploded(rows, [*g, id_col], stopwords)
+    common = each.groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = materialize(common, "term-df")
+    common = F.broadcast(common) if broadcast_fits(common) else common.hint("shuffle_merge")
+    if g:
+        sizes = rows.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(g))).agg(F.count(F.lit(1)).alias("_n"))
+        on = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(g)]
+        n = F.col("_n")
+    else:  # one corpus: a scalar subquery over the written rows, no join
+        n = rows.select(F.count(F.lit(1))).scalar()
+    idf = F.log((1 + n) / (1 + F.coalesce("df", F.lit(1)))) + 1
+    found = common.toDF(*(f"_c{i}" for i in range(len(g))), "_term", "df")
+    match = (F.col("term") == F.col("_term"))
+    for i, c in enumerate(g):
+        match &= F.col(c).eqNullSafe(F.col(f"_c{i}"))
+    weighed = each.join(found, match, "left")
     if g:
-        n = dfreq.where(F.col("term").isNull()).select(*g, F.col("df").alias("n_docs"))
-        known = known.join(n, g)
-        n_docs = F.col("n_docs")
-    else:  # one corpus: a scalar subquery over the small written table, no join
-        n_docs = dfreq.where(F.col("term").isNull()).select(F.max("df")).scalar()
-    idf = known.select(*g, "term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    if broadcast_check:
-        # Broadcast when the vocabulary fits, else sort-merge on term (then the norm window adds
-        # one exchange by document; AQE splits a hot term's partition).
-        idf = F.broadcast(idf) if broadcast_fits(dfreq) else idf.hint("shuffle_merge")
-    # Partition keys are real columns (no literal stand-in for "no group"): a constant key is
-    # folded away and the later per-document operators would no longer see the partitioning.
-    base = by_document(texts, [*g, id_col])
-    tf = term_frequencies(base, id_col, text_col, g, keep_colon, stopwords)
-    if materialize:
-        tf = write_table(tf, "tfidf_tf")
-    v = tf.join(idf, g + ["term"]).select(*g, id_col, "term", (F.col("tf") * F.col("idf")).alias("v"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*g, id_col)))
-    return v.select(*g, id_col, "term", (F.col("v") / norm).alias("w"))
+        weighed = weighed.join(sizes, on)
+    v = weighed.select(*g, id_col, "term", (F.col("tf") * idf).alias("v"))
+    together = v.groupBy(*g, id_col).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_norm"), F.collect_list(F.struct("term", "v")).alias("_all"))
+    return together.select(*g, id_col, "_norm", F.explode("_all").alias("_e")).select(*g, id_col, "_e.term", (F.col("_e.v") / F.col("_norm")).alias("w"))
 
 
 def keyword_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(),
-                    keep_colon: bool = True, stopwords: DataFrame | None = None,
-                    materialize: bool = False, broadcast_check: bool = True) -> DataFrame:
+                    keep_colon: bool = True, stopwords: DataFrame | None = None) -> DataFrame:
     """AGG4: corpus weight per term = sum of the normalised weights."""
-    g = list(group_cols)
-    return (tfidf(docs, id_col, text_col, g, keep_colon, stopwords, materialize, broadcast_check)
-            .groupBy(*g, "term").agg(F.sum("w").alias("weight")))
+    return (tfidf(docs, id_col, text_col, group_cols, keep_colon, stopwords)
+            .groupBy(*group_cols, "term").agg(F.sum("w").alias("weight")))
 
 
 def top_terms(weights: DataFrame, k: int = 100, group_cols=(), digits: int | None = 6) -> DataFrame:

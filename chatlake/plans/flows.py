@@ -1,11 +1,11 @@
 """The three user flows of SURVEY §3 as composed DataFrame jobs.
 
 - ``import_chat_export``: export files -> messages -> keywords, composed text -> chunks -> store
-- ``search_notes``: query vectors -> store (one namespace each, partition-pruned) -> top-k -> dedupe
+- ``search_notes``: allowed query vectors -> store (one namespace each, partition-pruned) -> top-k -> dedupe
 - ``index_pending_notes``: notes not yet in the store -> chunks -> store (one set-based job, no per-user loop)
 
-The store is parquet partitioned by (index_name, namespace) with columns
-(user_id, telegram_message_id, date, chunk_idx, chunk, n_chars, chunk_id, embedding).
+The store is parquet partitioned by (index_name, bucket of the namespace) with columns
+(namespace, user_id, telegram_message_id, date, chunk_idx, chunk, n_chars, chunk_id, embedding).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from chatlake.operators import retrieval as rt
 from chatlake.operators import tfidf
 from chatlake.session import ship_package
 from chatlake.sources import exports as ex
-from chatlake.sources.sinks import append_chunks
+from chatlake.sources.sinks import append_chunks, bucket_of, store_part, touched_buckets
 from chatlake.sources.stopwords import stopwords_df
 from chatlake.sources.tables import stored
 
@@ -35,7 +35,7 @@ def _to_store(spark: SparkSession, docs: DataFrame, store_path: str, embed_fn) -
     if embed_fn is not None:
         ship_package(spark)
         c = c.withColumn("embedding", embed_column("chunk", embed_fn))
-    append_chunks(c, store_path, namespaces=docs)
+    append_chunks(c, store_path)
 
 
 def import_chat_export(spark: SparkSession, path: str, telegram_id: int, store_path: str, embed_fn=None,
@@ -70,26 +70,42 @@ def index_pending_notes(spark: SparkSession, notes: DataFrame, users: DataFrame,
             .select("user_id", "telegram_message_id", "text", F.lit(None).cast("string").alias("date"),
                     "namespace", "index_name"))
     store = stored(spark, store_path)
-    if store is not None:  # stored ids of the touched namespaces only (semi join on the partition column first)
-        done = (store.select("namespace", "telegram_message_id")
-                .join(docs.select("namespace").distinct(), "namespace", "left_semi").distinct())
-        docs = docs.join(done, ["namespace", "telegram_message_id"], "left_anti")
+    if store is not None:  # notes whose chunks are stored, read from the folders of these notes only
+        docs = docs.withColumn("bucket", bucket_of("namespace"))
+        done = touched_buckets(store, docs).select("bucket", "namespace", "telegram_message_id").distinct()
+        docs = docs.join(done, ["bucket", "namespace", "telegram_message_id"], "left_anti").drop("bucket")
     _to_store(spark, docs, store_path, embed_fn)
 
 
-def search_notes(spark: SparkSession, queries: DataFrame, store_path: str, k: int = rt.TOP_K,
-                 threshold: float | None = rt.SCORE_THRESHOLD, include_imported: bool = False) -> DataFrame:
-    """Top-k hits per query inside the user's namespace, best hit per source (FLT10/WIN3).
+def allowed_queries(queries: DataFrame, users: DataFrame) -> DataFrame:
+    """The queries whose users (telegram_id, access, within_limits) may search now; the rest, and unknown users', are answered without a search."""
+    may = users.where(F.col("access") & F.col("within_limits")).select("telegram_id").distinct()
+    return queries.join(may, "telegram_id", "left_semi")
 
-    ``queries``: (query_id, telegram_id, qvec). The store is equi-joined on the namespace with the
-    measured, broadcast queries, so every stored vector meets only its own user's queries and is
-    scored where it is read (``retrieval.score``). Imported chunks (date only) are kept when
-    ``include_imported`` (distinct by text, Q1).
+
+def count_searches(users: DataFrame, searched: DataFrame) -> DataFrame:
+    """AGG16: ``users`` with ``queries_count`` raised by the searches made (telegram_id), which are counted before they meet the users."""
+    made = searched.groupBy("telegram_id").agg(F.count(F.lit(1)).alias("_made"))
+    rest = [c for c in users.columns if c != "queries_count"]
+    old = F.coalesce("queries_count", F.lit(0)) if "queries_count" in users.columns else F.lit(0)
+    return users.join(made, "telegram_id", "left").select(*rest, (old + F.coalesce("_made", F.lit(0))).cast("bigint").alias("queries_count"))
+
+
+def search_notes(spark: SparkSession, queries: DataFrame, store_path: str, k: int = rt.TOP_K, threshold: float | None = rt.SCORE_THRESHOLD,
+                 include_imported: bool = False, users: DataFrame | None = None) -> DataFrame:
+    """Top-k hits per query inside the user's index and namespace, best hit per source (FLT10/WIN3).
+
+    ``queries``: (query_id, telegram_id, qvec, index_name?); a user without an index has the sticky shard. With ``users`` (telegram_id, access,
+    within_limits) only allowed queries are searched. Only the store's folders of these queries are read, and its vectors are scored in place
+    (``retrieval.score``). Imported chunks (date only) are kept when ``include_imported`` (distinct by text, Q1).
     """
-    q = queries.select("query_id", "qvec", acc.namespace("telegram_id").alias("namespace"))
-    store = spark.read.parquet(store_path)
-    hits = rt.top_k(rt.score(q, store.withColumnRenamed("telegram_message_id", "source"), "namespace",
-                             vec_col="embedding", id_col="chunk_id", keep=("source", "date", "chunk")),
+    if users is not None:
+        queries = allowed_queries(queries, users)
+    index = acc.shard("telegram_id", "index_name" if "index_name" in queries.columns else None)
+    q = queries.select("query_id", "qvec", acc.namespace("telegram_id").alias("namespace"), index.alias("index_name"))
+    store, q = store_part(spark, store_path, q)
+    hits = rt.top_k(rt.score(q, store.withColumnRenamed("telegram_message_id", "source"), ["index_name", "bucket", "namespace"],
+                             vec_col="embedding", id_col="chunk_id", keep=("source", "date", "chunk"), k=k, threshold=threshold),
                     k=k, threshold=threshold, id_col="chunk_id")
     noted = rt.best_per_source(hits, id_col="chunk_id")
     if not include_imported:

@@ -116,7 +116,7 @@ _COMPOSED = f"""(SELECT chat_idx, pos,
  FROM {_MSGS} m)"""
 
 ORACLES["chat_rows"] = f"SELECT * FROM {_MSGS} m"
-ORACLES["last_n_messages"] = f"SELECT * FROM {_MSGS} m ORDER BY chat_idx DESC, pos DESC LIMIT 50000"
+ORACLES["last_n_messages"] = f"SELECT * FROM {_MSGS} m ORDER BY chat_idx DESC, pos DESC LIMIT (SELECT count(*) // 3 FROM conversations)"
 ORACLES["compose_text"] = f"SELECT * FROM {_COMPOSED} c WHERE text IS NOT NULL"
 ORACLES["render_hits"] = f"""
 WITH s AS (SELECT DISTINCT chat_idx AS query_id, text || chr(10) || chr(10) || 'Date: ' || split_part(date, 'T', 1) AS s
@@ -336,7 +336,7 @@ ORACLES["rag_context"] = _context(None)
 ORACLES["context_union"] = _context('Carefully analyze relevant documents provided above and just say "OK"')
 ORACLES["index_stats"] = f"SELECT index_name, namespace, count(*) AS n_records FROM {_E} e GROUP BY ALL"
 ORACLES["index_clear"] = (f"SELECT index_name, namespace, count(*) AS n_records FROM {_E} e "
-                          f"WHERE index_name NOT IN ('index-1') GROUP BY ALL")
+                          f"WHERE index_name NOT IN ('index-1') AND namespace <> 'user_1_notes' GROUP BY ALL")
 
 ORACLES["export_roundtrip"] = """
 SELECT 'chat ' || conv_id AS chat_name, turn AS msg_id, role AS sender, 'user' || conv_id AS sender_id,

@@ -119,7 +119,9 @@ def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def last_n_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return msg.sort_messages(msg.last_n_by_arrival(_chat_messages(spark, sf_dir), n=50000))
+    """The limit is a third of the messages, so it falls inside a chat."""
+    m = _chat_messages(spark, sf_dir)
+    return msg.sort_messages(msg.last_n_by_arrival(m, n=m.count() // 3, piece=4))
 
 
 @query
@@ -362,7 +364,7 @@ def _centroid_queries(vectors):
 
 def _hits(spark, sf_dir, k, threshold):
     v = _vectors(spark, sf_dir)
-    return rt.top_k(rt.score(_centroid_queries(v), v, "namespace"), k=k, threshold=threshold)
+    return rt.top_k(rt.score(_centroid_queries(v), v, "namespace", k=k, threshold=threshold), k=k, threshold=threshold)
 
 
 def _with_note(spark, sf_dir, hits):
@@ -410,9 +412,17 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def index_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from chatlake.sources.sinks import clear_namespaces, index_stats as stats
+    """SNK5: the vectors stored by index and bucket; one index dropped, one namespace of another cleared; what is left."""
+    import uuid
+
+    from chatlake.session import scratch_path
+    from chatlake.sources import sinks
+    path = scratch_path(spark, f"index_clear/{uuid.uuid4().hex}")
     v = _vectors(spark, sf_dir)
-    return stats(clear_namespaces(v, ["index-1"]))
+    sinks.append_chunks(v.select("index_name", "namespace", F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), path)
+    sinks.drop_index(spark, path, "index-1")
+    sinks.clear_namespace(spark, path, "index-2", "user_1_notes")
+    return sinks.index_stats(spark.read.parquet(path))
 
 
 # ---------------------------------------------------------------- chat-export round trip (SRC1-5, PRJ1-5)
@@ -668,7 +678,7 @@ def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = ch.chunk_documents(notes, id_cols=("user_id", "telegram_message_id"), separator="\n",
                            keep_cols=("namespace", "index_name"))
     c = c.withColumn("chunk_id", ch.chunk_id("namespace", "telegram_message_id", "chunk_idx", "chunk"))
-    append_chunks(c, path, namespaces=notes)
-    append_chunks(c, path, namespaces=notes)
+    append_chunks(c, path)
+    append_chunks(c, path)
     return spark.read.parquet(path).select(F.col("telegram_message_id").alias("doc_id"), "namespace", "index_name",
                                            "chunk_idx", "chunk", "n_chars")

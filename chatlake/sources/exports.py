@@ -218,10 +218,9 @@ def project_messages(msgs: DataFrame, dialect: str = "polars") -> DataFrame:
 
 
 def keep_last(msgs: DataFrame, n: int, per=("file",)) -> DataFrame:
-    """LIM1: the last ``n`` messages of each export by arrival (window-group-limit per export)."""
-    per = [c for c in per if c in msgs.columns]
-    w = Window.partitionBy(*per).orderBy(F.desc("chat_idx"), F.desc("pos"))
-    return msgs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    """LIM1: the last ``n`` messages of each export by arrival."""
+    from chatlake.operators.messages import last_n_by_arrival
+    return last_n_by_arrival(msgs, n, [c for c in per if c in msgs.columns])
 
 
 def sort_chronologically(msgs: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ def ingest_exports(spark: SparkSession, in_folder: str, out_path: str, clean_sou
 def index_notes_stream(spark: SparkSession, notes: DataFrame, store_path: str, separator: str = "\n\n",
                        embed_fn=None, ckpt: str | None = None) -> None:
     """STR2: every new note is chunked (and embedded, when ``embed_fn`` is given) and appended
-    to the (index_name, namespace)-partitioned store. The checkpoint replaces the 'indexed'
+    to the store (``sinks.append_chunks``). The checkpoint replaces the 'indexed'
     flag; deterministic chunk ids make a replayed batch a no-op."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # chunked and used for the touched namespaces; recomputed if lost
@@ -127,7 +127,7 @@ def index_notes_stream(spark: SparkSession, notes: DataFrame, store_path: str, s
         c = c.withColumn("chunk_id", ch.chunk_id("namespace", "telegram_message_id", "chunk_idx", "chunk"))
         if embed_fn is not None:
             c = embed_fn(c)
-        append_chunks(c, store_path, namespaces=batch)
+        append_chunks(c, store_path)
 
     run_available(notes.writeStream.foreachBatch(sink), ckpt or _ckpt(store_path))
 

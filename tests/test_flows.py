@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions.embed import hashing_embedder
 from chatlake.plans import flows
+from chatlake.sources import sinks
 
 
 def _export(folder):
@@ -37,5 +38,14 @@ def test_import_index_search(spark, tmp_path):
     assert [r.source for r in hits.collect()] == [7]  # only notes of user 42 have a source
     both = flows.search_notes(spark, q, store, threshold=0.0, include_imported=True).collect()
     assert len(both) > 1 and any(r.source is None for r in both)
-    plan = flows.search_notes(spark, q, store)._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruning" in plan.lower() or "PartitionFilters: [isnotnull(namespace" in plan
+    part, _ = sinks.store_part(spark, store, q.select(F.lit("user_42_notes").alias("namespace"), F.lit("index-1").alias("index_name")))
+    assert "PartitionFilters" in part._jdf.queryExecution().executedPlan().toString() and part.select("bucket").distinct().count() == 1
+    # the user's own index only; users that may not search get nothing, and searches are counted
+    assert flows.search_notes(spark, q.withColumn("index_name", F.lit("index-2")), store, threshold=0.0).count() == 0
+    gate = spark.createDataFrame([(42, True, True), (43, True, False), (44, False, True)], "telegram_id long, access boolean, within_limits boolean")
+    asked = q.unionByName(q.withColumns({"query_id": F.lit(2), "telegram_id": F.lit(43).cast("long")})).unionByName(q.withColumn("query_id", F.lit(3)))
+    allowed = flows.allowed_queries(asked, gate)
+    assert sorted(r.query_id for r in allowed.collect()) == [1, 3]
+    assert {r.query_id for r in flows.search_notes(spark, asked, store, threshold=0.0, users=gate).collect()} == {1, 3}
+    counted = flows.count_searches(gate.withColumn("queries_count", F.lit(5)), allowed).collect()
+    assert {r.telegram_id: r.queries_count for r in counted} == {42: 7, 43: 5, 44: 5}

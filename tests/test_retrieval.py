@@ -64,3 +64,27 @@ def test_with_documents_equals_left_join(spark):
     got = rt.with_documents(hits, docs).select("query_id", "vec_id", "score", "source", "page_content")
     want = hits.join(docs, "vec_id", "left").select(*got.columns)
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 4
+
+
+def test_block_scores_equal_pairwise_scores(spark):
+    vecs, rows = _vectors(spark, n=200)
+    odd = spark.createDataFrame([(900, "ns0", [0.0] * 8, "z", "t"), (901, "ns1", None, "z", "t"), (902, "ns1", [1.0], "z", "t"), (903, None, [1.0] * 8, "z", "t")], vecs.schema)
+    vecs = vecs.unionAll(odd)
+    q = spark.createDataFrame([(f"q{i}", f"ns{i % 4}", rows[i][2]) for i in range(9)] + [("q9", "ns0", rows[0][2]), ("q10", "ns1", None)],
+                              "query_id string, namespace string, qvec array<double>")
+    for k, threshold in ((3, None), (5, 0.6), (500, None)):
+        pairwise = rt.top_k(rt.score(q, vecs.where("vec_id <> 902"), "namespace").where("score is not null"), k=k, threshold=threshold)
+        blocks = rt.top_k(rt.score(q, vecs, "namespace", keep=("source",), k=k, threshold=threshold), k=k, threshold=threshold)
+        want = {(r.query_id, r.rank): (r.vec_id, round(r.score, 9)) for r in pairwise.collect()}
+        assert {(r.query_id, r.rank): (r.vec_id, round(r.score, 9)) for r in blocks.collect()} == want and want
+    plan = rt.top_k(rt.score(q, vecs, "namespace", k=3), k=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan  # no explode by dimension, no pair rows
+
+
+def test_centroids_are_means_of_whole_vectors(spark):
+    vecs, rows = _vectors(spark)
+    got = {r.namespace: np.array(r.qvec) for r in rt.centroids(vecs, "namespace").collect()}
+    for ns in got:
+        m = np.mean([e for _, n, e, _, _ in rows if n == ns], axis=0)
+        assert np.allclose(got[ns], m / np.linalg.norm(m))
+    assert "Generate" not in rt.centroids(vecs, "namespace")._jdf.queryExecution().executedPlan().toString()

@@ -29,13 +29,44 @@ def test_chunk_store_is_idempotent_and_clearable(spark, tmp_path):
     assert spark.read.parquet(path).count() == n1 == c.count()
     stats = {(r.index_name, r.namespace): r.n_records for r in sinks.index_stats(spark.read.parquet(path)).collect()}
     assert sum(stats.values()) == n1 and ("index-3", "user_2_notes") in stats
-    new = str(tmp_path / "store_v2")
-    sinks.rewrite_without(path, new, spark, ["index-3"])
-    assert {r.index_name for r in spark.read.parquet(new).select("index_name").distinct().collect()} == {"index-2"}
-    # partition pruning: a namespace filter reads one folder
-    plan = spark.read.parquet(path).where(F.col("namespace") == "user_1_notes")._jdf.queryExecution() \
-        .executedPlan().toString()
-    assert "PartitionFilters" in plan and "user_1_notes" in plan
+    # one folder a bucket: a filter on index and bucket reads one folder
+    part = sinks.touched_buckets(spark.read.parquet(path), c.withColumn("bucket", sinks.bucket_of("namespace")).where("namespace = 'user_1_notes'"))
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and part.select("namespace").distinct().count() == 1
+    sinks.drop_index(spark, path, "index-3")
+    assert {r.index_name for r in spark.read.parquet(path).select("index_name").distinct().collect()} == {"index-2"}
+
+
+def _files(path):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+
+
+def test_many_namespaces_share_bounded_files_and_one_is_cleared_alone(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.range(5000).select(F.concat(F.lit("index-"), F.col("id") % 3 + 1).alias("index_name"), F.concat(F.lit("user_"), F.col("id") % 900, F.lit("_notes")).alias("namespace"),
+                                    F.concat(F.lit("c"), "id").alias("chunk_id"))
+    sinks.append_chunks(rows.repartition(16), path)
+    before = _files(path)
+    assert len(before) <= 3 * sinks.BUCKETS  # not tasks x users
+    sinks.append_chunks(rows.limit(0), path)
+    sinks.clear_namespace(spark, path, "index-2", "user_1_notes")
+    left = spark.read.parquet(path)
+    assert left.where("namespace = 'user_1_notes'").count() == 0
+    want = rows.where("namespace <> 'user_1_notes'")
+    assert left.select(*rows.columns).exceptAll(want).count() == 0 and left.count() == want.count()
+    after = _files(path)
+    bucket = spark.range(1).select(sinks.bucket_of(F.lit("user_1_notes"))).first()[0]
+    same = {f for f in before if f"index_name=index-2/bucket={bucket}/" not in f}
+    assert all(after.get(f) == before[f] for f in same)  # no other file was written
+    sinks.clear_namespace(spark, path, "index-1", "nobody")
+    assert spark.read.parquet(path).count() == want.count()
+
+
+def test_a_namespace_alone_in_its_bucket_is_cleared(spark, tmp_path):
+    path = str(tmp_path / "store")
+    sinks.append_chunks(_chunks(spark), path)
+    sinks.clear_namespace(spark, path, "index-2", "user_1_notes")
+    assert [r.namespace for r in spark.read.parquet(path).select("namespace").distinct().collect()] == ["user_2_notes"]
 
 
 def test_csv_writers_keep_text(spark, tmp_path):
@@ -90,7 +121,9 @@ def test_message_and_notes_csv(spark, tmp_path):
     msgs = spark.createDataFrame([(1, "a", "x\ny", "chat 1"), (2, None, "z", "chat 2")],
                                  "msg_id long, sender string, msg_content string, chat_name string")
     p = str(tmp_path / "m")
-    sinks.write_messages_csv(msgs, p)
+    assert sinks.write_messages_csv(msgs, p) == p
+    stamp = sinks.stamp_of(spark, "2024-01-02 03:04:05")
+    assert sinks.write_messages_csv(msgs, p, stamp=stamp) == f"{p}_2024-01-02_03-04-05" and os.path.isdir(f"{p}_{stamp}")
     assert sorted(x for x in os.listdir(p) if x.startswith("chat_name=")) == ["chat_name=chat 1", "chat_name=chat 2"]
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(p)
     assert {(r.msg_id, r.msg_content) for r in back.collect()} == {("1", "x\ny"), ("2", "z")}
@@ -210,19 +243,13 @@ def test_hourly_slices_give_the_sliding_windows(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_append_reads_only_ids_of_touched_namespaces(spark, tmp_path):
+def test_append_of_stored_chunks_adds_nothing(spark, tmp_path):
     path = str(tmp_path / "store")
     c = _chunks(spark)
     sinks.append_chunks(c, path)
-    one = c.where(F.col("namespace") == "user_1_notes")
-    sinks.append_chunks(one, path, namespaces=one)  # a re-import of user 1 adds nothing
+    sinks.append_chunks(c.where(F.col("namespace") == "user_1_notes"), path)  # a re-import of user 1
     got = spark.read.parquet(path)
-    assert got.count() == c.count()
-    assert got.groupBy("namespace").count().count() == 2
-    stored = spark.read.parquet(path).select("index_name", "namespace", "chunk_id")
-    plan = one.join(stored.join(one.select("index_name", "namespace").distinct(), ["index_name", "namespace"],
-                                "left_semi"), ["index_name", "namespace", "chunk_id"], "left_anti")
-    assert "LeftSemi" in plan._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == c.count() and got.select("namespace").distinct().count() == 2
 
 
 def test_exact_quota_stream_counts_across_micro_batches(spark, tmp_path):

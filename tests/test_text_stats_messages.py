@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from chatlake.operators import messages as msg
 from chatlake.operators import text_stats as ts
 
@@ -57,3 +59,17 @@ def test_last_n_per_group(spark):
                               "file string, chat_idx long, pos long")
     got = sorted((r.file, r.chat_idx, r.pos) for r in msg.last_n_by_arrival(m, n=2, per=["file"]).collect())
     assert got == [("a", 1, 1), ("a", 1, 2), ("b", 1, 1), ("b", 1, 2)]
+
+
+def test_the_limit_falls_inside_a_piece_of_a_chat(spark):
+    rows = [(c, p) for c in (0, 1, None) for p in range(50)] + [(2, None), (2, 7)]
+    m = spark.createDataFrame(rows, "chat_idx long, pos long").withColumn("_n", F.lit("mine"))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0), reverse=True)
+    for n in (0, 1, 2, 30, 53, 102, 152, 1000):
+        for piece in (1, 8, 4096):
+            got = [(r.chat_idx, r.pos) for r in msg.last_n_by_arrival(m, n=n, piece=piece).collect()]
+            assert sorted(got, key=str) == sorted(order[:n], key=str)
+    out = msg.last_n_by_arrival(m, n=30, piece=8)
+    assert out.columns == m.columns
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "CollectLimit" not in plan

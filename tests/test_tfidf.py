@@ -42,13 +42,30 @@ def test_grouped_top_terms(spark):
     assert {(x.source, x.term) for x in r} == {("a1", "dog"), ("b2", "fish")}
 
 
-def test_plan_shuffles_the_text_once_by_document(spark):
-    # The per-document work (tf, norm window) runs inside one hash partitioning by doc_id:
-    # no exchange keyed by (doc_id, term) and none by doc_id after the idf join.
+def test_plan_moves_no_text_and_one_row_a_message(spark):
+    # after the written (term, tf) arrays: one exchange by message (of arrays), none of a text, no window, no fixed partition count
     docs = spark.createDataFrame([(1, "cat cat dog"), (2, "dog fish"), (3, "")], "doc_id long, text string")
     plan = tfidf.keyword_weights(docs, stopwords=stopwords_df(spark))._jdf.queryExecution().executedPlan().toString()
     exchanges = [ln for ln in plan.splitlines() if "Exchange hashpartitioning" in ln]
-    assert sum("doc_id" in ln for ln in exchanges) == 1, plan
+    assert sum("doc_id" in ln for ln in exchanges) == 1 and "REPARTITION" not in plan and "Window" not in plan and "text#" not in plan, plan
+
+
+def test_counts_inside_the_row_equal_a_counter(spark):
+    from collections import Counter
+    import random
+    rnd = random.Random(2)
+    rows = [(k, " ".join(rnd.choice(["aa", "bb", "cc", "ab", "zz"]) for _ in range(rnd.choice([0, 1, 2, 7, 300])))) for k in range(60)] + [(100, None), (101, "a b"), (60, "x" * 5000)]
+    got = {r.doc_id: {t.term: t.tf for t in r.terms} for r in tfidf.message_terms(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: dict(Counter(w for w in t.split() if len(w) > 1)) for k, t in rows if t is not None}
+
+
+def test_groups_and_messages_without_a_key(spark):
+    docs = spark.createDataFrame([(1, None, "cat dog"), (2, None, "cat"), (3, "s", "cat"), (None, "s", "bird cat"), (4, "t", None)],
+                                 "doc_id long, source string, text string")
+    w = {(r.source, r.term): r.weight for r in tfidf.keyword_weights(docs, group_cols=["source"]).collect()}
+    assert set(w) == {(None, "cat"), (None, "dog"), ("s", "cat"), ("s", "bird")}
+    plain = {(None, r.term): r.weight for r in tfidf.keyword_weights(docs.where("source is null")).collect()}
+    assert all(abs(w[k] - v) < 1e-12 for k, v in plain.items())
 
 
 def test_large_vocabulary_path_gives_same_weights(spark):
