@@ -36,40 +36,38 @@ from chatlake.session import bounded_broadcast
 
 SCALE, MIN_DOCS, TOP = 1_000_000_000, 10, 10
 SEGMENT, BLOCK = 4096, 16
-CACHE = 200_000  # counts and sums a task holds before it sends them on
+CACHE = 400_000  # counts and sums a task holds before it sends them on
 _TERM = re.compile(rb"[a-z\x80-\xff]+")  # in UTF-8 every byte of a non-ASCII code point is 0x80 or more
 _AT_ONCE = 1 << 20
 
 
 def terms(text: str | None):
-    """The terms of a whole text, as UTF-8; bytes.lower() changes ASCII letters only."""
+    """The terms of a whole text, as UTF-8, a list or, of a long text, their counts; bytes.lower() changes ASCII letters only."""
     low = (text or "").encode().lower()
-    return _TERM.findall(low) if len(low) <= _AT_ONCE else (m.group() for m in _TERM.finditer(low))
+    return _TERM.findall(low) if len(low) <= _AT_ONCE else Counter(m.group() for m in _TERM.finditer(low))
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents, partial sums of each task; ``docs`` has lang, source, text."""
     def run(batches):
-        found, held, groups = Counter(), Counter(), {}
+        groups: dict = {}  # (lang, source) -> occurrences and documents by term, in the same order
 
         def flush():
-            keys = list(found)
-            names = list(groups)
-            cols = [pa.array([names[g][0] for g, _ in keys], pa.string()), pa.array([names[g][1] for g, _ in keys], pa.string()),
-                    pa.array([t for _, t in keys], pa.binary()).cast(pa.string()),
-                    pa.array([found[k] for k in keys], pa.int64()), pa.array([held[k] for k in keys], pa.int64())]
-            found.clear(), held.clear(), groups.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "n", "docs"])
+            for (lang, source), (found, held) in groups.items():
+                cols = [pa.repeat(pa.scalar(x, pa.string()), len(found)) for x in (lang, source)]
+                cols += [pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64()),
+                         pa.array(list(held.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "n", "docs"])
+            groups.clear()
         for batch in batches:
-            for lang, source, text in zip(batch.column(0), batch.column(1), batch.column(2)):
-                g = groups.setdefault((lang.as_py(), source.as_py()), len(groups))
-                for t, n in Counter(terms(text.as_py())).items():
-                    found[g, t] += n
-                    held[g, t] += 1
-                if len(found) > CACHE:
-                    yield flush()
-        if found:
-            yield flush()
+            for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                found, held = groups.setdefault((lang, source), (Counter(), Counter()))
+                words = terms(text)
+                found.update(words)
+                held.update(list(dict.fromkeys(words)))
+                if sum(len(f) for f, _ in groups.values()) > CACHE:
+                    yield from flush()
+        yield from flush()
 
     return ship(docs).select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
