@@ -90,3 +90,23 @@ def preview(c, n: int = 20) -> Column:
 def name_or_default(c, default: str = "there") -> Column:
     """STRF14: a missing or empty name becomes ``default``."""
     return F.coalesce(F.nullif(col_(c), F.lit("")), F.lit(default))
+
+
+#: Fixed form: the ISO date-times read by ``iso_datetime`` (date with or without hyphens; any sign between date and time; hours, or hours and
+#: minutes, or seconds with a fraction; an offset). Longer fractions are cut to microseconds.
+ISO_FORM = (r"^(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2}))"
+            r"(?:[^\n](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(Z|z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?)?\z")
+
+
+def iso_datetime(c) -> Column:
+    """DTF2: struct(at timestamp without zone, offset seconds or null) of an ISO date-time, null where the text is none or names no real time."""
+    part = lambda k: F.regexp_extract(col_(c), ISO_FORM, k)
+    number = lambda k: F.coalesce(F.nullif(part(k), F.lit("")).cast("int"), F.lit(0))
+    month, day = (F.greatest(number(a), number(b)) for a, b in ((2, 4), (3, 5)))
+    micros = F.rpad(part(9), 6, "0").cast("decimal(6,0)") / F.lit(1_000_000).cast("decimal(7,0)")
+    seconds = (number(8) + F.coalesce(F.when(part(9) != "", micros), F.lit(0))).cast("decimal(16,6)")
+    at = F.try_make_timestamp_ntz(F.nullif(part(1), F.lit("")).cast("int"), month, day, number(6), number(7), F.when(number(8) < 60, seconds))
+    zone = F.regexp_replace(part(10), ":", "")
+    piece = lambda k: F.coalesce(F.nullif(F.substring(zone, k, 2), F.lit("")).cast("int"), F.lit(0))
+    offset = F.when(F.lower(part(10)) == "z", 0).when(part(10) != "", F.when(zone.startswith("-"), -1).otherwise(1) * (piece(2) * 3600 + piece(4) * 60 + piece(6)))
+    return F.when(at.isNotNull() & (F.abs(F.coalesce(offset, F.lit(0))) < 86400), F.struct(at.alias("at"), offset.alias("offset")))

@@ -221,10 +221,20 @@ SELECT event_id, user_id, ts, command, nullif(before, '') AS mode_before, nullif
 ORACLES["payload_split"] = f"""
 SELECT payment_id, payload, split_part(payload, '_', 1) AS goal, TRY_CAST(split_part(payload, '_', 2) AS INTEGER) AS months_num
 FROM (SELECT payment_id, 'subscribe_' || coalesce(CAST(months AS VARCHAR), 'x') AS payload FROM {_PAYMENTS} p)"""
-ORACLES["event_parse"] = """
-SELECT event_id, event_text, try_strptime(event_text, '%Y-%m-%dT%H:%M:%S') AS event_at FROM (
-  SELECT event_id, CASE WHEN event_type = 'error' THEN props ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS event_text
-  FROM events)"""
+_ISO = ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S.%g", "%Y-%m-%d", "%Y%m%dT%H%M%S", "%Y-%m-%dT%H:%M", "%Y-%m-%dT%H", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S-03:30")
+_ISO_TEXT = " ".join(f"WHEN {k} THEN strftime(ts, '{f}')" for k, f in enumerate(_ISO))
+ORACLES["event_parse"] = f"""
+SELECT event_id, CASE WHEN event_type = 'error' THEN props ELSE CASE event_id % 8 {_ISO_TEXT} END END AS event_text,
+       CASE WHEN event_type <> 'error' THEN CASE event_id % 8 WHEN 1 THEN date_trunc('millisecond', ts) WHEN 2 THEN date_trunc('day', ts)::TIMESTAMP
+            WHEN 4 THEN date_trunc('minute', ts) WHEN 5 THEN date_trunc('hour', ts) ELSE date_trunc('second', ts) END END AS event_at,
+       CASE WHEN event_type <> 'error' THEN CASE event_id % 8 WHEN 6 THEN 0 WHEN 7 THEN -12600 END END AS utc_offset
+FROM events"""
+ORACLES["note_texts"] = """
+SELECT * FROM (SELECT conv_id, turn, nullif(CASE WHEN turn % 4 = 3 THEN text WHEN (conv_id + turn) % 7 = 0 THEN '' ELSE text END, '') AS note FROM conversations)
+WHERE note IS NOT NULL"""
+ORACLES["index_names"] = "SELECT DISTINCT 'index-' || (label % 3 + 1) AS index_name FROM embeddings"
+ORACLES["note_vectors"] = ("SELECT doc_id, list_transform(['a', 'e', 'i', 'n', 'o', 'r', 's', 't'], lambda c: length(text) - length(replace(text, c, ''))) AS v "
+                           "FROM documents WHERE text IS NOT NULL")
 ORACLES["props_json"] = """
 SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k,
        json_extract(props, '$.k') IS NOT NULL AS has_k,
@@ -332,6 +342,15 @@ FROM (SELECT query_id, page_content, min(rank) AS r FROM {_noted(4, None)} n GRO
 GROUP BY query_id"""
 
 
+ORACLES["gated_search"] = f"""
+WITH u AS (SELECT s.*, coalesce(e.subscription_end_date >= TIMESTAMP '2001-01-01 00:00:00', false)
+                  OR s.username IN ('Customer#000000001', 'Customer#000000002', 'Customer#000000003') AS access
+           FROM {_SENDERS} s LEFT JOIN {_ENDS} e USING (user_id)),
+q AS (SELECT user_id, within_limits FROM ({ORACLES["quota_asof"]})),
+a AS (SELECT u.telegram_id, access, within_limits, (SELECT count(*) FROM events v WHERE v.user_id = u.user_id AND event_type = 'view') AS made,
+             access AND within_limits AS ok FROM u JOIN q USING (user_id) WHERE u.telegram_id IN (SELECT label FROM embeddings)),
+h AS (SELECT TRY_CAST(regexp_extract(query_id, '([0-9]+)', 1) AS BIGINT) AS telegram_id, string_agg(vec_id, ',' ORDER BY rank) AS hits FROM {_top(5, 0.6)} t GROUP BY query_id)
+SELECT a.telegram_id, access, within_limits, made + ok::INT AS queries_count, CASE WHEN ok THEN hits END AS hits FROM a LEFT JOIN h USING (telegram_id)"""
 ORACLES["rag_context"] = _context(None)
 ORACLES["context_union"] = _context('Carefully analyze relevant documents provided above and just say "OK"')
 ORACLES["index_stats"] = f"SELECT index_name, namespace, count(*) AS n_records FROM {_E} e GROUP BY ALL"

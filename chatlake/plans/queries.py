@@ -276,11 +276,17 @@ def payload_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def event_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DTF2: the events' times written in eight ISO forms, and texts that are none, read back."""
+    from chatlake.functions.text import iso_datetime
     e = table(spark, sf_dir, "events")
-    txt = F.when(F.col("event_type") == "error", F.col("props")).otherwise(
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
-    return e.select("event_id", txt.alias("event_text")).withColumn(
-        "event_at", F.try_to_timestamp("event_text", F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz"))
+    forms = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH",
+             "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'-03:30'")
+    text = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        text = F.when(F.col("event_id") % 8 == k, F.date_format("ts", form)).otherwise(text)
+    e = e.select("event_id", F.when(F.col("event_type") == "error", F.col("props")).otherwise(text).alias("event_text"))
+    parsed = iso_datetime("event_text")
+    return e.select("event_id", "event_text", parsed["at"].alias("event_at"), parsed["offset"].alias("utc_offset"))
 
 
 @query
@@ -334,6 +340,16 @@ def note_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                     preview("text").alias("preview")))
 
 
+@query
+def note_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT5: messages as notes: every fourth is a photo whose text is its caption, every seventh of the rest is empty; empty ones are no notes."""
+    c = table(spark, sf_dir, "conversations")
+    photo = F.col("turn") % 4 == 3
+    said = F.when(photo, F.when(F.col("turn") % 8 == 3, "")).when((F.col("conv_id") + F.col("turn")) % 7 == 0, "").otherwise(F.col("text"))
+    rows = c.select("conv_id", "turn", said.alias("said"), F.when(photo, F.col("text")).alias("caption"))
+    return rows.select("conv_id", "turn", acc.note_text("said", "caption").alias("note")).where("note is not null")
+
+
 @query
 def users_with_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = table(spark, sf_dir, "documents").select(user_of("source").alias("user_id"))
@@ -410,6 +426,53 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats(_vectors(spark, sf_dir))
 
 
+@query
+def index_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK7: the indexes that hold vectors."""
+    from chatlake.sources.sinks import list_indexes
+    return list_indexes(_vectors(spark, sf_dir))
+
+
+def letter_counts(texts):
+    """An embedding that SQL can repeat: how often each of eight letters occurs."""
+    import numpy as np
+
+    return [np.array([t.count(c) for c in "aeinorst"], np.float32) for t in texts]
+
+
+@query
+def note_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD5: every note embedded in Arrow batches."""
+    from chatlake.functions.embed import embed_column
+    from chatlake.session import ship_package
+    ship_package(spark)
+    d = documents(spark, sf_dir, "doc_id", "text").where("text is not null")
+    return d.select("doc_id", embed_column("text", letter_counts).cast("array<bigint>").alias("v"))
+
+
+@query
+def gated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches of the users behind the namespaces, made only with access and within the limits: hits per user, and the raised search counter.
+
+    A user is the namespace's label; access is a paid month or the allow-list, the limits are those of ``quota_asof``.
+    """
+    from chatlake.plans.flows import allowed_queries, count_searches
+    v = _vectors(spark, sf_dir)
+    known = _users_full(spark, sf_dir)
+    allow = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in ALLOWLIST])).alias("username"))
+    access = acc.with_access(known, acc.subscription_end(_valid_payments(spark, sf_dir)), AS_OF_SUBSCRIPTION, allow).select("user_id", "telegram_id", "access")
+    limits = acc.quota_as_of(known, table(spark, sf_dir, "events").select("user_id", "ts"), AS_OF_QUOTA).select("user_id", "within_limits")
+    made = table(spark, sf_dir, "events").where(F.col("event_type") == "view").groupBy("user_id").agg(F.count(F.lit(1)).alias("queries_count"))
+    users = access.join(limits, "user_id").join(made, "user_id", "left")
+    asked = _centroid_queries(v).withColumn("telegram_id", F.regexp_extract("namespace", "^user_([0-9]+)_notes$", 1).try_cast("bigint"))
+    allowed = allowed_queries(asked, users)
+    hits = rt.top_k(rt.score(allowed, v, "namespace", k=rt.TOP_K, threshold=rt.SCORE_THRESHOLD), k=rt.TOP_K, threshold=rt.SCORE_THRESHOLD)
+    found = hits.groupBy("telegram_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))).alias("best"))
+    users = count_searches(users, allowed).join(asked.select("telegram_id"), "telegram_id", "left_semi")
+    return users.join(found, "telegram_id", "left").select("telegram_id", "access", "within_limits", "queries_count",
+                                                           F.array_join(F.transform("best", lambda x: x["vec_id"].cast("string")), ",").alias("hits"))
+
+
 @query
 def index_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK5: the vectors stored by index and bucket; one index dropped, one namespace of another cleared; what is left."""
@@ -533,10 +596,10 @@ def messages_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from chatlake.session import scratch_path
     from chatlake.sources.csv import read_csv
-    from chatlake.sources.sinks import write_messages_csv
+    from chatlake.sources.sinks import stamp_of, write_messages_csv
     path = scratch_path(spark, f"messages_csv/{uuid.uuid4().hex}")
     m = _chat_messages(spark, sf_dir).select("chat_name", "msg_id", "sender", "date", "msg_content")
-    write_messages_csv(m, path)
+    path = write_messages_csv(m, path, stamp=stamp_of(spark, AS_OF_QUOTA))
     return read_csv(spark, path, "msg_id bigint, sender string, date string, msg_content string, chat_name string")
 
 
@@ -547,12 +610,12 @@ def notes_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from chatlake.session import scratch_path
     from chatlake.sources.csv import read_csv
-    from chatlake.sources.sinks import write_pending_notes_csv
+    from chatlake.sources.sinks import stamp_of, write_pending_notes_csv
     path = scratch_path(spark, f"notes_csv/{uuid.uuid4().hex}")
     d = table(spark, sf_dir, "documents").select(user_of("source").alias("telegram_id"), F.col("doc_id").alias("telegram_message_id"), "text")
     done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("telegram_message_id"), F.lit(True).alias("is_vectorized")).distinct()
     notes = d.join(done, "telegram_message_id", "left").withColumn("is_vectorized", F.coalesce("is_vectorized", F.lit(False)))
-    write_pending_notes_csv(notes, path)
+    path = write_pending_notes_csv(notes, path, stamp=stamp_of(spark, AS_OF_QUOTA))
     return read_csv(spark, path, "message_id bigint, text string, telegram_id bigint")
 
 
@@ -565,14 +628,16 @@ def _stream_of(spark, sf_dir, name):
 
 @query
 def stream_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR1: the rich exports ingested as a stream, a few files per micro-batch."""
+    """STR1 + SRC4-5: the rich exports ingested as a stream, a few files per micro-batch, consumed files removed; a text file beside them is left alone."""
     import uuid
 
     from chatlake.session import scratch_path
     from chatlake.sources import exports as ex
     from chatlake.streaming import streams as st
     out = scratch_path(spark, f"stream_exports/{uuid.uuid4().hex}")
-    st.ingest_exports(spark, _rich_exports(spark, sf_dir), out, multi_line=False, max_files=4)
+    folder = _rich_exports(spark, sf_dir)
+    table(spark, sf_dir, "conversations").select("text").write.mode("append").text(folder)
+    st.ingest_exports(spark, folder, out, multi_line=False, max_files=4, clean_source="delete")
     return spark.read.parquet(out).select("chat_name", *ex.MESSAGE_COLUMNS)
 
 

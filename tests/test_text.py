@@ -44,3 +44,22 @@ def test_terms_equal_clean_then_tokenize(spark):
     for keep in (True, False):
         rows = df.select(T.terms("t", keep).alias("a"), T.tokenize(T.clean_text("t", keep)).alias("b")).collect()
         assert all(r.a == r.b for r in rows), rows
+
+
+def test_iso_forms_equal_the_standard_library(spark):
+    import datetime as dt
+
+    from chatlake.functions.text import iso_datetime
+    texts = ["2024-01-31", "20240131", "2024-01-31T10", "2024-01-31T10:11", "2024-01-31 10:11:12", "2024-01-31T10:11:12.5", "2024-01-31T10:11:12,123456",
+             "2024-01-31x10:11:12.1234567", "20240131T101112", "2024-01-31T10:11:12Z", "2024-01-31T10:11:12+05:30", "2024-01-31T10:11:12-0030",
+             "2024-01-31T10:11:12+01:02:03", "2024-02-30", "2024-01-31T25:00", "2024-01-31T10:60", "2024-01-31T10:11:60", "0001-01-01", "9999-12-31T23:59:59.999999",
+             "", "no date", "2024", "2024-1-3", "2024-01-31T", "2024-13-01", "{\"k\": 1}", "2024-01-31T10:11:12+24:00", "tomorrow 2024-01-31", "2024-01-31\n"]
+    got = {r.t: r.p for r in spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", iso_datetime("t").alias("p")).collect()}
+    for t in texts:
+        try:
+            want = dt.datetime.fromisoformat(t)
+        except ValueError:
+            want = None
+        seen = got[t] and (got[t].at, got[t].offset)
+        assert seen == (want and (want.replace(tzinfo=None), None if want.tzinfo is None else int(want.utcoffset().total_seconds()))), t
+    assert got[None] is None
