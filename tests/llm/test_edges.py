@@ -46,10 +46,40 @@ def test_exact_dedup(docs, empty):
 def test_directory_doubles_until_buckets_fit(spark):
     texts = spark.range(3000).select("id", F.concat(F.lit("text "), "id").alias("text"))
     index = exact_dedup.build_index(texts, "id", "text", capacity=100)
-    sizes = [r["count"] for r in index.groupBy("bucket", "depth").count().collect()]
-    assert sum(sizes) == 3000 and max(sizes) <= 100 and index.agg(F.max("chain")).first()[0] == 1
-    copies = spark.range(3000).select("id", F.lit("same").alias("text"))
-    assert exact_dedup.build_index(copies, "id", "text", capacity=100).collect()[0].group_size == 3000
+    sizes = [r["count"] for r in index.entries.groupBy("bucket", "depth").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 100 and index.entries.agg(F.max("chain")).first()[0] == 1
+    assert index.directory.count() <= 2 ** index.depth and index.directory.select("bucket").distinct().count() == len(sizes) > 30
+    copies = exact_dedup.build_index(spark.range(3000).select("id", F.lit("same").alias("text")), "id", "text", capacity=100)
+    assert copies.entries.collect()[0].group_size == 3000 and copies.depth == 0
+
+
+def test_depth_follows_the_keys(spark):
+    """Keys that agree in their first 20 bits: the directory doubles past them, and buckets of other keys stay shallow."""
+    near = spark.range(64).select((F.lit(5).cast("long") * 2 ** 44 + F.col("id") * 2 ** 38).alias("key"))
+    far = spark.range(8).select((F.col("id") * 2 ** 58 + 2 ** 62).alias("key"))
+    cells, depth = exact_dedup.directory(near.unionAll(far).distinct(), capacity=8)
+    assert depth >= 23
+    rows = near.unionAll(far).distinct().withColumnRenamed("key", "__key")
+    sizes = {(r["__bucket"], r["__local"]): r["count"] for r in exact_dedup.addressed(rows, cells, depth).groupBy("__bucket", "__local").count().collect()}
+    assert sum(sizes.values()) == 72 and max(sizes.values()) <= 8 and min(d for _, d in sizes) <= 3
+
+
+def test_collisions_are_chained_and_bytes_decide(spark):
+    rows = [(k, f"text {k % 7}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = lambda norm: F.pmod(F.xxhash64(norm), F.lit(2)).cast("long")
+    index = exact_dedup.build_index(docs, key=few)
+    assert index.entries.count() == 7 and index.entries.agg(F.max("chain")).first()[0] >= 4
+    got = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.annotate(docs, index, key=few).collect()}
+    assert got == {(k, k % 7, len(range(k % 7, 40, 7))) for k in range(40)}
+
+
+def test_lookup_goes_through_the_directory(spark):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 300).alias("text"))
+    index = exact_dedup.build_index(docs, capacity=20)
+    assert exact_dedup.annotate(docs, index).count() == 500
+    broken = exact_dedup.Index(index.directory.withColumn("bucket", F.col("bucket") + 1), index.depth, index.entries)
+    assert exact_dedup.annotate(docs, broken).count() < 500
 
 
 def test_near_dedup(docs, empty):
