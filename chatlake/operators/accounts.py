@@ -167,9 +167,9 @@ def priced_choices(payments: DataFrame, users: DataFrame, prices: DataFrame) ->
     """FLT11 + JN7 + MTH1: valid plan choices with their amount in minor units.
 
     price = monthly x months, x 0.8 when the user was invited, x 100 (DECIMAL arithmetic).
-    The price table is a fixed four-row table; broadcasting it is bounded.
+    How the price table is joined is left to its size.
     """
-    p = payments.join(F.broadcast(prices), "months", "left_semi").join(F.broadcast(prices), "months")
+    p = payments.join(prices.dropDuplicates(["months"]), "months")
     invited = users.select("user_id", F.col("invited_by_id").isNotNull().alias("invited"))
     base = (F.col("monthly_price") * F.col("months")).cast("decimal(12,2)")
     amount = F.when(F.col("invited"), base * F.lit(INVITE_DISCOUNT).cast("decimal(3,2)")).otherwise(base)
@@ -180,7 +180,7 @@ def priced_choices(payments: DataFrame, users: DataFrame, prices: DataFrame) ->
 
 def rejected_choices(payments: DataFrame, prices: DataFrame) -> DataFrame:
     """FLT11 (rejects): payments whose choice is not a known plan."""
-    return payments.join(F.broadcast(prices.select("months")), "months", "left_anti")
+    return payments.join(prices.select("months"), "months", "left_anti")
 
 
 # ---------------------------------------------------------------- notes

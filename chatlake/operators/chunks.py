@@ -88,11 +88,6 @@ def chunk_documents(docs: DataFrame, id_cols=("doc_id",), text_col: str = "text"
             .withColumn("n_chars", F.length("chunk").cast("bigint")))
 
 
-def note_to_document(notes: DataFrame, text_col: str = "text", source_col: str = "telegram_message_id") -> DataFrame:
-    """PRJ8: a note becomes (page_content, source)."""
-    return notes.select(F.col(text_col).alias("page_content"), F.col(source_col).alias("source"), "*")
-
-
 def chunk_id(*cols) -> Column:
     """Deterministic id of a chunk, so re-running an import adds no new row (Q10)."""
     return F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in cols])

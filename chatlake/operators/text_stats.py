@@ -11,14 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.text import clean_text, sorted_words, terms, words_count
+from chatlake.operators.tfidf import without
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", stopwords: DataFrame | None = None,
                 keep_colon: bool = False) -> DataFrame:
     """AGG6: corpus count of each term after cleaning and stop-word removal (unigrams)."""
-    t = docs.select(F.explode(terms(text_col, keep_colon)).alias("term"))
-    if stopwords is not None:
-        t = t.join(F.broadcast(stopwords.select("term")), "term", "left_anti")
+    t = without(docs.select(F.explode(terms(text_col, keep_colon)).alias("term")), stopwords)
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -19,7 +19,7 @@ from chatlake.operators import chunks as ch
 from chatlake.operators import messages as msg
 from chatlake.operators import retrieval as rt
 from chatlake.operators import tfidf
-from chatlake.session import ship_package
+from chatlake.session import materialize, ship_package
 from chatlake.sources import exports as ex
 from chatlake.sources.sinks import append_chunks, bucket_of, store_part, touched_buckets
 from chatlake.sources.stopwords import stopwords_df
@@ -45,6 +45,7 @@ def import_chat_export(spark: SparkSession, path: str, telegram_id: int, store_p
     Imported chunks carry a date and no source (the reference's metadata for imports, Q1).
     """
     msgs, rejects = ex.parse_exports(spark, path, max_messages=max_messages)
+    msgs = materialize(msgs, "import-messages")  # parsed once for the keywords and the chunks
     keywords = tfidf.top_terms(tfidf.keyword_weights(
         msgs.select(F.concat_ws(":", "file", "chat_idx", "pos").alias("doc_id"), F.col("msg_content").alias("text")),
         stopwords=stopwords_df(spark)), k=100)

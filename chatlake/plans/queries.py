@@ -168,7 +168,7 @@ def _payments(spark, sf_dir):
 
 
 def _valid_payments(spark, sf_dir):
-    return _payments(spark, sf_dir).join(F.broadcast(acc.price_table(spark)).select("months"), "months", "left_semi")
+    return _payments(spark, sf_dir).join(acc.price_table(spark).select("months"), "months", "left_semi")
 
 
 def _users_full(spark, sf_dir):
