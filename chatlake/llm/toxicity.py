@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Tokens become symbols: insult (with a learned weight), threat verb, target, negation, report, clause end, other. Five small
-transducers read the symbols: *insult* and *threat* mark matches, *target* marks a match next to an addressed person, *negation*
+transducers read the symbols: *insult* and *threat* mark matches, *target* marks a match up to ``NEAR`` tokens behind an addressed person,
+*late target* an addressed person up to ``NEAR`` tokens behind a match (which then counts as targeted), *negation*
 a match behind a negator, *reported speech* a match behind a reporting verb or inside quotation marks. ``compose`` builds
 their product, one table of (state, symbol) -> (state, tags), that runs over a document's clauses; the state starts
-anew in every clause. A clause's matches add up by weight and tags, so a word counts by the pattern it stands in.
+anew in every clause, and a clause ends at its closing sign or with its line. A threat counts only next to a target; a clause's matches add up by
+weight and tags, so a word counts by the pattern it stands in.
 
 **Learning** uses labelled rows only, at most ``TRAIN_ROWS`` of them (a bounded sample by hash order):
 
@@ -43,18 +45,24 @@ RIDGE = 1.0
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
 END = 16  # added to a symbol that ends its clause
-T_INSULT, T_THREAT, T_TARGET, T_NEGATED, T_REPORTED = 1, 2, 4, 8, 16
+T_INSULT, T_THREAT, T_TARGET, T_NEGATED, T_REPORTED, T_LATE = 1, 2, 4, 8, 16, 32
+NEAR = 4  # tokens between a match and the person it addresses
 
-#: Function words of the grammar in the corpus' languages.
+#: Function words of the grammar in the corpus' languages (fixed values).
 WORDS = {
-    TARGET: "you your yours u ya he she they them him her du dein deine dich dir euch ihr tu toi ton ta vous votre tú ti usted ustedes vos",
-    NEGATION: "not no never none cannot don't isn't aren't nicht kein keine nie niemals ne pas jamais non nunca jamás ni",
-    REPORT: "said says claimed called quoted reported wrote sagte schrieb nannte dit écrit appelé dijo escribió llamó",
-    THREAT: "kill hurt shoot stab beat destroy murder strangle töten umbringen schlagen tuer frapper égorger matar golpear degollar",
+    TARGET: "you your yours yourself u ya he she they them him her his their us everyone du dein deine deinen dich dir euch euer ihr ihn ihm sie uns "
+            "tu toi ton ta tes vous votre vos lui elle eux leur tú ti te usted ustedes vos vosotros él ella ellos ellas",
+    NEGATION: "not no never none nobody cannot can't won't don't doesn't didn't isn't aren't wasn't without nicht kein keine keinen nie niemals niemand ohne "
+              "ne pas jamais non aucun sans nunca jamás ni nadie sin",
+    REPORT: "said says say saying claimed claims called calls quoted quotes reported reports wrote writes told sagte sagt sagen schrieb schreibt nannte "
+            "nennt zitierte behauptete dit disait écrit écrivait appelé appelle cité dijo dice decía escribió escribe llamó llama citó",
+    THREAT: "kill kills killing hurt hurts hurting shoot shoots stab stabs beat beats beating destroy destroys murder murders strangle strangles burn burns "
+            "punch smash crush attack töten tötet umbringen umbringt schlagen schlägt verprügeln erschießen erstechen vernichten zerstören "
+            "tuer tue tuerai frapper frappe égorger détruire brûler écraser attaquer matar mato mataré golpear golpeo degollar destruir quemar aplastar atacar",
 }
 _FUNCTION = {w: s for s, words in WORDS.items() for w in words.split()}
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE_END = re.compile(r"[.!?;:\n]['\")\]]*$")
+_CLAUSE_END = re.compile(r"[.!?;:]['\")\]]*$")
 _QUOTES = "\"“”«»„"
 
 
@@ -79,6 +87,15 @@ def _window(opener: int, length: int, tag: int) -> Transducer:
     return Transducer(length + 1, step)
 
 
+def _late(length: int) -> Transducer:
+    """Tags a target at most ``length`` tokens behind a match; state: tokens left."""
+    def step(s, x):
+        if x in (INSULT, THREAT):
+            return length, 0
+        return max(0, s - 1), T_LATE if s and x == TARGET else 0
+    return Transducer(length + 1, step)
+
+
 def _reported() -> Transducer:
     """State 1: behind a reporting verb, to the clause's end; 2: inside quotation marks."""
     def step(s, x):
@@ -100,8 +117,8 @@ def compose(*parts: Transducer) -> tuple[np.ndarray, np.ndarray]:
     return nxt, tags
 
 
-_NEXT, _TAGS = (x.tolist() for x in compose(_marker(INSULT, T_INSULT), _marker(THREAT, T_THREAT), _window(TARGET, 4, T_TARGET),
-                                            _window(NEGATION, 3, T_NEGATED), _reported()))
+_NEXT, _TAGS = (x.tolist() for x in compose(_marker(INSULT, T_INSULT), _marker(THREAT, T_THREAT), _window(TARGET, NEAR, T_TARGET),
+                                            _late(NEAR), _window(NEGATION, 3, T_NEGATED), _reported()))
 FEATURES = ("best clause", "matches", "stems", "plain", "targeted", "negated", "reported", "threats", "share")
 
 
@@ -146,26 +163,42 @@ class Model:
 
 def clauses(text: str | None, symbols: Symbols) -> tuple[list[tuple[int, float, dict[int, float]]], int, set, int]:
     """Matched clauses (number, score, weight by tags), matches, stems and tokens of a text."""
-    tokens = (text or "").split()
-    seen = [symbols[t] for t in tokens]
-    if not any(s & 15 in (INSULT, THREAT) for s, _, _ in seen):
-        return [], 0, set(), len(tokens)
-    out, state, number, tags, matches, found = [], 0, 0, {}, 0, set()
-    for symbol, weight, stem in seen:
-        at = state * 7 + (symbol & 15)
-        tag, state = _TAGS[at], _NEXT[at]
-        if tag & (T_INSULT | T_THREAT) and (tag & T_INSULT or tag & T_TARGET):
-            tags[tag] = tags.get(tag, 0.0) + (weight if tag & T_INSULT else MIN_WEIGHT)
-            matches += 1
-            found.add(stem)
-        if symbol & END:
-            if tags:
-                out.append((number, _clause_score(tags), tags))
-                tags = {}
-            state, number = 0, number + 1
-    if tags:
-        out.append((number, _clause_score(tags), tags))
-    return out, matches, found, len(tokens)
+    lines = [[symbols[t] for t in line.split()] for line in (text or "").splitlines()]
+    total = sum(map(len, lines))
+    if not any(s & 15 in (INSULT, THREAT) for line in lines for s, _, _ in line):
+        return [], 0, set(), total
+    out, number, matches, found = [], 0, 0, set()
+    for line in lines:
+        last = len(line) - 1
+        state, tags, waiting = 0, {}, []  # waiting: matches that may still meet their target
+        for i, (symbol, weight, stem) in enumerate(line):
+            at = state * 7 + (symbol & 15)
+            tag, state = _TAGS[at], _NEXT[at]
+            if tag & (T_INSULT | T_THREAT):
+                if tag & T_THREAT:
+                    weight = MIN_WEIGHT
+                if tag & (T_INSULT | T_TARGET):
+                    tags[tag] = tags.get(tag, 0.0) + weight
+                    matches += 1
+                    found.add(stem)
+                if not tag & T_TARGET:
+                    waiting.append((i, tag, weight, stem))
+            elif tag & T_LATE:
+                for place, old, weight, stem in waiting:
+                    if i - place > NEAR:
+                        continue
+                    if old & T_INSULT:
+                        tags[old] -= weight
+                    else:
+                        matches += 1
+                        found.add(stem)
+                    tags[old | T_TARGET] = tags.get(old | T_TARGET, 0.0) + weight
+                waiting = []
+            if symbol & END or i == last:
+                if tags:
+                    out.append((number, _clause_score(tags), tags))
+                state, tags, waiting, number = 0, {}, [], number + 1
+    return out, matches, found, total
 
 
 def _clause_score(tags: dict[int, float]) -> float:

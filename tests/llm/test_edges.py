@@ -356,3 +356,82 @@ def test_pipeline_stages_on_odd_rows(spark, docs, empty, tmp_path):
             if name != "bpe":
                 assert out.columns == docs.columns
                 assert out.where("kept <> 'mine' or size <> 'mine' or __key <> 'mine'").count() == 0
+
+
+def test_bpe_decodes_in_the_encoding_pass(docs, empty):
+    rows = docs.select("doc_id", "text")
+    apart = sorted(map(tuple, bpe.decode(bpe.encode(rows, bpe_path()), bpe_path()).collect()), key=str)
+    once = bpe.encode(rows, bpe_path(), check=True, decoded=True)
+    assert sorted(((r.doc_id, r.ids, r.token_ends, r.decoded) for r in once.collect()), key=str) == apart
+    assert once.where("not round_trip").count() == 0 and bpe.encode(empty, bpe_path(), check=True).count() == 0
+
+
+# ---- the toxicity grammar against a scorer that looks at every clause by itself ------------------------------------------------
+
+LEXICON = {"idiot": 5.0, "zorg*": 4.0, "zorgle": 4.5}
+
+
+def plain_clauses(text):
+    """Clauses cut first, then every match judged by the tokens around it."""
+    import re as regex
+    symbols, out, matches, stems, tokens, number = toxicity.Symbols(LEXICON), [], 0, set(), 0, 0
+    for line in (text or "").splitlines():
+        clause = []
+        words = line.split()
+        for k, word in enumerate(words):
+            tokens += 1
+            clause.append((symbols[word][0] & 15, *symbols[word][1:]))
+            if k < len(words) - 1 and not regex.search("[.!?;:]['\")\\]]*$", word):
+                continue
+            kinds, tags, quoted, reported = [c[0] for c in clause], {}, False, False
+            for i, (kind, weight, stem) in enumerate(clause):
+                if kind in (toxicity.INSULT, toxicity.THREAT):
+                    near = toxicity.TARGET in kinds[max(0, i - toxicity.NEAR):i + toxicity.NEAR + 1]
+                    if kind == toxicity.INSULT or near:
+                        tag = (toxicity.T_INSULT if kind == toxicity.INSULT else toxicity.T_THREAT) | (toxicity.T_TARGET if near else 0)
+                        tag |= toxicity.T_NEGATED if toxicity.NEGATION in kinds[max(0, i - 3):i] else 0
+                        tag |= toxicity.T_REPORTED if quoted or reported else 0
+                        tags[tag] = tags.get(tag, 0) + (weight if kind == toxicity.INSULT else toxicity.MIN_WEIGHT)
+                        matches += 1
+                        stems.add(stem)
+                if kind == toxicity.QUOTE:
+                    quoted, reported = (False, False) if quoted else (True, reported)
+                elif kind == toxicity.REPORT and not quoted:
+                    reported = True
+            if tags:
+                out.append((number, tags))
+            clause, number = [], number + 1
+    return out, matches, stems, tokens
+
+
+def same_clauses(text):
+    got, want = toxicity.clauses(text, toxicity.Symbols(LEXICON)), plain_clauses(text)
+    rows = [(n, {t: w for t, w in tags.items() if w > 1e-9}) for n, _, tags in got[0]]
+    assert [(n, sorted(t)) for n, t in rows] == [(n, sorted(t)) for n, t in want[0]], text
+    assert all(a[k] == pytest.approx(b[k]) for (_, a), (_, b) in zip(rows, want[0]) for k in b)
+    assert got[1:] == want[1:], text
+
+
+def test_grammar_equals_a_plain_clause_scorer(spark):
+    rnd = random.Random(9)
+    words = ["idiot", "zorgle", "zorgles", "kill", "you", "they", "not", "never", "said", '"', "the", "a", "idiot.", "end.", "why?", "kill,", "\n", "\n", "x"]
+    for n in range(4000):
+        same_clauses(" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 40))))
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        same_clauses(r.text)
+
+
+@pytest.mark.parametrize("text, tag", [
+    ("I will kill you", toxicity.T_THREAT | toxicity.T_TARGET), ("you I will kill", toxicity.T_THREAT | toxicity.T_TARGET), ("we hurt them badly", toxicity.T_THREAT | toxicity.T_TARGET),
+    ("zorgle you", toxicity.T_INSULT | toxicity.T_TARGET), ("an idiot it is", toxicity.T_INSULT), ("you are not an idiot", toxicity.T_INSULT | toxicity.T_TARGET | toxicity.T_NEGATED),
+    ("she said idiot", toxicity.T_INSULT | toxicity.T_TARGET | toxicity.T_REPORTED), ("never mind\nidiot", toxicity.T_INSULT), ("he said\nidiot", toxicity.T_INSULT),
+    ("kill the lights", None), ("kill the time and then call you", None), ("kill it\nyou", None), ("idiot\nyou", toxicity.T_INSULT)])
+def test_grammar_reads_both_ways_and_stops_at_lines(text, tag):
+    tags = {t for _, _, by in toxicity.clauses(text, toxicity.Symbols(LEXICON))[0] for t, w in by.items() if w > 0}
+    assert tags == ({tag} if tag else set())
+
+
+def test_toxicity_keeps_other_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([(1, "you idiot", "mine", 5), (2, None, None, None)], "doc_id long, text string, clauses string, score int")
+    out = toxicity.score(docs, toxicity.Model(LEXICON))
+    assert out.columns == ["doc_id", "score", "clauses"] and [len(r.clauses) for r in out.orderBy("doc_id").collect()] == [1, 0]
