@@ -254,15 +254,18 @@ def _parts(batch: pa.RecordBatch, text_col: str, most: int = CHUNK):
         low = high
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool = False, check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool = False, check: bool = False, decoded: bool = False) -> DataFrame:
     """``docs`` without its text (unless ``keep_text``) with ``ids`` and ``token_ends`` (array<int>).
 
-    With ``check`` each document is decoded again in the same pass, and ``round_trip`` says whether its ids give its bytes.
+    With ``check`` or ``decoded`` each document is decoded again in the same pass: ``round_trip`` says whether its ids give its bytes,
+    ``decoded`` holds what they give.
     """
-    added = ("ids", "token_ends", *(["round_trip"] if check else []))
+    extra = {"round_trip": T.BooleanType()} if check else {}
+    extra |= {"decoded": T.BinaryType()} if decoded else {}
+    added = ("ids", "token_ends", *extra)
     keep = [f for f in docs.schema.fields if f.name not in added and (keep_text or f.name != text_col)]
     schema = T.StructType([*keep, *(T.StructField(n, T.ArrayType(T.IntegerType(), False), False) for n in added[:2]),
-                           *(T.StructField(n, T.BooleanType(), False) for n in added[2:])])
+                           *(T.StructField(n, t, False) for n, t in extra.items())])
 
     def run(batches):
         vocab = vocabulary(path)
@@ -272,8 +275,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool =
                 ids = encode_texts(texts, vocab)
                 ends = [np.cumsum(vocab.length[i], dtype=np.int32) for i in ids]
                 cols = {"ids": _lists(ids), "token_ends": _lists(ends)}
+                back = [decode_ids(i, e, vocab) for i, e in zip(ids, ends)] if extra else []
                 if check:
-                    cols["round_trip"] = pa.array([decode_ids(i, e, vocab) == t.encode() for i, e, t in zip(ids, ends, texts)])
+                    cols["round_trip"] = pa.array([b == t.encode() for b, t in zip(back, texts)], pa.bool_())
+                if decoded:
+                    cols["decoded"] = pa.array(back, pa.binary())
                 yield _with(part, names, cols)
 
     names = pa.schema([(f.name, pa.null()) for f in schema.fields])

@@ -44,8 +44,7 @@ def bpe_path() -> str:
 
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe_path())
-    return bpe.decode(encoded, bpe_path()).select(
+    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe_path(), decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
