@@ -13,8 +13,7 @@ are linked when the Jaccard similarity of their sets is at least ``PERCENT`` / 1
 3. **Stars**: every document is paired with the smallest document of all the buckets (band, key) it lies in.
 4. **Completion**: in buckets whose members still lie in several components, pivots from the rarest components are paired
    with the members of other components, until no such bucket is left: every candidate pair is then either inside one
-   component or tested, without all pairs of a bucket. A round's first few pivots (``PIVOTS``) already join most of a true group,
-   so later rounds, with ``GROWTH`` times as many, meet components in place of members. The signature tests are part of the
+   component or tested, without all pairs of a bucket. A round takes up to ``PIVOTS`` pivots of a bucket. The signature tests are part of the
    join condition, so only likely pairs leave it, each pair once: in the first band that its documents share.
 5. **Confirmation** on the full shingle sets; components by large-star and small-star over the confirmed links.
 
@@ -49,7 +48,7 @@ ROWS, BANDS = 4, 32
 BITS = ROWS * BANDS * 4 // 64
 AGREE = 386
 DEEP, DEEP_AGREE = 1024, 1703
-PIVOTS, GROWTH, MOST_PIVOTS = 16, 64, 1024
+PIVOTS = 1024
 CACHE = 100_000
 BLOCK = 2048
 
@@ -230,13 +229,13 @@ def link_components(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", t
     shared = keys.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
     members = materialize(keys.join(shared.hint("merge"), "bucket").select("bucket", "band", "node", "first"), "buckets")
     facts = nodes.select("node", "n", "bits", "bands")
-    sets = materialize(shingle_sets(docs, members.select("node"), id_col, text_col), "sets").dropDuplicates(["node"])
+    sets = materialize(shingle_sets(docs, members.select("node"), id_col, text_col).dropDuplicates(["node"]), "sets")
     stars = members.groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).where("a <> b")
     a, b = facts.alias("x"), facts.alias("y")
     likely = stars.join(a, F.col("a") == F.col("x.node")).join(b, F.col("b") == F.col("y.node")).where(F.expr(_alike("x", "y")))
     links = _confirm(materialize(likely.select("a", "b"), "pairs"), sets)
     comp = materialize(components(links, "a", "b"), "components")
-    info, most = None, PIVOTS
+    info = None
     deep = f"aggregate(zip_with(x.deep, y.deep, (a, b) -> bit_count(a ^ b)), 0, (s, d) -> s + d) <= {DEEP * 2 - DEEP_AGREE}"
     # a pair leaves the join once: with the pivot that ranks first, and in the first band that its documents share
     once = "(x.mates < y.mates or x.mates = y.mates and x.node < y.node)"
@@ -249,7 +248,7 @@ def link_components(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", t
         left = placed.join(mixed.select("bucket").hint("merge"), "bucket", "left_semi")
         left = materialize(left.join(counts.hint("merge"), ["bucket", "comp"]), "open")
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("mates", "node"))
-        pivots = left.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+        pivots = left.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).drop("rank")
         pivots = materialize(pivots, "pivots")
         if pivots.isEmpty():
             return comp
@@ -266,7 +265,6 @@ def link_components(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", t
             if not more.isEmpty():
                 comp = materialize(_joined(comp, more), "components")
         members = left.join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti").select("bucket", "band", "node")
-        most = min(most * GROWTH, MOST_PIVOTS)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
