@@ -5,7 +5,8 @@ revisit) and a metadata record with the page's id; request and metadata name the
 payload's first page is found by grouping digests, aggregated before the shuffle; pages then join that table, and a
 payload that a third of all pages share stays splittable. One row holds a page's three records, and Spark's own text
 writer puts them into gzip files with the record end as line separator, so files appear only when a task commits and a
-lost executor leaves none behind. ``ROWS_PER_FILE`` bounds a file.
+lost executor leaves none behind. Pages are written by size (``SIZES``: equal payloads are equally long, so a size's pages find their
+first ones among themselves), and each size has its number of pages a file, so a file holds about 64 MB at most, or one larger page.
 
 **Reading.** Each file is parsed by ``Content-Length``, never by looking for separators, so payloads may hold anything. The
 payload's digest is computed again and compared with the header. Request, response and metadata records are then
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 
 from chatlake.llm.common import new_path, ship, text_or_empty
 
-ROWS_PER_FILE = 1000
+#: (bytes from, below, pages a file)
+SIZES = ((0, 1 << 16, 1000), (1 << 16, 1 << 22, 16), (1 << 22, None, 1))
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -83,20 +85,27 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                         text_or_empty(payload_col).alias("payload"))
     rows = rows.withColumn("key", F.sha2("payload", 256))
     large = rows.where(F.octet_length("payload") >= min_revisit_bytes) if min_revisit_bytes else rows
-    first = large.groupBy("key").agg(F.min("page_id").alias("first_id"))
-    joined = rows.join(first.hint("merge"), "key", "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to")
+    for low, high, most in SIZES:
+        of_size = F.octet_length("payload") >= low
+        of_size = of_size if high is None else of_size & (F.octet_length("payload") < high)
+        first = large.where(of_size).groupBy("key").agg(F.min("page_id").alias("first_id"))
+        joined = rows.where(of_size).join(first.hint("merge"), "key", "left")
+        refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to")
+        out = _records(joined.select("page_id", "url", "payload", refers), min(200, most))
+        out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/from={low}")
+    return path
+
 
+def _records(rows: DataFrame, at_once: int) -> DataFrame:
+    """(value): the records of each row (page_id, url, payload, refers_to)."""
     def run(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                part = batch.slice(low, 200).to_pydict()
+            for low in range(0, batch.num_rows, at_once):
+                part = batch.slice(low, at_once).to_pydict()
                 values = [records_of(*row) for row in zip(part["page_id"], part["url"], part["payload"], part["refers_to"])]
                 yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], names=["value"])
 
-    out = ship(joined).select("page_id", "url", "payload", refers).mapInArrow(run, "value string")
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ROWS_PER_FILE).text(path)
-    return path
+    return ship(rows).mapInArrow(run, "value string")
 
 
 def parse(content: bytes):
@@ -165,7 +174,7 @@ def read_records(spark: SparkSession, path: str, kinds: tuple[str, ...], schema:
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)
     return ship(files).select("content").mapInArrow(run, schema)
 
 

@@ -6,7 +6,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -133,8 +135,9 @@ def test_op9_equals_tiktoken(spark, texts):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
-def test_pipeline_stages(spark, texts):
+def test_pipeline_stages(spark, texts, con):
     """Every stage against a plain version of its decision, on what the stage before it kept."""
+    sources = dict(con.execute("SELECT doc_id, source FROM documents").fetchall())
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
     scored = {r.doc_id: r.score for r in Q.op2_toxicity_grammar(spark, SF).collect()}
@@ -155,6 +158,10 @@ def test_pipeline_stages(spark, texts):
     assert mixed.columns == docs.columns
     count = Counter(r.doc_id for r in mixed.collect())
     assert set(count) <= set(kept) and max(count.values()) <= 3
+    rows = duckdb.connect()
+    rows.register("documents", pa.table({"doc_id": kept, "source": [sources[i] for i in kept], "text": [texts[i] for i in kept]}))
+    taken = {r[0]: r[-1] // r[1] for r in rows.execute(f"SELECT doc_id, size, taken FROM ({Q.SQL['op6_curriculum_mix']})").fetchall() if r[1]}
+    assert {i: count[i] for i in taken} == taken  # as many copies as the mix's SQL takes of what the stage was given
     encoded = stages["bpe"](spark, mixed, SF).collect()
     assert Counter(r.doc_id for r in encoded) == count
     enc = tiktoken_encoding()

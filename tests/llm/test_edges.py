@@ -177,6 +177,19 @@ def test_warc_round_trip(spark):
     assert warc.archive_and_read(df.where("false")).count() == 0
 
 
+def test_warc_files_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    """Pages of every size come back whole, large ones in files of few pages, equal ones as revisits."""
+    monkeypatch.setattr(warc, "SIZES", ((0, 1000, 5), (1000, 100_000, 2), (100_000, None, 1)))
+    texts = ["ü" * n for n in (0, 10, 499, 500, 30_000, 49_999, 50_000, 400_000)]
+    pages = [(2 * k + twice, f"http://h/{k}", t) for k, t in enumerate(texts) for twice in (0, 1)]
+    path = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    held = {f: sum(head["warc-type"] in ("response", "revisit") for head, _ in warc.parse(f.read_bytes())) for f in (tmp_path / "w").rglob("part-*.gz")}
+    assert sum(held.values()) == 16 and all(n <= {"0": 5, "1000": 2, "100000": 1}[f.parent.name.split("=")[1]] for f, n in held.items())
+    rows = warc.captures(spark, path).collect()
+    assert {(r.page_id, r.response.refers_to, r.response.payload) for r in rows} == {
+        (2 * k + twice, 2 * k if twice else None, None if twice else t) for k, t in enumerate(texts) for twice in (0, 1)}
+
+
 def test_pii(docs, empty, spark):
     learned = pii.learn(docs)
     rows = pii.find(docs.select("doc_id", "text", "spans"), learned).collect()
@@ -435,3 +448,20 @@ def test_toxicity_keeps_other_columns_named_like_its_own(spark):
     docs = spark.createDataFrame([(1, "you idiot", "mine", 5), (2, None, None, None)], "doc_id long, text string, clauses string, score int")
     out = toxicity.score(docs, toxicity.Model(LEXICON))
     assert out.columns == ["doc_id", "score", "clauses"] and [len(r.clauses) for r in out.orderBy("doc_id").collect()] == [1, 0]
+
+
+def test_schedules_decide_the_positions_not_the_copies(spark):
+    docs = spark.createDataFrame([(k, f"s{k % 3}", "word " * (k % 5 + 1)) for k in range(300)], "doc_id long, source string, text string")
+    early, even, late = ((0.0, 2.0), (1.0, 0.0)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.0), (1.0, 2.0))
+    means, copies = {}, {}
+    for name, schedule in (("early", early), ("even", even), ("late", late)):
+        rows = mixing.assign(docs, schedules=(schedule,)).collect()
+        copies[name] = sorted((r.doc_id, r.copies) for r in rows)
+        positions = [p for r in rows if r.source == "s0" for p in r.positions]
+        means[name] = np.mean(positions)
+        demand = {"early": lambda t: 2 * t - t * t, "even": lambda t: t, "late": lambda t: t * t}[name]
+        shares = np.sort([demand(p) for p in positions])  # positions are demands, inverted: even in the integral
+        assert np.abs(shares - (np.arange(len(shares)) + 0.5) / len(shares)).max() < 0.05
+    assert means["early"] < 0.4 < means["even"] < 0.6 < means["late"] and copies["early"] == copies["even"] == copies["late"]
+    order = [r.position for r in mixing.curriculum(docs).collect()]
+    assert order == sorted(order) and len(order) == sum(c for _, c in sorted((r.doc_id, r.copies) for r in mixing.assign(docs).collect()))
