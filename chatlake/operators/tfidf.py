@@ -6,20 +6,23 @@ Rules (smoothed IDF with L2-normalised rows, then a corpus sum per term):
   w   = tf * idf / ||tf * idf||_2 (per message)
   weight(term) = sum of w over messages
 
-Plan shape (all built-in operators): one pass over the texts makes a row per message, its array of (term, tf), inside the
-row: no text and no token is ever shuffled. That table is written once. Document frequency is a partial count over it (hot terms
-combine map-side), the corpus size a count of its rows. Terms of a single message all have the same idf, so only terms of two
-messages or more make the idf table; it is measured and broadcast where it fits, else joined by sort-merge. The weighted terms
-of a message come back together in the one exchange, keyed by message, where their squares are summed: the norm is then known
-inside the row, and weights leave it as partial sums per term. Partition counts are Spark's own.
+Plan shape: one pass over the texts makes a row per message, its array of (term, tf), inside the row: no text and no token is
+ever shuffled. That table is written once. Blocks of these rows are turned into postings, a term once a block with the messages
+it is in, so that what is grouped or joined by term is a fraction of the (message, term) pairs. Document frequency is a sum over
+the postings, the corpus size a count of the messages. Terms of a single message all have the same idf, so only terms of two
+messages or more make the idf table; it is measured and broadcast where it fits, else joined by sort-merge. The postings joined
+with it give the squares, summed to one norm per message (written). Norm and array of a message meet in the one exchange of arrays,
+keyed by message; tf / norm leaves it as partial sums per term, and the idf, the same for all of them, is multiplied in
+at the end, once per term. Partition counts are Spark's own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chatlake.functions.text import terms
+from chatlake.functions.text import FILE_PLACEHOLDER, KEPT_NO_COLON, KEPT_WITH_COLON, terms
 from chatlake.session import broadcast_fits, materialize
 from chatlake.sources.tables import spread
 
@@ -36,20 +39,78 @@ def without(rows: DataFrame, stopwords: DataFrame | None) -> DataFrame:
     return rows if stopwords is None else rows.join(stopwords.select("term"), "term", "left_anti")
 
 
-def counted(sorted_terms: Column) -> Column:
-    """AGG1 inside the row: a sorted array of tokens as an array of (term, tf), by the places where a new term starts."""
-    n = F.size(sorted_terms)
-    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(sorted_terms, i - 1) != F.get(sorted_terms, i - 2)))
-    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(n + 1))
-    return F.when(n > 0, F.zip_with(starts, ends, lambda a, b: F.struct(F.get(sorted_terms, a - 1).alias("term"), (b - a).alias("tf")))
-                  ).otherwise(F.array().cast("array<struct<term: string, tf: int>>"))
+#: Postings are made of blocks of messages with so many (message, term) pairs (a longer message is a block of its own).
+BLOCK_PAIRS = 1_500_000
+TERMS = "array<struct<term: string, tf: int>>"
 
 
 def message_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(), keep_colon: bool = True) -> DataFrame:
-    """(group..., id, terms array<struct<term, tf>>): one row per message with a text, written to the shared folder."""
-    texts = spread(docs.where(F.col(text_col).isNotNull()).select(*group_cols, id_col, text_col), id_col)
-    rows = texts.select(*group_cols, id_col, F.sort_array(terms(text_col, keep_colon)).alias("_t"))
-    return materialize(rows.select(*group_cols, id_col, counted(F.col("_t")).alias("terms")), "message-terms")
+    """(group..., id, terms array<struct<term, tf>>): one row per message with a text, written to the shared folder.
+
+    The terms are those of ``functions.text.terms``, counted by message in Arrow batches.
+    """
+    import re
+    keys = [*group_cols, id_col]
+    placeholder, kept = FILE_PLACEHOLDER, KEPT_WITH_COLON if keep_colon else KEPT_NO_COLON
+
+    def count(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+        dropped = re.compile(f"[^{kept}]+")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                words, tfs, offsets = [], [], [0]
+                for raw in b.column(len(keys)):
+                    text = dropped.sub("", raw.as_buffer().to_pybytes().decode("utf-8", "replace").replace(placeholder, ""))
+                    found = Counter(text.lower().replace(":", " ").split(" "))
+                    for w, n in found.items():
+                        if len(w) > 1:
+                            words.append(w)
+                            tfs.append(n)
+                    offsets.append(len(words))
+                pairs = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(tfs, pa.int32())], ["term", "tf"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([*b.columns[:len(keys)], lists], [*keys, "terms"])
+
+    texts = spread(docs.where(F.col(text_col).isNotNull()).select(*keys, text_col), id_col)
+    schema = T.StructType([*texts.select(*keys).schema.fields, T.StructField("terms", T._parse_datatype_string(TERMS))])
+    return materialize(texts.select(*keys, F.col(text_col).cast("binary").alias("_b")).mapInArrow(count, schema), "message-terms")
+
+
+def _by_term(rows: DataFrame, keys, values, of, schema) -> DataFrame:
+    """Blocks of ``rows`` (..., terms) grouped by (keys..., term) inside the task: ``of`` (list or sum) of each of ``values``; ``tf`` is divided by ``_norm`` where there is one."""
+    limit, keys, values = BLOCK_PAIRS, list(keys), list(values)
+
+    def group(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        for whole in batches:
+            ends = np.cumsum(pc.list_value_length(whole.column("terms")).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < whole.num_rows:
+                done = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
+                b = whole.slice(at, to - at)
+                at = to
+                pairs, row = b.column("terms").flatten(), pc.list_parent_indices(b.column("terms"))
+                cols = {c: b.column(c).take(row) for c in b.schema.names if c != "terms"} | {"term": pairs.field(0), "tf": pairs.field(1)}
+                if "_norm" in cols:
+                    cols["tf"] = pc.divide(cols["tf"].cast(pa.float64()), cols["_norm"])
+                out = pa.table(cols).group_by([*keys, "term"], use_threads=False).aggregate([(v, of) for v in values])
+                yield from out.select([*keys, "term", *(f"{v}_{of}" for v in values)]).rename_columns(schema.names).combine_chunks().to_batches(max_chunksize=20_000)
+
+    return rows.mapInArrow(group, schema)
+
+
+def _postings(rows: DataFrame, keys, id_col: str) -> DataFrame:
+    """(group..., term, ids, tfs): a row per term and block of messages, written to the shared folder."""
+    fields = {f.name: f for f in rows.schema.fields}
+    schema = T.StructType([*(fields[c] for c in keys), T.StructField("term", T.StringType()),
+                           T.StructField("ids", T.ArrayType(fields[id_col].dataType)), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
+    return materialize(_by_term(rows, keys, [id_col, "tf"], "list", schema), "term-postings")
 
 
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(),
@@ -63,39 +124,66 @@ def _exploded(rows: DataFrame, keys, stopwords: DataFrame | None) -> DataFrame:
     return without(t, stopwords)
 
 
-def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(), keep_colon: bool = True,
-          stopwords: DataFrame | None = None) -> DataFrame:
-    """AGG1-3: normalised TF-IDF weight per (group..., id, term). Rows that repeat a group and id are one message."""
-    g = list(group_cols)
-    rows = message_terms(docs, id_col, text_col, g, keep_colon)
-    each = _exploded(rows, [*g, id_col], stopwords)
-    common = each.groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = materialize(common, "term-df")
-    common = F.broadcast(common) if broadcast_fits(common) else common.hint("shuffle_merge")
+def _common(postings: DataFrame, g) -> DataFrame:
+    """(_c0..., _term, df) of the terms of two messages or more, to be joined as its measured size allows."""
+    common = postings.groupBy(*g, "term").agg(F.sum(F.size("ids")).alias("df")).where("df > 1")
+    common = materialize(common.toDF(*(f"_c{i}" for i in range(len(g))), "_term", "df"), "term-df")
+    return F.broadcast(common) if broadcast_fits(common) else common.hint("shuffle_merge")
+
+
+def _with_idf(t: DataFrame, common: DataFrame, rows: DataFrame, g) -> DataFrame:
+    """``t`` (group..., term, ...) with the term's ``_idf`` among the messages ``rows``."""
+    match = (F.col("term") == F.col("_term"))
+    for i, c in enumerate(g):
+        match &= F.col(c).eqNullSafe(F.col(f"_c{i}"))
+    t = t.join(common, match, "left")
     if g:
         sizes = rows.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(g))).agg(F.count(F.lit(1)).alias("_n"))
-        on = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(g)]
+        t = t.join(sizes, _same(g, "_g"))
         n = F.col("_n")
     else:  # one corpus: a scalar subquery over the written rows, no join
         n = rows.select(F.count(F.lit(1))).scalar()
-    idf = F.log((1 + n) / (1 + F.coalesce("df", F.lit(1)))) + 1
-    found = common.toDF(*(f"_c{i}" for i in range(len(g))), "_term", "df")
-    match = (F.col("term") == F.col("_term"))
-    for i, c in enumerate(g):
-        match &= F.col(c).eqNullSafe(F.col(f"_c{i}"))
-    weighed = each.join(found, match, "left")
-    if g:
-        weighed = weighed.join(sizes, on)
-    v = weighed.select(*g, id_col, "term", (F.col("tf") * idf).alias("v"))
-    together = v.groupBy(*g, id_col).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_norm"), F.collect_list(F.struct("term", "v")).alias("_all"))
-    return together.select(*g, id_col, "_norm", F.explode("_all").alias("_e")).select(*g, id_col, "_e.term", (F.col("_e.v") / F.col("_norm")).alias("w"))
+    return t.withColumn("_idf", F.log((1 + n) / (1 + F.coalesce("df", F.lit(1)))) + 1)
+
+
+def _same(cols, prefix: str):
+    on = F.lit(True)
+    for i, c in enumerate(cols):
+        on &= F.col(c).eqNullSafe(F.col(f"{prefix}{i}"))
+    return on
+
+
+def _normed(docs: DataFrame, id_col: str, text_col: str, g, keep_colon: bool, stopwords: DataFrame | None):
+    """(message terms, idf table, message terms with their message's norm)."""
+    rows = message_terms(docs, id_col, text_col, g, keep_colon)
+    postings = without(_postings(rows, g, id_col), stopwords)
+    common = _common(postings, g)
+    pairs = _with_idf(postings, common, rows, g).select(*g, "_idf", F.explode(F.arrays_zip("ids", "tfs")).alias("_e"))
+    v = F.col("_e.tfs") * F.col("_idf")
+    keys = [*g, id_col]
+    norms = pairs.select(*g, F.col("_e.ids").alias(id_col), (v * v).alias("_v2")).groupBy(*keys).agg(F.sqrt(F.sum("_v2")).alias("_norm"))
+    norms = materialize(norms.toDF(*(f"_k{i}" for i in range(len(keys))), "_norm"), "message-norms")
+    return rows, common, rows.join(norms.hint("shuffle_merge"), _same(keys, "_k")).select(*keys, "_norm", "terms")
+
+
+def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(), keep_colon: bool = True,
+          stopwords: DataFrame | None = None) -> DataFrame:
+    """AGG1-3: normalised TF-IDF weight per (group..., id, term). Rows that repeat a group and id are one message."""
+    g = list(group_cols)
+    rows, common, normed = _normed(docs, id_col, text_col, g, keep_colon, stopwords)
+    each = _with_idf(_exploded(normed, [*g, id_col, "_norm"], stopwords), common, rows, g)
+    return each.select(*g, id_col, "term", (F.col("tf") * F.col("_idf") / F.col("_norm")).alias("w"))
 
 
 def keyword_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=(),
                     keep_colon: bool = True, stopwords: DataFrame | None = None) -> DataFrame:
-    """AGG4: corpus weight per term = sum of the normalised weights."""
-    return (tfidf(docs, id_col, text_col, group_cols, keep_colon, stopwords)
-            .groupBy(*group_cols, "term").agg(F.sum("w").alias("weight")))
+    """AGG4: corpus weight per term = sum of the normalised weights = idf * sum of tf / norm."""
+    g = list(group_cols)
+    rows, common, normed = _normed(docs, id_col, text_col, g, keep_colon, stopwords)
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name in g), T.StructField("term", T.StringType()), T.StructField("_part", T.DoubleType())])
+    parts = _by_term(normed, g, ["tf"], "sum", schema)
+    sums = without(parts.groupBy(*g, "term").agg(F.sum("_part").alias("_sum")), stopwords)
+    return _with_idf(sums, common, rows, g).select(*g, "term", (F.col("_sum") * F.col("_idf")).alias("weight"))
 
 
 def top_terms(weights: DataFrame, k: int = 100, group_cols=(), digits: int | None = 6) -> DataFrame:

@@ -81,3 +81,42 @@ def test_large_vocabulary_path_gives_same_weights(spark):
         assert {r.term: r.weight for r in tfidf.top_terms(big).collect()} == small
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_keywords_from_postings_equal_plain_sums(spark, monkeypatch):
+    # few pairs a block: many blocks; ids that repeat or are null, groups that are null; no (message, term) pair is collected
+    from collections import Counter, defaultdict
+    import math
+    import random
+    monkeypatch.setattr(tfidf, "BLOCK_PAIRS", 40)
+    rnd = random.Random(3)
+    words = ["aa", "bb", "Cc", "dd:ee", "the", "x", "q" * 40, "ёж,", "éa", "re-use"]
+    rows = [(rnd.choice([None, *range(40)]), rnd.choice([None, "s", "t"]), " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 3, 30])))) for _ in range(120)] + [(7, "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    split = lambda t: [w for w in t.lower().replace("é", "").replace(",", "").replace("-", "").replace(":", " ").split() if len(w) > 1 and w != "the"]
+    sw = stopwords_df(spark, ["the"])
+    for g in ([], ["source"]):
+        of = lambda r: r[1] if g else ""
+        n, df, want = Counter(of(r) for r in rows if r[2] is not None), Counter(), defaultdict(float)
+        counted = [(of(r), r[0], Counter(split(r[2]))) for r in rows if r[2] is not None]
+        for s, _, c in counted:
+            df.update((s, w) for w in c)
+        idf = lambda s, w: math.log((1 + n[s]) / (1 + df[s, w])) + 1
+        square = defaultdict(float)
+        for s, k, c in counted:
+            square[s, k] += sum((v * idf(s, w)) ** 2 for w, v in c.items())
+        for s, k, c in counted:
+            for w, v in c.items():
+                want[s, w] += v * idf(s, w) / math.sqrt(square[s, k])
+        weights = tfidf.keyword_weights(docs, group_cols=g, stopwords=sw)
+        got = {(r.source if g else "", r.term): r.weight for r in weights.collect()}
+        assert set(got) == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+        assert "collect_list" not in weights._jdf.queryExecution().executedPlan().toString()
+        each = tfidf.tfidf(docs, group_cols=g, stopwords=sw).groupBy(*g, "term").agg(F.sum("w").alias("weight")).collect()
+        assert all(abs(r.weight - want[r.source if g else "", r.term]) < 1e-9 for r in each) and len(each) == len(want)
+
+
+def test_a_term_is_one_posting_in_a_block(spark):
+    docs = spark.createDataFrame([(k, "cat dog") for k in range(500)], "doc_id long, text string").coalesce(1)
+    p = tfidf._postings(tfidf.message_terms(docs), [], "doc_id")
+    assert p.count() <= 2 * spark.sparkContext.defaultParallelism and p.select(F.sum(F.size("ids"))).first()[0] == 1000
