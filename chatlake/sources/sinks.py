@@ -34,6 +34,17 @@ def _csv(writer):
             .option("ignoreTrailingWhiteSpace", False).option("escape", '"'))
 
 
+#: On a local disk (``file:`` only; other file systems do not read these settings) Hadoop's default writer starts three ``chmod`` processes for each
+#: folder and file and its checksum file. The plain writer starts none and leaves no checksum file, which readers do not need.
+LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def _csv_folders(rows: DataFrame, col: str, path: str, **options) -> str:
+    """One CSV folder per value of ``col``; there are as many folders as values, so that what a folder costs counts."""
+    _csv(_rebalanced(rows, col).write.mode("overwrite").partitionBy(col)).options(**LOCAL_FILES, **options).csv(path)
+    return path
+
+
 def index_stats(store: DataFrame) -> DataFrame:
     """SNK6-7: namespaces present in each index and their record counts (partial aggregate)."""
     return store.groupBy("index_name", "namespace").agg(F.count(F.lit(1)).alias("n_records"))
@@ -61,9 +72,7 @@ def stamp_of(spark: SparkSession, at: str) -> str:
 def write_messages_csv(msgs: DataFrame, path: str, partition_col: str = "chat_name", stamp: str | None = None) -> str:
     """SNK1: one CSV folder per chat, header, all fields quoted (Spark cannot quote only text); returns the (stamped) path."""
     cols = [c for c in MESSAGE_COLUMNS if c in msgs.columns]
-    rows = _rebalanced(msgs.select(*cols, partition_col), partition_col)
-    _csv(rows.write.mode("overwrite").partitionBy(partition_col)).option("quoteAll", True).csv(_stamped(path, stamp))
-    return _stamped(path, stamp)
+    return _csv_folders(msgs.select(*cols, partition_col), partition_col, _stamped(path, stamp), quoteAll=True)
 
 
 def write_text_date_csv(df: DataFrame, path: str) -> None:
@@ -75,8 +84,7 @@ def write_pending_notes_csv(notes: DataFrame, path: str, user_col: str = "telegr
     """SNK3: un-indexed notes per user, ``message_id,text``, minimal quoting; returns the (stamped) path."""
     pending = (notes.where(~F.col("is_vectorized"))
                .select(user_col, F.col("telegram_message_id").alias("message_id"), "text"))
-    _csv(_rebalanced(pending, user_col).write.mode("overwrite").partitionBy(user_col)).csv(_stamped(path, stamp))
-    return _stamped(path, stamp)
+    return _csv_folders(pending, user_col, _stamped(path, stamp))
 
 
 def touched_buckets(store: DataFrame, rows: DataFrame) -> DataFrame:

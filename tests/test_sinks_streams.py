@@ -137,6 +137,25 @@ def test_message_and_notes_csv(spark, tmp_path):
         [("index-1", 1), ("index-1", 2)], "index_name string, x int")).collect()] == ["index-1"]
 
 
+def test_csv_folders_start_no_process_and_are_listed_by_few_tasks(spark, tmp_path):
+    # a checksum file shows the writer that starts chmod for each file; a listing task a folder is what Spark does by itself
+    from chatlake.sources.csv import LISTING_TASKS, read_csv
+    msgs = spark.range(100).selectExpr("id % 80 AS chat_name", "id AS msg_id", "concat('a \"', id, '\"') AS msg_content")
+    p = sinks.write_messages_csv(msgs, str(tmp_path / "m"))
+    notes = spark.range(4).selectExpr("id AS telegram_id", "id AS telegram_message_id", "'t' AS text", "false AS is_vectorized")
+    q = sinks.write_pending_notes_csv(notes, str(tmp_path / "n"))
+    names = [f for d in (p, q) for _, _, fs in os.walk(d) for f in fs]
+    assert sum(f.endswith(".csv") for f in names) == 84 and not [f for f in names if f.endswith(".csv.crc")]
+    key, sc = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext
+    before = spark.conf.get(key)
+    sc.setJobGroup("listing", "")
+    back = read_csv(spark, p, "msg_id bigint, msg_content string, chat_name bigint")
+    stages = [st_ for j in sc.statusTracker().getJobIdsForGroup("listing") for st_ in sc.statusTracker().getJobInfo(j).stageIds]
+    assert stages and max(sc.statusTracker().getStageInfo(x).numTasks for x in stages) <= LISTING_TASKS and spark.conf.get(key) == before
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, back.select("chat_name", "msg_id", "msg_content").collect())) == sorted((k % 80, k, f'a "{k}"') for k in range(100))
+
+
 def test_replayed_micro_batch_is_written_once(spark, tmp_path):
     # foreachBatch is at-least-once: the same batch id written twice must leave one copy
     out = str(tmp_path / "log")
