@@ -34,14 +34,30 @@ def _csv(writer):
             .option("ignoreTrailingWhiteSpace", False).option("escape", '"'))
 
 
-#: On a local disk (``file:`` only; other file systems do not read these settings) Hadoop's default writer starts three ``chmod`` processes for each
-#: folder and file and its checksum file. The plain writer starts none and leaves no checksum file, which readers do not need.
+#: On a local disk (``file:`` only; other file systems do not read these settings) Hadoop starts a ``chmod`` process for each folder, file and
+#: checksum file. The plain writer leaves no checksum file, which readers do not need, and so starts one process less.
 LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: A task writes about so many folders, whatever their bytes; a folder with more rows than this is left to Spark, which splits it over tasks.
+FOLDERS_A_TASK = 100
+LARGE_FOLDER = 200_000
+
+
+def _by_folder(rows: DataFrame, col: str) -> DataFrame:
+    """Rows of a folder brought together before they are written, by so many tasks as the number of folders asks for."""
+    sizes = rows.groupBy(F.col(col).alias("_folder")).agg(F.count(F.lit(1)).alias("_rows"))
+    large = F.col("_rows") > LARGE_FOLDER
+    n, n_rows, n_large = sizes.agg(F.count(F.lit(1)), F.sum("_rows"), F.count_if(large)).first()
+    tasks = max(n // FOLDERS_A_TASK, (n_rows or 0) // LARGE_FOLDER) + 1
+    if not n_large:
+        return rows.repartition(tasks, col)
+    found, _ = bounded_broadcast(sizes.where(large), "large-folders")
+    match = F.col(col).eqNullSafe(F.col("_folder"))
+    return rows.join(found, match, "left_anti").repartition(tasks, col).unionByName(_rebalanced(rows.join(found, match, "left_semi"), col))
 
 
 def _csv_folders(rows: DataFrame, col: str, path: str, **options) -> str:
     """One CSV folder per value of ``col``; there are as many folders as values, so that what a folder costs counts."""
-    _csv(_rebalanced(rows, col).write.mode("overwrite").partitionBy(col)).options(**LOCAL_FILES, **options).csv(path)
+    _csv(_by_folder(rows, col).write.mode("overwrite").partitionBy(col)).options(**LOCAL_FILES, **options).csv(path)
     return path
 
 

@@ -137,8 +137,20 @@ def test_message_and_notes_csv(spark, tmp_path):
         [("index-1", 1), ("index-1", 2)], "index_name string, x int")).collect()] == ["index-1"]
 
 
-def test_csv_folders_start_no_process_and_are_listed_by_few_tasks(spark, tmp_path):
-    # a checksum file shows the writer that starts chmod for each file; a listing task a folder is what Spark does by itself
+def test_csv_folders_are_written_by_number_and_large_ones_split(spark, tmp_path, monkeypatch):
+    # tasks by the number of folders, however few bytes these hold; large folders and one without a name keep all rows
+    rows = spark.range(600).selectExpr("nullif(id % 60, 7) AS k", "id", "'t' AS text")
+    monkeypatch.setattr(sinks, "FOLDERS_A_TASK", 10)
+    assert sinks._by_folder(rows, "k").rdd.getNumPartitions() == 7
+    monkeypatch.setattr(sinks, "LARGE_FOLDER", 50)
+    uneven = rows.union(spark.range(1000, 1200).selectExpr("nullif(id % 2, 1) AS k", "id", "'t' AS text"))
+    p = sinks._csv_folders(uneven, "k", str(tmp_path / "f"), quoteAll=True)
+    got = spark.read.option("header", True).csv(p).selectExpr("k", "cast(id AS bigint)", "text")
+    assert sorted(map(str, got.collect())) == sorted(map(str, uneven.collect()))
+
+
+def test_csv_folders_have_no_checksum_files_and_are_listed_by_few_tasks(spark, tmp_path):
+    # a checksum file costs a process of its own; a listing task a folder is what Spark does by itself
     from chatlake.sources.csv import LISTING_TASKS, read_csv
     msgs = spark.range(100).selectExpr("id % 80 AS chat_name", "id AS msg_id", "concat('a \"', id, '\"') AS msg_content")
     p = sinks.write_messages_csv(msgs, str(tmp_path / "m"))
